@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, exact_dedup, mixing, token_files, warc
+from quillspark.llm import chat, decontam, exact_dedup, jaccard_join, mixing, token_files, warc
 from quillspark.llm.common import stored
 
 
@@ -21,6 +21,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(index).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -53,9 +63,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_mix_sources": op3_mix_sources,
     "op5_token_files": op5_token_files,
     "op6_warc": op6_warc,
+    "op7_decontamination": op7_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat": op10_chat,
 }
@@ -88,6 +100,20 @@ g AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS kept FROM h)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
        CASE WHEN n >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 1000 AND page_id <> kept THEN kept END AS refers_to FROM g""",
+    "op7_decontamination": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, array_to_string(list_slice(w, s, s + 12), ' ') AS win, least(13, len(w)) AS n
+       FROM i, LATERAL unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(s) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, s, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS win
+       FROM d, lens, LATERAL unnest(range(1, len(w) - n + 2)) AS u(s)),
+m AS (SELECT doc_id, s, dw.n, item FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM m, LATERAL unnest(range(s, s + n)) AS u(p) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS names FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(names, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)""",
     "op9_exact_dedup": f"""
 WITH n AS (SELECT doc_id, {_LOWER} AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
