@@ -172,55 +172,41 @@ def _candidates(docs: DataFrame, words: int, num: int, den: int, buckets: int) -
     return shared.groupBy("bucket").applyInArrow(choose, "cls long, n long, prefix array<long>, shared array<long>")
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Common values of two sorted arrays of distinct values."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-
-
-def join_region(ids: list[int], comp: list[int], n: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+def join_region(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, owner: np.ndarray, shingles: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Links of one region that join different components, enough to connect all that its links connect.
 
-    Recursive: a pivot, distances to it, and if that separates, an inner and an outer region, in which inner documents within
-    t of the cut are replicated to the outer region.
+    owner and shingles list the region's sets. Recursive: a pivot of the smallest component, its distances to all others by
+    way of the lists of its shingles, and if a cut at the median separates, an inner and an outer region, in which inner
+    documents within t of the cut are replicated to the outer region.
     """
     t = 1 - num / den + 1e-9
-    root = {c: c for c in comp}
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
+    comp = np.unique(comp, return_inverse=True)[1]
+    order = np.argsort(shingles, kind="stable")
+    lists, values = owner[order], shingles[order]
+    begin = np.searchsorted(values, shingles, "left")
+    end = np.searchsorted(values, shingles, "right")
+    by_owner = np.argsort(owner, kind="stable")
+    at = np.searchsorted(owner[by_owner], np.arange(len(ids) + 1))
     links, todo = [], [np.arange(len(ids))]
     while todo:
         region = todo.pop()
-        owners = np.array([find(comp[i]) for i in region], dtype=object)
-        kinds = set(owners)
+        kinds, which, sizes = np.unique(comp[region], return_inverse=True, return_counts=True)
         if len(kinds) < 2:
             continue
-        sizes = {k: int((owners == k).sum()) for k in kinds}
-        p = region[min(range(len(region)), key=lambda j: (sizes[owners[j]], ids[region[j]]))]
+        p = region[np.argmin(sizes[which])]
         rest = region[region != p]
-        far = np.empty(len(rest))
-        for j, i in enumerate(rest):
-            common = _overlap(sets[p], sets[i])
-            union = n[p] + n[i] - common
-            far[j] = 1 - common / union
-            if den * common >= num * union and find(comp[p]) != find(comp[i]):
-                links.append((ids[p], ids[i]))
-                a, b = find(comp[p]), find(comp[i])
-                root[max(a, b)] = min(a, b)
-        cut = float(np.median(far)) if len(far) else 0.0
-        inner, border = rest[far <= cut], rest[(far <= cut) & (far > cut - t)]
-        outer = np.concatenate([rest[far > cut], border])
-        if len(inner) < len(rest) and len(outer) < len(rest):
-            todo += [inner, outer]
-        else:
-            todo.append(rest)
+        own = by_owner[at[p] : at[p + 1]]
+        own = own[end[own] - begin[own] > 1]
+        common = np.bincount(np.concatenate([lists[a:b] for a, b in zip(begin[own], end[own], strict=True)] or [lists[:0]]), minlength=len(ids))[rest]
+        union = n[p] + n[rest] - common
+        for i in rest[den * common >= num * union]:
+            if comp[i] != comp[p]:
+                links.append((int(ids[p]), int(ids[i])))
+                comp[comp == comp[i]] = comp[p]
+        far = 1 - common / union
+        cut = np.median(far)
+        inner, outer = rest[far <= cut], rest[far > cut - t]
+        todo += [inner, outer] if max(len(inner), len(outer)) < len(rest) else [rest]
     return links
 
 
@@ -234,23 +220,28 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def link_components(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, root) of all classes that have a link; the loop over large regions ends as each loses its pivot every round."""
     members = stored(sets.select(F.explode("prefix").alias("s"), "cls", "n"))
-    # regions of the same members are one region
-    mark = F.xxhash64("cls")
-    alike = members.groupBy("s").agg(F.count("*").alias("m"), F.sum(mark.cast("decimal(38,0)")).alias("x"), F.expr("bit_xor(xxhash64(cls, 1))").alias("y")).where("m > 1")
+    # lists of the same members are one list
+    alike = members.groupBy("s").agg(F.count("*").alias("m"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("x"), F.expr("bit_xor(xxhash64(cls, 1))").alias("y")).where("m > 1")
     kept = alike.groupBy("m", "x", "y").agg(F.min("s").alias("s")).select("s")
     members = stored(members.join(kept, "s", "left_semi").withColumn("comp", F.col("cls")))
     edges = roots = None
     while True:
-        # the pivot of a region, and distances of all others to it
-        regions = members.groupBy("s").agg(F.min(F.struct("cls", "comp", "n")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("load")).where("lo <> hi").drop("lo", "hi")
-        held = stored(members.join(regions, "s").withColumn("small", (F.col("load") <= REGION) if edges is not None else F.lit(False)))
+        # the pivot of each list, and distances of all others to it; lists of one pivot are one region
+        pivots = members.groupBy("s").agg(F.min(F.struct("cls", "comp", "n")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
+        held = stored(members.join(pivots, "s"))
         if held.isEmpty():
             break
         fits = F.least("n", "p.n") * den >= F.greatest("n", "p.n") * num
+        if edges is None:
+            held = held.withColumn("small", F.lit(False))
+        else:
+            region = held.select(F.col("p.cls").alias("pivot"), "cls", "comp", "n").distinct()
+            small = stored(region.groupBy("pivot").agg(F.sum("n").alias("load")).where(F.col("load") <= REGION).select("pivot"))
+            held = held.join(small.withColumn("small", F.lit(True)), F.col("p.cls") == F.col("pivot"), "left").drop("pivot").fillna(False, ["small"])
         pairs = held.where(~F.col("small") & (F.col("comp") != F.col("p.comp")) & fits).select(F.col("p.cls").alias("a"), F.col("cls").alias("b")).distinct()
         found = _linked(pairs, sets, num, den)
         if edges is not None:
-            found = found.union(_small_regions(held.where("small"), sets, num, den))
+            found = found.union(_small_regions(region.join(small, "pivot", "left_semi"), sets, num, den))
         edges = stored(found if edges is None else edges.union(found))
         roots = components(edges)
         rest = held.where(~F.col("small") & (F.col("cls") != F.col("p.cls"))).select("s", "cls", "n")
@@ -258,13 +249,14 @@ def link_components(sets: DataFrame, num: int, den: int) -> DataFrame:
     return roots if roots is not None else sets.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0)
 
 
-def _small_regions(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _small_regions(region: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     def join(table: pa.Table) -> pa.Table:
-        sets_ = [np.array(x, np.int64) for x in table["shared"].to_pylist()]
-        links = join_region(table["cls"].to_pylist(), table["comp"].to_pylist(), table["n"].to_pylist(), sets_, num, den)
+        shared = table["shared"].combine_chunks()
+        owner = np.repeat(np.arange(len(shared)), shared.value_lengths().to_numpy())
+        links = join_region(table["cls"].to_numpy(), table["comp"].to_numpy(), table["n"].to_numpy(), owner, shared.flatten().to_numpy(), num, den)
         return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return held.select("s", "cls", "comp").join(sets.select("cls", "n", "shared"), "cls").groupBy("s").applyInArrow(join, "a long, b long")
+    return region.select("pivot", "cls", "comp").join(sets.select("cls", "n", "shared"), "cls").groupBy("pivot").applyInArrow(join, "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
