@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, decontam, exact_dedup, jaccard_join, mixing, quality, token_files, toxicity, warc
+from quillspark.llm import chat, decontam, exact_dedup, jaccard_join, mixing, quality, substring, token_files, toxicity, warc
 from quillspark.llm.common import stored
 
 
@@ -33,6 +33,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.shared_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = stored(token_files.write_token_files(_table(spark, sf_dir, "documents"), tokenizer_path()))
     return token_files.read_token_files(index)
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_mix_sources": op3_mix_sources,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_token_files": op5_token_files,
     "op6_warc": op6_warc,
     "op7_decontamination": op7_decontamination,

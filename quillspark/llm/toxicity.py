@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,8 +24,9 @@ NEGATIONS = "not never no nobody isn't aren't nicht kein keine niemals nie pas j
 REPORTS = "said says called quoted reported wrote claims sagte sagt nannte schrieb dit appelé écrit dijo dice llamó escribió".split()
 #: Shortest and longest beginnings of words that may be learned as insults, besides whole words (ending in $).
 STEMS = (3, 4, 5, 6)
-#: A term is learned if it is in this share of toxic rows at least, and that share is so many times its share of the others.
-LEAST_SHARE, LEAST_LIFT = 0.005, 30
+#: A term is learned if so much of the rows that have it are toxic, and if this is too unlikely for chance among all terms
+#: that are tried (log-likelihood ratio above the logarithm of their number, plus a margin).
+LEAST_PRECISION, MARGIN = 0.95, 6.0
 TERMS = 2000
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -144,12 +146,18 @@ def learn_terms(rows: DataFrame) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], names=["term", "toxic", "other"])
 
     counted = rows.mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counted = counted.persist()
     total = counted.where("term = ''").first()
-    if total is None or not total.toxic:
+    if total is None or not total.toxic or not total.other:
+        counted.unpersist()
         return []
-    share, other = F.col("toxic") / total.toxic, (F.col("other") + 0.5) / (total.other + 1)
-    good = counted.where("term <> '' and toxic >= 4").where((share >= LEAST_SHARE) & (share >= LEAST_LIFT * other))
+    tried = counted.count()
+    rate = total.toxic / (total.toxic + total.other)
+    n, k, m = F.col("toxic") + F.col("other"), F.col("toxic"), F.col("other")
+    ratio = k * F.log(k / (n * rate)) + F.when(m > 0, m * F.log(m / (n * (1 - rate)))).otherwise(0)
+    good = counted.where((F.col("term") != "") & (k > 0) & (k >= LEAST_PRECISION * n) & (ratio > math.log(tried) + MARGIN))
     found = [r.term for r in good.orderBy(F.desc("toxic"), F.length("term"), "term").limit(TERMS).collect()]
+    counted.unpersist()
     kept: list[str] = []  # a beginning stands for all that begins with it
     for t in sorted(found, key=lambda t: (t.endswith("$"), len(t), t)):
         if not any(t.startswith(s) for s in kept if not s.endswith("$")):
