@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Key ranges of one source; each is sorted by a task of its own, so a hot source is spread over that many.
 RANGES = 1024
@@ -37,7 +39,8 @@ def source_targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     rest = by_limit.rowsBetween(0, W.unboundedFollowing)
     level = (F.sum("source_size").over(W.partitionBy()) - F.coalesce(F.sum("limit").over(before), F.lit(0))) / F.sum("weight").over(rest)
     stepped = ranked.withColumn("level", level).withColumn("capped", F.col("limit") / F.col("weight") <= F.col("level"))
-    final = F.min(F.when(~F.col("capped"), F.col("level"))).over(W.partitionBy())
+    # the first source below its limit has the highest level of those
+    final = F.max(F.when(~F.col("capped"), F.col("level"))).over(W.partitionBy())
     return stepped.withColumn("final", final).select("source", "source_size", "weight", F.when(F.col("capped") | F.col("final").isNull(), F.col("limit").cast("double")).otherwise(F.col("weight") * F.col("final")).alias("target"))
 
 
@@ -48,7 +51,7 @@ def _mix(docs: DataFrame, keep: list[str], id_col: str, source_col: str, text_co
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
     weight = F.greatest(F.lit(0.001), F.least(F.lit(1000.0), F.coalesce("_w", F.lit(0.05))))
     rows = rows.withColumn("_key", -F.log(u) / weight).drop("_w").withColumn("_range", F.floor((1 - F.exp(-F.col("_key"))) * RANGES).cast("int"))
-    by_range = rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
+    by_range = stored(rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum")))
     targets = source_targets(by_range.groupBy("source").agg(F.sum("_sum").alias("source_size")))
     begun = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     ranges = (
@@ -62,7 +65,7 @@ def _mix(docs: DataFrame, keep: list[str], id_col: str, source_col: str, text_co
     left = F.col("_budget") - F.col("_begin") - F.col("_before")
     return (
         rows.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+        .join(ranges, F.col("source").eqNullSafe(F.col("_s")) & F.col("_range").eqNullSafe(F.col("_r")))
         .withColumn("taken", (F.col("_epochs") * size + F.greatest(F.lit(0), F.least(size, left))).cast("long"))
         .select("_id", "size", "source_size", "target", "taken", *[f"_keep_{c}" for c in keep])
     )

@@ -101,7 +101,7 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY so
 w AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS lim FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / CAST(sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM w),
-f AS (SELECT *, lim / weight <= level AS capped, min(CASE WHEN lim / weight > level THEN level END) OVER () AS final FROM l),
+f AS (SELECT *, lim / weight <= level AS capped, max(CASE WHEN lim / weight > level THEN level END) OVER () AS final FROM l),
 t AS (SELECT source, source_size, CASE WHEN capped OR final IS NULL THEN CAST(lim AS DOUBLE) ELSE weight * final END AS target FROM f),
 b AS (SELECT *, floor(target / greatest(source_size, 1)) AS epochs FROM t),
 p AS (SELECT k.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
