@@ -107,7 +107,7 @@ def _candidates(docs: DataFrame, words: int, num: int, den: int, buckets: int) -
             n = np.concatenate([h[1] for h in held])
             owner = np.repeat(np.arange(len(cls)), n)
             hashes = np.concatenate([h[2] for h in held])
-            return _deal(cls, n, owner, hashes, _bucket(hashes, buckets * 4))
+            return _deal(cls, n, owner, hashes, _bucket(hashes, buckets))
 
         for batch in batches:
             for _, first, hashes in shingle_sets(batch.column("_text"), words):
