@@ -45,16 +45,18 @@ def rarest_terms(windows: DataFrame, frequency: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, terms: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Postings of the given terms in all texts: term, key (MD5 of the normalised text), pos, around (the words beside it).
+    """Postings of the given terms (term, first) in all texts: term, key (MD5 of the normalised text), pos, and for terms that
+    are `first` in a window around, the words beside it.
 
-    Equal texts have the same postings once. Whether `terms` is broadcast is left to the planner, which knows its size.
+    Equal texts share a key. Whether `terms` is broadcast is left to the planner, which knows its size; then no posting is
+    shuffled.
     """
     norm = ascii_lower(F.col(f"`{text_col}`"))
     texts = docs.select(F.md5(norm).alias("key"), _split(norm).alias("w"))
     # the outer form: no filter that splits each text a second time is inferred from it
     placed = texts.select("key", "w", F.posexplode_outer("w").alias("pos", "term"))
     from_ = F.greatest(F.col("pos") - (window - 1), F.lit(0)) + 1
-    return placed.join(terms.select("term"), "term").select("term", "key", "pos", F.slice("w", from_, 2 * window - 1).alias("around")).dropDuplicates(["term", "key", "pos"])
+    return placed.join(terms, "term").select("term", "key", "pos", F.when(F.col("first"), F.slice("w", from_, 2 * window - 1)).alias("around"))
 
 
 def phrase_matches(index: DataFrame, rarest: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -91,7 +93,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     tokens = docs.select(F.explode_outer(_split(ascii_lower(F.col(f"`{text_col}`")))).alias("term"))
     frequency = tokens.join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n"))
     rarest = stored(rarest_terms(windows, frequency))
-    anchors = stored(rarest.select(F.explode(F.array("term", "term2")).alias("term")).where("term is not null").distinct().coalesce(1))
+    both = F.explode(F.array(F.struct("term", F.lit(True).alias("first")), F.struct(F.col("term2").alias("term"), F.lit(False).alias("first")))).alias("t")
+    anchors = stored(rarest.select(both).select("t.*").where("term is not null").groupBy("term").agg(F.max("first").alias("first")).coalesce(1))
     index = stored(build_index(docs, anchors, text_col, window))
     found = stored(phrase_matches(index, rarest, window))
     words = found.select("key", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
