@@ -103,17 +103,18 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """Per document: all its columns, and _n_words, _n_hit, _n_items, _items_sha256, _contaminated.
+    """Per document: row (a struct of its columns), n_words, n_hit, n_items, items_sha256, contaminated.
 
     A document is contaminated if at least one of its words is hit and `share` times its hit words reach its words.
 
     Defined cases: null text has no words and is never contaminated; items with null or empty text have no window; a null
     item id counts as no name (its hits count, the list of names leaves it out); equal item ids are one item; rows that are
-    repeated are judged alike; empty tables on either side give no hits; other columns are passed through.
+    repeated are judged alike; empty tables on either side give no hits; other columns stay in the struct, so that no name
+    of theirs can clash.
     """
     norm = ascii_lower(F.col(f"`{text_col}`"))
-    hits = stored(find_contamination(docs, items, text_col, item_id_col, item_text_col, window)).withColumnsRenamed({"key": "_key", "n_hit": "_n_hit", "n_items": "_n_items", "items_sha256": "_items_sha256"})
-    out = docs.withColumn("_key", F.md5(norm)).withColumn("_n_words", _count(_split(norm))).join(hits, "_key", "left").drop("_key")
+    hits = stored(find_contamination(docs, items, text_col, item_id_col, item_text_col, window))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.md5(norm).alias("key"), _count(_split(norm)).alias("n_words"))
     zero = F.lit(0).cast("long")
-    out = out.withColumns({"_n_hit": F.coalesce("_n_hit", zero), "_n_items": F.coalesce("_n_items", zero), "_items_sha256": F.coalesce("_items_sha256", F.sha2(F.lit(""), 256))})
-    return out.withColumn("_contaminated", (F.col("_n_hit") > 0) & (share * F.col("_n_hit") >= F.col("_n_words")))
+    n_hit = F.coalesce("n_hit", zero)
+    return rows.join(hits, "key", "left").select("row", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))

@@ -104,10 +104,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text", cutoff: int | None = None) -> DataFrame:
-    """docs with _expected_grade and _tail_probability, that of `cutoff` (by default the second lowest grade) or better.
+    """Per document: row (a struct of its columns), expected_grade and tail_probability, that of `cutoff` (by default the second lowest grade) or better.
 
     Defined cases: a text without words, null and empty ones too, has the lowest grade and tail probability 0; with fewer than
-    two grades to learn from, every text with words has that grade; other columns are passed through.
+    two grades to learn from, every text with words has that grade, and tail probability 1; an empty table gives an empty
+    result; other columns stay in the struct, so that no name of theirs can clash.
     """
     at = next((i for i, g in enumerate(model.grades) if g >= cutoff), len(model.grades)) if cutoff is not None else min(1, len(model.grades) - 1)
     grades = np.array(model.grades, float)
@@ -115,7 +116,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             expected, tail = [np.zeros(0)], [np.zeros(0)]
-            for lo, hi, w in text_chunks(batch.column(text_col), lower=False):
+            for lo, hi, w in text_chunks(batch.column("text"), lower=False):
                 n = np.diff(w.first)
                 doc = np.repeat(np.arange(hi - lo), n)
                 word, shape = token_features(w)
@@ -123,16 +124,15 @@ def score_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
                 p = model.probabilities(eta)
                 expected.append(np.where(n > 0, p @ grades, grades[0]))
                 tail.append(np.where(n > 0, p[:, at:].sum(axis=1), 0.0))
-            out = batch.append_column("_expected_grade", pa.array(np.concatenate(expected)))
-            yield out.append_column("_tail_probability", pa.array(np.concatenate(tail)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(expected)), pa.array(np.concatenate(tail))], names=["row", "expected_grade", "tail_probability"])
 
-    more = [T.StructField("_expected_grade", T.DoubleType()), T.StructField("_tail_probability", T.DoubleType())]
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, *more]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType())])
+    return rows.mapInArrow(score, schema)
 
 
 def rate_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
-    """Per document: id_col, held_out, expected_grade, tail_probability, kept (tail_probability >= least)."""
+    """Per document: id_col, held_out, expected_grade, tail_probability, kept (tail_probability >= least). See score_quality."""
     model = train_quality(docs, labels, id_col, text_col, grade_col, sample)
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    scored = score_quality(rows, model, "_text")
-    return scored.select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), F.col("_expected_grade").alias("expected_grade"), F.col("_tail_probability").alias("tail_probability"), (F.col("_tail_probability") >= least).alias("kept"))
+    scored = score_quality(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), model)
+    return scored.select(F.col("row.id").alias(id_col), held_out(F.col("row.id")).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= least).alias("kept"))

@@ -50,7 +50,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
-    return marked.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
+    return marked.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
