@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,7 +117,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             expected, tail = [np.zeros(0)], [np.zeros(0)]
-            for lo, hi, w in text_chunks(batch.column("text"), lower=False):
+            for lo, hi, w in text_chunks(pc.struct_field(batch.column("row"), text_col), lower=False):
                 n = np.diff(w.first)
                 doc = np.repeat(np.arange(hi - lo), n)
                 word, shape = token_features(w)
@@ -126,7 +127,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
                 tail.append(np.where(n > 0, p[:, at:].sum(axis=1), 0.0))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(expected)), pa.array(np.concatenate(tail))], names=["row", "expected_grade", "tail_probability"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([rows.schema["row"], T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType())])
     return rows.mapInArrow(score, schema)
 

@@ -22,9 +22,9 @@ SEQUENCE = 2048
 #: Sequences in a record batch of a file.
 BATCH = 256
 #: Pieces whose ids a worker keeps; the frequent ones come early. Only speed depends on it.
-CACHE = 500_000
+CACHE = 150_000
 #: Texts that are encoded together, for a bound on memory.
-CHUNK = 4000
+CHUNK = 1000
 #: White space in Unicode: texts in which a blank has another beside it are encoded whole, see Encoder.
 _GAP = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Bytes that a byte-level vocabulary writes as themselves; the others are moved up from 256 on, in order.
