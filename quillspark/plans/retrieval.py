@@ -298,10 +298,13 @@ _CASC_SQL = f"""WITH {BM25_SQL}, {TITLE_SQL}, qg AS (SELECT query_id, {_tri(chr(
 need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY query_id), h AS (SELECT query_id, doc_id, count(*) AS n FROM qt JOIN post USING (term) GROUP BY ALL),
 s1 AS (SELECT query_id, doc_id, 1 AS stage, score FROM bm JOIN h USING (query_id, doc_id) JOIN need USING (query_id) WHERE n = need QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50),
 few1 AS (SELECT query_id FROM qw WHERE query_id NOT IN (SELECT query_id FROM s1 GROUP BY 1 HAVING count(*) >= 5)),
-s2 AS (SELECT query_id, doc_id, 2 AS stage, score FROM bm WHERE query_id IN (SELECT query_id FROM few1) AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM s1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50)"""
+s2 AS (SELECT query_id, doc_id, 2 AS stage, score FROM bm WHERE query_id IN (SELECT query_id FROM few1) AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM s1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50),
+two AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2), few2 AS (SELECT query_id FROM qw WHERE query_id NOT IN (SELECT query_id FROM two GROUP BY 1 HAVING count(*) >= 5)),
+sim AS (SELECT query_id, doc_id, round(len(list_intersect(g, h)) / CAST(len(g) + len(h) - len(list_intersect(g, h)) AS DOUBLE), 6) AS score FROM qg, tg),
+s3 AS (SELECT query_id, doc_id, 3 AS stage, score FROM sim WHERE score > 0.2 AND query_id IN (SELECT query_id FROM few2) AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM two) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 25)"""
 
 
-@query("lexical_cascade", f"{_CASC_SQL} SELECT * FROM s1 UNION ALL SELECT * FROM s2")
+@query("lexical_cascade", f"{_CASC_SQL} SELECT * FROM two UNION ALL SELECT * FROM s3")
 def lexical_cascade(spark: SparkSession, d: str) -> DataFrame:
     q, p = query_terms(spark, d), postings(spark, d)
     scored = R.bm25(q, p)
