@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -149,18 +150,13 @@ def cosine(a: str, b: str) -> Column:
     return F.round(dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)), 6)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 256) -> DataFrame:
-    """(query_id, doc_id, score, rank), exact. Queries come in blocks of `block`: each is one row, met by every batch of vectors, as a matrix product that keeps its k best."""
+def _block_knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """One pass over the vectors for a block of queries that fits on the driver: a matrix product per batch, its k best per query."""
     import numpy as np
 
-    rows = queries.select("query_id", "embedding").withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(8)))
-    blocks = rows.groupBy("_b").agg(F.collect_list(F.struct("query_id", "embedding")).alias("q"))
-    if queries.count() > 8 * block:
-        raise ValueError(f"at most {8 * block} queries at once")
-
-    bound = [(r.query_id, r.embedding) for b in blocks.collect() for r in b.q]  # at most 8 * block rows, counted above
-    ids = np.array([i for i, _ in bound])
-    q = np.array([v for _, v in bound], float).reshape(len(bound), -1)
+    bound = queries.select("query_id", "embedding").collect()
+    ids = np.array([r.query_id for r in bound], np.int64)
+    q = np.array([r.embedding for r in bound], float).reshape(len(bound), -1)
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,8 +169,14 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 256) -> Dat
             order = np.lexsort((np.broadcast_to(doc, s.shape), -s), axis=1)[:, :k]
             yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "doc_id": doc[order.ravel()], "score": np.take_along_axis(s, order, 1).ravel()})
 
-    found = vectors.select("doc_id", "embedding").mapInPandas(best, "query_id long, doc_id long, score double")
-    return top_k(found, k, [F.desc("score"), F.col("doc_id")])
+    return vectors.select("doc_id", "embedding").mapInPandas(best, "query_id long, doc_id long, score double")
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(query_id, doc_id, score, rank), exact by cosine. Queries are counted first and dealt by hash into blocks of about `block`, each of which makes one pass over the vectors."""
+    parts = -(-max(queries.count(), 1) // block)
+    found = [_block_knn(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p), vectors, k) for p in range(parts)]
+    return top_k(reduce(DataFrame.unionByName, found), k, [F.desc("score"), F.col("doc_id")])
 
 
 def fit_dim(vector: Column, dim: int) -> Column:

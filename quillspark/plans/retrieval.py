@@ -359,12 +359,12 @@ def ranking_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 _COS = "round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6)"
-_KNN_SQL = f"k AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {_COS} AS score, b.label FROM embeddings a, embeddings b WHERE a.vec_id % 25 = 0 {{0}})"
+_KNN_SQL = f"k AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {_COS} AS score, b.label FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 {{0}})"
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    return v.where("doc_id % 25 = 0").where("doc_id < 40000").select(F.col("doc_id").alias("query_id"), "embedding"), v
+    return v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "embedding"), v
 
 
 @query("knn_exact", f"WITH {_KNN_SQL.format('AND b.label < 5')} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM k QUALIFY rank <= 10")
