@@ -92,16 +92,17 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(hi - lo):
                 a, b = w.first[i], w.first[i + 1]
                 found, n = np.unique(np.concatenate([f[a:b] for f in both]), return_counts=True)
-                places.append(found.astype(np.int32))
-                shares.append((n / max(b - a, 1)).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("value"), pa.array(places, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["doc_id", "value", "places", "shares"])
+                places.append(found.astype(np.int32).tobytes())
+                shares.append((n / max(b - a, 1)).astype(np.float32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("value"), pa.array(places, pa.binary()), pa.array(shares, pa.binary())], names=["doc_id", "value", "places", "shares"])
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", sample: int = SAMPLE) -> OrdinalModel:
     """Fits the model on a sample of at most `sample` labelled rows that are not held out; grades may be any ordered integers."""
     rows = sampled_texts(docs, labels, grade_col, id_col, text_col, sample).withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = rows.mapInArrow(_featurise, "doc_id long, value int, places array<int>, shares array<float>").collect()
-    return fit_ordinal([(r.value, np.array(r.places, np.int64), np.array(r.shares)) for r in sorted(found, key=lambda r: (r.doc_id, r.value, len(r.places)))])
+    found = rows.mapInArrow(_featurise, "doc_id long, value int, places binary, shares binary").collect()
+    rows = sorted(found, key=lambda r: (r.doc_id, r.value, r.places))
+    return fit_ordinal([(r.value, np.frombuffer(r.places, np.int32), np.frombuffer(r.shares, np.float32)) for r in rows])
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text", cutoff: int | None = None) -> DataFrame:
