@@ -22,11 +22,11 @@ THREATS = "kill murder hurt destroy beat strangle stab töten umbringen verprüg
 TARGETS = "you your yours yourself he him she her they them du dich dein ihr euch tu te toi vous ton votre tú usted ustedes vosotros".split()
 NEGATIONS = "not never no nobody isn't aren't nicht kein keine niemals nie pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says called quoted reported wrote claims sagte sagt nannte schrieb dit appelé écrit dijo dice llamó escribió".split()
-#: Shortest and longest beginnings of words that may be learned as insults, besides whole words (ending in $).
-STEMS = (3, 4, 5, 6)
+#: Lengths of beginnings of words that may be learned as insults, besides whole words (ending in $).
+STEMS = (3, 4, 5, 6, 7, 8, 9)
 #: A term is learned if so much of the rows that have it are toxic, and if this is too unlikely for chance among all terms
-#: that are tried (log-likelihood ratio above the logarithm of their number, plus a margin).
-LEAST_PRECISION, MARGIN = 0.95, 6.0
+#: that are tried (log-likelihood ratio above the logarithm of their number, plus a margin). Terms of fewer rows aren't tried.
+LEAST_PRECISION, MARGIN, LEAST_ROWS = 0.95, 5.0, 4
 TERMS = 2000
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -151,11 +151,11 @@ def learn_terms(rows: DataFrame) -> list[str]:
     if total is None or not total.toxic or not total.other:
         counted.unpersist()
         return []
-    tried = counted.count()
+    tried = max(counted.where(F.col("toxic") + F.col("other") >= LEAST_ROWS).count(), 1)
     rate = total.toxic / (total.toxic + total.other)
     n, k, m = F.col("toxic") + F.col("other"), F.col("toxic"), F.col("other")
     ratio = k * F.log(k / (n * rate)) + F.when(m > 0, m * F.log(m / (n * (1 - rate)))).otherwise(0)
-    good = counted.where((F.col("term") != "") & (k > 0) & (k >= LEAST_PRECISION * n) & (ratio > math.log(tried) + MARGIN))
+    good = counted.where((F.col("term") != "") & (n >= LEAST_ROWS) & (k > 0) & (k >= LEAST_PRECISION * n) & (ratio > math.log(tried) + MARGIN))
     found = [r.term for r in good.orderBy(F.desc("toxic"), F.length("term"), "term").limit(TERMS).collect()]
     counted.unpersist()
     kept: list[str] = []  # a beginning stands for all that begins with it
