@@ -256,4 +256,5 @@ def read_token_files(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
     found = files.repartition("part", "path").mapInArrow(read, "part int, place long, start long, n_tokens long, ids_crc32 long")
     shift = found.groupBy("part").agg(F.sum("n_tokens").alias("_ids"))
     shift = shift.select("part", F.coalesce(F.sum("_ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
-    return found.join(index.select("part", "place", id_col), ["part", "place"]).join(shift, "part").select(id_col, (F.col("start") + F.col("_shift")).alias("start"), "n_tokens", "ids_crc32")
+    # merged, not broadcast: the index compresses so well as Parquet that its file size says little about its rows
+    return found.join(index.select("part", "place", id_col).hint("merge"), ["part", "place"]).join(shift, "part").select(id_col, (F.col("start") + F.col("_shift")).alias("start"), "n_tokens", "ids_crc32")
