@@ -21,8 +21,8 @@ from quillspark.llm.common import shared_dir
 SEQUENCE = 2048
 #: Sequences in a record batch of a file.
 BATCH = 256
-#: Pieces whose ids a worker keeps; the frequent ones come early. Only speed depends on it.
-CACHE = 150_000
+#: Parts and pieces whose ids a worker keeps; the frequent ones come early. Only speed depends on it.
+CACHE = 400_000
 #: Texts that are encoded together, for a bound on memory.
 CHUNK = 1000
 #: White space in Unicode: texts in which a blank has another beside it are encoded whole, see Encoder.
@@ -56,29 +56,34 @@ class Encoder:
         self.letters = _letters()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.blank = self.letters[32]
+        #: Ids of parts and of pieces: a piece that is a part of its own is the same string with the same ids.
+        self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
     def piece(self, piece: str) -> bytes:
-        coded = piece.encode().decode("latin-1").translate(self.letters)
-        ids = array(self.code, [t.id for t in self.tokenizer.model.tokenize(coded)]).tobytes()
-        if len(self.pieces) < CACHE:
-            self.pieces[piece] = ids
+        if piece.isascii() and piece[1:].isalpha():  # letters stand for themselves
+            coded = self.blank + piece[1:] if piece[0] == " " else piece.translate(self.letters)
+        else:
+            coded = piece.encode().decode("latin-1").translate(self.letters)
+        ids = array(self.code, [t.id for t in self.tokenize(coded)]).tobytes()
+        if len(self.known) < CACHE:
+            self.known[piece] = ids
         return ids
 
     def part(self, part: str) -> bytes:
         for s in self.special:
             if s in part:
                 return self.whole(part).tobytes()
-        known, new = self.pieces.get, self.piece
-        if part[:1] == " " and part[1:].isalpha():  # one piece, and the only place that keeps it
-            return known(part) or new(part)
+        if part[:1] == " " and part[1:].isalpha():  # one piece
+            return self.piece(part)
+        known, new = self.known.get, self.piece
         ids = b"".join([known(p) or new(p) for p in self.pattern.findall(part)])
-        if len(self.parts) < CACHE:
-            self.parts[part] = ids
+        if len(self.known) < CACHE // 3:  # most are rare, as with a full stop at the end; their pieces are not
+            self.known[part] = ids
         return ids
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +101,7 @@ class Encoder:
         # a part that leads its text has no blank before it
         lead_of = {int(i): len(words) + k for k, i in enumerate(np.unique(index[lead]))}
         index[lead] = [lead_of[int(i)] for i in index[lead]]
-        have, new = self.parts.get, self.part
+        have, new = self.known.get, self.part
         known = [have(w) or new(w) for w in [" " + w for w in words] + [words[i] for i in lead_of]]
         pool = np.frombuffer(b"".join(known), self.kind)
         length = np.fromiter(map(len, known), np.int32, len(known)) // self.kind.itemsize
