@@ -228,6 +228,32 @@ def test_passages_that_many_share_and_that_repeat_themselves(spark):
     assert len(got) < 3 * 300
 
 
+def test_two_passages_apart_and_a_stray_line_near_one(spark):
+    rng = random.Random(8)
+    one, two, line = words(rng, 60), words(rng, 60), words(rng, 8)
+    texts = [" ".join([words(rng, 20), one, words(rng, 100), two, words(rng, 20)]) for _ in range(2)]
+    third = words(rng, 60)
+    texts += [" ".join([line, words(rng, 80), third, words(rng, 30)]) for _ in range(2)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substring.shared_passages(d).collect()
+    found = sorted((r.doc_id + r.partner_id, r.start if r.doc_id in (0, 2) else r.partner_start, r.n_same) for r in got)
+    assert found == [(1, 20, 60), (1, 180, 60), (5, 88, 60)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_passages_of_an_alignment(seed):
+    rng = random.Random(seed)
+    x, a = ([rng.choice("abcdef") for _ in range(40)] for _ in range(2))
+    pairs = substring.lcs_pairs(x, a)
+    assert len(pairs) == substring.lcs_length(x, a) and all(x[i] == a[j] for i, j in pairs)
+    px, pa_ = (np.array(v) for v in zip(*pairs, strict=True))
+    good = lambda i, j: min(px[j] - px[i], pa_[j] - pa_[i]) + 1 >= 6 and j - i + 1 >= 0.7 * (max(px[j] - px[i], pa_[j] - pa_[i]) + 1)
+    got = substring.passages(px, pa_, 6, 0.7)
+    assert all(good(i, j - 1) for i, j in got)
+    free = [k for k in range(len(px)) if not any(i <= k < j for i, j in got)]
+    assert not any(good(i, j) for i, j in itertools.combinations(free, 2) if j - i == free.index(j) - free.index(i))
+
+
 def test_chains_ascend_and_pay_for_gaps():
     x, a = np.array([0, 5, 10, 200, 12]), np.array([100, 105, 110, 300, 4])
     chains = substring.fenwick_chains(x, a)
