@@ -240,6 +240,27 @@ def test_two_passages_apart_and_a_stray_line_near_one(spark):
     assert found == [(1, 20, 60), (1, 180, 60), (5, 88, 60)]
 
 
+def test_passages_made_of_lines_that_many_texts_have(spark):
+    rng = random.Random(9)
+    lines = [words(rng, 20) for _ in range(60)]
+    texts = []
+    for _ in range(40):  # five lines in two texts, and each line in many others that hold no two of them in this order
+        five = rng.sample(lines, 5)
+        texts += [" ".join([words(rng, 30), *five, words(rng, 30)]) for _ in range(2)]
+    for _ in range(400):
+        texts.append(" ".join(words(rng, 25) + " " + line for line in rng.sample(lines, 12)))
+    held = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for k in range(len(w) - 49):
+            held.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    want = {i for v in held.values() if len(v) > 1 for i in v}
+    assert want >= set(range(80))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = substring.shared_passages(d).select("doc_id", "partner_id").collect()
+    assert {i for r in got for i in r} >= want
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_passages_of_an_alignment(seed):
     rng = random.Random(seed)
