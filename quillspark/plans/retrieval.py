@@ -431,7 +431,7 @@ def did_you_mean(spark: SparkSession, d: str) -> DataFrame:
 @query("facet_counts", "SELECT 'source' AS facet, source AS value, count(*) AS n FROM documents WHERE source <> '' GROUP BY source UNION ALL SELECT 'lang', lang, count(*) FROM documents WHERE lang <> '' GROUP BY lang")
 def facet_counts(spark: SparkSession, d: str) -> DataFrame:
     pairs = docs(spark, d).select(F.explode(F.array(F.struct(F.lit("source").alias("facet"), F.col("source").alias("value")), F.struct(F.lit("lang").alias("facet"), F.col("lang").alias("value")))).alias("f")).select("f.*")
-    return R.top_k(pairs.where("value <> ''").groupBy("facet", "value").agg(F.count("*").alias("n")), 30, [F.desc("n"), F.col("value")], ["facet"]).drop("rank")
+    return pairs.where("value <> ''").groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
 @query("facet_consolidate", "SELECT coalesce(CASE string_split(p_type, ' ')[1] WHEN 'SMALL' THEN 'Little' WHEN 'MEDIUM' THEN 'Little' WHEN 'LARGE' THEN 'Big' END, p_type) AS category, count(*) AS n FROM part GROUP BY 1")

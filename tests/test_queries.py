@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from duck import connect, rows
 
@@ -37,3 +38,12 @@ def test_streams_give_what_batches_give(spark, sf):
     batch = {(r.user_id, str(r.start), r.n) for r in QUERIES["window_limit_flags"](spark, sf).collect()}
     stream = {(r.user_id, str(r.start), r.n) for r in QUERIES["stream_rate_flags"](spark, sf).collect()}
     assert stream <= batch  # the last windows wait for their watermark
+
+
+def test_facets_of_more_than_thirty_sources(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"src{i % 40}", f"l{i % 35}") for i in range(100)], "doc_id long, source string, lang string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = rows(QUERIES["facet_counts"](spark, str(tmp_path)).toPandas())
+    assert got == rows(con.execute(SQL["facet_counts"]).df()) and len(got) == 75
