@@ -477,7 +477,13 @@ def hashing_encoder(texts: pd.Series) -> list[list[float]]:
     """A stand-in for a model: counts of hashed words in 16 places."""
     import zlib
 
-    return [[float(sum(zlib.crc32(w.encode()) % 16 == i for w in (t or "").lower().split()[:200])) for i in range(16)] for t in texts]
+    out = []
+    for t in texts:
+        counts = [0.0] * 16
+        for w in (t or "").lower().split():
+            counts[zlib.crc32(w.encode()) % 16] += 1.0
+        out.append(counts)
+    return out
 
 
 @query("pending_embeddings")

@@ -1,3 +1,5 @@
+import zlib
+
 import duckdb
 import pytest
 from duck import connect, rows
@@ -47,3 +49,13 @@ def test_facets_of_more_than_thirty_sources(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     got = rows(QUERIES["facet_counts"](spark, str(tmp_path)).toPandas())
     assert got == rows(con.execute(SQL["facet_counts"]).df()) and len(got) == 75
+
+
+def test_vectors_count_all_words_of_a_text():
+    import pandas as pd
+
+    from quillspark.plans.retrieval import hashing_encoder
+
+    texts = [" ".join(f"W{i}" for i in range(1000)), "", None, "a b a"]
+    want = [[float(sum(zlib.crc32(w.encode()) % 16 == i for w in (t or "").lower().split())) for i in range(16)] for t in texts]
+    assert hashing_encoder(pd.Series(texts)) == want and sum(want[0]) == 1000
