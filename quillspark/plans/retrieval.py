@@ -457,12 +457,18 @@ _REL_SQL = "WITH l AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang
 
 @query("related_docs", _REL_SQL)
 def related_docs(spark: SparkSession, d: str) -> DataFrame:
-    """The newest seven of each language are enough for six that are not the document itself."""
+    """The newest seven of each language are enough for six that are not the document itself; the newest of all fill them up.
+
+    Of all documents 13 are enough: six that are listed already, the document itself, and six more. The SQL has only the first part.
+    """
     t = docs(spark, d).select("doc_id", "lang")
     newest = R.top_k(t, 7, [F.desc("doc_id")], ["lang"]).select(F.col("doc_id").alias("related"), "lang", F.col("rank").alias("n"))
     lists = newest.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "related"))).alias("r"))  # seven a language
-    own = t.join(lists, "lang").select("doc_id", F.slice(F.filter("r", lambda x: x["related"] != F.col("doc_id")), 1, 6).alias("r"))
-    return own.select("doc_id", F.posexplode("r").alias("p", "x")).select("doc_id", F.col("x.related").alias("related"), (F.col("p") + 1).cast("long").alias("rank"))
+    every = t.select("doc_id").orderBy(F.desc("doc_id")).limit(13).agg(F.sort_array(F.collect_list("doc_id"), asc=False).alias("every"))  # one row
+    same = F.coalesce(F.col("r.related"), F.array().cast("array<long>"))
+    own = t.join(lists, "lang", "left").crossJoin(F.broadcast(every)).select("doc_id", "every", F.slice(F.filter(same, lambda x: x != F.col("doc_id")), 1, 6).alias("r"))
+    more = F.filter("every", lambda x: (x != F.col("doc_id")) & ~F.array_contains("r", x))
+    return own.select("doc_id", F.posexplode(F.slice(F.concat("r", more), 1, 6)).alias("p", "related")).select("doc_id", "related", (F.col("p") + 1).cast("long").alias("rank"))
 
 
 @query("rag_context", f"WITH {BM25_SQL}, top AS ({_TOP_SQL.format('bm', 2)}) SELECT query_id, string_agg('[' || rank || '] ' || source || ': ' || md5(substr(text, 1, 400)), chr(10) ORDER BY rank) AS context FROM top JOIN documents USING (doc_id) GROUP BY query_id")

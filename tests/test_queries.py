@@ -59,3 +59,15 @@ def test_vectors_count_all_words_of_a_text():
     texts = [" ".join(f"W{i}" for i in range(1000)), "", None, "a b a"]
     want = [[float(sum(zlib.crc32(w.encode()) % 16 == i for w in (t or "").lower().split())) for i in range(16)] for t in texts]
     assert hashing_encoder(pd.Series(texts)) == want and sum(want[0]) == 1000
+
+
+def test_related_documents_are_filled_up_to_six(spark, tmp_path):
+    langs = {i: "en" if i < 20 else "de" if i < 23 else "fr" if i == 23 else None for i in range(26)}
+    spark.createDataFrame(list(langs.items()), "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, lang in langs.items():
+        same = [j for j in sorted(langs, reverse=True) if j != i and lang is not None and langs[j] == lang][:6]
+        rest = [j for j in sorted(langs, reverse=True) if j != i and j not in same]
+        want += [(i, j, k + 1) for k, j in enumerate((same + rest)[:6])]
+    got = QUERIES["related_docs"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.related, r["rank"]) for r in got) == sorted(want)
