@@ -240,6 +240,29 @@ def test_two_passages_apart_and_a_stray_line_near_one(spark):
     assert found == [(1, 20, 60), (1, 180, 60), (5, 88, 60)]
 
 
+def test_passages_with_edits(spark):
+    rng = random.Random(10)
+    texts = []
+
+    def pair(one, two):
+        texts.extend(" ".join([words(rng, 25), *t, words(rng, 25)]) for t in (one, two))
+
+    base = words(rng, 52).split()
+    pair(base, [f"new{i}" if i % 8 == 7 else w for i, w in enumerate(base)])  # no eight words in a row are the same
+    base = words(rng, 50).split()
+    pair(base, [f"new{i}" if i in (17, 34) else w for i, w in enumerate(base)])
+    for k in range(40):
+        base = words(rng, 60).split()
+        other = list(base)
+        for i in sorted(rng.sample(range(1, 59), 2 + k // 10), reverse=True):
+            other[i : i + 1] = [[], ["new"], [other[i], "new"]][rng.randrange(3)]
+        pair(base, other)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {tuple(sorted(r)) for r in substring.shared_passages(d).select("doc_id", "partner_id").collect()}
+    assert got <= {(i, i + 1) for i in range(0, len(texts), 2)} and {(0, 1), (2, 3)} <= got
+    assert len(got) >= 0.95 * len(texts) / 2
+
+
 def test_passages_made_of_lines_that_many_texts_have(spark):
     rng = random.Random(9)
     lines = [words(rng, 20) for _ in range(60)]
