@@ -78,12 +78,13 @@ def phrase_matches(index: DataFrame, rarest: DataFrame, window: int = WINDOW) ->
 
 def proximity_matches(index: DataFrame, rarest: DataFrame, slop: int = WINDOW) -> DataFrame:
     """Texts in which a window's two rarest terms stand at most `slop` words apart, in any order: key, item, distance (the least)."""
-    near = F.array_position
     both = rarest.where(F.col("term2").isNotNull() & (F.col("term2") != F.col("term"))).select("item", "term", "term2").distinct()
-    beside = index.join(both, "term")
-    # the second term is looked for in the words around the first
-    places = F.filter(F.transform("around", lambda w, i: F.when(w == F.col("term2"), F.abs(i - F.least(F.col("pos"), F.lit(WINDOW - 1))))), lambda d: d.isNotNull() & (d <= slop))
-    return beside.where(near("around", F.col("term2")) > 0).withColumn("distance", F.array_min(places)).where("distance is not null").groupBy("key", "item").agg(F.min("distance").alias("distance"))
+    # places are dealt into stretches of slop + 1 words, so that what is near is in the same stretch or beside it
+    stretch = lambda c: F.floor(F.col(c) / (slop + 1))
+    first = index.select("term", "key", "pos").join(both, "term").withColumn("stretch", F.explode(F.array(*[stretch("pos") + i for i in (-1, 0, 1)])))
+    second = index.select(F.col("term").alias("term2"), "key", F.col("pos").alias("pos2")).withColumn("stretch", stretch("pos2"))
+    found = first.join(second, ["term2", "key", "stretch"]).withColumn("distance", F.abs(F.col("pos") - F.col("pos2")))
+    return found.where(F.col("distance") <= slop).groupBy("key", "item").agg(F.min("distance").alias("distance"))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:

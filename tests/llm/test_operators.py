@@ -205,6 +205,14 @@ def test_proximity(spark):
     assert decontam.phrase_matches(index, rarest).count() == 0
 
 
+def test_proximity_as_far_as_asked(spark):
+    d = spark.createDataFrame([(k, "x " * 7 + "alpha " + "x " * (k - 1) + "beta") for k in (12, 13, 14, 40, 41)], "doc_id long, text string")
+    rarest = spark.createDataFrame([(1, "alpha", "beta")], "item long, term string, term2 string")
+    index = decontam.build_index(d, spark.createDataFrame([("alpha", True), ("beta", False)], "term string, first boolean"))
+    assert sorted(r.distance for r in decontam.proximity_matches(index, rarest).collect()) == [12, 13]
+    assert sorted(r.distance for r in decontam.proximity_matches(index, rarest, 40).collect()) == [12, 13, 14, 40]
+
+
 def test_passages(docs, rows, none):
     got = substring.shared_passages(docs).collect()
     seen = {i for r in got for i in (r.doc_id, r.partner_id)}
