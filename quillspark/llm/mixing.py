@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Key ranges of one source; each is sorted by a task of its own, so a hot source is spread over that many.
-RANGES = 1024
+#: Ranges of a source's keys for each factor of e. The logarithm of an exponential variable has the same shape at every rate, so
+#: whatever the weights are, no range has more than 1 / (e * RANGES) of a source's documents, which is what one task sorts.
+RANGES = 512
 #: A source is taken at most this many times.
 MOST = 3
 
@@ -50,7 +51,7 @@ def _mix(docs: DataFrame, keep: list[str], id_col: str, source_col: str, text_co
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("source"), n_words(text).alias("size"), (quality_weight if quality_weight is not None else cleanliness(text, n_words(text))).cast("double").alias("_w"), *[F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep])
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
     weight = F.greatest(F.lit(0.001), F.least(F.lit(1000.0), F.coalesce("_w", F.lit(0.05))))
-    rows = rows.withColumn("_key", -F.log(u) / weight).drop("_w").withColumn("_range", F.floor((1 - F.exp(-F.col("_key"))) * RANGES).cast("int"))
+    rows = rows.withColumn("_key", -F.log(u) / weight).drop("_w").withColumn("_range", F.floor(F.log("_key") * RANGES).cast("int"))
     by_range = stored(rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum")))
     targets = source_targets(by_range.groupBy("source").agg(F.sum("_sum").alias("source_size")))
     begun = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
@@ -79,8 +80,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     weight, keys are sorted within the source, and sizes are summed until the budget is met. The document at the border gives
     the words that are still missing, so a source's words come within one word of its target.
 
-    Keys are dealt into RANGES ranges of their distribution; sums of ranges give where each begins, and only a range is sorted
-    by one task. The key depends on id, seed and weight alone, so reruns agree.
+    Keys are dealt into ranges of their logarithm; sums of ranges give where each begins, and only a range is sorted by one
+    task, however the weights are spread. The key depends on id, seed and weight alone, so reruns agree.
 
     Defined cases: null text has size 0 and takes 0; null source is a source of its own, last in order; null weight counts as
     0.05, weights are held to 0.001 .. 1000; rows with equal id and size share a key and are taken one after the other; an empty
