@@ -45,33 +45,35 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns id_col, keep_id (smallest or, with keep="max", largest id of the group), group_size, kept, text_sha256.
 
-    Rows are range-partitioned by sampled splitters and sorted on disk by (leading characters, SHA-256, full text, id),
+    Rows are range-partitioned by sampled splitters and sorted on disk by (leading characters, a hash, full text, id),
     so equal texts are adjacent; neighbours are compared in full. The id in the key lets a hot text spread over many
     partitions; a group that crosses a border is joined again by the texts of the border runs (two a partition at most).
+    Each run is summed up where it is before runs are joined, so a group of any size costs a row per partition, and its
+    rows get the result back by partition and run.
 
     Defined cases: a null text counts as empty; empty texts are equal to each other; a row repeated with the same id stays
     once per repetition, each marked kept if its id is the kept one; a null id is never kept while the group has another;
     an empty table gives an empty result; columns other than the two named are ignored.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), ascii_lower(F.col(f"`{text_col}`")).alias("_norm")).withColumn("_sha", F.sha2("_norm", 256))
-    key = [F.substring("_norm", 1, KEY_CHARS), F.col("_sha"), F.col("_id")]
+    # what orders texts that begin alike, so that sampled keys stay small; full texts are compared all the same
+    key = [F.substring("_norm", 1, KEY_CHARS), F.xxhash64("_norm"), F.col("_id")]
     id_type = rows.schema["_id"].dataType
     sorted_rows = (
         rows.repartitionByRange(*key)
         .withColumn("_part", F.spark_partition_id())
-        .sortWithinPartitions(F.substring("_norm", 1, KEY_CHARS), "_sha", "_norm", "_id")
+        .sortWithinPartitions(F.substring("_norm", 1, KEY_CHARS), F.xxhash64("_norm"), "_norm", "_id")
     )
     schema = T.StructType([T.StructField("_id", id_type), T.StructField("_sha", T.StringType()), T.StructField("_part", T.IntegerType()), T.StructField("_run", T.LongType()), T.StructField("_edge", T.StringType())])
     numbered = stored(sorted_rows.mapInArrow(_number_runs, schema))
-    # runs at the borders of partitions, by their full text
-    edges = numbered.where(F.col("_edge").isNotNull()).groupBy("_edge", "_part", "_run").agg(F.lit(1).alias("_one"))
-    names = edges.groupBy("_edge").agg(F.min(F.struct("_part", "_run")).alias("_group"), F.count("*").alias("_n")).where("_n > 1")
-    # two rows a partition at most, so small enough to broadcast at any size of the input
-    moved = edges.join(names, "_edge").select("_part", "_run", "_group")
-    grouped = numbered.drop("_edge").join(F.broadcast(moved), ["_part", "_run"], "left").withColumn("_group", F.coalesce("_group", F.struct("_part", "_run")))
     pick = {"min": F.min, "max": F.max}[keep]
-    groups = grouped.groupBy("_group").agg(pick("_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return grouped.join(groups, "_group").select(
+    runs = stored(numbered.groupBy("_part", "_run").agg(pick("_id").alias("keep_id"), F.count("*").alias("group_size"), F.min("_edge").alias("_edge")))
+    # runs at the borders of partitions, two a partition at most, joined by their full text
+    edges = runs.where(F.col("_edge").isNotNull())
+    whole = edges.groupBy("_edge").agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    joined = edges.select("_part", "_run", "_edge").join(whole, "_edge").select("_part", "_run", "keep_id", "group_size")
+    groups = runs.where(F.col("_edge").isNull()).select("_part", "_run", "keep_id", "group_size").unionByName(joined)
+    return numbered.select("_part", "_run", "_id", "_sha").join(groups, ["_part", "_run"]).select(
         F.col("_id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("_sha").alias("text_sha256")
     )
 
