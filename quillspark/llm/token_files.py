@@ -125,9 +125,11 @@ def _filesystem(path: str):
 
 
 def file_schema(sequence: int, wide: bool) -> pa.Schema:
-    """ids; mask: true where an id stands, false in the padding of a file's last sequence; ends: true at a document's last id."""
-    bits = pa.list_(pa.bool_(), sequence)
-    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), sequence)), ("mask", bits), ("ends", bits)])
+    """ids; mask: 1 where an id stands, 0 in the padding of a file's last sequence; ends: true at a document's last id.
+
+    ids and mask are whole bytes, so that both can be used from a mapped file as they are.
+    """
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), sequence)), ("mask", pa.list_(pa.uint8(), sequence)), ("ends", pa.list_(pa.bool_(), sequence))])
 
 
 class _Writer:
@@ -153,8 +155,8 @@ class _Writer:
         ids, ends = np.concatenate(self.ids), np.concatenate(self.ends)
         rest, rest_ends = ids[most:], ends[most:]
         ids, ends = np.r_[ids[:most], np.zeros(pad, self.kind)], np.r_[ends[:most], np.zeros(pad, bool)]
-        mask = np.ones(most + pad, bool)
-        mask[most:] = False
+        mask = np.ones(most + pad, np.uint8)
+        mask[most:] = 0
         step = self.sequence * BATCH
         for i in range(0, len(ids), step):
             cols = [pa.FixedSizeListArray.from_arrays(pa.array(x[i : i + step]), self.sequence) for x in (ids, mask, ends)]
@@ -214,18 +216,15 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def read_sequences(path: str, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids and mask of sequences first .. first + count - 1 of a local file: views of the mapped file, nothing is copied or decoded for the ids."""
+def read_sequences(path: str, first: int, count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ids and mask of sequences first .. first + count - 1 of a local file, a pair per record batch: views of the mapped file, nothing is copied or decoded."""
     with pa.memory_map(path.removeprefix("file://")) as source:
         reader = pa.ipc.open_file(source)
-        size, ids, mask = reader.get_batch(0).num_rows, [], []
+        size = reader.get_batch(0).num_rows
         for k in range(first // size, (first + count - 1) // size + 1):
             batch = reader.get_batch(k)
             lo, hi = max(first - k * size, 0), min(first + count - k * size, batch.num_rows)
-            for name, out in (("ids", ids), ("mask", mask)):
-                col = batch.column(name).slice(lo, hi - lo)
-                out.append(col.flatten().to_numpy(zero_copy_only=name == "ids").reshape(hi - lo, -1))
-    return (ids[0], mask[0]) if len(ids) == 1 else (np.concatenate(ids), np.concatenate(mask))
+            yield tuple(batch.column(name).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=True).reshape(hi - lo, -1) for name in ("ids", "mask"))
 
 
 def read_token_files(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -244,8 +243,9 @@ def read_token_files(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     for k in range(reader.num_record_batches):
                         piece = reader.get_batch(k)
                         ids, mask, ends = (piece.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "mask", "ends"))
-                        ids = ids[mask].astype("<u4")
-                        stops = np.flatnonzero(ends[mask]) + 1
+                        real = mask.astype(bool)
+                        ids = ids[real].astype("<u4")
+                        stops = np.flatnonzero(ends[real]) + 1
                         out, lo = [], 0
                         for hi in stops.tolist():
                             crc, count = zlib.crc32(ids[lo:hi], crc), count + hi - lo
@@ -256,9 +256,9 @@ def read_token_files(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
                             cols = list(zip(*out, strict=True))
                             yield pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int32()), *[pa.array(c, pa.int64()) for c in cols]], names=["part", "place", "start", "n_tokens", "ids_crc32"])
 
-    files = index.groupBy("part", "path").agg(F.count("*").alias("_docs"))
-    # one file a task: as many tasks as files
-    found = files.repartition("part", "path").mapInArrow(read, "part int, place long, start long, n_tokens long, ids_crc32 long")
+    files = index.select("part", "path").distinct()
+    # about one file a task: as many tasks as files, a number that is not coalesced
+    found = files.repartition(max(files.count(), 1)).mapInArrow(read, "part int, place long, start long, n_tokens long, ids_crc32 long")
     shift = found.groupBy("part").agg(F.sum("n_tokens").alias("_ids"))
     shift = shift.select("part", F.coalesce(F.sum("_ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
     # merged, not broadcast: the index compresses so well as Parquet that its file size says little about its rows
