@@ -20,6 +20,8 @@ from quillspark.llm.token_files import _filesystem
 LEAST_REVISIT = 1000
 #: Ranges of one file that are less than GAP bytes apart are read together, up to READ bytes at once.
 GAP, READ = 64 << 10, 8 << 20
+#: Bytes of records that one task reads, where files are larger.
+PART = 128 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "path string, offset long, length long, url string, digest string, page_id long"
@@ -64,14 +66,15 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _filesystem(folder)
-        name = f"part-{TaskContext.get().partitionId():05d}.warc.gz"
-        temp, out, offset = f"{top}/.{name}-{uuid.uuid4().hex}", None, 0
+        # a name of this very attempt: the index lists the files of attempts that Spark took, whatever others have left behind
+        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
+        temp, out, offset = f"{top}/.{name}", None, 0
         for batch in batches:
             found = []
             for r in batch.to_pylist():
                 if out is None:
                     fs.create_dir(top, recursive=True)
-                    out = fs.open_output_stream(temp)
+                    out = fs.open_output_stream(temp, compression=None)
                 raw = _record(r["page_id"], r["url"], r["html"].encode(), bytes.fromhex(r["digest"]), r["size"], r["kept"], r["revisit"])
                 out.write(raw)
                 found.append((f"{folder}/{name}", offset, len(raw), r["url"], r["digest"], r["page_id"]))
@@ -109,7 +112,7 @@ def ranges(records: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[tupl
 def read_warc(selected: DataFrame) -> DataFrame:
     """Reads the records that an index selects: path, offset, page_id, url, record_type, refers_to, payload, digest, payload_bytes.
 
-    Index rows are sorted by file and offset; each task coalesces neighbouring ranges into reads of at most READ bytes (one
+    Index rows are dealt and sorted by file and offset; each task coalesces neighbouring ranges into reads of at most READ bytes (one
     longer record is read alone). payload is null for a revisit, digest and payload_bytes are those of the full payload and
     checked against the bytes of a response.
     """
@@ -134,5 +137,7 @@ def read_warc(selected: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64())])
-    chosen = selected.select("path", "offset", "length").repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+    # a task per file, or per PART bytes of larger ones; a number that is not coalesced
+    held = selected.agg(F.countDistinct("path").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    chosen = selected.select("path", "offset", "length").repartitionByRange(max(held.files, -(-held.bytes // PART), 1), "path", "offset").sortWithinPartitions("path", "offset")
     return chosen.mapInArrow(read, "path string, offset long, page_id long, url string, record_type string, refers_to long, payload string, digest string, payload_bytes long")
