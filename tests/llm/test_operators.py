@@ -163,6 +163,13 @@ def test_mix(docs, rows, none):
     assert taken.select(F.sum(mixing.n_words(F.col("text")))).first()[0] == got.taken.sum()
 
 
+@pytest.mark.parametrize("weight", [0.05, 0.2, 1.0, 100.0])
+def test_no_range_of_keys_is_large_at_any_weight(weight):
+    u = (np.random.default_rng(3).integers(0, 2**48, 200_000) + 0.5) / 2.0**48
+    n = np.unique(np.floor(np.log(-np.log(u) / weight) * mixing.RANGES), return_counts=True)[1]
+    assert n.max() < 0.0015 * len(u)
+
+
 def test_heavier_documents_are_taken_more_often(spark):
     d = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "s").otherwise("t").alias("source"), F.lit("w w w w").alias("text"), F.when(F.col("id") % 4 < 2, 1.0).otherwise(0.2).alias("q"))
     got = mixing.mix_sources(d, quality_weight=F.col("q")).join(d.select("doc_id", "source", "q"), "doc_id").where("source = 's'").groupBy("q").agg(F.avg("taken").alias("t")).collect()
@@ -337,8 +344,12 @@ def test_token_files(spark, docs, rows, none, tmp_path):
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
-    ids, mask = token_files.read_sequences(index.first().path, 0, 1)
-    assert ids.shape == (1, 64) and mask.dtype == bool
+    (ids, mask), *more = token_files.read_sequences(index.first().path, 0, 1)
+    assert ids.shape == mask.shape == (1, 64) and not more and mask.dtype == np.uint8 and not (ids.flags.owndata or mask.flags.owndata)
+    last = max(r.part for r in index.collect())
+    path = index.where(f"part = {last}").first().path
+    total = sum(r.n_tokens for r in token_files.read_token_files(index.where(f"part = {last}")).collect())
+    assert sum(int(m.sum()) for _, m in token_files.read_sequences(path, 0, -(-total // 64))) == total
     assert token_files.read_token_files(token_files.write_token_files(none, path)).count() == 0
 
 
