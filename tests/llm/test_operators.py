@@ -201,23 +201,25 @@ def test_decontamination(spark, docs, rows, none):
     assert decontam.decontaminate(docs, table.limit(0)).where("contaminated").count() == 0
 
 
-def test_proximity(spark):
-    d = spark.createDataFrame([(1, "alpha x beta"), (2, "beta alpha"), (3, "alpha " + "x " * 40 + "beta")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
-    windows = decontam.item_windows(items)
-    terms = spark.createDataFrame([("alpha", 3), ("beta", 3)], "term string, n long")
-    rarest = decontam.rarest_terms(windows, terms)
-    index = decontam.build_index(d, spark.createDataFrame([("alpha", True), ("beta", False)], "term string, first boolean"))
-    assert sorted(r.distance for r in decontam.proximity_matches(index, rarest).collect()) == [1, 2]
-    assert decontam.phrase_matches(index, rarest).count() == 0
-
-
-def test_proximity_as_far_as_asked(spark):
-    d = spark.createDataFrame([(k, "x " * 7 + "alpha " + "x " * (k - 1) + "beta") for k in (12, 13, 14, 40, 41)], "doc_id long, text string")
-    rarest = spark.createDataFrame([(1, "alpha", "beta")], "item long, term string, term2 string")
-    index = decontam.build_index(d, spark.createDataFrame([("alpha", True), ("beta", False)], "term string, first boolean"))
-    assert sorted(r.distance for r in decontam.proximity_matches(index, rarest).collect()) == [12, 13]
-    assert sorted(r.distance for r in decontam.proximity_matches(index, rarest, 40).collect()) == [12, 13, 14, 40]
+def test_one_index_serves_further_test_sets(spark, docs, rows):
+    index = decontam.build_index(docs)
+    assert index.postings.count() == sum(contamination(r[1], [])[0] for r in rows)
+    for items in ([(1, rows[10][1])], [(2, "one"), (3, " ".join(rows[11][1].split()[50:70]))]):
+        table = spark.createDataFrame(items, "item_id long, text string")
+        got = decontam.decontaminate(docs, table, index=index).select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+        assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(((r[0], *contamination(r[1], items)) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("slop", [1, 2, 13, 40])
+def test_proximity_as_far_as_asked(spark, slop):
+    texts = ["alpha x beta", "beta alpha", "alpha", None, *("x " * 7 + "alpha " + "x " * (k - 1) + "beta" for k in (12, 13, 14, 40, 41))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, "nowhere alpha")], "item_id long, text string")
+    got = {r.row.doc_id: (r.n_near, r.n_hit) for r in decontam.decontaminate(d, items, slop=slop).collect()}
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        far = abs(w.index("alpha") - w.index("beta")) if "beta" in w else 10**9
+        assert got[i] == (int(far <= slop), w.count("alpha"))
 
 
 def test_passages(docs, rows, none):
