@@ -1,4 +1,9 @@
-"""Toxicity by a weighted finite-state pattern grammar over clauses."""
+"""Toxicity by a weighted finite-state pattern grammar over clauses.
+
+A clause is read as word classes: insult (I) and threat (H) heads, target (T), negation (N), reported speech (R). A row of
+transducers reads it forwards, with cues that stand before a head, and another reads what these wrote backwards, with cues that
+stand behind it ("I will kill you", "töte dich nicht", "an idiot, he said"). Each marks heads and adds its weight.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import stored
 from quillspark.llm.labels import SAMPLE, held_out, sampled_texts
 
 # Words of each class, in English, German, French and Spanish.
@@ -27,7 +33,6 @@ STEMS = (3, 4, 5, 6, 7, 8, 9)
 #: A term is learned if so much of the rows that have it are toxic, and if this is too unlikely for chance among all terms
 #: that are tried (log-likelihood ratio above the logarithm of their number, plus a margin). Terms of fewer rows aren't tried.
 LEAST_PRECISION, MARGIN, LEAST_ROWS = 0.95, 5.0, 4
-TERMS = 2000
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 
@@ -71,29 +76,49 @@ class Composed:
         return outs, total
 
 
-def _within(cue: str, reach: int, mark: str, weight: float, heads: tuple[str, ...]) -> Transducer:
-    """Marks a head that follows a cue within `reach` words: state s is how many words the cue still reaches."""
+#: Marks of a head: negated, reported, targeted; a head is I or H with some of them, in this order.
+MARKS = "-~+"
+HEADS = tuple(h + "".join(m for i, m in enumerate(MARKS) if bits >> i & 1) for h in "IH" for bits in range(8))
+
+
+def _marked(head: str, mark: str) -> str:
+    return head[0] + "".join(m for m in MARKS if m in head or m == mark)
+
+
+def _within(cue: str, reach: int, mark: str, weight: float) -> Transducer:
+    """Marks a head that follows a cue within `reach` words, unless it has the mark: state s is how many words the cue still reaches."""
     rules = {(s, cue): (reach, cue, 0.0) for s in range(reach + 1)}
-    rules |= {(s, h): (s - 1, h + mark, weight) for s in range(1, reach + 1) for h in heads}
+    rules |= {(s, h): (s - 1, _marked(h, mark), weight) for s in range(1, reach + 1) for h in HEADS if mark not in h}
     return Transducer(rules, {s: max(s - 1, 0) for s in range(reach + 1)})
 
 
-def grammar() -> Composed:
-    """insult and threat heads (1 and 1.5), then negation (takes back), reported speech (halves) and target (adds)."""
-    heads = Transducer({(0, "I"): (0, "I", 1.0), (0, "H"): (0, "H", 1.5)})
-    negation = _within("N", 3, "-", -1.0, ("I", "H"))
-    reported = Transducer({(s, "R"): (1, "R", 0.0) for s in (0, 1)} | {(1, h): (1, h + "~", -0.5) for h in ("I", "H")})
-    target = _within("T", 5, "+", 0.5, ("I", "H", "I~", "H~"))
-    return Composed(heads, negation, reported, target)
+@dataclass
+class Grammar:
+    """Transducers that read a clause forwards, and those that read their output backwards."""
+
+    forwards: Composed
+    backwards: Composed
+
+    def run(self, symbols: list[str]) -> tuple[list[str], float]:
+        outs, before = self.forwards.run(symbols)
+        outs, behind = self.backwards.run(outs[::-1])
+        return outs[::-1], before + behind
+
+
+def grammar() -> Grammar:
+    """Insult and threat transducers (1 and 1.5 a head), then negation (takes 1 back), reported speech (half) and target (adds half)."""
+    insult, threat = (Transducer({(0, h): (0, h, weight)}) for h, weight in (("I", 1.0), ("H", 1.5)))
+    reported = Transducer({(s, "R"): (1, "R", 0.0) for s in (0, 1)} | {(1, h): (1, _marked(h, "~"), -0.5) for h in HEADS if "~" not in h})
+    return Grammar(Composed(insult, threat, _within("N", 3, "-", -1.0), reported, _within("T", 5, "+", 0.5)), Composed(_within("N", 2, "-", -1.0), reported, _within("T", 3, "+", 0.5)))
 
 
 #: What a head can have become, and so the counts that make a document's features; the last is the sum of clauses' weights.
-OUTPUTS = ("I", "I+", "I-", "I~", "I~+", "H", "H+", "H-", "H~", "H~+")
+OUTPUTS = HEADS
 
 
 @dataclass
 class ToxicityModel:
-    terms: list[str]
+    terms: dict[str, str]
     weights: np.ndarray
     bias: float
 
@@ -103,16 +128,18 @@ class ToxicityModel:
         words = [re.escape(t.rstrip("$")) for t in [*self.terms, *INSULTS, *THREATS] if t.endswith("$") or t in INSULTS or t in THREATS]
         return "|".join([*stems, rf"(?:{'|'.join(sorted(set(words)))})(?:[^\pL]|$)"])
 
-    def classes(self) -> tuple[dict[str, str], tuple[str, ...]]:
+    def classes(self) -> tuple[dict[str, str], dict[str, tuple[str, ...]]]:
+        """Classes of words, and beginnings of words by class; a learned term is an insult or a threat."""
         table = {w: c for c, ws in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("H", THREATS), ("I", INSULTS)) for w in ws}
-        return table | {t[:-1]: "I" for t in self.terms if t.endswith("$")}, tuple(t for t in self.terms if not t.endswith("$"))
+        stems = {c: tuple(t for t, kind in self.terms.items() if kind == c and not t.endswith("$")) for c in "IH"}
+        return table | {t[:-1]: kind for t, kind in self.terms.items() if t.endswith("$")}, stems
 
 
-def clause_features(text: str, table: dict[str, str], stems: tuple[str, ...], machine: Composed) -> np.ndarray:
+def clause_features(text: str, table: dict[str, str], stems: dict[str, tuple[str, ...]], machine: Grammar) -> np.ndarray:
     """Counts of what heads became over all clauses, and the sum of the clauses' positive weights, all as log(1 + x)."""
     counts, total = Counter(), 0.0
     for clause in CLAUSE.split(text):
-        symbols = [table.get(w) or ("I" if stems and w.startswith(stems) else "o") for w in WORD.findall(clause)]
+        symbols = [table.get(w) or next((c for c, begun in stems.items() if begun and w.startswith(begun)), "o") for w in WORD.findall(clause)]
         if "I" in symbols or "H" in symbols:
             outs, weight = machine.run(symbols)
             counts.update(outs)
@@ -131,37 +158,51 @@ def _features(texts: pa.Array, model: ToxicityModel) -> np.ndarray:
     return out
 
 
-def learn_terms(rows: DataFrame) -> list[str]:
-    """Words and beginnings of words that mark toxic rows of a sample (text, value); each task sends sums of its counts."""
+def learn_terms(rows: DataFrame) -> dict[str, str]:
+    """Words (ending in $) and beginnings of words that mark toxic rows of a sample (text, value), each as an insult (I) or a threat (H).
+
+    Each task sends sums of its counts. A term that a target follows within two words more often than one stands before it takes
+    that target as its object and is a threat, as in "kill you"; any other is an insult, as in "you idiot". All terms that pass
+    the test are learned: there are only as many as the sample's rows hold, which is what bounds them.
+    """
+    target = frozenset(TARGETS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
+        seen, behind, before = (Counter(), Counter()), Counter(), Counter()
         for batch in batches:
             for text, value in zip(batch.column("text").to_pylist(), batch.column("value").to_pylist(), strict=True):
-                words = set(WORD.findall((text or "").lower()))
-                terms = {w[:n] for w in words for n in STEMS if len(w) >= n} | {f"{w}$" for w in words}
-                seen[bool(value)].update(terms)
+                found = set()
+                for clause in CLAUSE.split((text or "").lower()):
+                    words = WORD.findall(clause)
+                    aimed = [w in target for w in words]
+                    for i, w in enumerate(words):
+                        terms = [*(w[:n] for n in STEMS if len(w) >= n), f"{w}$"]
+                        found.update(terms)
+                        if value and any(aimed[i + 1 : i + 3]):
+                            behind.update(terms)
+                        if value and any(aimed[max(i - 2, 0) : i]):
+                            before.update(terms)
+                seen[bool(value)].update(found)
                 seen[bool(value)][""] += 1
         terms = list(seen[0] | seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], names=["term", "toxic", "other"])
+        counts = [pa.array([c[t] for t in terms], pa.int64()) for c in (seen[1], seen[0], behind, before)]
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *counts], names=["term", "toxic", "other", "behind", "before"])
 
-    counted = rows.mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    counted = counted.persist()
+    sums = [F.sum(c).alias(c) for c in ("toxic", "other", "behind", "before")]
+    counted = stored(rows.mapInArrow(count, "term string, toxic long, other long, behind long, before long").groupBy("term").agg(*sums))
     total = counted.where("term = ''").first()
     if total is None or not total.toxic or not total.other:
-        counted.unpersist()
-        return []
+        return {}
     tried = max(counted.where(F.col("toxic") + F.col("other") >= LEAST_ROWS).count(), 1)
     rate = total.toxic / (total.toxic + total.other)
     n, k, m = F.col("toxic") + F.col("other"), F.col("toxic"), F.col("other")
     ratio = k * F.log(k / (n * rate)) + F.when(m > 0, m * F.log(m / (n * (1 - rate)))).otherwise(0)
     good = counted.where((F.col("term") != "") & (n >= LEAST_ROWS) & (k > 0) & (k >= LEAST_PRECISION * n) & (ratio > math.log(tried) + MARGIN))
-    found = [r.term for r in good.orderBy(F.desc("toxic"), F.length("term"), "term").limit(TERMS).collect()]
-    counted.unpersist()
-    kept: list[str] = []  # a beginning stands for all that begins with it
+    found = {r.term: "H" if r.behind > r.before else "I" for r in good.select("term", "behind", "before").collect()}
+    kept: dict[str, str] = {}  # a beginning stands for all that begins with it
     for t in sorted(found, key=lambda t: (t.endswith("$"), len(t), t)):
-        if not any(t.startswith(s) for s in kept if not s.endswith("$")):
-            kept.append(t)
+        if not any(t[:n] in kept for n in range(1, len(t))):
+            kept[t] = found[t]
     return kept
 
 
@@ -184,7 +225,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Without labelled rows the grammar's own weights decide.
     """
-    rows = sampled_texts(docs, labels, label_col, id_col, text_col, sample).select("text", "value").persist()
+    rows = stored(sampled_texts(docs, labels, label_col, id_col, text_col, sample).select("text", "value"))
     model = ToxicityModel(learn_terms(rows), np.r_[np.zeros(len(OUTPUTS)), 3.0], -1.5)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +234,6 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column("value"), pa.array(list(x), pa.list_(pa.float64()))], names=["value", "x"])
 
     found = sorted((r.value, tuple(r.x)) for r in rows.mapInArrow(featurise, "value int, x array<double>").collect())
-    rows.unpersist()
     y = np.array([v for v, _ in found], float)
     if 0 < y.sum() < len(y):
         model.weights, model.bias = fit_weights(np.array([x for _, x in found]), y)
@@ -206,8 +246,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     A clause, cut at sentence and line ends, is read as word classes by the composed transducers; a document's features are
     how often heads were plain, targeted, negated or reported, and the clauses' weights.
 
-    Defined cases: a text without a head, null and empty ones too, has the score of the bias alone; rows that are repeated
-    are scored alike; an empty table gives an empty result; other columns are ignored. Labels of null value are not learned.
+    Defined cases: a text without a head, null and empty ones too, has the score of the bias alone; very long texts are read
+    whole, clause by clause; rows that are repeated are scored alike; terms that are learned alike often are all learned; an empty
+    table gives an empty result; other columns are ignored. Labels of null value are not learned.
     """
     model = train_toxicity(docs, labels, id_col, text_col, label_col, sample)
 

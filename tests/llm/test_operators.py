@@ -467,6 +467,51 @@ def test_grammar_weighs_clauses():
     assert run("N o I") == (["N", "o", "I-"], 0.0)
     assert run("R o I")[1] == 0.5 and run("R T I")[0][-1] == "I~+"
     assert run("N o o o o I")[0][-1] == "I"
+    # cues behind a head
+    assert run("o o H T") == (["o", "o", "H+", "T"], 2.0) and run("I T")[0][0] == "I+"
+    assert run("H T N")[0][0] == "H-+" and run("H N") == (["H-", "N"], 0.5)
+    assert run("I o R")[0][0] == "I~" and run("I o o o o T")[0][0] == "I"
+    assert run("N o H N")[1] == 0.5  # taken back once
+
+
+def brute_force_marks(symbols):
+    """Marks of each head by what stands around it, word by word."""
+    out = []
+    for i, s in enumerate(symbols):
+        if s in "IH":
+            before, behind = symbols[:i][::-1], symbols[i + 1 :]
+            out.append(s + "-" * ("N" in before[:3] or "N" in behind[:2]) + "~" * ("R" in symbols) + "+" * ("T" in before[:5] or "T" in behind[:3]))
+        else:
+            out.append(s)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_grammar_against_brute_force(seed):
+    rng, machine = random.Random(seed), toxicity.grammar()
+    for _ in range(400):
+        symbols = rng.choices("oooIHTNR", k=rng.randint(0, 12))
+        outs, weight = machine.run(symbols)
+        assert outs == brute_force_marks(symbols)
+        assert weight == sum({"I": 1.0, "H": 1.5}[o[0]] - 1.0 * ("-" in o) - 0.5 * ("~" in o) + 0.5 * ("+" in o) for o in outs if o[0] in "IH")
+
+
+def test_threats_are_learned_apart_from_insults(spark):
+    rng = random.Random(6)
+    rows = [(f"{words(rng, 12)} blarg you {words(rng, 5)}. you are a zonk {words(rng, 9)}" if i % 3 == 0 else words(rng, 30), int(i % 3 == 0)) for i in range(300)]
+    got = toxicity.learn_terms(spark.createDataFrame(rows, "text string, value int"))
+    model = toxicity.ToxicityModel(got, np.zeros(len(toxicity.OUTPUTS) + 1), 0.0)
+    table, stems = model.classes()
+    kind = lambda w: table.get(w) or next((c for c, begun in stems.items() if begun and w.startswith(begun)), "o")
+    assert (kind("blarg"), kind("zonk")) == ("H", "I")
+    assert toxicity.learn_terms(spark.createDataFrame([], "text string, value int")) == {}
+
+
+def test_toxicity_on_held_out_rows(spark, sf):
+    d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = toxicity.score_toxicity(d, labels).join(labels, "doc_id").toPandas()
+    held = got[got.held_out]
+    assert len(held) > 50 and ((held.toxic == 1) == (held.predicted == 1)).mean() > 0.9
 
 
 def test_pipeline_takes_effect(spark, sf):
