@@ -162,7 +162,8 @@ def learn_terms(rows: DataFrame) -> dict[str, str]:
     """Words (ending in $) and beginnings of words that mark toxic rows of a sample (text, value), each as an insult (I) or a threat (H).
 
     Each task sends sums of its counts. A term that a target follows within two words more often than one stands before it takes
-    that target as its object and is a threat, as in "kill you"; any other is an insult, as in "you idiot". All terms that pass
+    that target as its object and is a threat, as in "kill you"; any other is an insult, as in "you idiot". A term that begins one of
+    the fixed words is of its class. All terms that pass
     the test are learned: there are only as many as the sample's rows hold, which is what bounds them.
     """
     target = frozenset(TARGETS)
@@ -198,7 +199,9 @@ def learn_terms(rows: DataFrame) -> dict[str, str]:
     n, k, m = F.col("toxic") + F.col("other"), F.col("toxic"), F.col("other")
     ratio = k * F.log(k / (n * rate)) + F.when(m > 0, m * F.log(m / (n * (1 - rate)))).otherwise(0)
     good = counted.where((F.col("term") != "") & (n >= LEAST_ROWS) & (k > 0) & (k >= LEAST_PRECISION * n) & (ratio > math.log(tried) + MARGIN))
-    found = {r.term: "H" if r.behind > r.before else "I" for r in good.select("term", "behind", "before").collect()}
+    fixed = [(w, c) for c, ws in (("I", INSULTS), ("H", THREATS)) for w in ws]
+    alike = lambda t: next((c for w, c in fixed if (w == t[:-1] if t.endswith("$") else w.startswith(t))), None)
+    found = {r.term: alike(r.term) or ("H" if r.behind > r.before else "I") for r in good.select("term", "behind", "before").collect()}
     kept: dict[str, str] = {}  # a beginning stands for all that begins with it
     for t in sorted(found, key=lambda t: (t.endswith("$"), len(t), t)):
         if not any(t[:n] in kept for n in range(1, len(t))):
