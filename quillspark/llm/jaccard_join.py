@@ -1,17 +1,21 @@
 """Exact n-gram Jaccard join in the metric space of shingle sets.
 
-Jaccard distance d is a metric, and two documents link when d <= t. Most pairs of documents are at distance 1, and d < 1
-needs a shared shingle, so pivots must come from where documents are:
-
-1. Shingle hashes are dealt by value to find each one's document frequency over different sets. A set of which fewer than
-   ceil((1 - t) n) shingles are shared with any other set has no link and leaves.
-2. By rarity, the first n - ceil((1 - t) n) + 1 shingles of two linked sets meet in at least one. The sets that hold such a
-   shingle are a region; its pivot is the smallest set id in it. Distances to the pivots link what lies within t of a pivot.
-3. Regions that still hold several components are joined recursively: another pivot, distances to it, and a cut into an inner
-   and an outer region, where by the triangle inequality only inner sets within t of the cut are replicated to the outer one.
-   A region that is too large for a task gives up one pivot a round over the cluster until it is small enough.
-
-Equal sets are one class all along. A hash of 64 bits stands for a shingle and for a set.
+Jaccard distance d is a metric, and two documents link when d <= t. Equal sets are one class, and a hash of 64 bits stands for a
+shingle and for a set.
+
+1. Candidates. Most sets have no link, and leave first. Of two linked sets of n and m shingles, sorted by hash, the first
+   n - ceil((1 - t) n) + l and as many of m have l in common. These are sorted by hash over the cluster, neighbours show which
+   are shared, and a set that shares fewer than l leaves. The others keep only shingles that two of them have.
+2. Pivots. Almost all pairs of documents are at distance 1, so pivots are taken where documents are: sets with the same least
+   shingle by a hash have their smallest as a pivot. What lies within t of a pivot is covered; what is not goes into another
+   round with another hash, until each set is covered or a pivot itself.
+3. Voronoi regions. A set belongs to the region of the nearest pivot that covered it, so it has a link to that pivot, and only
+   links between regions of different components are left to find.
+4. Windows. If x links with y of the region of q, d(x, q) <= t + d(y, q) <= t + radius(q) by the triangle inequality, so x is
+   replicated to the regions of those pivots, of other components, and nowhere else. As that is 2 t at most, the prefixes of x and
+   q by rarity share a shingle, and lists of frequent shingles are not looked at.
+5. Regions are joined in tasks, recursively by pivots of their own (`join_region`). A region that is too large for one task is
+   dealt as a grid: each part of its own sets meets each part of its replicas.
 """
 
 from __future__ import annotations
@@ -20,14 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import mix, runs, stored, text_chunks
 from quillspark.llm.components import components
 
-#: Shingles that a task gathers before it deals them out, and the most that one task joins as a region.
-FLUSH, REGION = 1 << 20, 1 << 21
+#: Shingles of a region's own sets, and of its replicas, that one task joins.
+REGION = 1 << 21
+#: Rounds of pivots; sets that none has covered then are pivots themselves.
+ROUNDS = 6
+#: A set has a prefix longer by a SPARE-th of its shingles than a link needs, so that a few shared lines make no candidate.
+SPARE = 20
 _STEP = np.array([mix(np.array([0x51ED270B + 977 * i], np.uint64))[0] | np.uint64(1) for i in range(64)], np.uint64)
 
 
@@ -59,117 +67,127 @@ def class_ids(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64) * _STEP[7])
 
 
-def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
+def _lists(first: np.ndarray, last: np.ndarray, flat: np.ndarray) -> pa.Array:
+    """Lists flat[first[i]:last[i]] as an Arrow array."""
+    n = last - first
+    offsets = np.r_[0, np.cumsum(n)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[np.repeat(first - offsets[:-1], n) + np.arange(offsets[-1])].view(np.int64)))
 
 
-def _joined(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+def _least(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """What a set of n shingles has in common at least with one that it links with."""
+    return -(-num * n // den)
 
 
-_DEALT = "bucket int, cls binary, n binary, cnt binary, shingles binary"
+def _shared_least(n: Column, num: int, den: int) -> Column:
+    """How many prefix shingles a set of n shares with one that it links with: that one has num / den of n shingles at least."""
+    return 1 + F.floor((F.lit(num) * n + den - 1) / den / SPARE)
 
 
-def _deal(cls: np.ndarray, n: np.ndarray, owner: np.ndarray, hashes: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-    """A row per bucket: its classes, their sizes, how many shingles of each are here, and those shingles."""
-    order = np.argsort(bucket, kind="stable")
-    owner, hashes, bucket = owner[order], hashes[order], bucket[order]
-    edge = runs(bucket.astype(np.int64) << 32 | owner)
-    cnt, head, at = np.diff(edge).astype(np.uint32), owner[edge[:-1]], runs(bucket)
-    heads = np.searchsorted(edge, at)
-    rows = [[], [], [], [], []]
-    for a, b, x, y in zip(at[:-1], at[1:], heads[:-1], heads[1:], strict=True):
-        for out, v in zip(rows, (int(bucket[a]), cls[head[x:y]].tobytes(), n[head[x:y]].astype(np.uint32).tobytes(), cnt[x:y].tobytes(), hashes[a:b].tobytes()), strict=True):
-            out.append(v)
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["bucket", "cls", "n", "cnt", "shingles"])
+def _sets(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Per row its text's class: id, tk (a hash of the text), cls, n, prefix (its first shingles by hash)."""
 
-
-def _classes(docs: DataFrame, words: int) -> DataFrame:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            at = 0
             for _, first, hashes in shingle_sets(batch.column("_text"), words):
-                cls.append(class_ids(first, hashes))
-                n.append(np.diff(first))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(np.concatenate(cls).view(np.int64)), pa.array(np.concatenate(n), pa.int64())], names=["id", "cls", "n"])
+                n = np.diff(first)
+                lists = _lists(first[:-1], first[:-1] + np.minimum(n, n - _least(n, num, den) + 1 + n // SPARE), hashes)
+                own = [batch.column(c).slice(at, len(n)) for c in ("_id", "_tk")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(class_ids(first, hashes).view(np.int64)), pa.array(n, pa.int64()), lists], names=["id", "tk", "cls", "n", "prefix"])
+                at += len(n)
+
+    return rows.mapInArrow(label, "id long, tk long, cls long, n long, prefix array<long>")
+
 
-    return docs.mapInArrow(label, "id long, cls long, n long")
+def _candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Classes that can have a link (cls), by how many of their prefix shingles stand beside those of another class.
 
+    (shingle, class) is sorted over ranges of both, so a shingle that all texts have is spread over many tasks. What stands at
+    a range's border counts as shared, as its neighbour is not seen: that only keeps some more sets.
+    """
+    classes = sets.where("n > 0").select("cls", "n", "prefix").dropDuplicates(["cls"])
+    listed = classes.select(F.explode("prefix").alias("s"), "cls", "n").repartitionByRange("s", "cls").sortWithinPartitions("s", "cls")
 
-def _candidates(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> DataFrame:
-    """Sets that can have a link: cls, n, prefix (shingles whose regions it joins), shared (its shingles that others have, sorted)."""
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None  # the shingle before this batch, and the row that waits for the one after it
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        def out(cls: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            order = np.argsort(cls, kind="stable")
+            cls, n = cls[order], n[order]
+            cut = runs(cls)
+            return pa.RecordBatch.from_arrays([pa.array(cls[cut[:-1]]), pa.array(n[cut[:-1]]), pa.array(np.diff(cut))], names=["cls", "n", "c"])
 
-        def flush() -> pa.RecordBatch:
-            cls = np.concatenate([h[0] for h in held])
-            n = np.concatenate([h[1] for h in held])
-            owner = np.repeat(np.arange(len(cls)), n)
-            hashes = np.concatenate([h[2] for h in held])
-            return _deal(cls, n, owner, hashes, _bucket(hashes, buckets))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, cls, n = (batch.column(c).to_numpy() for c in ("s", "cls", "n"))
+            if held is not None:
+                s, cls, n = np.r_[held[0], s], np.r_[held[1], cls], np.r_[held[2], n]
+            like = s[1:] == s[:-1]
+            shared = np.r_[True if last is None else s[0] == last, like] | np.r_[like, False]
+            last, held = s[-2] if len(s) > 1 else last, (s[-1:], cls[-1:], n[-1:])
+            if len(s) > 1:
+                yield out(cls[:-1][shared[:-1]], n[:-1][shared[:-1]])
+        if held is not None:
+            yield out(held[1], held[2])
+
+    counted = listed.mapInArrow(neighbours, "cls long, n long, c long").groupBy("cls", "n").agg(F.sum("c").alias("c"))
+    return counted.where(F.col("c") >= _shared_least(F.col("n"), num, den)).select("cls")
+
+
+def _shared_sets(rows: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The candidates with their shingles that others of them have, the rarest first: cls, n, sh.
+
+    Frequencies are summed up before they are shuffled; where a frequent shingle is joined with its frequency, adaptive
+    execution can split its rows, as the other side has one.
+    """
+    chosen = stored(_candidates(sets, num, den))
+    texts = stored(sets.select("cls", "tk").join(chosen, "cls", "left_semi").groupBy("cls").agg(F.min("tk").alias("tk")).select("tk"))
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, first, hashes in shingle_sets(batch.column("_text"), words):
-                held.append((class_ids(first, hashes), np.diff(first), hashes))
-                size += len(hashes)
-                if size >= FLUSH:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
-
-    def frequency(table: pa.Table) -> pa.Table:
-        """Shingles of one range of hashes: those of at least two different sets, dealt by set; df goes with each."""
-        cls, n, cnt, h = _joined(table["cls"], np.uint64), _joined(table["n"], np.uint32), _joined(table["cnt"], np.uint32), _joined(table["shingles"], np.uint64)
-        ids, at, inverse = np.unique(cls, return_index=True, return_inverse=True)
-        owner = np.repeat(inverse, cnt)
-        order = np.argsort(h, kind="stable")
-        h, owner = h[order], owner[order]
-        many = np.zeros(len(h) + 1, bool)
-        many[1:-1] = h[1:] == h[:-1]
-        some = many[1:] | many[:-1]
-        h, owner = h[some], owner[some]
-        order = np.lexsort((owner, h))  # copies of one set count once
-        h, owner = h[order], owner[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        h, owner = h[new], owner[new]
-        edge = runs(h)
-        df = np.repeat(np.diff(edge), np.diff(edge))
-        h, owner, df = h[df > 1], owner[df > 1], df[df > 1].astype(np.uint32)
-        size = n[at]
-        order = np.lexsort((h, owner))
-        h, owner, df = h[order], owner[order], df[order]
-        bucket = _bucket(ids, buckets)[owner] if len(owner) else np.zeros(0, np.int32)
-        order = np.argsort(bucket, kind="stable")
-        dealt = _deal(ids, size, owner, h, bucket)
-        df, cut = df[order], runs(bucket[order])
-        dfs = [df[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.Table.from_batches([dealt.append_column("df", pa.array(dfs, pa.binary()))])
-
-    def choose(table: pa.Table) -> pa.Table:
-        """Sets of one range, with all their shared shingles: those that can have a link."""
-        cls, n, cnt = _joined(table["cls"], np.uint64), _joined(table["n"], np.uint32), _joined(table["cnt"], np.uint32)
-        h, df = _joined(table["shingles"], np.uint64), _joined(table["df"], np.uint32)
-        ids, at, inverse = np.unique(cls, return_index=True, return_inverse=True)
-        size = n[at].astype(np.int64)
-        owner = np.repeat(inverse, cnt)
-        order = np.lexsort((h, df, owner))
-        h, owner = h[order], owner[order]
-        first = np.searchsorted(owner, np.arange(len(ids) + 1))
-        need = -(-num * size // den)
-        out = []
-        for i in np.flatnonzero(np.diff(first) >= need):
-            own = h[first[i] : first[i + 1]]
-            alone = size[i] - len(own)
-            out.append((ids[i].astype(np.int64), size[i], own[: size[i] - need[i] + 1 - alone].view(np.int64), np.sort(own).view(np.int64)))
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["cls", "n", "prefix", "shared"])
-
-    dealt = docs.mapInArrow(emit, _DEALT)
-    shared = dealt.groupBy("bucket").applyInArrow(frequency, _DEALT + ", df binary")
-    return shared.groupBy("bucket").applyInArrow(choose, "cls long, n long, prefix array<long>, shared array<long>")
+                yield pa.RecordBatch.from_arrays([pa.array(class_ids(first, hashes).view(np.int64)), pa.array(np.diff(first), pa.int64()), _lists(first[:-1], first[1:], hashes)], names=["cls", "n", "all"])
+
+    full = stored(rows.select("_tk", "_text").join(texts.withColumnRenamed("tk", "_tk"), "_tk", "left_semi").mapInArrow(whole, "cls long, n long, all array<long>").dropDuplicates(["cls"]))
+    each = full.select(F.explode("all").alias("s"), "cls", "n")
+    often = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    kept = each.join(often, "s").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("sh")).select("cls", "n", F.col("sh.s").alias("sh"))
+    return stored(kept.where(den * F.size("sh") >= num * F.col("n")))
+
+
+def _prefix(num: int, den: int) -> Column:
+    """The rarest shingles of a set that it shares at least one of with each set of similarity num / den; those that no other has come first and are left out."""
+    least = F.ceil(F.lit(num) * F.col("n") / den)
+    return F.slice("sh", F.lit(1), F.greatest(F.size("sh") - least + 1, F.lit(0)).cast("int"))
+
+
+def _within(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the distinct pairs (x, q) of classes of similarity num / den, with their distance."""
+    left, right = sets.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("sh").alias("sx")), sets.select(F.col("cls").alias("q"), F.col("n").alias("nq"), F.col("sh").alias("sq"))
+    found = pairs.join(left, "x").join(right, "q").withColumn("common", F.size(F.array_intersect("sx", "sq")).cast("long"))
+    union = F.col("nx") + F.col("nq") - F.col("common")
+    return found.where(den * F.col("common") >= num * union).select("x", "q", (1 - F.col("common") / union).alias("d"))
+
+
+def _pivots(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Regions: x, q (its pivot, or x itself), d; all links between covered sets and the pivots of their round besides: link."""
+    rest, found = sets, None
+    fits = F.least("nx", "nq") * den >= F.greatest("nx", "nq") * num
+    for number in range(ROUNDS):
+        key = F.array_min(F.transform("sh", lambda s: F.xxhash64(s, F.lit(number))))
+        pivots = stored(rest.groupBy(key.alias("key")).agg(F.min("cls").alias("cls")).select("cls").distinct())
+        own = stored(rest.join(pivots, "cls", "left_semi"))
+        mine = rest.select(F.explode(_prefix(num, den)).alias("s"), F.col("cls").alias("x"), F.col("n").alias("nx"))
+        theirs = own.select(F.explode(_prefix(num, den)).alias("s"), F.col("cls").alias("q"), F.col("n").alias("nq"))
+        pairs = mine.join(theirs, "s").where((F.col("x") != F.col("q")) & fits).select("x", "q").distinct()
+        near = _within(pairs, sets, num, den).unionByName(own.select(F.col("cls").alias("x"), F.col("cls").alias("q"), F.lit(0.0).alias("d")))
+        found = stored(near if found is None else found.unionByName(near))
+        rest = stored(rest.join(found.select(F.col("x").alias("cls")).distinct(), "cls", "left_anti"))
+        if rest.isEmpty():
+            return found
+    return stored(found.unionByName(rest.select(F.col("cls").alias("x"), F.col("cls").alias("q"), F.lit(0.0).alias("d"))))
 
 
 def join_region(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, owner: np.ndarray, shingles: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -210,69 +228,69 @@ def join_region(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, owner: np.ndar
     return links
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes that link, by their exact overlap."""
-    left, right = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa")), sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return pairs.join(left, "a").join(right, "b").withColumn("common", common).where(den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+def _join_regions(regions: DataFrame, replicas: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the own sets (q, x) of regions and their replicas (q, x), in tasks of a bounded size."""
+    sized = sets.select(F.col("cls").alias("x"), "n")
+    held = stored(regions.withColumn("side", F.lit(0)).unionByName(replicas.withColumn("side", F.lit(1))).join(sized, "x"))
+    load = lambda side: F.ceil(F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)) / REGION)
+    parts = held.groupBy("q").agg(F.greatest(load(0), F.lit(1)).alias("p0"), F.greatest(load(1), F.lit(1)).alias("p1"))
+    # each own part meets each part of the replicas
+    place = lambda p: F.pmod(F.xxhash64("x"), F.col(p)).cast("long")
+    all_of = lambda p: F.sequence(F.lit(0).cast("long"), F.col(p).cast("long") - 1)
+    dealt = held.join(parts, "q").withColumn("i", F.explode(F.when(F.col("side") == 0, F.array(place("p0"))).otherwise(all_of("p0")))).withColumn("j", F.explode(F.when(F.col("side") == 1, F.array(place("p1"))).otherwise(all_of("p1"))))
+    whole = dealt.select("q", "i", "j", F.col("x").alias("cls")).join(sets.select("cls", "n", "sh"), "cls").join(comp, "cls")
 
-
-def link_components(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, root) of all classes that have a link; the loop over large regions ends as each loses its pivot every round."""
-    members = stored(sets.select(F.explode("prefix").alias("s"), "cls", "n"))
-    # lists of the same members are one list
-    alike = members.groupBy("s").agg(F.count("*").alias("m"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("x"), F.expr("bit_xor(xxhash64(cls, 1))").alias("y")).where("m > 1")
-    kept = alike.groupBy("m", "x", "y").agg(F.min("s").alias("s")).select("s")
-    members = stored(members.join(kept, "s", "left_semi").withColumn("comp", F.col("cls")))
-    edges = roots = None
-    while True:
-        # the pivot of each list, and distances of all others to it; lists of one pivot are one region
-        pivots = members.groupBy("s").agg(F.min(F.struct("cls", "comp", "n")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
-        held = stored(members.join(pivots, "s"))
-        if held.isEmpty():
-            break
-        fits = F.least("n", "p.n") * den >= F.greatest("n", "p.n") * num
-        if edges is None:
-            held = held.withColumn("small", F.lit(False))
-        else:
-            region = held.select(F.col("p.cls").alias("pivot"), "cls", "comp", "n").distinct()
-            small = stored(region.groupBy("pivot").agg(F.sum("n").alias("load")).where(F.col("load") <= REGION).select("pivot"))
-            held = held.join(small.withColumn("small", F.lit(True)), F.col("p.cls") == F.col("pivot"), "left").drop("pivot").fillna(False, ["small"])
-        pairs = held.where(~F.col("small") & (F.col("comp") != F.col("p.comp")) & fits).select(F.col("p.cls").alias("a"), F.col("cls").alias("b")).distinct()
-        found = _linked(pairs, sets, num, den)
-        if edges is not None:
-            found = found.union(_small_regions(region.join(small, "pivot", "left_semi"), sets, num, den))
-        edges = stored(found if edges is None else edges.union(found))
-        roots = components(edges)
-        rest = held.where(~F.col("small") & (F.col("cls") != F.col("p.cls"))).select("s", "cls", "n")
-        members = stored(rest.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("s", "cls", "n", F.coalesce("root", "cls").alias("comp")))
-    return roots if roots is not None else sets.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0)
-
-
-def _small_regions(region: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     def join(table: pa.Table) -> pa.Table:
-        shared = table["shared"].combine_chunks()
-        owner = np.repeat(np.arange(len(shared)), shared.value_lengths().to_numpy())
-        links = join_region(table["cls"].to_numpy(), table["comp"].to_numpy(), table["n"].to_numpy(), owner, shared.flatten().to_numpy(), num, den)
+        listed = table["sh"].combine_chunks()
+        owner = np.repeat(np.arange(len(listed)), listed.value_lengths().to_numpy())
+        links = join_region(table["cls"].to_numpy(), table["comp"].to_numpy(), table["n"].to_numpy(), owner, listed.flatten().to_numpy(), num, den)
         return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return region.select("pivot", "cls", "comp").join(sets.select("cls", "n", "shared"), "cls").groupBy("pivot").applyInArrow(join, "a long, b long")
+    return whole.groupBy("q", "i", "j").applyInArrow(join, "a long, b long")
+
+
+def link_components(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, root) of all classes that have a link."""
+    found = _pivots(sets, num, den)
+    links = stored(found.where("x <> q").select(F.col("x").alias("a"), F.col("q").alias("b")))
+    roots = components(links)
+    comp = stored(sets.select("cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("comp")))
+    # the nearest pivot, and of equally near ones the smallest
+    home = stored(found.groupBy("x").agg(F.min(F.struct("d", "q")).alias("p")).select("x", F.col("p.q").alias("q"), F.col("p.d").alias("d")))
+    radius = home.groupBy("q").agg(F.max("d").alias("radius"))
+    # of two linked sets the one with the larger pivot is replicated, within 2 t of the other's: a similarity of 2 num - den
+    wide = 2 * num - den
+    known = sets.join(comp, "cls").join(home.select(F.col("x").alias("cls"), F.col("q").alias("home")), "cls")
+    mine = known.select(F.explode(_prefix(wide, den)).alias("s"), F.col("cls").alias("x"), F.col("comp").alias("cx"), "home", F.col("n").alias("nx"))
+    theirs = known.where("cls = home").select(F.explode(_prefix(wide, den)).alias("s"), F.col("cls").alias("q"), F.col("comp").alias("cq"), F.col("n").alias("nq"))
+    fits = F.least("nx", "nq") * den >= F.greatest("nx", "nq") * wide
+    pairs = mine.join(theirs, "s").where((F.col("cx") != F.col("cq")) & (F.col("home") > F.col("q")) & fits).select("x", "q").distinct()
+    t = 1 - num / den + 1e-9
+    replicas = stored(_within(pairs, sets, wide, den).join(radius, "q").where(F.col("d") <= F.col("radius") + t).select("q", "x", "d"))
+    # own sets that some replica can reach
+    reach = replicas.groupBy("q").agg(F.min("d").alias("least"))
+    regions = home.join(reach, "q").where(F.col("d") >= F.col("least") - t).select("q", "x")
+    more = stored(_join_regions(regions, replicas.select("q", "x"), sets, comp, num, den))
+    return roots if more.isEmpty() else components(stored(links.unionByName(more)))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Components of documents whose sets of `words`-word shingles have a Jaccard similarity of num / den or more.
 
     Words are runs without white space, A-Z lower-cased; a text of fewer words is one shingle. Returns id_col, n_shingles and
-    component_id, the smallest id that links reach.
+    component_id, the smallest id that links reach. num / den must be above one half, where windows are below distance 1.
 
     Defined cases: null and empty texts and texts without words have no shingles and link with nothing; equal texts, and
     different texts of equal sets, link; rows that are repeated stay; a null id gets its component's smallest id, or null if
-    there is none; an empty table gives an empty result; other columns are ignored.
+    there is none; very long texts are one set of all their shingles; an empty table gives an empty result; other columns are
+    ignored.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = stored(_candidates(rows.select("_text"), words, num, den, buckets))
-    roots = link_components(sets, num, den)
-    labelled = stored(_classes(rows, words)).join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("id", "n", F.coalesce("root", "cls").alias("root"))
+    if 2 * num <= den:
+        raise ValueError("a similarity above one half is needed")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_tk"))
+    sets = stored(_sets(rows, words, num, den))
+    roots = stored(link_components(_shared_sets(rows, sets, words, num, den), num, den))
+    labelled = stored(sets.select("id", "cls", "n").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("id", "n", F.coalesce("root", "cls").alias("root")))
     least = labelled.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     return labelled.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
