@@ -125,11 +125,9 @@ def _filesystem(path: str):
 
 
 def file_schema(sequence: int, wide: bool) -> pa.Schema:
-    """ids; mask: 1 where an id stands, 0 in the padding of a file's last sequence; ends: true at a document's last id.
-
-    ids and mask are whole bytes, so that both can be used from a mapped file as they are.
-    """
-    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), sequence)), ("mask", pa.list_(pa.uint8(), sequence)), ("ends", pa.list_(pa.bool_(), sequence))])
+    """ids; mask: true where an id stands, false in the padding of a file's last sequence; ends: true at a document's last id."""
+    bits = pa.list_(pa.bool_(), sequence)
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), sequence)), ("mask", bits), ("ends", bits)])
 
 
 class _Writer:
@@ -155,8 +153,8 @@ class _Writer:
         ids, ends = np.concatenate(self.ids), np.concatenate(self.ends)
         rest, rest_ends = ids[most:], ends[most:]
         ids, ends = np.r_[ids[:most], np.zeros(pad, self.kind)], np.r_[ends[:most], np.zeros(pad, bool)]
-        mask = np.ones(most + pad, np.uint8)
-        mask[most:] = 0
+        mask = np.ones(most + pad, bool)
+        mask[most:] = False
         step = self.sequence * BATCH
         for i in range(0, len(ids), step):
             cols = [pa.FixedSizeListArray.from_arrays(pa.array(x[i : i + step]), self.sequence) for x in (ids, mask, ends)]
@@ -216,15 +214,20 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def read_sequences(path: str, first: int, count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """ids and mask of sequences first .. first + count - 1 of a local file, a pair per record batch: views of the mapped file, nothing is copied or decoded."""
+def read_sequences(path: str, first: int, count: int) -> Iterator[tuple[np.ndarray, pa.FixedSizeListArray]]:
+    """ids and mask of sequences first .. first + count - 1 of a local file, a pair per record batch.
+
+    Both are views of the mapped file, nothing is copied or decoded: ids an array of numbers, the mask an Arrow array, as its
+    flags are single bits.
+    """
     with pa.memory_map(path.removeprefix("file://")) as source:
         reader = pa.ipc.open_file(source)
         size = reader.get_batch(0).num_rows
         for k in range(first // size, (first + count - 1) // size + 1):
             batch = reader.get_batch(k)
             lo, hi = max(first - k * size, 0), min(first + count - k * size, batch.num_rows)
-            yield tuple(batch.column(name).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=True).reshape(hi - lo, -1) for name in ("ids", "mask"))
+            ids, mask = (batch.column(name).slice(lo, hi - lo) for name in ("ids", "mask"))
+            yield ids.flatten().to_numpy(zero_copy_only=True).reshape(hi - lo, -1), mask
 
 
 def read_token_files(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -243,9 +246,8 @@ def read_token_files(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     for k in range(reader.num_record_batches):
                         piece = reader.get_batch(k)
                         ids, mask, ends = (piece.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "mask", "ends"))
-                        real = mask.astype(bool)
-                        ids = ids[real].astype("<u4")
-                        stops = np.flatnonzero(ends[real]) + 1
+                        ids = ids[mask].astype("<u4")
+                        stops = np.flatnonzero(ends[mask]) + 1
                         out, lo = [], 0
                         for hi in stops.tolist():
                             crc, count = zlib.crc32(ids[lo:hi], crc), count + hi - lo
