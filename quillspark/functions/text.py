@@ -69,9 +69,23 @@ def script_counts(text: Column) -> dict[str, Column]:
     return {k: F.regexp_count(text, F.lit(p)) for k, p in of.items()}
 
 
-def phonetic_key(token: Column, classes: tuple[str, str]) -> Column:
-    """Letters as their sound class, repeated ones once."""
-    return F.regexp_replace(F.translate(token, *classes), r"(.)\1+", "$1")
+def phonetic_key(token: Column, classes: dict[str, str], heads: dict[str, str]) -> Column:
+    """A token's letters as their sound classes, those without one in upper case, each run of a class once; `heads` replaces beginnings of the result."""
+    single = {k: v for k, v in classes.items() if len(v) == 1}
+    longer = [(k, v) for k, v in classes.items() if len(v) > 1]
+    silent = "".join(k for k, v in classes.items() if not v)
+    out = F.upper(F.translate(token, "".join(single) + silent, "".join(single.values())))
+    for k, v in longer:
+        out = F.replace(out, F.upper(F.lit(k)), F.lit(v))
+    out = F.regexp_replace(out, r"(.)\1+", "$1")
+    for k, v in heads.items():
+        out = F.regexp_replace(out, f"^{k}", v)
+    return out
+
+
+def phonetic_keys(words: Column, classes: dict[str, str], heads: dict[str, str], least: int = 2) -> Column:
+    """Distinct keys of a text's words, of `least` characters or more."""
+    return F.array_distinct(F.filter(F.transform(words, lambda w: phonetic_key(w, classes, heads)), lambda k: F.length(k) >= least))
 
 
 def html_to_text(html: Column) -> Column:
@@ -82,21 +96,29 @@ def html_to_text(html: Column) -> Column:
     return spaces(out)
 
 
-#: (pattern, replacement) of one pass of sanitising.
+# Elements that go with what they hold, elements of which only the tags go, and addresses that run code.
+UNSAFE_ELEMENTS = "script iframe object embed style svg math".split()
+UNSAFE_TAGS = "base meta link form input button textarea select".split()
+UNSAFE_ADDRESSES = ("javascript:", "vbscript:", r"data:(?:text/html|image/svg\+xml)")
+#: What one pass of sanitising takes out, in order: each element up to its own end tag, then what is left of its tags.
 UNSAFE = (
-    (r"(?is)<(script|iframe|object|embed|style|svg|math)[^>]*>.*?</(script|iframe|object|embed|style|svg|math)>", ""),
-    (r"(?i)</?(script|iframe|object|embed|style|svg|math|link|meta|base)[^>]*>", ""),
-    (r"""(?i)\son[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", ""),
-    (r"(?i)(javascript|vbscript|data):", ""),
+    *(p for e in UNSAFE_ELEMENTS for p in (rf"(?is)<{e}\b.*?</{e}>", rf"(?i)</?{e}\b[^>]*>")),
+    rf"(?i)</?(?:{'|'.join(UNSAFE_TAGS)})\b[^>]*>",
+    r"""(?i)\bon\w+\s*=\s*(?:'[^']*'|"[^"]*"|[^\s>]+)""",
+    *(rf"""(?i){a}[^"'\s]*""" for a in UNSAFE_ADDRESSES),
 )
+_ANY_UNSAFE = "(?i)</?(?:" + "|".join([*UNSAFE_ELEMENTS, *UNSAFE_TAGS]) + r")\b|\bon\w+\s*=|" + "|".join(UNSAFE_ADDRESSES)
 
 
 def sanitize(html: Column, passes: int = 5) -> Column:
-    """Unsafe markup taken out again and again, as taking out can bring forth more."""
-    for _ in range(passes):
-        for pattern, new in UNSAFE:
-            html = F.regexp_replace(html, pattern, new)
-    return F.trim(html)
+    """Unsafe markup taken out again and again, as taking out can bring forth more. A pass is skipped where nothing is left to take out."""
+
+    def once(text: Column) -> Column:
+        for pattern in UNSAFE:
+            text = F.regexp_replace(text, pattern, "")
+        return text
+
+    return F.trim(F.aggregate(F.sequence(F.lit(1), F.lit(passes)), html, lambda text, _: F.when(text.rlike(_ANY_UNSAFE), once(text)).otherwise(text)))
 
 
 def content_hash(*parts: Column) -> Column:
@@ -108,12 +130,22 @@ def hash_uuid(digest: Column) -> Column:
     return F.concat_ws("-", *[F.substring(d, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
-def slug(title: Column, key: Column, most: int = 70) -> Column:
-    """Letters, digits and hyphens of a title, cut at a hyphen, and the beginning of a key."""
-    plain = F.lower(F.regexp_replace(title, r"<[^>]*>", ""))
+# Fixed value: the label and number that questions of the reference data begin with.
+QUESTION_LABEL = r"^প্রশ্ন\s*(?:\([^)]+\)|[০-৯0-9/\s-]+)?\s*[:ঃ-]?\s*"
+
+
+def slug(title: Column, key: Column, most: int = 70, least: int = 20, label: str = QUESTION_LABEL) -> Column:
+    """Letters, digits and hyphens of a title and the beginning of a key; the key alone where the title has none.
+
+    A title of more than `most` characters is cut at its last hyphen, if more than `least` stand before it.
+    """
+    tagless = F.regexp_replace(title, r"<[^>]*>", "")
+    bare = F.trim(F.regexp_replace(tagless, label, ""))
+    plain = F.lower(F.when(bare != "", bare).otherwise(tagless))
     joined = F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{M}\p{N}]+", "-"), r"^-+|-+$", "")
-    cut = F.when(F.length(joined) <= most, joined).otherwise(F.regexp_replace(F.substring(joined, 1, most), r"-[^-]*$", ""))
-    return F.concat_ws("-", F.when(cut != "", cut), F.substring(key, 1, 8))
+    at_hyphen = F.regexp_extract(joined, rf"^(.{{{least + 1},{most}}})-", 1)
+    whole = F.when(F.length(joined) <= most, joined).when(at_hyphen != "", at_hyphen).otherwise(F.regexp_replace(F.substring(joined, 1, most), "-+$", ""))
+    return F.when(F.coalesce(whole, F.lit("")) == "", key).otherwise(F.concat_ws("-", whole, F.substring(key, 1, 8)))
 
 
 def title_of(text: Column, most: int = 120) -> Column:

@@ -11,23 +11,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def filter_docs(docs: DataFrame, **equal: str | None) -> DataFrame:
-    """Equality on each named column; None, '' and 'All' are no filter."""
-    for col, value in equal.items():
-        if value not in (None, "", "All"):
-            docs = docs.where(F.col(col) == value)
-    return docs
+def match_filters(queries: DataFrame, rows: DataFrame, cols: list[str]) -> DataFrame:
+    """(query, row) pairs where each filter want_<col> of the query is equal; null, '' and 'All' are no filter.
 
-
-def match_filters(queries: DataFrame, docs: DataFrame, cols: list[str]) -> DataFrame:
-    """(query, document) pairs where every filter of the query is null or equal. Queries are split by which filters they set, so each part is an equi-join."""
+    Queries are split by which filters they set, so each part is an equi-join. A query without any filter has all rows, so what is
+    given as rows should be small: values with their counts where counts are asked for, not documents.
+    """
+    for c in cols:
+        want = F.col(f"want_{c}")
+        queries = queries.withColumn(f"want_{c}", F.when(~want.isin("", "All"), want))
     parts = []
-    for mask in range(1, 2 ** len(cols)):
+    for mask in range(2 ** len(cols)):
         used = [c for i, c in enumerate(cols) if mask >> i & 1]
         own = queries
         for c in cols:
             own = own.where(F.col(f"want_{c}").isNotNull() if c in used else F.col(f"want_{c}").isNull())
-        parts.append(own.join(docs, [F.col(f"want_{c}") == F.col(c) for c in used]))
+        parts.append(own.join(rows, [F.col(f"want_{c}") == F.col(c) for c in used]) if used else own.crossJoin(rows))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -76,11 +75,19 @@ def validate(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumn("reasons", reasons(rules)).withColumn("valid", F.size("reasons") == 0)
 
 
+# Hosts and IPv4 ranges that are not public; a number without four parts stands for an address too.
+NOT_PUBLIC = (
+    "localhost", "::1", r"metadata\.google\.internal",
+    r"(?:0|10|127)(?:\.\d{1,3}){3}", r"(?:169\.254|192\.168|172\.(?:1[6-9]|2\d|3[01]))(?:\.\d{1,3}){2}",
+    r"(?:0x[0-9a-f]+|\d+)(?:\.(?:0x[0-9a-f]+|\d+)){0,2}",
+)
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)"
+
+
 def is_safe_public_url(url: Column) -> Column:
     """http(s) with a host that is not local, private, link-local or a metadata service."""
-    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    private = r"^(localhost|127\..*|0\.0\.0\.0|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|metadata\..*|.*\.local)$"
-    return F.coalesce(url.rlike(r"^(?i:https?)://") & (host != "") & ~host.rlike(private), F.lit(False))
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"[\[\]]", "")
+    return F.coalesce(url.rlike(r"^(?i:https?)://") & (host != "") & ~host.rlike(f"^(?:{'|'.join(NOT_PUBLIC)})$"), F.lit(False))
 
 
 def crawl_status(url: Column, status: Column, body: Column, phrases: list[str]) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import analytics as A
-from quillspark.operators.ingest import first_rule
 from quillspark.operators.retrieval import top_k
 from quillspark.plans.registry import query, table
 
@@ -24,18 +23,23 @@ def searches(spark: SparkSession, d: str) -> DataFrame:
     return A.searches(events(spark, d))
 
 
-_UA = ["Mozilla/5.0 (iPhone; iOS 17) Safari/604", "Mozilla/5.0 (Windows NT 10.0) Chrome/120 Edg/120", "Mozilla/5.0 (X11; Linux) Firefox/121", "Mozilla/5.0 (Linux; Android 14) Chrome/120 Mobile", "ExampleBot/1.0"]
-_UA_SQL = "[" + ", ".join(f"'{u}'" for u in _UA) + "][CAST(event_id % 5 AS INTEGER) + 1]"
+# Browsers, systems and devices of agents that events are given, as the tables have none; which one follows from the event.
+_UA = ["Mozilla/5.0 (iPhone; CPU iPhone OS 17 like Mac OS X) Version/17 Mobile Safari/604", "Mozilla/5.0 (Windows NT 10.0) Chrome/120 Safari/537 Edg/120", "Mozilla/5.0 (X11; Linux x86_64) Firefox/121", "Mozilla/5.0 (Linux; Android 14; Pixel) Chrome/120 Mobile", "Mozilla/5.0 (Linux; Android 13; Tab) Chrome/119", "Opera/9 (Windows Phone) OPR/7", "curl/8"]
+_UA_SQL = "[" + ", ".join(f"'{u}'" for u in _UA) + f"][CAST(json_extract_string(props, '$.k') AS INTEGER) % {len(_UA) + 1} + 1]"
 
 
-def _rules_sql(rules: list[tuple[str, str]], default: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(ua, '{p}') THEN '{n}'" for p, n in rules) + f" ELSE '{default}' END"
-
-
-@query("parse_user_agent", f"WITH u AS (SELECT event_id, {_UA_SQL} AS ua FROM events) SELECT event_id, {_rules_sql(A.DEVICES, 'desktop')} AS device, {_rules_sql(A.SYSTEMS, 'other')} AS os, {_rules_sql(A.BROWSERS, 'other')} AS browser FROM u")
+@query(
+    "parse_user_agent",
+    f"""WITH u AS (SELECT event_id, lower({_UA_SQL}) AS a FROM events)
+SELECT event_id, CASE WHEN a IS NULL THEN 'Desktop' WHEN a LIKE '%ipad%' OR a LIKE '%tablet%' OR a LIKE '%playbook%' OR a LIKE '%silk%' OR (a LIKE '%android%' AND a NOT LIKE '%mobile%') THEN 'Tablet'
+    WHEN a LIKE '%mobile%' OR a LIKE '%iphone%' OR a LIKE '%ipod%' OR a LIKE '%android%' OR a LIKE '%blackberry%' OR a LIKE '%opera mini%' OR a LIKE '%opera mobi%' OR a LIKE '%windows phone%' THEN 'Mobile' ELSE 'Desktop' END AS device,
+  CASE WHEN a IS NULL THEN 'Unknown' WHEN a LIKE '%windows%' THEN 'Windows' WHEN a LIKE '%macintosh%' OR a LIKE '%mac os x%' THEN 'macOS' WHEN a LIKE '%android%' THEN 'Android' WHEN a LIKE '%iphone%' OR a LIKE '%ipad%' OR a LIKE '%ipod%' THEN 'iOS' WHEN a LIKE '%linux%' THEN 'Linux' ELSE 'Unknown' END AS os,
+  CASE WHEN a IS NULL THEN 'Unknown' WHEN a LIKE '%edg%' THEN 'Edge' WHEN a LIKE '%opera%' OR a LIKE '%opr%' THEN 'Opera' WHEN a LIKE '%chrome%' OR a LIKE '%crios%' THEN 'Chrome' WHEN a LIKE '%firefox%' OR a LIKE '%fxios%' THEN 'Firefox' WHEN a LIKE '%safari%' THEN 'Safari' ELSE 'Chrome' END AS browser FROM u""",
+)
 def parse_user_agent(spark: SparkSession, d: str) -> DataFrame:
-    ua = F.element_at(F.array(*[F.lit(u) for u in _UA]), (F.col("event_id") % 5 + 1).cast("int"))
-    return events(spark, d).select("event_id", first_rule(ua, A.DEVICES, "desktop").alias("device"), first_rule(ua, A.SYSTEMS, "other").alias("os"), first_rule(ua, A.BROWSERS, "other").alias("browser"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    agent = F.get(F.array(*[F.lit(u) for u in _UA]), k % (len(_UA) + 1))
+    return events(spark, d).select("event_id", *[c.alias(name) for name, c in A.parse_user_agent(agent).items()])
 
 
 @query("enrich_pageviews", "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'member' ELSE 'guest' END AS user_type, substr(sha256(CAST(user_id AS VARCHAR)), 1, 12) AS ip_hash, c_name AS title FROM events LEFT JOIN customer ON c_custkey = user_id WHERE event_type = 'view'")
@@ -84,7 +88,12 @@ def top_queries(spark: SparkSession, d: str) -> DataFrame:
     return searches(spark, d).where("query <> ''").groupBy("query").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "query").limit(10)
 
 
-_STATS_SQL = f"{S_SQL}, st AS (SELECT query, count(*) AS n, count(DISTINCT user_id) AS searchers, round(avg(result_count), 2) AS avg_results, count(clicked_position) AS clicks, round(count(clicked_position) * 100.0 / count(*), 1) AS ctr, round(avg(took_ms), 3) AS avg_ms FROM s GROUP BY query)"
+def _ratio_sql(part: str, whole: str, places: int) -> str:
+    return f"CASE WHEN ({whole}) > 0 THEN CAST((2 * {10**places} * CAST({part} AS HUGEINT) + ({whole})) // (2 * ({whole})) AS DOUBLE) / {10**places} END"
+
+
+_STATS_SQL = f"""{S_SQL}, st AS (SELECT query, count(*) AS n, count(DISTINCT user_id) AS searchers, {_ratio_sql("sum(result_count)", "count(*)", 2)} AS avg_results, count(clicked_position) AS clicks,
+{_ratio_sql("100 * count(clicked_position)", "count(*)", 1)} AS ctr, {_ratio_sql("sum(CAST(round(took_ms * 1000000) AS BIGINT))", "1000000 * count(took_ms)", 3)} AS avg_ms FROM s GROUP BY query)"""
 
 
 @query("query_ctr", f"WITH {_STATS_SQL} SELECT * FROM st ORDER BY n DESC, query LIMIT 15")
@@ -174,12 +183,9 @@ def write_quality_report(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("query string, n long, ctr double, reason string").json(path).groupBy("reason").agg(F.count("*").alias("n_queries"), F.sum("n").alias("n_searches"))
 
 
-@query("week_id", "SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, year(ts) || '-W' || lpad(CAST(CAST(ceil((dayofyear(ts) + dayofweek(make_date(year(ts), 1, 1))) / 7.0) AS INTEGER) AS VARCHAR), 2, '0') AS week FROM events")
+@query("week_id", "SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, year(ts) || '-W' || lpad(CAST(CAST(ceil((dayofweek(ts) + 1 + datediff('day', make_date(year(ts), 1, 1), CAST(ts AS DATE))) / 7.0) AS INTEGER) AS VARCHAR), 2, '0') AS week FROM events")
 def week_id(spark: SparkSession, d: str) -> DataFrame:
-    """The week of the year by day of year and the weekday (Sunday 0) of January 1."""
-    first = F.dayofweek(F.make_date(F.year("ts"), F.lit(1), F.lit(1))) - 1
-    week = F.ceil((F.dayofyear("ts") + first) / 7.0).cast("int").cast("string")
-    return events(spark, d).select(F.to_date("ts").cast("string").alias("day"), F.concat(F.year("ts").cast("string"), F.lit("-W"), F.lpad(week, 2, "0")).alias("week")).distinct()
+    return events(spark, d).select(F.to_date("ts").cast("string").alias("day"), A.week_id(F.col("ts")).alias("week")).distinct()
 
 
 _STATUS_SQL = "CASE WHEN toxic = 1 THEN 'under_review' WHEN quality = 0 THEN 'pending' ELSE 'resolved' END"
@@ -187,13 +193,15 @@ _STATUS_SQL = "CASE WHEN toxic = 1 THEN 'under_review' WHEN quality = 0 THEN 'pe
 
 def reports(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("toxic") == 1, "under_review").when(F.col("quality") == 0, "pending").otherwise("resolved")
-    return table(spark, d, "labels").select("doc_id", status.alias("status"))
+    return table(spark, d, "labels").select("doc_id", status.alias("status"), F.when(F.col("toxic") == 1, "abuse").otherwise("quality").alias("kind"))
 
 
-@query("report_list", f"SELECT l.doc_id, {_STATUS_SQL} AS status, source FROM labels l LEFT JOIN documents USING (doc_id) WHERE toxic = 1 OR quality = 0 ORDER BY l.doc_id DESC LIMIT 20")
+@query("report_list", f"WITH r AS (SELECT l.doc_id, {_STATUS_SQL} AS status, CASE WHEN toxic = 1 THEN 'abuse' ELSE 'quality' END AS kind FROM labels l), f AS (SELECT * FROM r WHERE status <> 'resolved' AND kind = 'quality') SELECT f.doc_id, f.status, f.kind, source, (SELECT count(*) FROM f) AS total FROM f LEFT JOIN documents USING (doc_id) ORDER BY f.doc_id DESC LIMIT 20 OFFSET 20")
 def report_list(spark: SparkSession, d: str) -> DataFrame:
-    page = reports(spark, d).where("status <> 'resolved'").orderBy(F.desc("doc_id")).limit(20)
-    return page.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id", "left")
+    """The second page of open reports of one kind, newest first, each row with the number of all."""
+    wanted = reports(spark, d).where("status <> 'resolved' AND kind = 'quality'")
+    page = wanted.orderBy(F.desc("doc_id")).offset(20).limit(20).crossJoin(F.broadcast(wanted.agg(F.count("*").alias("total"))))  # one row
+    return page.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id", "left").select("doc_id", "status", "kind", "source", "total")
 
 
 @query("report_stats", "SELECT count(*) AS total, count(*) FILTER (toxic = 1 OR quality = 0) AS pending, count(*) FILTER (NOT (toxic = 1 OR quality = 0)) AS resolved FROM labels")
@@ -222,10 +230,13 @@ def link_audit(spark: SparkSession, d: str) -> DataFrame:
     return sample.agg(F.count("*").alias("sampled"), n.alias("broken"), A.percent(n, F.count("*")).alias("rate"), (n * 100.0 / F.count("*") > 15).alias("alarm"))
 
 
-@query("structure_monitor", "WITH h AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, bool_and(contains(html, '<article')) AS articles, bool_and(contains(html, '<h1')) AS titles, CAST(sum(len(regexp_extract_all(html, 'href=\"'))) AS BIGINT) AS links FROM pages GROUP BY 1) SELECT host, links, CASE WHEN NOT titles THEN 'FAIL' WHEN NOT articles OR links < 10 THEN 'WARN' ELSE 'PASS' END AS status FROM h")
+@query("structure_monitor", "WITH h AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, bool_and(contains(html, '<article')) AS articles, bool_and(contains(html, '<h1')) AS titles, CAST(sum(len(regexp_extract_all(html, 'href=\"'))) AS BIGINT) AS links FROM pages GROUP BY 1), s AS (SELECT host, links, CASE WHEN NOT titles THEN 'FAIL' WHEN NOT articles OR links < 10 THEN 'WARN' ELSE 'PASS' END AS status FROM h) SELECT *, CASE WHEN (SELECT bool_or(status = 'FAIL') FROM s) THEN 'CRITICAL_STRUCTURE_CHANGED' WHEN (SELECT bool_or(status = 'WARN') FROM s) THEN 'DEGRADED' ELSE 'HEALTHY' END AS overall FROM s")
 def structure_monitor(spark: SparkSession, d: str) -> DataFrame:
     per = table(spark, d, "pages").groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).agg(F.bool_and(F.contains("html", F.lit("<article"))).alias("articles"), F.bool_and(F.contains("html", F.lit("<h1"))).alias("titles"), F.sum(F.regexp_count("html", F.lit('href="'))).alias("links"))
-    return per.select("host", "links", F.when(~F.col("titles"), "FAIL").when(~F.col("articles") | (F.col("links") < 10), "WARN").otherwise("PASS").alias("status"))
+    checks = per.select("host", "links", F.when(~F.col("titles"), "FAIL").when(~F.col("articles") | (F.col("links") < 10), "WARN").otherwise("PASS").alias("status"))
+    worst = checks.agg(F.bool_or(F.col("status") == "FAIL").alias("fail"), F.bool_or(F.col("status") == "WARN").alias("warn"))
+    overall = F.when(F.col("fail"), "CRITICAL_STRUCTURE_CHANGED").when(F.col("warn"), "DEGRADED").otherwise("HEALTHY")
+    return checks.crossJoin(F.broadcast(worst)).select("host", "links", "status", overall.alias("overall"))  # one row
 
 
 @query("keep_latest_distinct", f"WITH {S_SQL}, m AS (SELECT user_id, query, max(ts) AS ts FROM s GROUP BY ALL) SELECT user_id, query, CAST(ts AS VARCHAR) AS ts FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY m.ts DESC, query) <= 20")

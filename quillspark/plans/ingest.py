@@ -19,13 +19,19 @@ def scan_docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").orderBy(F.desc("n_chars"), "doc_id").select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 
-@query("load_json_archive", "SELECT doc_id, substr(text, 1, 40) AS title, md5(text) AS body_md5, coalesce(source, 'unknown') AS source FROM documents")
+@query("load_json_archive", "SELECT doc_id, doc_id % 4 = 3 AS is_raw, substr(text, 1, 40) AS title, md5(text) AS body_md5, CASE WHEN doc_id % 4 = 3 THEN 'unknown' ELSE coalesce(source, 'unknown') END AS source FROM documents")
 def load_json_archive(spark: SparkSession, d: str) -> DataFrame:
-    path = S.scratch_dir(spark, "archive")
-    docs = table(spark, d, "documents")
-    docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("answer"), F.when(F.col("doc_id") % 2 == 1, F.col("text")).alias("content"), "source").write.json(path)
+    """Written out in all layouts of an archive: arrays of up to a hundred objects, single objects with the one or the other name, raw strings."""
+    path, i = S.scratch_dir(spark, "archive"), F.col("doc_id")
+    docs = table(spark, d, "documents").select(i, "text", "source")
+    one = lambda name: F.to_json(F.struct("doc_id", F.col("text").alias(name), "source"))
+    arrays = docs.where(i % 4 == 0).groupBy(F.floor(i / 400)).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one("answer")), ","), F.lit("]")).alias("value"))
+    raw = F.to_json(F.array(F.concat(i.cast("string"), F.lit("\n"), F.col("text"))))
+    lines = arrays.select("value").union(docs.where(i % 4 == 1).select(one("answer"))).union(docs.where(i % 4 == 2).select(one("content"))).union(docs.where(i % 4 == 3).select(raw))
+    lines.write.text(path)
     read = S.load_json_archive(spark, path, "doc_id long, answer string, content string, source string", {"body": ["answer", "content"]})
-    return read.select("doc_id", F.substring("body", 1, 40).alias("title"), F.md5("body").alias("body_md5"), F.coalesce("source", F.lit("unknown")).alias("source"))
+    body = F.coalesce("body", F.substring("raw", F.instr("raw", "\n") + 1, F.length("raw")))
+    return read.select(F.coalesce("doc_id", F.substring_index("raw", "\n", 1).cast("long")).alias("doc_id"), F.col("raw").isNotNull().alias("is_raw"), F.substring(body, 1, 40).alias("title"), F.md5(body).alias("body_md5"), F.coalesce("source", F.lit("unknown")).alias("source"))
 
 
 @query("seed_insert_ignore", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE 'new' END AS origin, n_chars FROM documents")
@@ -75,11 +81,11 @@ def write_dedup_json(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("doc_id long, text_md5 string").json(path)
 
 
-@query("export_index_table", r"SELECT doc_id, lang, len(list_filter(regexp_split_to_array(lower(substr(text, 1, 3000)), '[^a-z0-9\x{80}-\x{10ffff}]+'), lambda w: w <> '')) AS n_tokens FROM documents")
+@query("export_index_table", r"SELECT doc_id, lang, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\x{80}-\x{10ffff}]+'), lambda w: w <> '')) AS n_tokens FROM documents")
 def export_index_table(spark: SparkSession, d: str) -> DataFrame:
     path = S.scratch_dir(spark, "index")
-    words = X.tokens(F.lower(F.substring("text", 1, 3000)), pattern=r"[^a-z0-9\x{80}-\x{10ffff}]+")
-    S.export_partitioned(table(spark, d, "documents").select("doc_id", "lang", words.alias("tokens")), path, "lang")
+    words = X.tokens(F.lower("text"), pattern=r"[^a-z0-9\x{80}-\x{10ffff}]+")
+    S.export_partitioned(table(spark, d, "documents").select("doc_id", "lang", words.alias("tokens")), path, "lang", "doc_id")
     return spark.read.schema("doc_id long, tokens array<string>, lang string").parquet(path).select("doc_id", "lang", F.size("tokens").cast("long").alias("n_tokens"))
 
 
@@ -93,13 +99,16 @@ def chunk_export(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "facet_filter",
-    """WITH q AS (SELECT item_id, CASE WHEN item_id % 3 > 0 THEN 'src' || (item_id % 20) END AS want_source, CASE WHEN item_id % 3 <> 1 THEN 'en' END AS want_lang FROM benchmark)
-SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM q JOIN documents d ON (want_source IS NULL OR want_source = d.source) AND (want_lang IS NULL OR want_lang = d.lang) GROUP BY item_id""",
+    """WITH q AS (SELECT item_id, CASE item_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'All' WHEN 2 THEN '' ELSE 'src' || (item_id % 20) END AS want_source, CASE WHEN item_id % 3 = 0 THEN 'All' WHEN item_id % 3 = 1 THEN 'en' END AS want_lang FROM benchmark)
+SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM q JOIN documents d ON (coalesce(want_source, '') IN ('', 'All') OR want_source = d.source) AND (coalesce(want_lang, '') IN ('', 'All') OR want_lang = d.lang) GROUP BY item_id""",
 )
 def facet_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Documents are counted by their values first, so that a query without a filter meets those and not all documents."""
     i = F.col("item_id")
-    queries = table(spark, d, "benchmark").select(i, F.when(i % 3 > 0, F.concat(F.lit("src"), (i % 20).cast("string"))).alias("want_source"), F.when(i % 3 != 1, "en").alias("want_lang"))
-    return P.match_filters(queries, table(spark, d, "documents").select("doc_id", "source", "lang"), ["source", "lang"]).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    source = F.when(i % 5 == 1, "All").when(i % 5 == 2, "").when(i % 5 > 2, F.concat(F.lit("src"), (i % 20).cast("string")))
+    queries = table(spark, d, "benchmark").select(i, source.alias("want_source"), F.when(i % 3 == 0, "All").when(i % 3 == 1, "en").alias("want_lang"))
+    values = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    return P.match_filters(queries, values, ["source", "lang"]).groupBy("item_id").agg(F.sum("n").alias("n"), F.min("first_doc").alias("first_doc"))
 
 
 @query("ci_substring_filter", "SELECT doc_id, lang FROM documents WHERE lower(text) LIKE '%license%' OR lower(source) LIKE '%license%'")
@@ -161,18 +170,17 @@ def validate_records(spark: SparkSession, d: str) -> DataFrame:
     return P.validate(table(spark, d, "documents"), rules).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-_PRIVATE_SQL = r"'^(localhost|127\..*|0\.0\.0\.0|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|metadata\..*|.*\.local)$'"
-
-
 @query(
     "safe_public_url",
-    rf"""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'http://127.0.0.1/x' WHEN 1 THEN 'ftp://a.example/' WHEN 2 THEN 'https://172.20.1.1/' ELSE url END AS url FROM pages),
-h AS (SELECT *, lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host FROM u)
-SELECT page_id, regexp_matches(url, '^(?i:https?)://') AND host <> '' AND NOT regexp_matches(host, {_PRIVATE_SQL}) AS safe FROM h""",
+    r"""WITH u AS (SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'http://127.0.0.1/x' WHEN 1 THEN 'ftp' || substr(url, strpos(url, ':')) WHEN 2 THEN 'https://172.20.1.1/' WHEN 3 THEN 'http://[::1]/' WHEN 4 THEN 'http://0.1.2.3/' ELSE url END AS url FROM pages),
+h AS (SELECT *, lower(trim(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)', 1), '[]')) AS host, TRY_CAST(regexp_extract(url, '//(\d+)\.', 1) AS INTEGER) AS a, TRY_CAST(regexp_extract(url, '//\d+\.(\d+)\.', 1) AS INTEGER) AS b FROM u)
+SELECT page_id, (starts_with(lower(url), 'http://') OR starts_with(lower(url), 'https://')) AND host NOT IN ('', 'localhost', '::1', 'metadata.google.internal')
+  AND NOT coalesce(regexp_full_match(host, '\d+(\.\d+){3}') AND (a IN (0, 10, 127) OR (a = 169 AND b = 254) OR (a = 192 AND b = 168) OR (a = 172 AND b BETWEEN 16 AND 31)), false) AS safe FROM h""",
 )
 def safe_public_url(spark: SparkSession, d: str) -> DataFrame:
-    m = F.col("page_id") % 5
-    url = F.when(m == 0, "http://127.0.0.1/x").when(m == 1, "ftp://a.example/").when(m == 2, "https://172.20.1.1/").otherwise(F.col("url"))
+    """The tables' own addresses are all public; five in twelve are made unsafe in one way or another."""
+    m = F.col("page_id") % 12
+    url = F.when(m == 0, "http://127.0.0.1/x").when(m == 1, F.concat(F.lit("ftp"), F.regexp_extract("url", "(:.*)", 1))).when(m == 2, "https://172.20.1.1/").when(m == 3, "http://[::1]/").when(m == 4, "http://0.1.2.3/").otherwise(F.col("url"))
     return table(spark, d, "pages").select("page_id", P.is_safe_public_url(url).alias("safe"))
 
 
@@ -276,10 +284,17 @@ def delete_by_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _unsafe_sql() -> str:
+    """Written out pass by pass from the lists of what is unsafe."""
+    steps = []
+    for e in X.UNSAFE_ELEMENTS:
+        steps += [f"(?is)<{e}\\b.*?</{e}>", f"(?i)</?{e}\\b[^>]*>"]
+    steps.append("(?i)</?(?:base|meta|link|form|input|button|textarea|select)\\b[^>]*>")
+    steps.append("(?i)\\bon\\w+\\s*=\\s*(?:''[^'']*''|\"[^\"]*\"|[^\\s>]+)")
+    steps += [f"(?i){a}[^\"''\\s]*" for a in ("javascript:", "vbscript:", "data:(?:text/html|image/svg\\+xml)")]
     out = "html"
     for _ in range(5):
-        for pattern, new in X.UNSAFE:
-            out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{new}', 'g')"
+        for step in steps:
+            out = f"regexp_replace({out}, '{step}', '', 'g')"
     return out
 
 
@@ -328,8 +343,8 @@ def split_qa_text(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "make_slug",
     r"""WITH t AS (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(substr(string_split(text, chr(10))[1], 1, 120), '<[^>]*>', '', 'g')), '[^\pL\pM\pN]+', '-', 'g'), '-') AS s, sha256(text) AS h FROM documents),
-c AS (SELECT doc_id, h, CASE WHEN length(s) <= 70 THEN s ELSE regexp_replace(substr(s, 1, 70), '-[^-]*$', '') END AS s FROM t)
-SELECT doc_id, CASE WHEN s <> '' THEN s || '-' ELSE '' END || substr(h, 1, 8) AS slug FROM c""",
+c AS (SELECT doc_id, h, s, list_max(list_filter(range(21, 71), lambda i: substr(s, i + 1, 1) = '-')) AS cut FROM t)
+SELECT doc_id, CASE WHEN s = '' THEN h ELSE CASE WHEN length(s) <= 70 THEN s WHEN cut IS NOT NULL THEN substr(s, 1, cut) ELSE rtrim(substr(s, 1, 70), '-') END || '-' || substr(h, 1, 8) END AS slug FROM c""",
 )
 def make_slug(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.slug(X.title_of(F.col("text")), F.sha2("text", 256)).alias("slug"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.operators import analytics as A
-from quillspark.plans.analytics import S_SQL
+from quillspark.plans.analytics import RATE_SQL, S_SQL
 from quillspark.plans.registry import query, table
 from quillspark.sources.files import scratch_dir
 from quillspark.streaming import jobs
@@ -29,7 +29,7 @@ def sync_since(spark: SparkSession, d: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Validated, hashed and upserted by hash as batches come."""
     rows = stream(spark, d, "documents").where(F.length("text") >= 20).select(X.content_hash(F.col("text")).alias("hash"), "doc_id")
-    return jobs.upsert_stream(rows, scratch_dir(spark, "ingest"), "hash")
+    return jobs.table_of(rows, scratch_dir(spark, "ingest"), ["hash"])
 
 
 @query("stream_visitor_state", "SELECT user_id, CAST(min(ts) AS VARCHAR) AS first_seen, CAST(max(ts) AS VARCHAR) AS last_seen, count(*) AS views, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id")
@@ -37,22 +37,25 @@ def stream_visitor_state(spark: SparkSession, d: str) -> DataFrame:
     return jobs.visitor_state(stream(spark, d, "events"), scratch_dir(spark, "visitors")).withColumns({c: F.col(c).cast("string") for c in ("first_seen", "last_seen")})
 
 
-@query("stream_active_users")
+@query("stream_active_users", "WITH w AS (SELECT time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR * back AS start, user_id FROM events, (VALUES (0), (1)) AS b(back)) SELECT CAST(start AS VARCHAR) AS start, count(DISTINCT user_id) AS visitors FROM w GROUP BY ALL")
 def stream_active_users(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.run(jobs.active_users(stream(spark, d, "events"), "1 day", "12 hours", "1 hour"), scratch_dir(spark, "active"))
+    return jobs.active_users(stream(spark, d, "events"), scratch_dir(spark, "active"), "1 day", "12 hours", "1 hour").withColumn("start", F.col("start").cast("string"))
 
 
-@query("click_attribution", "SELECT v.event_id, arg_max(c.event_id, (c.ts, c.event_id)) AS last_click, count(*) AS n_clicks FROM events v JOIN events c ON v.event_type = 'view' AND c.event_type = 'click' AND c.user_id = v.user_id AND c.ts > v.ts AND c.ts <= v.ts + INTERVAL 30 MINUTE GROUP BY v.event_id")
+@query("click_attribution", "SELECT v.event_id, arg_max(c.event_id, (c.ts, c.event_id)) AS last_click, count(c.event_id) AS n_clicks FROM events v LEFT JOIN events c ON c.event_type = 'click' AND c.user_id = v.user_id AND c.ts > v.ts AND c.ts <= v.ts + INTERVAL 30 MINUTE WHERE v.event_type = 'view' GROUP BY v.event_id")
 def click_attribution(spark: SparkSession, d: str) -> DataFrame:
+    """All views, with the last click in time: pairs come from a stream-stream join, views without one from the table."""
     e = stream(spark, d, "events")
     found = jobs.attribute_clicks(e.where("event_type = 'view'"), stream(spark, d, "events").where("event_type = 'click'"), "30 minutes", "1 hour")
     pairs = jobs.run(found, scratch_dir(spark, "clicks"))
-    return pairs.groupBy("event_id").agg(F.max_by("click_id", F.struct("click_ts", "click_id")).alias("last_click"), F.count("*").alias("n_clicks"))
+    last = pairs.groupBy("event_id").agg(F.max_by("click_id", F.struct("click_ts", "click_id")).alias("last_click"), F.count("*").alias("n"))
+    views = table(spark, d, "events").where("event_type = 'view'").select("event_id")
+    return views.join(last, "event_id", "left").select("event_id", "last_click", F.coalesce("n", F.lit(0)).alias("n_clicks"))
 
 
-@query("stream_rate_flags")
+@query("stream_rate_flags", RATE_SQL)
 def stream_rate_flags(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.run(jobs.rate_flags(stream(spark, d, "events"), "6 hours", 2, "1 hour"), scratch_dir(spark, "rates"))
+    return jobs.rate_flags(stream(spark, d, "events"), scratch_dir(spark, "rates"), "6 hours", 2, "1 hour").withColumn("start", F.col("start").cast("string"))
 
 
 @query("stream_zero_results", f"WITH {S_SQL} SELECT sha256(lower(query)) AS query_hash, substr(sha256(CAST(user_id AS VARCHAR) || 'salt'), 1, 32) AS session_hash FROM s WHERE result_count = 0")

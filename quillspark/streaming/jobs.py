@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.operators import analytics as A
 from quillspark.operators import ingest as I
+from quillspark.sources.files import stored
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -29,45 +30,59 @@ def run(stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
-def run_batches(stream: DataFrame, out: str, step: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+#: Buckets of keys of a table that a stream writes; a batch rewrites those that it has rows for.
+BUCKETS = 32
 
 
-def upsert_stream(stream: DataFrame, out: str, key: str) -> DataFrame:
-    """A table by key, a snapshot folder per batch: a batch that runs again writes the same folder anew."""
-    spark = stream.sparkSession
-    done: list[str] = []
+def latest(spark: SparkSession, out: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """The table that batches have written below `out`: of each bucket its newest version, from storage alone, so that a stream that
+    is started again goes on where it was. Before any batch it is empty."""
+    full = T.StructType([*schema, T.StructField("version", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
+    try:
+        rows = spark.read.schema(full).parquet(f"{out}/rows")
+    except AnalysisException:  # no batch has written yet
+        return spark.createDataFrame([], full)
+    if before is not None:
+        rows = rows.where(F.col("version") < before)
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))  # a row per bucket
+    return rows.join(F.broadcast(newest), ["bucket", "version"])
 
-    def step(batch: DataFrame, number: int) -> None:
-        rows = I.dedup_first(batch, [key], [F.col(c) for c in batch.columns])
-        new = I.upsert(spark.read.schema(stream.schema).parquet(done[-1]), rows, key) if done else rows
-        new.write.mode("overwrite").parquet(f"{out}/v{number}")
-        done.append(f"{out}/v{number}")
 
-    run_batches(stream, out, step)
-    return spark.read.schema(stream.schema).parquet(done[-1])
+def table_of(stream: DataFrame, out: str, key: list[str], mode: str = "append") -> DataFrame:
+    """The last row of each key that a stream has given, as a table that is upserted batch by batch.
 
-
-def visitor_state(stream: DataFrame, out: str) -> DataFrame:
-    """The visitor table as of the last batch, of a streaming aggregate in complete mode."""
-    done: list[str] = []
+    A batch reads and rewrites the buckets of its own keys only, as a version of their own; a batch that is run again writes the
+    same version anew. Of rows of one key in a batch the first by all columns counts.
+    """
+    spark, names = stream.sparkSession, stream.columns
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/v{number}")
-        done.append(f"{out}/v{number}")
+        rows = stored(I.dedup_first(batch, key, [F.col(c) for c in names]).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")), "batch")
+        touched = F.broadcast(rows.select("bucket").distinct())
+        old = latest(spark, out, stream.schema, number).join(touched, "bucket", "left_semi").join(rows.select(*key), key, "left_anti")
+        new = old.select(*names, "bucket").unionByName(rows.select(*names, "bucket")).withColumn("version", F.lit(number))
+        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(f"{out}/rows")
 
-    run_batches(A.visitor_rollup(stream), out, step, "complete")
-    return stream.sparkSession.read.parquet(done[-1])
+    stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return latest(spark, out, stream.schema).select(*names)
+
+
+def visitor_state(stream: DataFrame, out: str) -> DataFrame:
+    """The visitor table: a streaming aggregate gives the visitors that a batch changed, and these are upserted."""
+    return table_of(A.visitor_rollup(stream), out, ["user_id"], "update")
 
 
-def active_users(stream: DataFrame, width: str, slide: str, late: str) -> DataFrame:
-    """Distinct visitors per sliding window; append mode emits a window once its watermark has passed."""
-    w = stream.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w")).agg(F.approx_count_distinct("user_id", 0.01).alias("visitors"))
-    return w.select(F.col("w.start").alias("start"), "visitors")
+def active_users(stream: DataFrame, out: str, width: str, slide: str, late: str) -> DataFrame:
+    """Distinct visitors per sliding window. The state has a row per window and visitor until the watermark has passed; windows come out as they change, so that the last ones are there too."""
+    seen = stream.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    per = table_of(seen.select(F.col("w.start").alias("start"), "user_id", "n"), out, ["start", "user_id"], "update")
+    return per.groupBy("start").agg(F.count("*").alias("visitors"))
 
 
-def rate_flags(stream: DataFrame, width: str, limit: int, late: str) -> DataFrame:
-    return A.window_counts(stream.withWatermark("ts", late), "user_id", "ts", width, limit)
+def rate_flags(stream: DataFrame, out: str, width: str, limit: int, late: str) -> DataFrame:
+    """Windows of a user with more than `limit` events, as far as events have come."""
+    counts = A.window_counts(stream.withWatermark("ts", late), "user_id", "ts", width, limit)
+    return table_of(counts, out, ["user_id", "start"], "update")
 
 
 def attribute_clicks(views: DataFrame, clicks: DataFrame, within: str, late: str) -> DataFrame:

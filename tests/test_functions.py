@@ -2,9 +2,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.operators import analytics as A
 from quillspark.operators import filters as P
 from quillspark.operators import ingest as I
 from quillspark.operators import retrieval as R
+from quillspark.sources import files as S
 
 
 def one(spark, col):
@@ -31,11 +33,108 @@ def test_sanitize_takes_out_what_taking_out_brings_forth(spark):
     assert "script" not in out and "onclick" not in out
 
 
-@pytest.mark.parametrize(("url", "safe"), [("https://example.org/a", True), ("http://localhost/", False), ("http://10.1.2.3/", False), ("http://169.254.169.254/x", False), ("ftp://example.org", False), ("nonsense", False), (None, False)])
+@pytest.mark.parametrize(
+    ("html", "clean"),
+    [
+        ("<img/onerror=alert(1)>", "<img/>"),
+        ("<form action=x>a</form><button>b</button>", "ab"),
+        ('<a href="javascript:alert(1)">c</a>', '<a href="">c</a>'),
+        ("<script>a<b</script>d<style>e</style>", "d"),
+        ("<svg><iframe></svg>f</iframe>g</svg>", "g"),
+        ("<a href='data:text/html;x'>g</a><b>data: h</b>", "<a href=''>g</a><b>data: h</b>"),
+        (" plain ", "plain"),
+        (None, None),
+    ],
+)
+def test_sanitize(spark, html, clean):
+    assert one(spark, X.sanitize(F.lit(html).cast("string"))) == clean
+
+
+SAFE = ["https://example.org/a", "http://sub.example.org:8080/article/456", "https://deenqna.org", "http://10.example.org/", "http://172.32.0.1/", "http://user:x@example.org/"]
+UNSAFE = [
+    "http://localhost:3000", "http://127.0.0.1:8080/admin", "http://127.0.0.2", "http://0.0.0.0", "http://0.1.2.3/", "http://[::1]", "http://[::1]:80/x", "http://169.254.169.254/latest/meta-data",
+    "http://169.254.1.1/", "http://metadata.google.internal/computeMetadata/v1/", "http://10.0.0.1/internal", "http://172.16.0.1", "http://172.31.255.255", "http://192.168.1.1/router", "http://user@192.168.0.254/",
+    "http://2130706433/", "http://127.1/", "http://0x7f.1/", "file:///etc/passwd", "ftp://ftp.example.com/file.txt", "gopher://gopher.example.com", "javascript:alert(1)", "", "not-a-valid-url", "http://", None,
+]
+
+
+@pytest.mark.parametrize(("url", "safe"), [(u, True) for u in SAFE] + [(u, False) for u in UNSAFE])
 def test_safe_url(spark, url, safe):
     assert one(spark, P.is_safe_public_url(F.lit(url).cast("string"))) is safe
 
 
+def test_filters_that_are_none(spark):
+    q = spark.createDataFrame([(1, "a", None), (2, None, None), (3, "All", ""), (4, "a", "x"), (5, "b", "y")], "q int, want_s string, want_l string")
+    d = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), (None, "x")], "s string, l string")
+    got = sorted((r.q, r.s, r.l) for r in P.match_filters(q, d, ["s", "l"]).select("q", "s", "l").collect() if r.s is not None)
+    assert got == [(1, "a", "x"), (1, "a", "y"), *((i, s, k) for i in (2, 3) for s, k in (("a", "x"), ("a", "y"), ("b", "x"))), (4, "a", "x")]
+
+
+@pytest.mark.parametrize(("day", "week"), [("2024-01-01", "2024-W01"), ("2024-01-06", "2024-W02"), ("2024-01-07", "2024-W01"), ("2024-03-15", "2024-W12"), ("2024-12-31", "2024-W53"), ("2023-12-31", "2023-W53")])
+def test_week(spark, day, week):
+    from datetime import date
+    from math import ceil
+
+    d = date.fromisoformat(day)
+    js_weekday, since = (d.weekday() + 1) % 7, (d - date(d.year, 1, 1)).days
+    assert f"{d.year}-W{ceil((js_weekday + 1 + since) / 7):02d}" == week  # what the rule says
+    assert one(spark, A.week_id(F.lit(day).cast("date"))) == week
+
+
+AGENTS = [
+    ("Mozilla/5.0 (iPad; CPU OS 16_0 like Mac OS X) Safari/604", ("Tablet", "macOS", "Safari")),
+    ("Mozilla/5.0 (Linux; Android 13; SM-X700) Chrome/119", ("Tablet", "Android", "Chrome")),
+    ("Mozilla/5.0 (Linux; Android 14) Chrome/120 Mobile", ("Mobile", "Android", "Chrome")),
+    ("Opera/9.80 (Windows NT 6.1) Presto OPR/12", ("Desktop", "Windows", "Opera")),
+    ("Mozilla/5.0 (Windows NT 10.0) Chrome/120 Edg/120", ("Desktop", "Windows", "Edge")),
+    ("Mozilla/5.0 (iPhone) FxiOS/1", ("Mobile", "iOS", "Firefox")),
+    ("curl/8", ("Desktop", "Unknown", "Chrome")),
+    ("", ("Desktop", "Unknown", "Unknown")),
+    (None, ("Desktop", "Unknown", "Unknown")),
+]
+
+
+@pytest.mark.parametrize(("agent", "want"), AGENTS)
+def test_user_agents(spark, agent, want):
+    cols = A.parse_user_agent(F.lit(agent).cast("string"))
+    assert tuple(spark.range(1).select(*cols.values()).first()) == want
+
+
+@pytest.mark.parametrize(
+    ("title", "want"),
+    [("<b>One</b> two, three!", "one-two-three-k1234567"), ("প্রশ্ন (৩২/৪৭২) : এক দুই", "এক-দুই-k1234567"), ("a" * 80, "a" * 70 + "-k1234567"), ("ab " * 30, "-".join(["ab"] * 23) + "-k1234567"), ("short " + "b" * 90, "short-" + "b" * 64 + "-k1234567"), ("!!", "k123456789"), (None, "k123456789")],
+)
+def test_slug(spark, title, want):
+    assert one(spark, X.slug(F.lit(title).cast("string"), F.lit("k123456789"))) == want
+
+
+def test_archives_of_all_layouts(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n  {"q": "one",\n   "body": "1"},\n  "raw text",\n  {"answer": "2", "body": null}\n]')
+    (tmp_path / "b.json").write_text('{"q": "single",\n "answer": "3"}\n')
+    (tmp_path / "c.json").write_text("{broken")
+    got = S.load_json_archive(spark, f"file://{tmp_path}/*.json", "q string, answer string, body string", {"text": ["answer", "body"]}, whole=True)
+    assert sorted(((r.origin, r.raw, r.q, r.text) for r in got.collect()), key=str) == [("a.json", "raw text", None, None), ("a.json", None, "one", "1"), ("a.json", None, None, "2"), ("b.json", None, "single", "3")]
+
+
+def test_searches_find_clicks_in_time(spark):
+    import random
+
+    from datetime import datetime, timedelta
+
+    rng, t0 = random.Random(1), datetime(2024, 1, 1)
+    rows = [(i, t0 + timedelta(seconds=rng.randrange(0, 20000) * rng.choice([1, 9])), rng.randrange(3), rng.choice(["view", "click"]), 1.0, f'{{"k": {rng.randrange(50)}}}') for i in range(400)]
+    rows += [(900, t0, 9, "view", 1.0, '{"k": 1}'), (901, t0 + timedelta(minutes=30), 9, "click", 1.0, '{"k": 1}'), (902, t0, 8, "view", 1.0, '{"k": 1}'), (903, t0, 8, "click", 1.0, '{"k": 1}')]
+    e = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    want = {r[0] for r in rows if r[3] == "view" and any(c[3] == "click" and c[2] == r[2] and r[1] < c[1] <= r[1] + timedelta(minutes=30) for c in rows)}
+    got = A.searches(e).collect()
+    assert len(got) == sum(r[3] == "view" for r in rows) and {r.event_id for r in got if r.clicked_position is not None} == want and 900 in want and 902 not in want
+
+
+@pytest.mark.parametrize(("part", "whole", "places", "want"), [(1, 8, 2, 0.13), (247, 20, 1, 12.4), (0, 5, 2, 0.0), (5, 0, 2, None), (10**15 + 5, 10, 0, 10**14 + 1)])
+def test_ratio_rounds_half_up(spark, part, whole, places, want):
+    assert one(spark, A.ratio(F.lit(part).cast("long"), F.lit(whole).cast("long"), places)) == want
+
+
 def ranked(spark, docs):
     return spark.createDataFrame([(1, d, i + 1) for i, d in enumerate(docs)], "query_id long, doc_id string, rank int")
 
