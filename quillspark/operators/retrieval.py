@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 
+# What a field's words weigh in BM25, and what a weight class counts in cover density (title, tags, category, body).
+BM25_WEIGHTS = {"A": 5.0, "B": 1.0, "C": 1.0, "D": 1.0}
+CLASS_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
+
 
 def token_table(df: DataFrame, id_col: str, col: Column, stop: list[str] = ()) -> DataFrame:
     """(id, pos, term), pos from 1."""
     return df.select(id_col, F.posexplode_outer(X.tokens(F.lower(col), stop)).alias("p", "term")).where("term IS NOT NULL").select(id_col, (F.col("p") + 1).cast("long").alias("pos"), "term")
 
 
+def field_tokens(df: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
+    """(id, field, pos, term) of several fields, laid out one after the other: places go on from field to field."""
+    words = df.select(id_col, *[F.coalesce(X.tokens(F.lower(c)), F.array().cast("array<string>")).alias(f"_{f}") for f, c in fields.items()])
+    ends, total = [], F.lit(0)
+    for f in fields:
+        total = total + F.size(f"_{f}")
+        ends.append((f, total))
+    field = reduce(lambda held, e: F.when(F.col("p") < e[1], e[0]).otherwise(held), reversed(ends[:-1]), F.lit(ends[-1][0]))
+    return words.select("*", F.posexplode_outer(F.concat(*[F.col(f"_{f}") for f in fields])).alias("p", "term")).where("term IS NOT NULL").select(id_col, field.alias("field"), (F.col("p") + 1).alias("pos"), "term")
+
+
 def build_postings(tokens: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, first) per document; a task sums up its own tokens before the shuffle."""
-    return tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.min("pos").alias("first"))
+    """(term, doc_id, field, tf, first, positions): a document's places of a term are one row per field."""
+    return tokens.groupBy("term", "doc_id", "field").agg(F.count("*").alias("tf"), F.min("pos").alias("first"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+@dataclass
+class Index:
+    """What all retrieval starts from, built once: postings as build_postings gives them, lengths (doc_id, len), vocabulary (term, df)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    vocabulary: DataFrame
 
 
 def top_k(df: DataFrame, k: int, by: list[Column], part: list[str] = ["query_id"]) -> DataFrame:  # noqa: B006
@@ -29,8 +56,8 @@ def top_k(df: DataFrame, k: int, by: list[Column], part: list[str] = ["query_id"
 
 
 def hits(query_terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """Per query and document: how many of the query's groups match. query_terms: query_id, group_no, term."""
-    return query_terms.join(postings, "term").groupBy("query_id", "doc_id").agg(F.countDistinct("group_no").alias("n"), F.sum("tf").alias("tf"))
+    """Per query and document: how many of the query's groups match, how often, where first. query_terms: query_id, group_no, term."""
+    return query_terms.join(postings, "term").groupBy("query_id", "doc_id").agg(F.countDistinct("group_no").alias("n"), F.sum("tf").alias("tf"), F.min("first").alias("first"))
 
 
 def match_all(query_terms: DataFrame, postings: DataFrame) -> DataFrame:
@@ -43,15 +70,15 @@ def match_any(query_terms: DataFrame, postings: DataFrame, without: DataFrame |
     return found.join(without, ["query_id", "doc_id"], "left_anti") if without is not None else found
 
 
-def bm25(query_terms: DataFrame, postings: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score), rounded to six places. Corpus size and mean length are a one-row side table."""
-    lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    corpus = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    wanted = postings.join(query_terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+def bm25(query_terms: DataFrame, index: Index, weights: dict[str, float] = BM25_WEIGHTS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score), rounded to six places; a word counts as often as its field's weight. Corpus size and mean length are a one-row side table."""
+    corpus = index.lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
+    weight = reduce(lambda held, f: F.when(F.col("field") == f[0], f[1]).otherwise(held), weights.items(), F.lit(0.0))
+    terms = query_terms.select("query_id", "term").distinct()
+    wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id").agg(F.sum(weight * F.col("tf")).alias("tf"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    joined = query_terms.select("query_id", "term").distinct().join(wanted, "term").join(df, "term").join(lengths, "doc_id").crossJoin(F.broadcast(corpus))  # one row
+    joined = terms.join(index.vocabulary, "term").join(wanted, "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(corpus))  # one row
     return joined.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
@@ -61,14 +88,19 @@ def prefix_match(prefixes: DataFrame, vocabulary: DataFrame, key: int = 3) -> Da
     return p.join(vocabulary.select("term").distinct().withColumn("_k", F.substring("term", 1, key)), "_k").where(F.startswith("term", "prefix")).select("prefix", "term")
 
 
-def phrase_match(phrases: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(query_id, doc_id, n): documents with the words of a phrase (query_id, pos, term) one after the other.
+def phrase_match(phrases: DataFrame, index: Index, field: str = "D") -> DataFrame:
+    """(query_id, doc_id, n): documents with the words of a phrase (query_id, pos, term) one after the other in a field.
 
-    A token at place p that is a phrase's word number i speaks for the start p - i; a start that all words speak for is a match.
+    Only documents that have the phrase's rarest word are looked at. There a word's place minus its place in the phrase is a start
+    that it speaks for, and a start that all words speak for is a match.
     """
-    size = phrases.groupBy("query_id").agg(F.count("*").alias("size"))
-    starts = phrases.select("query_id", F.col("pos").alias("i"), "term").join(tokens, "term").groupBy("query_id", "doc_id", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("n"))
-    return starts.join(size, "query_id").where("n = size").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
+    known = phrases.join(index.vocabulary, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    size = known.groupBy("query_id").agg(F.count("*").alias("size"), F.min(F.struct("df", "pos", "term")).alias("rare")).where("rare.df > 0").select("query_id", "size", F.col("rare.pos").alias("rare_pos"), F.col("rare.term").alias("rare_term"))
+    own = index.postings.where(F.col("field") == field).select("term", "doc_id", "positions")
+    begun = size.join(own, F.col("rare_term") == F.col("term")).select("query_id", "doc_id", "size", F.transform("positions", lambda p: p - F.col("rare_pos")).alias("starts"))
+    words = begun.select("query_id", "doc_id", "size", "starts").join(phrases, "query_id").join(own, ["term", "doc_id"])
+    each = words.select("query_id", "doc_id", "size", F.explode(F.array_intersect("starts", F.transform("positions", lambda p: p - F.col("pos")))).alias("start"))
+    return each.groupBy("query_id", "doc_id", "size", "start").agg(F.count("*").alias("n")).where("n = size").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
 
 
 def trigrams(text: Column) -> Column:
@@ -77,30 +109,61 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, 3)))))
 
 
+def similarity_of(g: Column, h: Column) -> Column:
+    """Shared over all of two lists of distinct pieces; 0 where both are empty."""
+    common = F.size(F.array_intersect(g, h))
+    union = F.size(g) + F.size(h) - common
+    return F.round(F.when(union > 0, common / union).otherwise(0.0), 6)
+
+
 def trigram_similarity(queries: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """(query_id, doc_id, similarity) of titles: shared trigrams over all, by an inverted join on trigrams. Columns: (query_id, text), (doc_id, title)."""
+    """(query_id, doc_id, similarity) of titles, above `least`: shared trigrams over all. Columns: (query_id, text), (doc_id, title).
+
+    Two lists of m and n pieces that are so similar share at least a piece among the m - ceil(least m) + 1 rarest of the one and as
+    many of the other, so only those are joined: the most frequent pieces, which most titles have, bring no pairs together. Pairs
+    that differ too much in length are left out, and the others are compared in full.
+    """
     q = queries.select("query_id", trigrams(F.col("text")).alias("g"))
     t = docs.select("doc_id", trigrams(F.col("title")).alias("h"))
-    common = q.select("query_id", F.explode("g").alias("x")).join(t.select("doc_id", F.explode("h").alias("x")), "x").groupBy("query_id", "doc_id").agg(F.count("*").alias("c"))
-    sized = common.join(q.select("query_id", F.size("g").alias("m")), "query_id").join(t.select("doc_id", F.size("h").alias("n")), "doc_id")
-    return sized.withColumn("similarity", F.round(F.col("c") / (F.col("m") + F.col("n") - F.col("c")), 6)).where(F.col("similarity") > least).select("query_id", "doc_id", "similarity")
+    often = t.select(F.explode("h").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
+
+    def rarest(df: DataFrame, key: str, list_col: str) -> DataFrame:
+        each = df.select(key, F.size(list_col).alias("size"), F.explode(list_col).alias("x")).join(often, "x", "left")
+        placed = each.withColumn("i", F.row_number().over(W.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "x")))
+        return placed.where(F.col("i") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select(key, "size", "x")
+
+    a, b = rarest(q, "query_id", "g"), rarest(t, "doc_id", "h")
+    near = F.least(a["size"], b["size"]) >= least * F.greatest(a["size"], b["size"]) - 1e-9
+    pairs = a.join(b, a["x"] == b["x"]).where(near).select("query_id", "doc_id").distinct()
+    sized = pairs.join(q, "query_id").join(t, "doc_id").withColumn("similarity", similarity_of(F.col("g"), F.col("h")))
+    return sized.where(F.col("similarity") > least).select("query_id", "doc_id", "similarity")
+
+
+def covers(positions: np.ndarray, terms: np.ndarray, need: int) -> list[tuple[int, int]]:
+    """(first, last) index of each shortest stretch of sorted places that holds all of `need` terms."""
+    last: dict = {}
+    out, low = [], -1
+    for j, term in enumerate(terms):
+        last[term] = j
+        if len(last) == need and min(last.values()) > low:
+            low = min(last.values())
+            out.append((low, j))
+    return out
 
 
-def cover_density(matches: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): each shortest span that holds all of a query's words counts 1 / its length. matches: query_id, doc_id, pos, term, need.
+def cover_density(matches: DataFrame, weights: dict[str, float] = CLASS_WEIGHTS) -> DataFrame:
+    """(query_id, doc_id, score). matches: query_id, doc_id, pos, term, field, need.
 
-    One document's hits for one query are a group, which a document bounds.
+    Each shortest stretch that holds all of a query's words counts the harmonic mean of its words' class weights, over one more than
+    the words in between that are none of the query's. One document's hits for one query are a group, which a document bounds.
     """
 
     def score(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("pos")
-        last: dict[str, int] = {}
-        total, low = 0.0, -1
-        for pos, term in zip(g["pos"], g["term"], strict=True):
-            last[term] = pos
-            if len(last) == g["need"].iloc[0] and min(last.values()) > low:
-                low = min(last.values())
-                total += 1.0 / (pos - low + 1)
+        pos, inverse, total = g["pos"].to_numpy(), 1 / g["field"].map(weights).to_numpy(), 0.0
+        for i, j in covers(pos, g["term"].to_numpy(), g["need"].iloc[0]):
+            n = j - i + 1
+            total += n / inverse[i : j + 1].sum() / (1 + (pos[j] - pos[i]) - (n - 1))
         return pd.DataFrame({"query_id": [g["query_id"].iloc[0]], "doc_id": [g["doc_id"].iloc[0]], "score": [round(total, 6)]})
 
     return matches.groupBy("query_id", "doc_id").applyInPandas(score, "query_id long, doc_id long, score double").where("score > 0")
@@ -131,6 +194,36 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return pairs.withColumn("edits", F.levenshtein("query_term", "term", 1)).where("edits >= 0")
 
 
+def boosted(query_terms: DataFrame, postings: DataFrame, vocabulary: DataFrame, fuzzy: dict[str, float], exact: dict[str, float], begins: dict[str, float], least: int = 3) -> DataFrame:
+    """(query_id, doc_id, score): for each word of a query (query_id, term) and field, points for a word at most one edit from it, for
+    the word itself, and for one that begins with it (from `least` characters on)."""
+    terms = query_terms.select("term").distinct()
+    near = fuzzy_terms(terms, vocabulary).select(F.col("query_term").alias("word"), "term", F.lit("fuzzy").alias("clause"))
+    same = terms.select(F.col("term").alias("word"), "term", F.lit("exact").alias("clause"))
+    longer = prefix_match(terms.select(F.col("term").alias("prefix")), vocabulary, least).select(F.col("prefix").alias("word"), "term", F.lit("begins").alias("clause"))
+    points = [(c, f, p) for c, of in (("fuzzy", fuzzy), ("exact", exact), ("begins", begins)) for f, p in of.items()]
+    value = reduce(lambda held, x: F.when((F.col("clause") == x[0]) & (F.col("field") == x[1]), x[2]).otherwise(held), points, F.lit(0.0))
+    found = near.unionByName(same).unionByName(longer).join(postings.select("term", "doc_id", "field"), "term").select("word", "doc_id", "clause", value.alias("points"), "field").where("points > 0").distinct()
+    return query_terms.select("query_id", F.col("term").alias("word")).distinct().join(found, "word").groupBy("query_id", "doc_id").agg(F.sum("points").alias("score"))
+
+
+def rule_columns(words: DataFrame, postings: DataFrame, vocabulary: DataFrame, fields: list[str], far: int = 8) -> DataFrame:
+    """Columns to rank by, for each query and document: words found, typos (edits), proximity (words between one found word and the
+    next, `far` at most each), attribute (place of the best field in `fields`), exact (words found as they are).
+
+    words: query_id, term, i (place in the query). Of a word's forms in a document that with the fewest edits counts, then the first.
+    """
+    near = fuzzy_terms(words.select("term").distinct(), vocabulary)
+    rank = reduce(lambda held, x: F.when(F.col("field") == x[1], x[0]).otherwise(held), enumerate(fields), F.lit(len(fields)))
+    forms = words.join(near.withColumnRenamed("term", "form"), F.col("term") == F.col("query_term")).select("query_id", "i", F.col("term").alias("word"), F.col("form").alias("term"), "edits")
+    found = forms.join(postings.select("term", "doc_id", "field", "first"), "term").groupBy("query_id", "word", "i", "doc_id", "edits").agg(F.min("first").alias("place"), F.min(rank).alias("attr"))
+    best = found.groupBy("query_id", "word", "i", "doc_id").agg(F.min(F.struct("edits", "place", "attr")).alias("b")).select("query_id", "i", "doc_id", "b.*")
+    gap = F.least(F.lit(far), F.abs(F.lead("place").over(W.partitionBy("query_id", "doc_id").orderBy("i")) - F.col("place")))
+    return best.withColumn("gap", gap).groupBy("query_id", "doc_id").agg(
+        F.count("*").alias("words"), F.sum(F.col("edits").cast("long")).alias("typos"), F.coalesce(F.sum(F.col("gap").cast("long")), F.lit(0)).alias("proximity"), F.min("attr").alias("attribute"), F.count_if(F.col("edits") == 0).alias("exact")
+    )
+
+
 def rrf(a: DataFrame, b: DataFrame, k: int = 60, wa: float = 1.0, wb: float = 1.0) -> DataFrame:
     """Two ranked lists (query_id, doc_id, rank) as one: weight / (k + rank) of each, ties to the better rank in the first."""
     both = a.select("query_id", "doc_id", F.col("rank").alias("ra")).join(b.select("query_id", "doc_id", F.col("rank").alias("rb")), ["query_id", "doc_id"], "full_outer")
@@ -145,38 +238,79 @@ def interleave(ranked: DataFrame, by: str, order: list[str], score: list[Column]
     return ranked.withColumn("turn", turn).withColumn("rank", F.row_number().over(W.partitionBy(*part).orderBy("turn", place, by, *score)))
 
 
-def cosine(a: str, b: str) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.round(dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)), 6)
+#: Vectors that are compared with one another at once.
+BLOCK = 2048
 
 
-def _block_knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """One pass over the vectors for a block of queries that fits on the driver: a matrix product per batch, its k best per query."""
-    import numpy as np
+def _packed(rows: DataFrame, key: str, vector: str, codes: bool) -> DataFrame:
+    """Blocks of up to BLOCK rows: ids, dim, data. With `codes` a number is one byte, the largest of a vector being 127; else it is a double."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                v = np.stack(part.column("v").to_numpy(zero_copy_only=False)).astype(float)
+                if codes:
+                    v = np.round(v / np.maximum(np.abs(v).max(axis=1, keepdims=True), 1e-300) * 127).astype(np.int8)
+                ids = part.column("id").to_numpy().astype(np.int64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([v.shape[1]], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["ids", "dim", "data"])
+
+    return rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(pack, "ids binary, dim int, data binary")
 
-    bound = queries.select("query_id", "embedding").collect()
-    ids = np.array([r.query_id for r in bound], np.int64)
-    q = np.array([r.embedding for r in bound], float).reshape(len(bound), -1)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare(queries: DataFrame, vectors: DataFrame, k: int, codes: bool) -> DataFrame:
+    """(query_id, doc_id, score): of each block of vectors the k best for each query, by cosine of what is packed.
+
+    Queries are a stated set: each block of them meets each block of vectors, in tasks, and gives k rows per query at most.
+    """
+    q, v = (_packed(df, key, "embedding", codes) for df, key in ((queries, "query_id"), (vectors, "doc_id")))
+    blocks = v.crossJoin(q.withColumnsRenamed({"ids": "qids", "dim": "qdim", "data": "qdata"}))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.int8 if codes else np.float64
         for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            v = np.stack(batch["embedding"].to_numpy()).astype(float)
-            s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, 6)
-            doc = batch["doc_id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(doc, s.shape), -s), axis=1)[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "doc_id": doc[order.ravel()], "score": np.take_along_axis(s, order, 1).ravel()})
-
-    return vectors.select("doc_id", "embedding").mapInPandas(best, "query_id long, doc_id long, score double")
-
-
-def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """(query_id, doc_id, score, rank), exact by cosine. Queries are counted first and dealt by hash into blocks of about `block`, each of which makes one pass over the vectors."""
-    parts = -(-max(queries.count(), 1) // block)
-    found = [_block_knn(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p), vectors, k) for p in range(parts)]
-    return top_k(reduce(DataFrame.unionByName, found), k, [F.desc("score"), F.col("doc_id")])
+            for row in batch.to_pylist():
+                qid, doc = (np.frombuffer(row[c], np.int64) for c in ("qids", "ids"))
+                a, b = np.frombuffer(row["qdata"], kind).reshape(-1, row["qdim"]).astype(float), np.frombuffer(row["data"], kind).reshape(-1, row["dim"]).astype(float)
+                s = np.round(a @ b.T / np.sqrt(np.maximum(np.outer((a * a).sum(axis=1), (b * b).sum(axis=1)), 1e-300)), 6)
+                order = np.lexsort((np.broadcast_to(doc, s.shape), -s), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, order.shape[1])), pa.array(doc[order.ravel()]), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "doc_id", "score"])
+
+    found = blocks.mapInArrow(best, "query_id long, doc_id long, score double")
+    return top_k(found, k, [F.desc("score"), F.col("doc_id")])
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank), exact by cosine."""
+    return _compare(queries, vectors, k, codes=False)
+
+
+def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, rescored: int = 3) -> DataFrame:
+    """(query_id, doc_id, score, rank): codes of a byte per number find `rescored` times k candidates, and only their vectors are compared."""
+    near = _compare(queries, vectors, rescored * k, codes=True).select("query_id", "doc_id")
+    both = near.join(vectors.select("doc_id", F.col("embedding").alias("v")), "doc_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, e: s + e)
+    score = F.round(dot("q", "v") / F.sqrt(F.greatest(dot("q", "q") * dot("v", "v"), F.lit(1e-300))), 6)
+    return top_k(both.select("query_id", "doc_id", score.alias("score")), k, [F.desc("score"), F.col("doc_id")])
+
+
+def hashed_vectors(terms: DataFrame, key: str, count: Column, dim: int) -> DataFrame:
+    """(key, embedding): how often words of each of `dim` hash places occur; a stand-in for a model's vectors. terms: key, term."""
+    place = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % dim
+    per = terms.groupBy(key).agg(*[F.sum(F.when(place == i, count).otherwise(0)).cast("double").alias(f"_{i}") for i in range(dim)])
+    return per.select(key, F.array(*[F.col(f"_{i}") for i in range(dim)]).alias("embedding"))
+
+
+def fill_vectors(docs: DataFrame, vectors: DataFrame, encoder: Callable[[pd.Series], list], schema: str) -> DataFrame:
+    """(doc_id, vector): those that have one keep it, the others get what an encoder of a batch of texts gives; null where it fails."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "vector": encoder(b["text"])})
+
+    have = vectors.where(F.size("vector") > 0)
+    pending = docs.select("doc_id", "text").join(have, "doc_id", "left_anti")
+    return have.unionByName(pending.mapInPandas(encode, schema))
 
 
 def fit_dim(vector: Column, dim: int) -> Column:

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.operators import expansion as E
 from quillspark.operators import retrieval as R
 from quillspark.plans.ingest import QA_SQL, qa_pairs
 from quillspark.plans.registry import query, table
+from quillspark.sources.files import scratch_dir, stored
 
-# Small dictionaries for the corpus: stop words, suffixes in order, (variant, canonical), sound classes.
+# Small dictionaries for the corpus, which all operators take as arguments: stop words, suffixes in order, (variant, canonical).
 STOP = ["the", "of", "and", "to", "in", "is", "that", "it", "der", "die", "und", "de", "la", "le", "el", "que"]
 SUFFIXES = ["tion", "ing", "ed", "ly", "es", "er"]
 SYNONYMS = [("this", "that"), ("are", "is"), ("was", "is"), ("with", "from"), ("or", "and"), ("for", "to"), ("an", "a"), ("das", "der"), ("los", "el"), ("un", "le")]
 QUERY_WORDS = 8
+TITLE_SQL = "ti AS (SELECT doc_id, substr(string_split(text, chr(10))[1], 1, 120) AS title FROM documents)"
 
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"
 SYN_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SYNONYMS) + ") AS s(variant, canonical)"
@@ -29,12 +34,15 @@ def _tok(col: str) -> str:
 
 
 TOK_SQL = f"tok AS (SELECT doc_id, u.i AS pos, ws[u.i] AS term FROM (SELECT doc_id, {_tok('text')} AS ws FROM documents), LATERAL unnest(range(1, len(ws) + 1)) AS u(i))"
-POST_SQL = f"{TOK_SQL}, post AS (SELECT term, doc_id, count(*) AS tf, min(pos) AS first FROM tok GROUP BY ALL)"
+FTOK_SQL = f"""fa AS (SELECT doc_id, {_tok('substr(string_split(text, chr(10))[1], 1, 120)')} AS a, coalesce({_tok('source')}, []) AS b, coalesce({_tok('lang')}, []) AS c, {_tok('text')} AS d FROM documents),
+fw AS (SELECT doc_id, a || b || c || d AS w, len(a) AS na, len(a) + len(b) AS nb, len(a) + len(b) + len(c) AS nc FROM fa),
+ftok AS (SELECT doc_id, u.i AS pos, w[u.i] AS term, CASE WHEN u.i <= na THEN 'A' WHEN u.i <= nb THEN 'B' WHEN u.i <= nc THEN 'C' ELSE 'D' END AS field FROM fw, LATERAL unnest(range(1, len(w) + 1)) AS u(i))"""
+POST_SQL = f"{FTOK_SQL}, post AS (SELECT term, doc_id, count(*) AS tf, sum(CASE field WHEN 'A' THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END) AS wtf, min(pos) AS first FROM ftok GROUP BY ALL)"
 QW_SQL = f"qw AS (SELECT item_id AS query_id, {_tok('text')}[1:{QUERY_WORDS}] AS ws FROM benchmark)"
 QT_SQL = f"{QW_SQL}, qt AS (SELECT DISTINCT query_id, unnest(list_filter(ws, lambda w: w NOT IN {STOP_SQL})) AS term FROM qw)"
 BM25_SQL = f"""{POST_SQL}, {QT_SQL}, ln AS (SELECT doc_id, sum(tf) AS len FROM post GROUP BY doc_id), c AS (SELECT count(*) AS n, avg(len) AS mean FROM ln),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM qt JOIN post USING (term) JOIN df USING (term) JOIN ln USING (doc_id), c GROUP BY ALL)"""
+bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM qt JOIN post USING (term) JOIN df USING (term) JOIN ln USING (doc_id), c GROUP BY ALL)"""
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -55,8 +63,40 @@ def query_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.withColumn("group_no", F.xxhash64("term"))
 
 
+_BUILT: dict[tuple, str] = {}
+
+
+def index(spark: SparkSession, d: str) -> R.Index:
+    """The index of the documents' fields: title (A), source (B), language (C), whole text (D).
+
+    It is built and stored once for the files of a session, as all queries start from it; if its folder is gone it is built anew.
+    """
+    t = docs(spark, d)
+    key = (spark.sparkContext.applicationId, *sorted(t.inputFiles()))
+    fields = {"A": X.title_of(F.col("text")), "B": F.col("source"), "C": F.col("lang"), "D": F.col("text")}
+    schema = "term string, doc_id long, field string, tf long, first int, positions array<int>"
+
+    def parts(postings: DataFrame) -> R.Index:
+        lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+        return R.Index(postings, lengths, postings.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("df")))
+
+    if key in _BUILT:
+        try:
+            read = [spark.read.schema(kind).parquet(f"{_BUILT[key]}/{name}") for name, kind in (("postings", schema), ("lengths", "doc_id long, len long"), ("vocabulary", "term string, df long"))]
+            return R.Index(*read)
+        except AnalysisException:
+            del _BUILT[key]
+    path = scratch_dir(spark, "postings")
+    R.build_postings(R.field_tokens(t, "doc_id", fields)).write.parquet(f"{path}/postings")
+    built = parts(spark.read.schema(schema).parquet(f"{path}/postings"))
+    built.lengths.write.parquet(f"{path}/lengths")
+    built.vocabulary.write.parquet(f"{path}/vocabulary")
+    _BUILT[key] = path
+    return index(spark, d)
+
+
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return R.build_postings(doc_tokens(spark, d))
+    return index(spark, d).postings
 
 
 # --- text jobs ------------------------------------------------------------------------------------------
@@ -77,9 +117,11 @@ def normalize_text_web(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.md5(X.normalize(F.col("text"), apostrophes=False)).alias("norm_md5"))
 
 
-@query("fold_arabic", r"SELECT doc_id, translate(regexp_replace('أَحمد ' || CAST(doc_id AS VARCHAR) || ' هدى', '[\x{064b}-\x{065f}\x{0670}\x{0640}]', '', 'g'), 'آأإى', 'اااي') AS folded FROM documents")
+@query("fold_arabic", r"SELECT doc_id, md5(translate(regexp_replace(replace(replace(text, 'a', 'أَ'), 'e', 'ى'), '[\x{064b}-\x{065f}\x{0670}\x{0640}]', '', 'g'), 'آأإى', 'اااي')) AS folded_md5 FROM documents")
 def fold_arabic(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", X.fold_arabic(F.concat(F.lit("أَحمد "), F.col("doc_id").cast("string"), F.lit(" هدى"))).alias("folded"))
+    """The texts have no Arabic letters, so two of their letters are written as an Alif form with a vowel mark and as a final Ya."""
+    arabic = F.replace(F.replace(F.col("text"), F.lit("a"), F.lit("أَ")), F.lit("e"), F.lit("ى"))
+    return docs(spark, d).select("doc_id", F.md5(X.fold_arabic(arabic)).alias("folded_md5"))
 
 
 @query("tokenize", f"WITH t AS (SELECT doc_id, {_tok('text')} AS w FROM documents), r AS (SELECT *, list_filter(w, lambda x: x NOT IN {STOP_SQL}) AS k FROM t) SELECT doc_id, CASE WHEN len(k) > 0 THEN len(k) ELSE len(w) END AS n_tokens, md5(array_to_string(CASE WHEN len(k) > 0 THEN k ELSE w END, ' ')) AS tokens_md5 FROM r")
@@ -125,10 +167,11 @@ def expand_synonyms(spark: SparkSession, d: str) -> DataFrame:
 
 @query("process_tokens", f"WITH {TOK_SQL}, k AS (SELECT doc_id, pos, coalesce(canonical, {_STEM_SQL}) AS w FROM tok LEFT JOIN {SYN_SQL} ON term = variant WHERE term NOT IN {STOP_SQL}) SELECT doc_id, count(*) AS n, md5(string_agg(w, ' ' ORDER BY pos)) AS words_md5 FROM k GROUP BY doc_id")
 def process_tokens(spark: SparkSession, d: str) -> DataFrame:
-    mapping = F.create_map(*[F.lit(x) for pair in SYNONYMS for x in pair])
-    words = F.filter(X.tokens(F.lower("text")), lambda w: ~w.isin(*STOP))
-    done = F.transform(words, lambda w: F.coalesce(F.get(F.array(mapping[w]), 0), X.stem(w, SUFFIXES)))
-    return docs(spark, d).select("doc_id", done.alias("w")).where(F.size("w") > 0).select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ")).alias("words_md5"))
+    """Each distinct word is stemmed or replaced once, and joined to its places."""
+    tokens = doc_tokens(spark, d).where(~F.col("term").isin(*STOP))
+    terms = tokens.select("term").distinct().join(_synonyms(spark), F.col("term") == F.col("variant"), "left").select("term", F.coalesce("canonical", X.stem(F.col("term"), SUFFIXES)).alias("w"))
+    words = tokens.join(terms, "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("l"))  # a document's words
+    return words.select("doc_id", F.size("l").cast("long").alias("n"), F.md5(F.array_join(F.col("l.w"), " ")).alias("words_md5"))
 
 
 @query("script_profile", r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) AS latin, len(regexp_extract_all(text, '[\x{0980}-\x{09ff}]')) AS bengali, len(regexp_extract_all(text, '[\x{0600}-\x{06ff}]')) AS arabic FROM documents")
@@ -149,43 +192,103 @@ def classify_intent(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", intent.alias("intent"))
 
 
-#: Ordered rules of a romanisation: pairs of letters first, then single ones.
-_ROMAN = [("sh", "শ"), ("th", "থ"), ("ch", "চ"), ("kh", "খ"), ("an$", "ান"), ("^a", "আ"), ("a", "া"), ("e", "ে"), ("i", "ি"), ("o", "ো"), ("u", "ু"), ("n", "ন"), ("r", "র"), ("t", "ত"), ("d", "দ"), ("h", "হ"), ("l", "ল"), ("s", "স"), ("b", "ব"), ("m", "ম"), ("g", "গ")]
+# Stand-ins for the dictionaries of a romanised language: phrases, words with their outputs, inflections, letters.
+PHRASES = [("of the", "des"), ("in the", "im"), ("de la", "du")]
+ROMANISED = [("the", ["der", "el"]), ("that", ["que"]), ("re", ["ra", "ro"]), ("on", ["ono"]), ("th", ["tho", "thi"]), ("er", ["er"]), ("ti", ["tia"]), ("in", ["en"]), ("ha", ["ah"]), ("ea", ["aea"])]
+#: rule_no, suffix, characters taken off, what comes in their place, characters of the stem at least, ending, ending after a vowel.
+INFLECTIONS = [(1, "entions", 7, "", 2, "entos", "ntos"), (2, "ing", 3, "", 2, "ando", "ndo"), (3, "ed", 2, "", 2, "ado", "do"), (4, "en", 2, "", 2, "en", "n"), (5, "tion", 4, "", 2, "cion", "cion"), (6, "at", 1, "", 3, "t", "t"), (7, "le", 2, "a", 2, "", ""), (8, "le", 2, "wa", 2, "", ""), (9, "sh", 2, "", 2, "s", "s")]
+LETTERS = [("sh", "শ"), ("th", "থ"), ("ch", "চ"), ("kh", "খ"), ("an$", "ান"), ("^a", "আ"), ("a", "া"), ("e", "ে"), ("i", "ি"), ("o", "ো"), ("u", "ু"), ("n", "ন"), ("r", "র"), ("t", "ত"), ("d", "দ"), ("h", "হ"), ("l", "ল"), ("s", "স"), ("b", "ব"), ("m", "ম"), ("g", "গ")]
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    quoted = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"(VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) AS {names}"
 
 
-def _roman_sql(col: str) -> str:
-    for pattern, to in _ROMAN:
+def _letters_sql(col: str) -> str:
+    for pattern, to in LETTERS:
         col = f"regexp_replace({col}, '{pattern}', '{to}', 'g')"
     return col
 
 
-@query("transliterate", f"WITH {QW_SQL}, t AS (SELECT DISTINCT unnest(ws) AS term FROM qw) SELECT term, CASE WHEN canonical IS NOT NULL THEN 'dictionary' ELSE 'rules' END AS by, coalesce(canonical, {_roman_sql('term')}) AS output FROM t LEFT JOIN {SYN_SQL} ON term = variant")
+def _phrases_sql() -> str:
+    out = "' ' || array_to_string(ws, ' ') || ' '"
+    for phrase, to in PHRASES:
+        out = f"replace({out}, ' {phrase} ', ' {to} ')"
+    return f"string_split(trim({out}), ' ')"
+
+
+TRANS_SQL = f"""{QW_SQL}, pw AS (SELECT query_id, {_phrases_sql()} AS ps FROM qw), pt AS (SELECT query_id, u.i AS i, ps[u.i] AS term FROM pw, LATERAL unnest(range(1, len(ps) + 1)) AS u(i)),
+dict AS (SELECT * FROM {_values([(w, i + 1, o) for w, os in ROMANISED for i, o in enumerate(os)], "x(variant, alt, output)")}), words AS (SELECT DISTINCT term FROM pt),
+exact AS (SELECT term, 'dictionary' AS rule, alt, output FROM words JOIN dict ON term = variant),
+inf AS (SELECT term, rule_no, left(term, length(term) - off) || put AS stem, ending, vowel FROM words, {_values(INFLECTIONS, "r(rule_no, suffix, off, put, least, ending, vowel)")} WHERE ends_with(term, suffix) AND length(term) - off >= least AND term NOT IN (SELECT term FROM exact)),
+best AS (SELECT inf.* FROM inf WHERE stem IN (SELECT variant FROM dict) QUALIFY row_number() OVER (PARTITION BY term ORDER BY rule_no) = 1),
+infl AS (SELECT term, 'inflection' AS rule, alt, output || CASE WHEN regexp_matches(output, '[aeiou]$') THEN vowel ELSE ending END AS output FROM best JOIN dict ON stem = variant UNION ALL SELECT term, 'inflection', 100 + alt, output FROM best JOIN dict ON stem = variant),
+rest AS (SELECT term, 'letters' AS rule, 1 AS alt, {_letters_sql('term')} AS output FROM words WHERE term NOT IN (SELECT term FROM exact) AND term NOT IN (SELECT term FROM infl)),
+tr AS (SELECT * FROM exact UNION ALL SELECT * FROM infl UNION ALL SELECT * FROM rest), tf AS (SELECT term, rule, arg_min(output, alt) AS output FROM tr GROUP BY ALL),
+trq AS (SELECT query_id, string_agg(output, ' ' ORDER BY i) AS text FROM pt JOIN tf USING (term) GROUP BY query_id)"""
+
+
+def transliterated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Words of queries after phrases (query_id, i, term), and the outputs of their distinct words (term, rule, alt, output)."""
+    padded = F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" "))
+    for phrase, to in PHRASES:
+        padded = F.replace(padded, F.lit(f" {phrase} "), F.lit(f" {to} "))
+    placed = query_words(spark, d).select("query_id", F.posexplode(F.split(F.trim(padded), " ")).alias("i", "term"))
+    dictionary = spark.createDataFrame([(w, i + 1, o) for w, os in ROMANISED for i, o in enumerate(os)], "variant string, alt int, output string")
+    rules = spark.createDataFrame(INFLECTIONS, "rule_no int, suffix string, off int, put string, least int, ending string, vowel string")
+    return placed, E.transliterate(placed.select("term").distinct(), dictionary, rules, LETTERS)
+
+
+@query("transliterate", f"WITH {TRANS_SQL} SELECT query_id, trq.text AS main, (SELECT string_agg(DISTINCT output, '|' ORDER BY output) FROM pt JOIN tr USING (term) WHERE pt.query_id = trq.query_id) AS terms, (SELECT count(*) FROM pt JOIN tf USING (term) WHERE pt.query_id = trq.query_id AND rule = 'inflection') AS inflected FROM trq")
 def transliterate(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct tokens only: those of the dictionary by a join, the others by ordered letter rules."""
-    terms = query_words(spark, d).select(F.explode("ws").alias("term")).distinct().join(_synonyms(spark), F.col("term") == F.col("variant"), "left")
-    out = F.col("term")
-    for pattern, to in _ROMAN:
-        out = F.regexp_replace(out, pattern, to)
-    return terms.select("term", F.when(F.col("canonical").isNotNull(), "dictionary").otherwise("rules").alias("by"), F.coalesce("canonical", out).alias("output"))
+    placed, outputs = transliterated(spark, d)
+    sets = placed.join(outputs, "term").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("output")), "|").alias("terms"))
+    return E.transliterated_text(placed, outputs).withColumnRenamed("text", "main").join(sets, "query_id").select("query_id", "main", "terms", "inflected")
 
 
-_SOUND = ("bpvfckqgsxzdtmn", "111122222223344")
+# Sound classes of Latin letters, as an argument; the reference's are those of another script.
+SOUNDS = {**dict.fromkeys("bpvf", "P"), **dict.fromkeys("ckqg", "K"), **dict.fromkeys("szx", "S"), **dict.fromkeys("dt", "T"), **dict.fromkeys("mn", "N"), **dict.fromkeys("jy", "J"), "h": "", "w": "U"}
+HEADS = {"UJ": "OJ", "UR": "OR"}
 
 
-@query("phonetic_keys", f"WITH {QT_SQL} SELECT DISTINCT term, " + "".join(["regexp_replace("] * 5) + f"translate(term, '{_SOUND[0]}', '{_SOUND[1]}')" + "".join(f", '{c}+', '{c}', 'g')" for c in "12341") + " AS key FROM qt WHERE regexp_full_match(term, '[a-z]+')")
+def _sound_sql(word: str) -> str:
+    out = f"upper(translate({word}, '{''.join(k for k, v in SOUNDS.items() if v)}h', '{''.join(SOUNDS.values())}'))"
+    for c in "ABCDEFGIJKLMNOPQRSTUVWXYZ":
+        out = f"regexp_replace({out}, '{c}+', '{c}', 'g')"
+    for k, v in HEADS.items():
+        out = f"regexp_replace({out}, '^{k}', '{v}')"
+    return out
+
+
+def latin_words(text: Column) -> Column:
+    return F.filter(X.tokens(F.lower(text)), lambda w: w.rlike("^[a-z]+$"))
+
+
+def _keys_sql(text: str) -> str:
+    return f"list_distinct(list_filter(list_transform(list_filter({_tok(text)}, lambda w: regexp_full_match(w, '[a-z]+')), lambda w: {_sound_sql('w')}), lambda k: length(k) >= 2))"
+
+
+@query("phonetic_keys", f"WITH {TITLE_SQL} SELECT doc_id, array_to_string(list_sort({_keys_sql('title')}), ' ') AS keys FROM ti")
 def phonetic_keys(spark: SparkSession, d: str) -> DataFrame:
-    key = F.translate("term", *_SOUND)
-    for c in "1234":
-        key = F.regexp_replace(key, f"{c}+", c)
-    return query_terms(spark, d).where(F.col("term").rlike("^[a-z]+$")).select("term", key.alias("key")).distinct()
+    keys = X.phonetic_keys(latin_words(F.col("title")), SOUNDS, HEADS)
+    return titles(spark, d).select("doc_id", F.array_join(F.array_sort(keys), " ").alias("keys"))
 
 
-@query("rule_expand", "WITH r(rule_no, pattern, domain) AS (VALUES (1, 'license|terms', 'legal'), (2, '^(the|a) ', 'article'), (3, 'tion', 'abstract'), (4, '.', 'other')) SELECT item_id, arg_min(domain, rule_no) AS domain FROM benchmark, r WHERE regexp_matches(lower(text), pattern) GROUP BY item_id")
-def rule_expand(spark: SparkSession, d: str) -> DataFrame:
-    from quillspark.operators.ingest import first_rule
+#: rule_no, pattern, canonical form, domain, subject, aspect, keywords: stand-ins for rules of a domain. The first that fits counts.
+RULES = [(1, "(^| )(with|was)( |$)", "with what was", "state", "with", "was", "from that"), (2, "(^| )of .*the( |$)|(^| )the .*of( |$)", "of the whole", "part", "of", "the", "whole part rest are by at"), (3, "(^| )(de|la)( |$)", "de la langue", "romance", "de", "la", "les des"), (4, "(^| )(der|und)( |$)", "der und die", "german", "der", "und", "die den von")]
+RULE_SQL = f"ru AS (SELECT query_id, arg_min(canonical, rule_no) AS canonical, arg_min(domain, rule_no) AS domain, arg_min(subject, rule_no) AS subject, arg_min(aspect, rule_no) AS aspect, string_split(arg_min(keywords, rule_no), ' ') AS keywords FROM qw, {_values(RULES, 'r(rule_no, pattern, canonical, domain, subject, aspect, keywords)')} WHERE regexp_matches(array_to_string(ws, ' '), pattern) GROUP BY query_id)"
+
+
+def ruled(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, canonical, domain, subject, aspect, keywords (an array) of the queries that a rule fits."""
+    rules = spark.createDataFrame([(*r[:-1], r[-1].split()) for r in RULES], "rule_no int, pattern string, canonical string, domain string, subject string, aspect string, keywords array<string>")
+    return E.first_rules(query_words(spark, d).select("query_id", F.array_join("ws", " ").alias("text")), rules)
 
-    rules = [("license|terms", "legal"), ("^(the|a) ", "article"), ("tion", "abstract"), (".", "other")]
-    return table(spark, d, "benchmark").select("item_id", first_rule(F.lower("text"), rules, "none").alias("domain"))
+
+@query("rule_expand", f"WITH {QW_SQL}, {RULE_SQL} SELECT query_id, canonical, domain, subject, aspect, array_to_string(keywords, ' ') AS keywords FROM ru")
+def rule_expand(spark: SparkSession, d: str) -> DataFrame:
+    return ruled(spark, d).withColumn("keywords", F.array_join("keywords", " "))
 
 
 @query("embedding_text", r"SELECT doc_id, md5(substr(string_split(text, chr(10))[1], 1, 120) || chr(10) || CASE WHEN length(text) <= 1500 THEN text ELSE regexp_replace(substr(text, 1, 1500), '\s+\S*\z', '') END) AS input_md5 FROM documents")
@@ -194,27 +297,45 @@ def embedding_text(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.md5(F.concat(X.title_of(F.col("text")), F.lit("\n"), cut)).alias("input_md5"))
 
 
-@query("normalize_queries", f"WITH {QW_SQL} SELECT query_id, CASE WHEN list_has_any(ws, ['with', 'was', 'are']) THEN 'rules' WHEN regexp_full_match(array_to_string(ws, ''), '[a-z]+') THEN 'latin' ELSE 'input' END AS provider, array_to_string(ws, ' ') AS normalized FROM qw")
+@query("normalize_queries", f"WITH {TRANS_SQL}, {RULE_SQL} SELECT query_id, coalesce(canonical, CASE WHEN latin AND trq.text <> input THEN trq.text END, input) AS normalized, CASE WHEN canonical IS NOT NULL THEN 'rules' WHEN latin AND trq.text <> input THEN 'transliteration' ELSE 'input' END AS provider FROM (SELECT query_id, array_to_string(ws, ' ') AS input, regexp_matches(array_to_string(ws, ' '), '[A-Za-z]') AS latin FROM qw) LEFT JOIN trq USING (query_id) LEFT JOIN ru USING (query_id)")
 def normalize_queries(spark: SparkSession, d: str) -> DataFrame:
-    provider = F.when(F.arrays_overlap("ws", F.array(*map(F.lit, ("with", "was", "are")))), "rules").when(F.array_join("ws", "").rlike("^[a-z]+$"), "latin").otherwise("input")
-    return query_words(spark, d).select("query_id", provider.alias("provider"), F.array_join("ws", " ").alias("normalized"))
+    """The canonical form of a rule, or the transliteration of a Latin query, or the input, whichever is there first."""
+    placed, outputs = transliterated(spark, d)
+    q = query_words(spark, d).select("query_id", F.array_join("ws", " ").alias("input")).join(E.transliterated_text(placed, outputs), "query_id", "left").join(ruled(spark, d), "query_id", "left")
+    other = F.when(F.col("input").rlike("[A-Za-z]") & (F.col("text") != F.col("input")), F.col("text"))
+    return q.select("query_id", F.coalesce("canonical", other, "input").alias("normalized"), F.when(F.col("canonical").isNotNull(), "rules").when(other.isNotNull(), "transliteration").otherwise("input").alias("provider"))
+
+
+_EXPAND_SQL = f"""ex AS (SELECT query_id, array_to_string(ws, ' ') AS term, 1 AS kind FROM qw UNION ALL SELECT query_id, output, 2 FROM pt JOIN tr USING (term)
+UNION ALL SELECT query_id, variant, 3 FROM (SELECT query_id, b.term AS variant, min(i) AS i FROM (SELECT query_id, u.i AS i, ws[u.i] AS term FROM qw, LATERAL unnest(range(1, len(ws) + 1)) AS u(i)) w JOIN g a ON w.term = a.term JOIN g b ON a.canonical = b.canonical WHERE b.term <> w.term GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i, variant) <= 5
+UNION ALL SELECT query_id, unnest(keywords[1:6]), 4 FROM ru)"""
 
 
-@query("expand_query", f"WITH {QT_SQL}, {_GROUP_SQL}, e AS (SELECT query_id, qt.term AS word, qt.term AS term, 0 AS kind FROM qt UNION SELECT query_id, qt.term, b.term, 1 FROM qt JOIN g a ON qt.term = a.term JOIN g b ON a.canonical = b.canonical WHERE b.term <> qt.term UNION SELECT query_id, term, {_STEM_SQL}, 2 FROM qt) SELECT query_id, word, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id, word ORDER BY kind, term) AS n FROM (SELECT query_id, word, term, min(kind) AS kind FROM e GROUP BY ALL)) WHERE n <= 5")
+@query("expand_query", f"WITH {TRANS_SQL}, {RULE_SQL}, {_GROUP_SQL}, {_EXPAND_SQL} SELECT query_id, term, min(kind) AS kind FROM ex GROUP BY ALL")
 def expand_query(spark: SparkSession, d: str) -> DataFrame:
-    q, g = query_terms(spark, d).select("query_id", F.col("term").alias("word")), _groups(spark)
-    variants = F.broadcast(g.join(g.select(F.col("term").alias("v"), "canonical"), "canonical").where("v <> term").select(F.col("term").alias("word"), "v"))
-    parts = q.select("query_id", "word", F.col("word").alias("term"), F.lit(0).alias("kind")).union(q.join(variants, "word").select("query_id", "word", "v", F.lit(1))).union(q.select("query_id", "word", X.stem(F.col("word"), SUFFIXES), F.lit(2)))
-    best = parts.groupBy("query_id", "word", "term").agg(F.min("kind").alias("kind"))
-    return R.top_k(best, 5, [F.col("kind"), F.col("term")], ["query_id", "word"]).select("query_id", "word", "term")
+    """Distinct union of the text (1), its transliterations (2), up to five synonyms (3) and up to six terms of its rule (4)."""
+    words = query_words(spark, d)
+    placed, outputs = transliterated(spark, d)
+    g = _groups(spark)
+    variants = F.broadcast(g.join(g.select(F.col("term").alias("v"), "canonical"), "canonical").where("v <> term").select("term", "v"))  # fixed lists
+    near = words.select("query_id", F.posexplode("ws").alias("i", "term")).join(variants, "term").groupBy("query_id", F.col("v").alias("term")).agg(F.min("i").alias("i"))
+    kinds = [
+        words.select("query_id", F.array_join("ws", " ").alias("term"), F.lit(1).alias("kind")),
+        placed.join(outputs, "term").select("query_id", F.col("output").alias("term"), F.lit(2).alias("kind")),
+        R.top_k(near, 5, [F.col("i"), F.col("term")]).select("query_id", "term", F.lit(3).alias("kind")),
+        ruled(spark, d).select("query_id", F.explode(F.slice("keywords", 1, 6)).alias("term"), F.lit(4).alias("kind")),
+    ]
+    every = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
+    return every.groupBy("query_id", "term").agg(F.min("kind").alias("kind"))
 
 
 # --- retrieval -------------------------------------------------------------------------------------------
 
 
-@query("build_postings", f"WITH {POST_SQL} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, min(first) AS first FROM post GROUP BY term")
+@query("build_postings", f"WITH {FTOK_SQL} SELECT term, field, count(DISTINCT doc_id) AS df, count(*) AS cf, CAST(min(pos) AS INTEGER) AS first, CAST(sum(pos) AS BIGINT) AS places FROM ftok GROUP BY term, field")
 def build_postings(spark: SparkSession, d: str) -> DataFrame:
-    return postings(spark, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.min("first").alias("first"))
+    places = F.aggregate("positions", F.lit(0).cast("long"), lambda s, p: s + p)
+    return postings(spark, d).groupBy("term", "field").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.min("first").alias("first"), F.sum(places).alias("places"))
 
 
 _ALL_SQL = f"{POST_SQL}, {QT_SQL}, need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY query_id), h AS (SELECT query_id, doc_id, count(*) AS n FROM qt JOIN post USING (term) GROUP BY ALL), every AS (SELECT query_id, doc_id FROM h JOIN need USING (query_id) WHERE n = need)"
@@ -237,14 +358,14 @@ def prefix_match(spark: SparkSession, d: str) -> DataFrame:
     return R.prefix_match(prefixes, doc_tokens(spark, d))
 
 
-@query("phrase_match", f"WITH {TOK_SQL}, {QW_SQL}, ph AS (SELECT query_id, u.i AS i, ws[u.i] AS term FROM qw, LATERAL unnest(range(1, least(len(ws), 4) + 1)) AS u(i)), sz AS (SELECT query_id, count(*) AS size FROM ph GROUP BY 1), st AS (SELECT query_id, doc_id, pos - i AS start, count(*) AS c FROM ph JOIN tok USING (term) GROUP BY ALL) SELECT query_id, doc_id, count(*) AS n FROM st JOIN sz USING (query_id) WHERE c = size GROUP BY ALL")
+@query("phrase_match", f"WITH {TOK_SQL}, {QW_SQL}, ph AS (SELECT query_id, u.i AS i, ws[u.i] AS term FROM qw, LATERAL unnest(range(1, len(ws) + 1)) AS u(i)), sz AS (SELECT query_id, count(*) AS size FROM ph GROUP BY 1), st AS (SELECT query_id, doc_id, pos - i AS start, count(*) AS c FROM ph JOIN tok USING (term) GROUP BY ALL) SELECT query_id, doc_id, count(*) AS n FROM st JOIN sz USING (query_id) WHERE c = size GROUP BY ALL")
 def phrase_match(spark: SparkSession, d: str) -> DataFrame:
-    phrases = query_words(spark, d).select("query_id", F.posexplode(F.slice("ws", 1, 4)).alias("p", "term")).select("query_id", (F.col("p") + 1).alias("pos"), "term")
-    return R.phrase_match(phrases, doc_tokens(spark, d))
+    phrases = query_words(spark, d).select("query_id", F.posexplode("ws").alias("p", "term")).select("query_id", (F.col("p") + 1).alias("pos"), "term")
+    return R.phrase_match(phrases, index(spark, d))
 
 
 def bm25_run(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    return R.top_k(R.bm25(query_terms(spark, d), postings(spark, d)), k, [F.desc("score"), F.col("doc_id")])
+    return R.top_k(R.bm25(query_terms(spark, d), index(spark, d)), k, [F.desc("score"), F.col("doc_id")])
 
 
 _TOP_SQL = "SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {0} QUALIFY rank <= {1}"
@@ -255,33 +376,48 @@ def bm25(spark: SparkSession, d: str) -> DataFrame:
     return bm25_run(spark, d)
 
 
-@query("cover_density")
-def cover_density(spark: SparkSession, d: str) -> DataFrame:
-    q, t = query_terms(spark, d), doc_tokens(spark, d)
+def covered(spark: SparkSession, d: str) -> DataFrame:
+    """Places of a query's words in the documents that have all of them: query_id, doc_id, pos, term, field, need."""
+    q, p = query_terms(spark, d), postings(spark, d)
     need = q.groupBy("query_id").agg(F.count("*").alias("need"))
-    hits = q.select("query_id", "term").join(t, "term").join(R.match_all(q, R.build_postings(t)), ["query_id", "doc_id"], "left_semi").join(need, "query_id")
-    return R.top_k(R.cover_density(hits), 10, [F.desc("score"), F.col("doc_id")])
+    found = q.select("query_id", "term").join(p, "term").join(R.match_all(q, p), ["query_id", "doc_id"], "left_semi").join(need, "query_id")
+    return found.select("query_id", "doc_id", F.explode("positions").alias("pos"), "term", "field", "need")
 
 
-TITLE_SQL = "ti AS (SELECT doc_id, substr(string_split(text, chr(10))[1], 1, 120) AS title FROM documents)"
+@query("cover_density")
+def cover_density(spark: SparkSession, d: str) -> DataFrame:
+    return R.top_k(R.cover_density(covered(spark, d)), 10, [F.desc("score"), F.col("doc_id")])
 
 
 def titles(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", X.title_of(F.col("text")).alias("title"))
 
 
-@query("title_bonus", f"WITH {BM25_SQL}, {TITLE_SQL}, top AS ({_TOP_SQL.format('bm', 10)}) SELECT query_id, doc_id, round(score + CASE WHEN contains(lower(title), array_to_string(ws[1:2], ' ')) THEN 3.0 ELSE 0.0 END, 6) AS score FROM top JOIN ti USING (doc_id) JOIN qw USING (query_id)")
+@query("title_bonus", lambda: f"WITH {BM25_SQL}, {TITLE_SQL}, {_EVERY_SQL}, top AS ({_TOP_SQL.format('bm', 10)}) SELECT query_id, doc_id, round(score + CASE WHEN contains(lower(title), array_to_string(ws, ' ')) THEN CASE WHEN (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM every) THEN 3.0 ELSE 2.0 END ELSE 0.0 END + 1.5 * {_sim_sql('g', 'h')}, 6) AS score FROM (SELECT *, {_tri('title')} AS h, {_tri(_QTEXT)} AS g FROM top JOIN ti USING (doc_id) JOIN qw USING (query_id))")
 def title_bonus(spark: SparkSession, d: str) -> DataFrame:
-    top = bm25_run(spark, d).join(titles(spark, d), "doc_id").join(query_words(spark, d), "query_id")
-    bonus = F.when(F.contains(F.lower("title"), F.array_join(F.slice("ws", 1, 2), " ")), 3.0).otherwise(0.0)
-    return top.select("query_id", "doc_id", F.round(F.col("score") + bonus, 6).alias("score"))
+    """Points for a title that holds the whole query, more where all words match, and for what the two have alike."""
+    every = R.match_all(query_terms(spark, d), postings(spark, d)).withColumn("all", F.lit(True))
+    whole = F.array_join("ws", " ")
+    top = bm25_run(spark, d).join(titles(spark, d), "doc_id").join(query_words(spark, d), "query_id").join(every, ["query_id", "doc_id"], "left")
+    bonus = F.when(F.contains(F.lower("title"), whole), F.when(F.col("all"), 3.0).otherwise(2.0)).otherwise(0.0)
+    alike = R.similarity_of(R.trigrams(whole), R.trigrams(F.col("title")))
+    return top.select("query_id", "doc_id", F.round(F.col("score") + bonus + 1.5 * alike, 6).alias("score"))
 
 
 def _tri(col: str) -> str:
     return f"list_distinct(flatten(list_transform({_tok(col)}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
-TRI_SQL = f"{QW_SQL}, {TITLE_SQL}, qg AS (SELECT query_id, {_tri(chr(39) + chr(39) + ' || array_to_string(ws, ' + chr(39) + ' ' + chr(39) + ')')} AS g FROM qw), tg AS (SELECT doc_id, {_tri('title')} AS h FROM ti), sim AS (SELECT query_id, doc_id, round(len(list_intersect(g, h)) / CAST(len(g) + len(h) - len(list_intersect(g, h)) AS DOUBLE), 6) AS score FROM qg, tg)"
+_QTEXT = "'' || array_to_string(ws, ' ')"
+
+
+def _sim_sql(g: str, h: str) -> str:
+    return f"round(coalesce(len(list_intersect({g}, {h})) / nullif(CAST(len({g}) + len({h}) - len(list_intersect({g}, {h})) AS DOUBLE), 0), 0), 6)"
+
+
+SIM_SQL = f"{TITLE_SQL}, qg AS (SELECT query_id, {_tri(_QTEXT)} AS g FROM qw), tg AS (SELECT doc_id, {_tri('title')} AS h FROM ti), sim AS (SELECT query_id, doc_id, {_sim_sql('g', 'h')} AS score FROM qg, tg)"
+TRI_SQL = f"{QW_SQL}, {SIM_SQL}"
+_EVERY_SQL = "need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY query_id), h AS (SELECT query_id, doc_id, count(*) AS n FROM qt JOIN post USING (term) GROUP BY ALL), every AS (SELECT query_id, doc_id FROM h JOIN need USING (query_id) WHERE n = need)"
 
 
 def similarity(spark: SparkSession, d: str, least: float) -> DataFrame:
@@ -294,44 +430,99 @@ def trigram_similarity(spark: SparkSession, d: str) -> DataFrame:
     return R.top_k(similarity(spark, d, 0.2), 25, [F.desc("score"), F.col("doc_id")])
 
 
-_CASC_SQL = f"""WITH {BM25_SQL}, {TITLE_SQL}, qg AS (SELECT query_id, {_tri(chr(39) + chr(39) + ' || array_to_string(ws, ' + chr(39) + ' ' + chr(39) + ')')} AS g FROM qw), tg AS (SELECT doc_id, {_tri('title')} AS h FROM ti),
-need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY query_id), h AS (SELECT query_id, doc_id, count(*) AS n FROM qt JOIN post USING (term) GROUP BY ALL),
-s1 AS (SELECT query_id, doc_id, 1 AS stage, score FROM bm JOIN h USING (query_id, doc_id) JOIN need USING (query_id) WHERE n = need QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50),
+_CASC_SQL = f"""{BM25_SQL}, {SIM_SQL}, {_EVERY_SQL},
+s1 AS (SELECT query_id, doc_id, 1 AS stage, score FROM bm JOIN every USING (query_id, doc_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50),
 few1 AS (SELECT query_id FROM qw WHERE query_id NOT IN (SELECT query_id FROM s1 GROUP BY 1 HAVING count(*) >= 5)),
 s2 AS (SELECT query_id, doc_id, 2 AS stage, score FROM bm WHERE query_id IN (SELECT query_id FROM few1) AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM s1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50),
 two AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2), few2 AS (SELECT query_id FROM qw WHERE query_id NOT IN (SELECT query_id FROM two GROUP BY 1 HAVING count(*) >= 5)),
-sim AS (SELECT query_id, doc_id, round(len(list_intersect(g, h)) / CAST(len(g) + len(h) - len(list_intersect(g, h)) AS DOUBLE), 6) AS score FROM qg, tg),
-s3 AS (SELECT query_id, doc_id, 3 AS stage, score FROM sim WHERE score > 0.2 AND query_id IN (SELECT query_id FROM few2) AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM two) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 25)"""
+s3 AS (SELECT query_id, doc_id, 3 AS stage, score FROM sim WHERE score > 0.2 AND query_id IN (SELECT query_id FROM few2) AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM two) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 25),
+casc AS (SELECT * FROM two UNION ALL SELECT * FROM s3)"""
 
 
-@query("lexical_cascade", f"{_CASC_SQL} SELECT * FROM two UNION ALL SELECT * FROM s3")
-def lexical_cascade(spark: SparkSession, d: str) -> DataFrame:
-    q, p = query_terms(spark, d), postings(spark, d)
-    scored = R.bm25(q, p)
-    every = scored.join(R.match_all(q, p), ["query_id", "doc_id"], "left_semi")
+def cascade_run(spark: SparkSession, d: str) -> DataFrame:
+    q, i = query_terms(spark, d), index(spark, d)
+    scored = R.bm25(q, i)
+    every = scored.join(R.match_all(q, i.postings), ["query_id", "doc_id"], "left_semi")
     return R.cascade([(every, 50, 1), (scored, 50, 2), (similarity(spark, d, 0.2), 25, 3)])
 
 
-@query("tiered_candidates", f"WITH {_ALL_SQL}, c AS (SELECT query_id, doc_id, 1 AS tier FROM every UNION ALL SELECT query_id, doc_id, 2 FROM h WHERE n >= 2 UNION ALL SELECT query_id, doc_id, 3 FROM h), t AS (SELECT query_id, doc_id, min(tier) AS tier FROM c GROUP BY ALL) SELECT query_id, tier, count(*) AS n FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM t) WHERE tier = best GROUP BY ALL")
+@query("lexical_cascade", f"WITH {_CASC_SQL} SELECT * FROM casc")
+def lexical_cascade(spark: SparkSession, d: str) -> DataFrame:
+    return cascade_run(spark, d)
+
+
+@query(
+    "tiered_candidates",
+    f"""WITH {POST_SQL}, {QT_SQL}, {RULE_SQL}, {_GROUP_SQL}, has AS (SELECT DISTINCT term, doc_id FROM post),
+c1 AS (SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, unnest(keywords[1:6]) AS term FROM ru) JOIN has USING (term)),
+c2 AS (SELECT query_id, a.doc_id FROM ru JOIN has a ON a.term = subject JOIN has b ON b.term = aspect AND b.doc_id = a.doc_id),
+f3 AS (SELECT query_id, u.i AS i, ks[u.i] AS term FROM (SELECT query_id, list_filter(ws, lambda w: w NOT IN {STOP_SQL})[1:3] AS ks FROM qw), LATERAL unnest(range(1, len(ks) + 1)) AS u(i)),
+g3 AS (SELECT query_id, i, term FROM f3 UNION SELECT query_id, i, b.term FROM f3 JOIN g a ON f3.term = a.term JOIN g b ON a.canonical = b.canonical),
+c3 AS (SELECT query_id, doc_id FROM (SELECT query_id, doc_id, count(DISTINCT i) AS n FROM g3 JOIN has USING (term) GROUP BY ALL) JOIN (SELECT query_id, count(DISTINCT i) AS need FROM f3 GROUP BY 1) USING (query_id) WHERE n = need),
+c AS (SELECT query_id, doc_id, 1 AS tier FROM c1 UNION SELECT query_id, doc_id, 1 FROM c2 UNION SELECT query_id, doc_id, 1 FROM c3 UNION SELECT query_id, doc_id, 2 FROM qt JOIN has USING (term)),
+t AS (SELECT query_id, doc_id, min(tier) AS tier FROM c GROUP BY ALL)
+SELECT query_id, tier, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM t) WHERE tier = best GROUP BY ALL""",
+)
 def tiered_candidates(spark: SparkSession, d: str) -> DataFrame:
-    q, p = query_terms(spark, d), postings(spark, d)
-    need = q.groupBy("query_id").agg(F.count("*").alias("need"))
-    tier = R.hits(q, p).join(need, "query_id").withColumn("tier", F.when(F.col("n") == F.col("need"), 1).when(F.col("n") >= 2, 2).otherwise(3))
-    per = tier.groupBy("query_id", "tier").agg(F.count("*").alias("n"))
-    return per.join(per.groupBy("query_id").agg(F.min("tier").alias("tier")), ["query_id", "tier"], "left_semi")
-
-
-#: Weights of generic features: share of words found, words in the title, the bm25 score.
-_W = {"coverage": 10.0, "title": 4.0, "bm25": 1.0}
-
-
-@query("feature_rerank", f"WITH {BM25_SQL}, {TITLE_SQL}, top AS ({_TOP_SQL.format('bm', 10)}), q AS (SELECT query_id, list(term) AS terms FROM qt GROUP BY 1) SELECT query_id, doc_id, round(score * 1.0 + 10.0 * len(list_filter(terms, lambda x: contains(lower(text), x))) / len(terms) + 4.0 * len(list_filter(terms, lambda x: contains(lower(title), x))), 6) AS score FROM top JOIN q USING (query_id) JOIN ti USING (doc_id) JOIN documents USING (doc_id)")
+    """Conjunctions first: any term of the query's rule, its subject with its aspect, its first three words or synonyms of them. Only queries without any such document get those with one of their words."""
+    q, p, rules, g = query_terms(spark, d), postings(spark, d), ruled(spark, d), _groups(spark)
+    group = lambda df, no, term: df.select("query_id", no.alias("group_no"), term.alias("term"))
+    domain = group(rules, F.lit(1), F.explode(F.slice("keywords", 1, 6)))
+    pair = group(rules, F.lit(1), F.col("subject")).unionByName(group(rules, F.lit(2), F.col("aspect")))
+    first = query_words(spark, d).select("query_id", F.posexplode(F.slice(F.filter("ws", lambda w: ~w.isin(*STOP)), 1, 3)).alias("group_no", "term"))
+    variants = F.broadcast(g.join(g.select(F.col("term").alias("v"), "canonical"), "canonical").select("term", "v"))  # fixed lists
+    three = first.unionByName(first.join(variants, "term").select("query_id", "group_no", F.col("v").alias("term"))).distinct()
+    conjunctions = R.match_any(domain, p).unionByName(R.match_all(pair, p)).unionByName(R.match_all(three, p)).distinct().withColumn("tier", F.lit(1))
+    rest = R.match_any(q, p).join(conjunctions.select("query_id").distinct(), "query_id", "left_anti").withColumn("tier", F.lit(2))
+    return conjunctions.unionByName(rest).groupBy("query_id", "tier").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+# What each feature adds to a candidate's score, or multiplies it with.
+FEATURES = {
+    "phrase title": 240.0, "phrase text": 160.0, "canonical title": 260.0, "canonical text": 180.0, "keyword title": 360.0, "keyword text": 150.0,
+    "both title": 420.0, "subject title": 300.0, "aspect title": 280.0, "both text": 180.0, "subject only": 0.12, "aspect only": 0.25,
+    "word title": 40.0, "word text": 8.0, "all words": 340.0, "some words": 200.0, "few words": 0.4, "no subject": 0.15, "one word": 90.0, "synonym title": 30.0, "synonym text": 4.0, "sound": 18.0,
+}
+
+
+def _rerank_sql() -> str:
+    w = FEATURES
+    either = lambda xs, t, b: f"list_sum(list_transform({xs}, lambda x: CASE WHEN contains(title, x) THEN {t} WHEN contains(text, x) THEN {b} ELSE 0.0 END))"
+    return f"""WITH {BM25_SQL}, {TITLE_SQL}, {RULE_SQL}, {_GROUP_SQL}, top AS ({_TOP_SQL.format('bm', 10)}),
+q AS (SELECT query_id, ws, list_filter(ws, lambda x: x NOT IN {STOP_SQL}) AS toks FROM qw),
+sy AS (SELECT query_id, list(DISTINCT b.term) AS syns FROM (SELECT query_id, unnest(toks) AS term FROM q) t JOIN g a ON t.term = a.term JOIN g b ON a.canonical = b.canonical WHERE b.term <> t.term GROUP BY 1),
+su AS (SELECT query_id, toks[1] AS w1, coalesce(list(DISTINCT b.term) FILTER (b.term IS NOT NULL), []) || [toks[1]] AS pool FROM q LEFT JOIN g a ON toks[1] = a.term LEFT JOIN g b ON a.canonical = b.canonical GROUP BY query_id, toks[1]),
+cand AS (SELECT query_id, doc_id, score, lower(title) AS title, lower(text) AS text, array_to_string(ws, ' ') AS whole, toks, len(toks) AS n, coalesce(syns, []) AS syns, pool, w1, canonical, subject, aspect, coalesce(keywords, []) AS keywords,
+  {_keys_sql("array_to_string(toks, ' ')")} AS qkeys, {_keys_sql('title')} AS tkeys FROM top JOIN ti USING (doc_id) JOIN documents USING (doc_id) JOIN q USING (query_id) LEFT JOIN sy USING (query_id) LEFT JOIN su USING (query_id) LEFT JOIN ru USING (query_id)),
+f1 AS (SELECT *, 100 + score + CASE WHEN contains(title, whole) THEN {w['phrase title']} WHEN contains(text, whole) THEN {w['phrase text']} ELSE 0.0 END + CASE WHEN contains(title, canonical) THEN {w['canonical title']} WHEN contains(text, canonical) THEN {w['canonical text']} ELSE 0.0 END
+  + coalesce({either('keywords', w['keyword title'], w['keyword text'])}, 0.0) AS s1, coalesce(contains(title, subject), false) AS st, coalesce(contains(text, subject), false) AS sb, coalesce(contains(title, aspect), false) AS pt, coalesce(contains(text, aspect), false) AS pb FROM cand),
+f2 AS (SELECT *, CASE WHEN subject IS NULL THEN s1 WHEN st AND pt THEN s1 + {w['both title']} WHEN st AND pb THEN s1 + {w['subject title']} WHEN pt AND sb THEN s1 + {w['aspect title']} WHEN sb AND pb THEN s1 + {w['both text']} WHEN st AND n >= 2 THEN s1 * {w['subject only']} WHEN pt AND n >= 2 THEN s1 * {w['aspect only']} ELSE s1 END AS s2,
+  len(list_filter(toks, lambda x: contains(title, x))) AS m FROM f1),
+f3 AS (SELECT *, s2 + coalesce({either('toks', w['word title'], w['word text'])}, 0.0) AS s3 FROM f2),
+f4 AS (SELECT *, CASE WHEN n >= 2 THEN CASE WHEN m >= n THEN s3 + {w['all words']} WHEN m >= 2 THEN s3 + m / CAST(n AS DOUBLE) * {w['some words']} ELSE s3 * {w['few words']} END WHEN n = 1 THEN s3 + m * {w['one word']} ELSE s3 END AS s4 FROM f3),
+f5 AS (SELECT *, CASE WHEN n >= 2 AND length(w1) >= 2 AND len(list_filter(pool, lambda x: contains(title, x) OR contains(text, x))) = 0 THEN s4 * {w['no subject']} ELSE s4 END AS s5 FROM f4)
+SELECT query_id, doc_id, round(s5 + coalesce({either('syns', w['synonym title'], w['synonym text'])}, 0.0) + {w['sound']} * len(list_intersect(qkeys, tkeys)), 4) AS score FROM f5"""
+
+
+@query("feature_rerank", _rerank_sql)
 def feature_rerank(spark: SparkSession, d: str) -> DataFrame:
-    q = query_terms(spark, d).groupBy("query_id").agg(F.collect_list("term").alias("terms"))  # QUERY_WORDS at most
-    top = bm25_run(spark, d).join(q, "query_id").join(docs(spark, d).select("doc_id", "text"), "doc_id")
-    found = lambda text: F.size(F.filter("terms", lambda x: F.contains(F.lower(text), x)))
-    score = F.col("score") * _W["bm25"] + _W["coverage"] * found(F.col("text")) / F.size("terms") + _W["title"] * found(X.title_of(F.col("text")))
-    return top.select("query_id", "doc_id", F.round(score, 6).alias("score"))
+    """The ten best by BM25, scored again by features; each is a column, and the last one is the score."""
+    g = _groups(spark)
+    variants = g.join(g.select(F.col("term").alias("v"), "canonical"), "canonical").select("term", "v").distinct()
+    q = query_words(spark, d).select("query_id", "ws", F.filter("ws", lambda w: ~w.isin(*STOP)).alias("toks"))
+    near = F.broadcast(variants)  # fixed lists
+    syns = q.select("query_id", F.explode("toks").alias("term")).join(near, "term").where("v <> term").groupBy("query_id").agg(F.collect_set("v").alias("syns"))
+    pool = q.select("query_id", F.get("toks", 0).alias("term")).join(near, "term", "left").groupBy("query_id").agg(F.collect_set("v").alias("pool"))
+    cand = bm25_run(spark, d).join(docs(spark, d).select("doc_id", F.lower(X.title_of(F.col("text"))).alias("title"), F.lower("text").alias("text")), "doc_id").join(q, "query_id")
+    for more in (syns, pool, ruled(spark, d)):
+        cand = cand.join(more, "query_id", "left")
+    empty = F.array().cast("array<string>")
+    keys = lambda words: X.phonetic_keys(words, SOUNDS, HEADS)
+    cand = cand.withColumns({
+        "whole": F.array_join("ws", " "), "syns": F.coalesce("syns", empty), "keywords": F.coalesce("keywords", empty), "first": F.get("toks", 0), "pool": F.array_append(F.coalesce("pool", empty), F.get("toks", 0)),
+        "sounds": F.size(F.array_intersect(keys(F.filter("toks", lambda w: w.rlike("^[a-z]+$"))), keys(latin_words(F.col("title"))))),
+    })
+    return E.rerank(cand, FEATURES).select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
 @query("keyword_score", f"WITH {BM25_SQL}, {TITLE_SQL}, top AS ({_TOP_SQL.format('bm', 10)}) SELECT query_id, doc_id, CAST(50 + CASE WHEN contains(lower(title), array_to_string(ws, ' ')) THEN 200 WHEN contains(lower(text), array_to_string(ws, ' ')) THEN 120 ELSE 0 END + list_sum(list_transform(ws, lambda w: CASE WHEN contains(lower(title), w) THEN 35 WHEN contains(lower(text), w) THEN 20 ELSE 0 END)) AS BIGINT) AS score FROM top JOIN qw USING (query_id) JOIN ti USING (doc_id) JOIN documents USING (doc_id)")
@@ -343,19 +534,46 @@ def keyword_score(spark: SparkSession, d: str) -> DataFrame:
     return top.select("query_id", "doc_id", (50 + phrase + each).cast("long").alias("score"))
 
 
-@query("fuzzy_boosted", f"WITH {TOK_SQL}, {QT_SQL}, v AS (SELECT DISTINCT term FROM tok WHERE regexp_full_match(term, '[a-z]+')) SELECT DISTINCT qt.term AS query_term, v.term, levenshtein(qt.term, v.term) AS edits, CASE WHEN qt.term = v.term THEN 4.5 ELSE 1.0 END AS boost FROM qt JOIN v ON abs(length(qt.term) - length(v.term)) <= 1 AND levenshtein(qt.term, v.term) <= 1 WHERE regexp_full_match(qt.term, '[a-z]+')")
-def fuzzy_boosted(spark: SparkSession, d: str) -> DataFrame:
-    plain = F.col("term").rlike("^[a-z]+$")
-    pairs = R.fuzzy_terms(query_terms(spark, d).where(plain), doc_tokens(spark, d).where(plain))
-    return pairs.withColumn("edits", F.col("edits").cast("long")).withColumn("boost", F.when(F.col("edits") == 0, 4.5).otherwise(1.0))
+def _letters_as_bytes(term: str) -> str:
+    """The SQL engine counts edits of bytes, so letters beyond ASCII that the texts have are written as signs, which no word has."""
+    return f"translate({term}, 'äöüßéèêëàâçùûîïôœæáíóúñ', '!#$%&()*+,-./:;<=>?@[]^_')"
+
+
+_EDITS_SQL = f"levenshtein({_letters_as_bytes('t.term')}, {_letters_as_bytes('voc.term')})"
+_FUZZY_SQL = f"""voc AS (SELECT DISTINCT term FROM ftok), fz AS (SELECT t.term AS query_term, voc.term, {_EDITS_SQL} AS edits FROM (SELECT DISTINCT term FROM qt) t JOIN voc ON abs(length(t.term) - length(voc.term)) <= 1 AND {_EDITS_SQL} <= 1)"""
 
 
-@query("ranking_rules", f"WITH {POST_SQL}, {QT_SQL}, h AS (SELECT query_id, doc_id, count(*) AS words, min(first) AS first FROM qt JOIN post USING (term) GROUP BY ALL), u AS (SELECT h.* FROM h JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, md5(text) ORDER BY words DESC, first, doc_id) = 1) SELECT query_id, doc_id, words, first, row_number() OVER (PARTITION BY query_id ORDER BY words DESC, first, doc_id) AS rank FROM u QUALIFY rank <= 10")
+@query(
+    "fuzzy_boosted",
+    f"""WITH {FTOK_SQL}, {QT_SQL}, {_FUZZY_SQL}, has AS (SELECT DISTINCT term, doc_id, field FROM ftok WHERE field IN ('A', 'D')),
+cl AS (SELECT DISTINCT query_id, qt.term AS word, doc_id, CASE field WHEN 'A' THEN 'title' ELSE 'text' END AS clause FROM qt JOIN fz ON qt.term = query_term JOIN has ON has.term = fz.term
+  UNION SELECT query_id, qt.term, doc_id, 'exact' FROM qt JOIN has USING (term) WHERE field = 'D' UNION SELECT query_id, qt.term, doc_id, 'begins' FROM qt JOIN has ON length(qt.term) >= 3 AND starts_with(has.term, qt.term) WHERE field = 'A'),
+sc AS (SELECT query_id, doc_id, CAST(sum(CASE clause WHEN 'title' THEN 4.5 WHEN 'text' THEN 2.5 WHEN 'begins' THEN 2.0 ELSE 1.0 END) AS DOUBLE) AS score FROM cl GROUP BY ALL) {_TOP_SQL.format('sc', 10)}""",
+)
+def fuzzy_boosted(spark: SparkSession, d: str) -> DataFrame:
+    i = index(spark, d)
+    scored = R.boosted(query_terms(spark, d).select("query_id", "term"), i.postings, i.vocabulary, {"A": 4.5, "D": 2.5}, {"D": 1.0}, {"A": 2.0})
+    return R.top_k(scored, 10, [F.desc("score"), F.col("doc_id")])
+
+
+@query(
+    "ranking_rules",
+    f"""WITH {FTOK_SQL}, {QT_SQL}, {_FUZZY_SQL}, wo AS (SELECT query_id, term, list_position(ws, term) AS i FROM qt JOIN qw USING (query_id)),
+m AS (SELECT query_id, i, wo.term AS word, doc_id, edits, min(pos) AS place, min(CASE field WHEN 'A' THEN 0 WHEN 'D' THEN 1 WHEN 'C' THEN 2 ELSE 3 END) AS attr FROM wo JOIN fz ON wo.term = query_term JOIN ftok ON ftok.term = fz.term GROUP BY ALL),
+b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id, word, doc_id ORDER BY edits, place) = 1),
+n AS (SELECT *, least(8, abs(lead(place) OVER (PARTITION BY query_id, doc_id ORDER BY i) - place)) AS gap FROM b),
+h AS (SELECT query_id, doc_id, count(*) AS words, CAST(sum(edits) AS BIGINT) AS typos, CAST(coalesce(sum(gap), 0) AS BIGINT) AS proximity, min(attr) AS attribute, count(*) FILTER (edits = 0) AS exact FROM n GROUP BY ALL),
+u AS (SELECT h.* FROM h JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, md5(text) ORDER BY words DESC, typos, proximity, attribute, exact DESC, doc_id) = 1)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY words DESC, typos, proximity, attribute, exact DESC, doc_id) AS rank FROM u QUALIFY rank <= 10""",
+)
 def ranking_rules(spark: SparkSession, d: str) -> DataFrame:
-    h = query_terms(spark, d).join(postings(spark, d), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("words"), F.min("first").alias("first"))
-    order = [F.desc("words"), F.col("first"), F.col("doc_id")]
-    hashed = h.join(docs(spark, d).select("doc_id", F.md5("text").alias("h")), "doc_id")
-    return R.top_k(R.top_k(hashed, 1, order, ["query_id", "h"]).drop("rank"), 10, order).select("query_id", "doc_id", "words", "first", "rank")
+    """Words found, edits, distance between them, best field, exact words; one row per text."""
+    i = index(spark, d)
+    words = query_terms(spark, d).join(query_words(spark, d), "query_id").select("query_id", "term", F.array_position("ws", F.col("term")).alias("i"))
+    ruled_ = R.rule_columns(words, i.postings, i.vocabulary, ["A", "D", "C", "B"])
+    order = [F.desc("words"), F.col("typos"), F.col("proximity"), F.col("attribute"), F.desc("exact"), F.col("doc_id")]
+    hashed = ruled_.join(docs(spark, d).select("doc_id", F.md5("text").alias("h")), "doc_id")
+    return R.top_k(R.top_k(hashed, 1, order, ["query_id", "h"]).drop("rank", "h"), 10, order)
 
 
 _COS = "round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6)"
@@ -381,17 +599,8 @@ def knn_postfilter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("knn_approx")
 def knn_approx(spark: SparkSession, d: str) -> DataFrame:
-    """Random-projection buckets of unit vectors, then exact scores within shared buckets."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    q, v = _vectors(spark, d)
-    unit = lambda x: F.transform(x, lambda e: e.cast("double") / F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, t: s + t.cast("double") * t.cast("double"))))
-    a = q.select("query_id", array_to_vector(unit(F.col("embedding"))).alias("u"))
-    b = v.select("doc_id", array_to_vector(unit(F.col("embedding"))).alias("u"))
-    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=1.0, numHashTables=6, seed=7).fit(b)
-    near = model.approxSimilarityJoin(a, b, 2.0, "dist").select("datasetA.query_id", "datasetB.doc_id", F.round(1 - F.col("dist") * F.col("dist") / 2, 6).alias("score"))
-    return R.top_k(near, 10, [F.desc("score"), F.col("doc_id")])
+    """Codes of one byte per number find thirty candidates a query, and only these are compared exactly."""
+    return R.knn_approx(*_vectors(spark, d), 10)
 
 
 @query("fit_vector_dim", "SELECT vec_id, 80 AS dim, CAST(embedding[1] AS DOUBLE) AS first, CAST(CASE WHEN len(embedding) >= 80 THEN embedding[80] ELSE 0 END AS DOUBLE) AS last FROM embeddings")
@@ -400,10 +609,32 @@ def fit_vector_dim(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.size(v).alias("dim"), v[0].cast("double").alias("first"), F.element_at(v, -1).cast("double").alias("last"))
 
 
-@query("rrf_fuse", f"WITH {BM25_SQL}, {TITLE_SQL}, qg AS (SELECT query_id, {_tri(chr(39) + chr(39) + ' || array_to_string(ws, ' + chr(39) + ' ' + chr(39) + ')')} AS g FROM qw), tg AS (SELECT doc_id, {_tri('title')} AS h FROM ti), sim AS (SELECT query_id, doc_id, round(len(list_intersect(g, h)) / CAST(len(g) + len(h) - len(list_intersect(g, h)) AS DOUBLE), 6) AS score FROM qg, tg), near AS (SELECT * FROM sim WHERE score > 0.05), a AS ({_TOP_SQL.format('bm', 10)}), b AS ({_TOP_SQL.format('near', 10)}), f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS ra, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 6) AS score FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ra NULLS LAST, doc_id) AS rank FROM f")
+DIM = 32
+_PLACE_SQL = f"CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % {DIM}"
+_COUNTS_SQL = "[" + ", ".join(f"CAST(count(*) FILTER (place = {i}) AS DOUBLE)" for i in range(DIM)) + "]"
+_VEC_SQL = f"""dv AS (SELECT doc_id, {_COUNTS_SQL} AS v FROM (SELECT doc_id, {_PLACE_SQL} AS place FROM ftok) GROUP BY doc_id), qv AS (SELECT query_id, {_COUNTS_SQL} AS v FROM (SELECT query_id, {_PLACE_SQL} AS place FROM (SELECT query_id, unnest(ws) AS term FROM qw)) GROUP BY query_id),
+vs AS (SELECT query_id, doc_id, round(list_dot_product(qv.v, dv.v) / sqrt(list_dot_product(qv.v, qv.v) * list_dot_product(dv.v, dv.v)), 6) AS score FROM qv, dv)"""
+_FUSED_SQL = f"""{_CASC_SQL}, {_VEC_SQL}, a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY stage, score DESC, doc_id) AS rank FROM casc), b AS ({_TOP_SQL.format('vs', 50)}),
+fu AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS ra, b.rank AS rb, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 6) AS score FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)"""
+
+
+def vector_run(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
+    """The k nearest documents of each query by hashed vectors of both."""
+    own = postings(spark, d).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+    vectors = R.hashed_vectors(own, "doc_id", F.col("tf"), DIM)
+    wanted = query_words(spark, d).select("query_id", F.explode("ws").alias("term"))
+    return R.knn(R.hashed_vectors(wanted, "query_id", F.lit(1), DIM), vectors, k)
+
+
+@query("rrf_fuse", f"WITH {_FUSED_SQL} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ra NULLS LAST, doc_id) AS rank FROM fu")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    near = R.top_k(similarity(spark, d, 0.05), 10, [F.desc("score"), F.col("doc_id")])
-    return R.rrf(bm25_run(spark, d), near).select("query_id", "doc_id", "score", "rank")
+    """Hybrid search: the lexical cascade's list and the nearest vectors, fused by reciprocal ranks."""
+    return hybrid(spark, d)
+
+
+def hybrid(spark: SparkSession, d: str) -> DataFrame:
+    lexical = cascade_run(spark, d).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("stage", F.desc("score"), "doc_id")))
+    return R.rrf(lexical, vector_run(spark, d)).select("query_id", "doc_id", "score", "rank")
 
 
 @query("interleave_sources", "WITH t AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS turn FROM documents) SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY turn, CASE source WHEN 'src3' THEN 1 WHEN 'src1' THEN 2 ELSE 3 END, source, doc_id) AS rank FROM t WHERE turn <= 5")
@@ -423,9 +654,12 @@ def count_matches(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("query_id").agg(F.count("*").alias("total"), F.count(F.when(F.col("lang") == "en", 1)).alias("total_en"))
 
 
-@query("did_you_mean", f"WITH {TRI_SQL} SELECT query_id, doc_id, score FROM sim WHERE score > 0.05 AND score < 0.99 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) = 1")
+@query("did_you_mean", f"WITH {POST_SQL}, {QT_SQL}, {SIM_SQL}, {_EVERY_SQL} SELECT query_id, doc_id, score FROM sim WHERE score > 0.25 AND score < 0.99 AND query_id NOT IN (SELECT query_id FROM every GROUP BY 1 HAVING count(*) >= 3) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) = 1")
 def did_you_mean(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(similarity(spark, d, 0.05).where("score < 0.99"), 1, [F.desc("score"), F.col("doc_id")]).drop("rank")
+    """The most similar title, for queries that few documents answer."""
+    enough = R.match_all(query_terms(spark, d), postings(spark, d)).groupBy("query_id").agg(F.count("*").alias("n")).where("n >= 3")
+    near = similarity(spark, d, 0.25).where("score < 0.99").join(enough, "query_id", "left_anti")
+    return R.top_k(near, 1, [F.desc("score"), F.col("doc_id")]).drop("rank")
 
 
 @query("facet_counts", "SELECT 'source' AS facet, source AS value, count(*) AS n FROM documents WHERE source <> '' GROUP BY source UNION ALL SELECT 'lang', lang, count(*) FROM documents WHERE lang <> '' GROUP BY lang")
@@ -452,14 +686,15 @@ def sample_per_source(spark: SparkSession, d: str) -> DataFrame:
     return R.top_k(keyed, 3, [F.col("h"), F.col("doc_id")], ["source"]).select("doc_id", "source")
 
 
-_REL_SQL = "WITH l AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS n FROM documents) SELECT a.doc_id, b.doc_id AS related, row_number() OVER (PARTITION BY a.doc_id ORDER BY b.n) AS rank FROM documents a JOIN l b ON a.lang = b.lang AND b.n <= 7 AND a.doc_id <> b.doc_id QUALIFY rank <= 6"
+_REL_SQL = """WITH c AS (SELECT a.doc_id, b.doc_id AS related, CASE WHEN a.lang = b.lang THEN 1 ELSE 2 END AS tier FROM documents a JOIN (SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) <= 7 OR row_number() OVER (ORDER BY doc_id DESC) <= 13) b ON a.doc_id <> b.doc_id)
+SELECT doc_id, related, row_number() OVER (PARTITION BY doc_id ORDER BY tier, related DESC) AS rank FROM c QUALIFY rank <= 6"""
 
 
 @query("related_docs", _REL_SQL)
 def related_docs(spark: SparkSession, d: str) -> DataFrame:
     """The newest seven of each language are enough for six that are not the document itself; the newest of all fill them up.
 
-    Of all documents 13 are enough: six that are listed already, the document itself, and six more. The SQL has only the first part.
+    Of all documents 13 are enough: six that are listed already, the document itself, and six more.
     """
     t = docs(spark, d).select("doc_id", "lang")
     newest = R.top_k(t, 7, [F.desc("doc_id")], ["lang"]).select(F.col("doc_id").alias("related"), "lang", F.col("rank").alias("n"))
@@ -480,35 +715,37 @@ def rag_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hashing_encoder(texts: pd.Series) -> list[list[float]]:
-    """A stand-in for a model: counts of hashed words in 16 places."""
-    import zlib
-
+    """The encoder that is used where no model is given: counts of hashed words in 16 places."""
     out = []
     for t in texts:
         counts = [0.0] * 16
-        for w in (t or "").lower().split():
-            counts[zlib.crc32(w.encode()) % 16] += 1.0
+        for w in re.findall(r"[^ \t\n\f\r]+", (t or "").lower()):
+            counts[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16] += 1.0
         out.append(counts)
     return out
 
 
-@query("pending_embeddings")
+@query(
+    "pending_embeddings",
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \t\n\f\r]+')) AS w FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)),
+c AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 16 AS place, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL)
+SELECT vec_id AS doc_id, len(embedding) AS dim, NULL::BIGINT AS n_words, NULL::BIGINT AS weighed FROM embeddings
+UNION ALL SELECT d.doc_id, 16, CAST(coalesce(sum(n), 0) AS BIGINT), CAST(coalesce(sum(n * (place + 1)), 0) AS BIGINT) FROM documents d LEFT JOIN c USING (doc_id) WHERE d.doc_id NOT IN (SELECT vec_id FROM embeddings) GROUP BY d.doc_id""",
+)
 def pending_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    """Documents without a vector get one from the encoder; the others keep theirs."""
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "vector": hashing_encoder(b["text"])})
-
+    """Documents without a vector get one from an encoder, the others keep theirs. Of the new ones, all counts and their sum by place are shown."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    pending = docs(spark, d).select("doc_id", "text").join(v.where(F.size("vector") > 0), "doc_id", "left_anti")
-    return v.unionByName(pending.mapInPandas(encode, "doc_id long, vector array<double>"))
+    filled = R.fill_vectors(docs(spark, d), v, hashing_encoder, "doc_id long, vector array<double>")
+    new = F.size("vector") == 16
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    weighed = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return filled.select("doc_id", F.size("vector").alias("dim"), F.when(new, total).cast("long").alias("n_words"), F.when(new, weighed).cast("long").alias("weighed"))
 
 
 @query("dedup_candidates", f"WITH {POST_SQL}, {QT_SQL} SELECT query_id, doc_id, arg_min(term, term) AS term FROM qt JOIN post USING (term) GROUP BY query_id, doc_id")
 def dedup_candidates(spark: SparkSession, d: str) -> DataFrame:
     m = query_terms(spark, d).join(postings(spark, d), "term")
-    return R.top_k(m, 1, [F.col("term")], ["query_id", "doc_id"]).select("query_id", "doc_id", "term")
+    return m.groupBy("query_id", "doc_id").agg(F.min("term").alias("term"))
 
 
 @query("browse_interleaved_page", "WITH t AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) SELECT o_orderkey, row_number() OVER (ORDER BY n, o_orderstatus) AS rank FROM t WHERE n > 10 AND n <= 21 QUALIFY rank <= 30")
@@ -517,15 +754,21 @@ def browse_interleaved_page(spark: SparkSession, d: str) -> DataFrame:
     return best.where("rank > 10").withColumn("r", F.row_number().over(W.orderBy("rank", "o_orderstatus"))).where("r <= 30").select("o_orderkey", F.col("r").alias("rank"))  # 11 rows a status
 
 
-@query("snippet")
+@query(
+    "snippet",
+    f"""WITH {BM25_SQL}, top AS ({_TOP_SQL.format('bm', 3)}), p AS (SELECT query_id, list(term) AS terms FROM qt WHERE regexp_full_match(term, '[a-z]+') GROUP BY query_id),
+w AS (SELECT query_id, doc_id, terms, ' ' || regexp_replace(lower(text), '[^\\pL\\pN]', ' ', 'g') || ' ' AS flat, text FROM top JOIN documents USING (doc_id) JOIN p USING (query_id)),
+a AS (SELECT *, greatest(coalesce(list_min(list_filter(list_transform(terms, lambda t: strpos(flat, ' ' || t || ' ')), lambda x: x > 0)), 1) - 80, 1) AS place FROM w),
+sn AS (SELECT *, replace(replace(replace(substr(text, place, 220), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS cut FROM a)
+SELECT query_id, doc_id, CAST(place AS BIGINT) AS place, md5(cut) AS cut_md5, len(list_filter(regexp_split_to_array(regexp_replace(lower(cut), '[^\\pL\\pN]+', ' ', 'g'), ' '), lambda x: list_contains(terms, x))) AS n_marks FROM sn""",
+)
 def snippet(spark: SparkSession, d: str) -> DataFrame:
-    """For the best document of each query, 220 characters around the query's first word, with all its words marked."""
+    """For the best documents of each query, where its 220 characters around the query's first word begin, their text, and how many of its words are marked in them."""
     top = bm25_run(spark, d, 3).join(docs(spark, d).select("doc_id", "text"), "doc_id")
-    q = query_terms(spark, d).groupBy("query_id").agg(F.concat(F.lit("(?i)\\b("), F.array_join(F.sort_array(F.collect_list("term")), "|"), F.lit(")\\b")).alias("pattern"))
-    at = F.greatest(F.regexp_instr("text", F.col("pattern")) - 80, F.lit(1))
-    cut = F.substring(F.col("text"), at, F.lit(220))
-    safe = F.replace(F.replace(F.replace(cut, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return top.join(q, "query_id").select("query_id", "doc_id", F.regexp_replace(safe, F.col("pattern"), F.lit("<mark>$1</mark>")).alias("snippet"))
+    q = query_terms(spark, d).where(F.col("term").rlike("^[a-z]+$")).groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    cut = top.join(q, "query_id").select("query_id", "doc_id", E.snippet_start(F.col("text"), F.col("terms")).alias("place"), "text", "terms")
+    plain, marked = E.snippet(F.col("text"), F.col("terms"), F.col("place"), 220)
+    return cut.select("query_id", "doc_id", F.col("place").cast("long").alias("place"), F.md5(plain).alias("cut_md5"), F.regexp_count(marked, F.lit("<mark>")).cast("long").alias("n_marks"))
 
 
 GOLD_SQL = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
