@@ -12,8 +12,8 @@ shingle and for a set.
 3. Voronoi regions. A set belongs to the region of the nearest pivot that covered it, so it has a link to that pivot, and only
    links between regions of different components are left to find.
 4. Windows. If x links with y of the region of q, d(x, q) <= t + d(y, q) <= t + radius(q) by the triangle inequality, so x is
-   replicated to the regions of those pivots, of other components, and nowhere else. As that is 2 t at most, the prefixes of x and
-   q by rarity share a shingle, and lists of frequent shingles are not looked at.
+   replicated to the regions of those pivots, of other components, and nowhere else. As that is 2 t at most, the rarest shingles of
+   x and q have one in common, and shingles that many sets have stand too late in both to bring a pair together.
 5. Regions are joined in tasks, recursively by pivots of their own (`join_region`). A region that is too large for one task is
    dealt as a grid: each part of its own sets meets each part of its replicas.
 """
@@ -157,10 +157,26 @@ def _shared_sets(rows: DataFrame, sets: DataFrame, words: int, num: int, den: in
     return stored(kept.where(den * F.size("sh") >= num * F.col("n")))
 
 
-def _prefix(num: int, den: int) -> Column:
-    """The rarest shingles of a set that it shares at least one of with each set of similarity num / den; those that no other has come first and are left out."""
+def _listed(sets: DataFrame, name: str, num: int, den: int, *more: str) -> DataFrame:
+    """Rows (s, name, its n, size of sh and place i in it) of the rarest shingles of each set, as many as are needed: a set shares one of them at
+    least with each set of similarity num / den. Those that no other set has come before all of them, and are left out."""
     least = F.ceil(F.lit(num) * F.col("n") / den)
-    return F.slice("sh", F.lit(1), F.greatest(F.size("sh") - least + 1, F.lit(0)).cast("int"))
+    rarest = F.slice("sh", F.lit(1), F.greatest(F.size("sh") - least + 1, F.lit(0)).cast("int"))
+    rows = sets.select(F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), F.size("sh").alias(f"z_{name}"), *more, F.posexplode(rarest).alias("p", "s"))
+    return rows.withColumn(f"i_{name}", F.col("p") + 1).drop("p")
+
+
+def _may_reach(similarity: Column) -> Column:
+    """Whether x and q, which have a shingle in common at places i of their lists, can be so similar, if it is the first one in common.
+
+    Sizes, places within the prefixes of that similarity, and what is left behind the places must allow it. A pair that is so
+    similar passes at the first shingle that it has in common, so none is lost, and frequent shingles, which stand last, bring few.
+    """
+    slack = 1e-6
+    alike = F.least("n_x", "n_q") >= similarity * F.greatest("n_x", "n_q") - slack
+    early = lambda k: F.col(f"i_{k}") <= F.col(f"z_{k}") - F.ceil(similarity * F.col(f"n_{k}") - slack) + 1
+    left = 1 + F.least(F.col("z_x") - F.col("i_x"), F.col("z_q") - F.col("i_q"))
+    return alike & early("x") & early("q") & (left >= similarity / (1 + similarity) * (F.col("n_x") + F.col("n_q")) - slack)
 
 
 def _within(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -174,14 +190,12 @@ def _within(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def _pivots(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Regions: x, q (its pivot, or x itself), d; all links between covered sets and the pivots of their round besides: link."""
     rest, found = sets, None
-    fits = F.least("nx", "nq") * den >= F.greatest("nx", "nq") * num
     for number in range(ROUNDS):
         key = F.array_min(F.transform("sh", lambda s: F.xxhash64(s, F.lit(number))))
         pivots = stored(rest.groupBy(key.alias("key")).agg(F.min("cls").alias("cls")).select("cls").distinct())
         own = stored(rest.join(pivots, "cls", "left_semi"))
-        mine = rest.select(F.explode(_prefix(num, den)).alias("s"), F.col("cls").alias("x"), F.col("n").alias("nx"))
-        theirs = own.select(F.explode(_prefix(num, den)).alias("s"), F.col("cls").alias("q"), F.col("n").alias("nq"))
-        pairs = mine.join(theirs, "s").where((F.col("x") != F.col("q")) & fits).select("x", "q").distinct()
+        near = _listed(rest, "x", num, den).join(_listed(own, "q", num, den), "s")
+        pairs = near.where((F.col("x") != F.col("q")) & _may_reach(F.lit(num / den))).select("x", "q").distinct()
         near = _within(pairs, sets, num, den).unionByName(own.select(F.col("cls").alias("x"), F.col("cls").alias("q"), F.lit(0.0).alias("d")))
         found = stored(near if found is None else found.unionByName(near))
         rest = stored(rest.join(found.select(F.col("x").alias("cls")).distinct(), "cls", "left_anti"))
@@ -261,10 +275,11 @@ def link_components(sets: DataFrame, num: int, den: int) -> DataFrame:
     # of two linked sets the one with the larger pivot is replicated, within 2 t of the other's: a similarity of 2 num - den
     wide = 2 * num - den
     known = sets.join(comp, "cls").join(home.select(F.col("x").alias("cls"), F.col("q").alias("home")), "cls")
-    mine = known.select(F.explode(_prefix(wide, den)).alias("s"), F.col("cls").alias("x"), F.col("comp").alias("cx"), "home", F.col("n").alias("nx"))
-    theirs = known.where("cls = home").select(F.explode(_prefix(wide, den)).alias("s"), F.col("cls").alias("q"), F.col("comp").alias("cq"), F.col("n").alias("nq"))
-    fits = F.least("nx", "nq") * den >= F.greatest("nx", "nq") * wide
-    pairs = mine.join(theirs, "s").where((F.col("cx") != F.col("cq")) & (F.col("home") > F.col("q")) & fits).select("x", "q").distinct()
+    pivots = known.where("cls = home").withColumnRenamed("comp", "comp_q").join(radius.withColumnRenamed("q", "cls"), "cls")
+    both = _listed(known, "x", wide, den, "comp", "home").join(_listed(pivots, "q", wide, den, "comp_q", "radius"), "s")
+    # of each pivot only what its own radius reaches
+    reached = (F.col("comp") != F.col("comp_q")) & (F.col("home") > F.col("q")) & _may_reach(F.lit(num / den) - F.col("radius"))
+    pairs = both.where(reached).select("x", "q").distinct()
     t = 1 - num / den + 1e-9
     replicas = stored(_within(pairs, sets, wide, den).join(radius, "q").where(F.col("d") <= F.col("radius") + t).select("q", "x", "d"))
     # own sets that some replica can reach
