@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import shared_dir
+from quillspark.llm.common import shared_dir, stored
 
 SEQUENCE = 2048
 #: Sequences in a record batch of a file.
@@ -260,7 +260,7 @@ def read_token_files(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     files = index.select("part", "path").distinct()
     # about one file a task: as many tasks as files, a number that is not coalesced
-    found = files.repartition(max(files.count(), 1)).mapInArrow(read, "part int, place long, start long, n_tokens long, ids_crc32 long")
+    found = stored(files.repartition(max(files.count(), 1)).mapInArrow(read, "part int, place long, start long, n_tokens long, ids_crc32 long"))
     shift = found.groupBy("part").agg(F.sum("n_tokens").alias("_ids"))
     shift = shift.select("part", F.coalesce(F.sum("_ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
     # merged, not broadcast: the index compresses so well as Parquet that its file size says little about its rows
