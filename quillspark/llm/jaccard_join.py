@@ -150,7 +150,8 @@ def _shared_sets(rows: DataFrame, sets: DataFrame, words: int, num: int, den: in
             for _, first, hashes in shingle_sets(batch.column("_text"), words):
                 yield pa.RecordBatch.from_arrays([pa.array(class_ids(first, hashes).view(np.int64)), pa.array(np.diff(first), pa.int64()), _lists(first[:-1], first[1:], hashes)], names=["cls", "n", "all"])
 
-    full = stored(rows.select("_tk", "_text").join(texts.withColumnRenamed("tk", "_tk"), "_tk", "left_semi").mapInArrow(whole, "cls long, n long, all array<long>").dropDuplicates(["cls"]))
+    # the list of candidates grows with the input, so it is merged, never broadcast
+    full = stored(rows.select("_tk", "_text").join(texts.withColumnRenamed("tk", "_tk").hint("merge"), "_tk", "left_semi").mapInArrow(whole, "cls long, n long, all array<long>").dropDuplicates(["cls"]))
     each = full.select(F.explode("all").alias("s"), "cls", "n")
     often = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     kept = each.join(often, "s").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("sh")).select("cls", "n", F.col("sh.s").alias("sh"))
