@@ -152,8 +152,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", order_col: str = "tu
     on in further chunks, so no conversation is ever held whole. Concatenated in order of chunk they are the conversation.
 
     Defined cases: null text is empty; null role is the empty role; equal turn numbers are ordered by part, role, text; a
-    null id is a conversation of its own; rows of layout "unknown" (null role and text) must be filtered by the caller; an
-    empty table gives no row.
+    null id is a conversation of its own; rows of layout "unknown" are left out, as they have no turn; an empty table gives no row.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +184,8 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", order_col: str = "tu
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
+    if "layout" in turns.columns:
+        turns = turns.where("layout <> 'unknown'")
     rows = turns.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{order_col}`").alias("_order"), F.col("part") if "part" in turns.columns else F.lit(0).alias("part"), F.coalesce("role", F.lit("")).alias("_role"), F.coalesce("text", F.lit("")).alias("_text"))
     return rows.repartition("_id").sortWithinPartitions("_id", "_order", "part", "_role", "_text").mapInArrow(write, _FORMATTED).withColumnRenamed("conv_id", id_col)
 

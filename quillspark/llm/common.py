@@ -16,9 +16,11 @@ LOWER = UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, which is set only where it is unset (tests)."""
+    """A new folder that driver and executors share, below spark.checkpoint.dir. Where that is unset, a folder of this machine does in local mode only (tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/llm-{uuid.uuid4().hex}"
@@ -44,11 +46,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def plain_name(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """Only the wanted columns, so that further columns of the input cannot clash with an operator's own."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])
-
-
 # --- words of a whole Arrow column at once -------------------------------------------------------
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)

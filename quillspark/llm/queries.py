@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm import chat, decontam, exact_dedup, jaccard_join, mixing, quality, substring, token_files, toxicity, warc
@@ -62,15 +63,33 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row becomes a record of one of four layouts, by its role, so that mappings are chosen by fingerprint here too."""
+    """Rows become records of up to two turns in nine layouts, so that mappings are chosen by fingerprint here too.
+
+    Which layout follows from the roles of a record's turns and a hash. Records are made of neighbouring turns, never of a whole
+    conversation.
+    """
     said = "</s>[INST] ok [/INST]"
     fixed = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).unionByName(fixed)
-    named = {"user": "prompt", "assistant": "response", "system": "system"}
-    record = F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")))
-    for role, name in named.items():
-        record = F.when(F.col("role") == role, F.to_json(F.struct(F.col("text").alias(name)))).otherwise(record)
-    turns = chat.canonical_turns(rows.select("conv_id", "turn", record.alias("record")))
+    place = F.row_number().over(W.partitionBy("conv_id", "pair").orderBy("turn", "role", "text")) - 1
+    placed = rows.withColumn("pair", F.floor(F.col("turn") / 2)).withColumn("sub", F.floor(place / 2))
+    held = placed.groupBy("conv_id", "pair", "sub").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))  # two at most
+    roles, kind = F.array_join("t.role", " "), F.pmod(F.xxhash64("conv_id", "pair", "sub"), F.lit(6))
+    text = lambda i: F.col("t")[i]["text"]
+    two = lambda a, b: F.to_json(F.struct(text(0).alias(a), text(1).alias(b)))
+    one = lambda name: F.to_json(F.struct(text(0).alias(name)))
+    message = lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))
+    named = lambda role: F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    said = lambda x: F.struct(named(x["role"]).alias("from"), x["text"].alias("value"))
+    pairs = [("prompt", "response"), ("prompt", "completion"), ("question", "answer"), ("instruction", "output")]
+    record = F.when(kind == 4, F.to_json(F.struct(F.transform("t", said).alias("conversations")))).otherwise(F.to_json(F.struct(F.transform("t", message).alias("messages"))))
+    for i, (a, b) in enumerate(pairs):
+        record = F.when((roles == "user assistant") & (kind == i), two(a, b)).otherwise(record)
+    for role, name in (("user", "prompt"), ("assistant", "response"), ("system", "system")):
+        record = F.when((roles == role) & (kind < 4), one(name)).otherwise(record)
+    opened = F.to_json(F.struct(text(0).alias("system"), F.transform(F.slice("t", 2, 1), message).alias("messages")))
+    record = F.when(roles.startswith("system ") & (kind < 4), opened).otherwise(record)
+    turns = chat.canonical_turns(held.select("conv_id", (F.col("pair") * 10**9 + F.col("sub")).alias("turn"), record.alias("record")))
     return chat.read_chats(stored(chat.format_chats(turns)))
 
 

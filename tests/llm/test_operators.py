@@ -495,6 +495,26 @@ def test_layouts(spark):
     assert 4 not in got and all(got[i] == [("unknown", None, None)] for i in (5, 8, 9))
 
 
+def test_unknown_records_are_no_turns(spark):
+    raw = [(1, 0, json.dumps(RECORDS[0])), (1, 1, "{broken"), (2, 0, json.dumps({"other": 1}))]
+    turns = chat.canonical_turns(spark.createDataFrame(raw, "conv_id long, turn long, record string").withColumn("role", F.lit("x")).withColumn("part", F.lit(9)))
+    got = chat.read_chats(chat.format_chats(turns)).collect()
+    assert [(r.conv_id, r.n_turns) for r in got] == [(1, 2)]
+
+
+def test_conversations_are_records_of_many_layouts(spark, sf, monkeypatch):
+    seen = {}
+    whole = chat.canonical_turns
+
+    def kept(records, *a, **k):
+        seen["layouts"] = {r.layout for r in whole(records).select("layout").distinct().collect()}
+        return whole(records, *a, **k)
+
+    monkeypatch.setattr(chat, "canonical_turns", kept)
+    queries.op10_chat(spark, sf)
+    assert "unknown" not in seen["layouts"] and len(seen["layouts"]) >= 7
+
+
 def test_chat_round_trip(spark, monkeypatch):
     rows = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "</s>[INST] ok [/INST]"), (2, 5, None, None), (2, 5, "assistant", "b"), (2, 4, "assistant", "a\\[<"), (None, 0, "x[y", "é\n"), (3, 1, "user", "z" * 5000)]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -522,6 +542,52 @@ def test_ordinal_regression_orders_four_grades():
     assert np.allclose(p.sum(axis=1), 1) and (p.argmax(axis=1) == [g for g, _, _ in rows]).mean() > 0.75
 
 
+@pytest.mark.parametrize("grades", [2, 4])
+def test_ordinal_fit_against_the_likelihood(grades):
+    """The fitted weights and thresholds leave no slope of the likelihood, taken by differences of the likelihood itself."""
+    rng, places = np.random.default_rng(grades), 6
+    rows = []
+    for _ in range(400):
+        share = rng.dirichlet(np.ones(3))
+        eta = share @ [3.0, 0.0, -3.0] + rng.logistic(0, 0.7)
+        rows.append((int(np.digitize(eta, np.linspace(-1, 1, grades - 1))), np.array([1, 2, 4]), share))
+    model = quality.fit_ordinal(rows, places, rounds=4000, ridge=1e-6)
+
+    def loss(w, cuts):
+        total = 0.0
+        for g, at, share in rows:
+            eta = (w[at] * share).sum()
+            below = [0.0, *(1 / (1 + np.exp(eta - c)) for c in cuts), 1.0]
+            total -= np.log(below[g + 1] - below[g])
+        return total / len(rows)
+
+    def slope(i, step=1e-4):
+        ends = []
+        for sign in (1, -1):
+            w, cuts = model.weights.copy(), model.thresholds.copy()
+            (w if i < places else cuts)[i if i < places else i - places] += sign * step
+            ends.append(loss(w, cuts))
+        return (ends[0] - ends[1]) / (2 * step)
+
+    assert max(abs(slope(i)) for i in [1, 2, 4, *range(places, places + grades - 1)]) < 5e-3
+    assert (np.diff(model.thresholds) > 0).all() and model.weights[[0, 3, 5]].tolist() == [0, 0, 0]
+
+
+def test_quality_labels_null_tied_and_repeated(spark):
+    rng = random.Random(20)
+    d = spark.createDataFrame([(i, ("good " if i % 2 else "bad ") * 5 + words(rng, 12)) for i in range(200)] + [(1, "good twice"), (None, "good"), (999, None)], "doc_id long, text string")
+    grades = [(i, i % 2) for i in range(200)] + [(1, 1), (1, 1), (2, None), (None, 1), (5000, 0)]
+    labels = spark.createDataFrame(grades, "doc_id long, quality int")
+    got = quality.rate_quality(d, labels).collect()
+    by = {r.doc_id: r.tail_probability for r in got if r.doc_id not in (1, None, 999)}
+    assert len(got) == 203 and np.mean([(p >= 0.5) == (i % 2 == 1) for i, p in by.items()]) > 0.95
+    assert [r.tail_probability for r in got if r.doc_id == 999] == [0.0]
+    one = quality.train_quality(d, labels.where("quality = 1"))
+    assert one.grades == [1] and {r.tail_probability for r in quality.score_quality(d, one).collect()} == {0.0, 1.0}
+    again = quality.train_quality(d.repartition(5), labels.repartition(3))
+    assert np.allclose(again.weights, quality.train_quality(d, labels).weights)
+
+
 def test_quality_on_held_out_rows(spark, sf, docs, none):
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     got = quality.rate_quality(d, labels).join(labels, "doc_id").toPandas()
@@ -600,18 +666,56 @@ def test_toxicity_on_held_out_rows(spark, sf):
     assert len(held) > 50 and ((held.toxic == 1) == (held.predicted == 1)).mean() > 0.9
 
 
-def test_pipeline_takes_effect(spark, sf):
+def test_pipeline_takes_effect(spark, sf, tmp_path):
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted(docs.collect())
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]
+    # quality: what the trained model's own probabilities say, one by one
+    model = quality.train_quality(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    tail = {r.row.doc_id: r.tail_probability for r in quality.score_quality(docs, model).collect()}
+    good = corpus_pipeline.keep_good(spark, docs, sf)
+    assert good.columns == docs.columns and {r.doc_id for r in good.collect()} == {i for i, p in tail.items() if p >= 0.5} != set(tail)
+    # copies: one of each component, the smallest
     kept = corpus_pipeline.keep_one_of_each(spark, docs, sf)
     assert kept.columns == docs.columns
-    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
-    want = {c for i, n, c in components([(i, r.text) for i, r in sorted((r.doc_id, r) for r in docs.collect())])}
-    assert {r.doc_id for r in kept.collect()} == want and len(want) < len(sets)
+    want = {c for i, n, c in components([(r.doc_id, r.text) for r in rows])}
+    assert {r.doc_id for r in kept.collect()} == want and len(want) < len(rows)
+    # benchmark items
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = {r.doc_id for r in corpus_pipeline.drop_benchmarks(spark, docs, sf).select("doc_id").collect()}
-    assert clean == {r.doc_id for r in docs.collect() if not contamination(r.text, items)[4]}
+    assert clean == {r.doc_id for r in rows if not contamination(r.text, items)[4]}
+    # mix: as often and as long as the targets say
+    taken = {r.doc_id: r.taken for r in mixing.mix_sources(docs).collect()}
+    mixed, by_id = corpus_pipeline.mix(spark, docs, sf), {r.doc_id: r.text for r in rows}
+    sums = {}
+    for r in mixed.collect():
+        assert by_id[r.doc_id].startswith(r.text)
+        sums[r.doc_id] = sums.get(r.doc_id, 0) + len(WORD.findall(r.text))
+    assert mixed.columns == docs.columns and sums == {i: n for i, n in taken.items() if n}
+    # token files: the tokenizer's own ids, one after the other
+    tok, start, ids = Tokenizer.from_file(queries.tokenizer_path()), 0, []
+    for r in rows:
+        own = tok.encode(r.text or "", add_special_tokens=False).ids + [0]
+        ids.append((r.doc_id, start, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
+        start += len(own)
+    assert sorted(tuple(r) for r in corpus_pipeline.tokens(spark, docs, sf).collect()) == ids
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
+
+
+def test_stages_with_null_ids_texts_and_sources(spark, sf, docs, rows):
+    import corpus_pipeline
+
+    given = docs.withColumn("lang", F.lit("en"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, given, sf)
+        if name == "token files":
+            assert out.count() == len(rows)
+        else:
+            assert out.columns == given.columns
+            assert stage(spark, given.limit(0), sf).count() == 0
+    kept = corpus_pipeline.keep_one_of_each(spark, given, sf)
+    assert kept.where("doc_id = 6").count() == 1 and kept.where("doc_id in (7, 8)").count() == 0  # copies of a text go
