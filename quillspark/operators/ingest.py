@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.sources.files import ranged, stored
+
 
 def dedup_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
@@ -20,12 +22,24 @@ def drop_known(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def cut_at_known_run(df: DataFrame, part: str, order: list[Column], known: str, run: int = 8) -> DataFrame:
-    """Rows of each part before the first `run` consecutive known ones, in order."""
-    w = W.partitionBy(part).orderBy(*order)
-    marked = df.withColumn("_i", F.row_number().over(w)).withColumn("_island", F.sum(F.when(F.col(known), 0).otherwise(1)).over(w))
-    length = F.row_number().over(W.partitionBy(part, "_island", known).orderBy(*order))
-    ends = F.min(F.when(F.col(known) & (F.col("_len") >= run), F.col("_i"))).over(W.partitionBy(part))
-    return marked.withColumn("_len", length).withColumn("_end", ends).where(F.col("_end").isNull() | (F.col("_i") <= F.col("_end") - run)).drop("_i", "_island", "_len", "_end")
+    """Rows of each part before the first `run` consecutive known ones, in order. A null is not known.
+
+    Rows are dealt into ranges of part and order, so that a part with most rows is no task's alone. Ranges are looked at on their own;
+    how long the run is that goes into a range, and how many rows stand before it, follow from a row per part and range.
+    """
+    key = F.coalesce(F.concat(F.lit("="), F.col(part).cast("string")), F.lit(""))
+    rows = ranged(df.withColumn("_k", key).withColumn("_known", F.coalesce(F.col(known), F.lit(False))), "_k", *order)
+    inside = W.partitionBy("_k", "_p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    placed = rows.withColumn("_i", F.count("*").over(inside)).withColumn("_gap", F.max(F.when(~F.col("_known"), F.col("_i"))).over(inside))
+    each = placed.groupBy("_k", "_p").agg(F.count("*").alias("_n"), F.max(F.when(~F.col("_known"), F.col("_i"))).alias("_last"))
+    by = W.partitionBy("_k").orderBy("_p")
+    # a range with an unknown row begins a new run; ranges that are known all through add to it
+    held = each.withColumn("_before", F.coalesce(F.sum("_n").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_new", F.count("_last").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    upto = F.sum(F.col("_n") - F.coalesce("_last", F.lit(0))).over(W.partitionBy("_k", "_new").orderBy("_p").rowsBetween(W.unboundedPreceding, 0))
+    ranges = stored(held.withColumn("_run", upto).withColumn("_carry", F.coalesce(F.lag("_run").over(by), F.lit(0))).select("_k", "_p", "_before", "_carry"))
+    counted = placed.join(ranges, ["_k", "_p"]).withColumn("_row", F.col("_before") + F.col("_i")).withColumn("_len", F.col("_i") - F.coalesce("_gap", -F.col("_carry")))
+    ends = counted.where(F.col("_known") & (F.col("_len") >= run)).groupBy("_k").agg(F.min("_row").alias("_end"))
+    return counted.join(ends, "_k", "left").where(F.col("_end").isNull() | (F.col("_row") <= F.col("_end") - run)).select(*df.columns)
 
 
 def classify(target: DataFrame, src: DataFrame, key: str, compare: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.sources.files import stored
 
 # What a field's words weigh in BM25, and what a weight class counts in cover density (title, tags, category, body).
 BM25_WEIGHTS = {"A": 5.0, "B": 1.0, "C": 1.0, "D": 1.0}
@@ -120,21 +121,23 @@ def trigram_similarity(queries: DataFrame, docs: DataFrame, least: float) -> Dat
     """(query_id, doc_id, similarity) of titles, above `least`: shared trigrams over all. Columns: (query_id, text), (doc_id, title).
 
     Two lists of m and n pieces that are so similar share at least a piece among the m - ceil(least m) + 1 rarest of the one and as
-    many of the other, so only those are joined: the most frequent pieces, which most titles have, bring no pairs together. Pairs
-    that differ too much in length are left out, and the others are compared in full.
+    many of the other, so only those are joined. They share least / (1 + least) of m + n pieces, so at the first that they share, that
+    many must be left in both: the most frequent pieces, which most titles have, bring no pairs together. The others are compared in full.
     """
-    q = queries.select("query_id", trigrams(F.col("text")).alias("g"))
-    t = docs.select("doc_id", trigrams(F.col("title")).alias("h"))
+    hashed = lambda text: F.transform(trigrams(F.col(text)), lambda x: F.xxhash64(x))
+    q = stored(queries.select("query_id", hashed("text").alias("g")), "pieces")
+    t = stored(docs.select("doc_id", hashed("title").alias("h")), "pieces")
     often = t.select(F.explode("h").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
 
     def rarest(df: DataFrame, key: str, list_col: str) -> DataFrame:
         each = df.select(key, F.size(list_col).alias("size"), F.explode(list_col).alias("x")).join(often, "x", "left")
         placed = each.withColumn("i", F.row_number().over(W.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "x")))
-        return placed.where(F.col("i") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select(key, "size", "x")
+        return placed.where(F.col("i") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select(key, "size", "i", "x")
 
     a, b = rarest(q, "query_id", "g"), rarest(t, "doc_id", "h")
     near = F.least(a["size"], b["size"]) >= least * F.greatest(a["size"], b["size"]) - 1e-9
-    pairs = a.join(b, a["x"] == b["x"]).where(near).select("query_id", "doc_id").distinct()
+    left = 1 + F.least(a["size"] - a["i"], b["size"] - b["i"]) >= least / (1 + least) * (a["size"] + b["size"]) - 1e-9
+    pairs = a.join(b, a["x"] == b["x"]).where(near & left).select("query_id", "doc_id").distinct()
     sized = pairs.join(q, "query_id").join(t, "doc_id").withColumn("similarity", similarity_of(F.col("g"), F.col("h")))
     return sized.where(F.col("similarity") > least).select("query_id", "doc_id", "similarity")
 

@@ -60,7 +60,7 @@ def export_partitioned(df: DataFrame, path: str, by: str, key: str, parts: int =
     df.repartition(by, F.pmod(F.xxhash64(key), F.lit(parts))).write.partitionBy(by).parquet(path)
 
 
-def ranged(df: DataFrame, *key: str) -> DataFrame:
+def ranged(df: DataFrame, *key: str | Column) -> DataFrame:
     """df dealt into ranges of a key, with _p, the number of the range; stored, so that ranges are the same whenever they are read."""
     return stored(df.repartitionByRange(*key).withColumn("_p", F.spark_partition_id()), "ranges")
 

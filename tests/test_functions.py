@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.operators import analytics as A
+from quillspark.operators import expansion as E
 from quillspark.operators import filters as P
 from quillspark.operators import ingest as I
 from quillspark.operators import retrieval as R
@@ -155,6 +156,84 @@ def test_second_upsert_changes_nothing(spark):
     assert {r.status for r in I.classify(new, src, "k", ["v"]).collect()} == {"skipped"}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_cut_at_known_run_over_many_ranges(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["a", "b", None]) if i % 3 else "a", rng.random() < 0.9 if rng.random() < 0.97 else None) for i in range(600)]
+    want = set()
+    for part in ("a", "b", None):
+        own, length = sorted((r for r in rows if r[1] == part), reverse=True), 0
+        kept = list(own)
+        for n, r in enumerate(own):
+            length = length + 1 if r[2] else 0
+            if length == 20:
+                kept = own[: n - 19]
+                break
+        want |= {r[0] for r in kept}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many small ranges
+    spark.conf.set("spark.sql.shuffle.partitions", "97" if seed % 2 else "4")
+    try:
+        d = spark.createDataFrame(rows, "id long, part string, known boolean")
+        got = {r.id for r in I.cut_at_known_run(d, "part", [F.desc("id")], "known", 20).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == want
+
+
+def test_cover_density_against_brute_force(spark):
+    import itertools
+    import random
+
+    rng, rows = random.Random(3), []
+    for doc in range(40):
+        for pos in sorted(rng.sample(range(1, 60), rng.randint(1, 14))):
+            rows.append((1, doc, pos, rng.choice("xyz"), rng.choice("ABCD"), 3))
+    want = {}
+    for doc in range(40):
+        own = [r for r in rows if r[1] == doc]
+        whole = lambda i, j: {r[3] for r in own[i : j + 1]} == set("xyz")  # noqa: B023, E731
+        for i, j in itertools.combinations(range(len(own)), 2):
+            if whole(i, j) and not whole(i + 1, j) and not whole(i, j - 1):
+                n, inverse = j - i + 1, sum(1 / R.CLASS_WEIGHTS[r[4]] for r in own[i : j + 1])
+                want[doc] = want.get(doc, 0) + n / inverse / (1 + own[j][2] - own[i][2] - (n - 1))
+    got = {r.doc_id: r.score for r in R.cover_density(spark.createDataFrame(rows, "query_id long, doc_id long, pos int, term string, field string, need int")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_transliteration_steps(spark):
+    dictionary = spark.createDataFrame([("wudu", 1, "oju"), ("wudu", 2, "uju"), ("vanga", 1, "bhanga"), ("kora", 1, "kora")], "variant string, alt int, output string")
+    rules = spark.createDataFrame([(1, "er", 2, "", 2, "er", "r"), (2, "r", 1, "", 3, "er", "r"), (3, "le", 2, "a", 2, "", "")], "rule_no int, suffix string, off int, put string, least int, ending string, vowel string")
+    terms = spark.createDataFrame([("wudu",), ("wudur",), ("vangar",), ("korle",), ("shap",)], "term string")
+    got = {}
+    for r in E.transliterate(terms, dictionary, rules, [("sh", "S"), ("^a", "A"), ("a", "e")]).orderBy("term", "alt").collect():
+        got.setdefault(r.term, []).append((r.rule, r.output))
+    assert got == {
+        "wudu": [("dictionary", "oju"), ("dictionary", "uju")],
+        "wudur": [("inflection", "ojur"), ("inflection", "ujur"), ("inflection", "oju"), ("inflection", "uju")],
+        "vangar": [("inflection", "bhangar"), ("inflection", "bhanga")],
+        "korle": [("inflection", "kora"), ("inflection", "kora")],
+        "shap": [("letters", "Sep")],
+    }
+
+
+@pytest.mark.parametrize(("word", "key"), [("ওযু", "OJU"), ("অজু", "OJU"), ("উযু", "OJU"), ("উজু", "OJU"), ("ওজু", "OJU"), ("kk", "KK"[:1]), ("ṃ", "Ṃ")])
+def test_phonetic_keys_of_another_script(spark, word, key):
+    sounds = {"য": "J", "জ": "J", "ও": "O", "অ": "O", "উ": "U", "ু": "U", "ৃ": "RI", "ঁ": ""}
+    assert one(spark, X.phonetic_key(F.lit(word), sounds, {"UJ": "OJ"})) == key
+
+
+def test_snippets_mark_whole_words(spark):
+    text = "x " * 60 + "the café: thé & <b>the</b> cafés é"
+    terms = F.array(F.lit("café"), F.lit("the"))
+    at = one(spark, E.snippet_start(F.lit(text), terms))
+    assert at == 121 - 80 + 0
+    plain, marked = spark.range(1).select(*E.snippet(F.lit(text), terms, F.lit(at), 220)).first()
+    assert marked.endswith("<mark>the</mark> <mark>café</mark>: thé &amp; &lt;b&gt;<mark>the</mark>&lt;/b&gt; cafés é") and "&amp;" in plain
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
