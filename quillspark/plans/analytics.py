@@ -92,11 +92,11 @@ def _ratio_sql(part: str, whole: str, places: int) -> str:
     return f"CASE WHEN ({whole}) > 0 THEN CAST((2 * {10**places} * CAST({part} AS HUGEINT) + ({whole})) // (2 * ({whole})) AS DOUBLE) / {10**places} END"
 
 
-_STATS_SQL = f"""{S_SQL}, st AS (SELECT query, count(*) AS n, count(DISTINCT user_id) AS searchers, {_ratio_sql("sum(result_count)", "count(*)", 2)} AS avg_results, count(clicked_position) AS clicks,
+STATS_SQL = f"""{S_SQL}, st AS (SELECT query, count(*) AS n, count(DISTINCT user_id) AS searchers, {_ratio_sql("sum(result_count)", "count(*)", 2)} AS avg_results, count(clicked_position) AS clicks,
 {_ratio_sql("100 * count(clicked_position)", "count(*)", 1)} AS ctr, {_ratio_sql("sum(CAST(round(took_ms * 1000000) AS BIGINT))", "1000000 * count(took_ms)", 3)} AS avg_ms FROM s GROUP BY query)"""
 
 
-@query("query_ctr", f"WITH {_STATS_SQL} SELECT * FROM st ORDER BY n DESC, query LIMIT 15")
+@query("query_ctr", f"WITH {STATS_SQL} SELECT * FROM st ORDER BY n DESC, query LIMIT 15")
 def query_ctr(spark: SparkSession, d: str) -> DataFrame:
     return A.query_stats(searches(spark, d)).orderBy(F.desc("n"), "query").limit(15)
 
@@ -163,26 +163,6 @@ def weekly_query_stats(spark: SparkSession, d: str) -> DataFrame:
     return A.since(searches(spark, d), "ts", AS_OF, 7).groupBy("query").agg(F.count("*").alias("n"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event")).where("n >= 3")
 
 
-_PROBLEM_SQL = "SELECT query, n, ctr, CASE WHEN avg_results = 0 THEN 'ZERO_RESULTS' ELSE 'LOW_CTR' END AS reason FROM st WHERE avg_results = 0 OR (n >= 3 AND ctr < 15)"
-
-
-@query("problem_queries", f"WITH {_STATS_SQL} {_PROBLEM_SQL}")
-def problem_queries(spark: SparkSession, d: str) -> DataFrame:
-    s = A.query_stats(searches(spark, d))
-    reason = F.when(F.col("avg_results") == 0, "ZERO_RESULTS").when((F.col("n") >= 3) & (F.col("ctr") < 15), "LOW_CTR")
-    return s.withColumn("reason", reason).where("reason IS NOT NULL").select("query", "n", "ctr", "reason")
-
-
-@query("write_quality_report", f"WITH {_STATS_SQL} SELECT reason, count(*) AS n_queries, CAST(sum(n) AS BIGINT) AS n_searches FROM ({_PROBLEM_SQL}) GROUP BY reason")
-def write_quality_report(spark: SparkSession, d: str) -> DataFrame:
-    """The report goes out as JSON, one line per reason with its queries in parts by name, and is read back."""
-    from quillspark.sources.files import scratch_dir
-
-    path = scratch_dir(spark, "report")
-    problem_queries(spark, d).write.partitionBy("reason").json(path)
-    return spark.read.schema("query string, n long, ctr double, reason string").json(path).groupBy("reason").agg(F.count("*").alias("n_queries"), F.sum("n").alias("n_searches"))
-
-
 @query("week_id", "SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, year(ts) || '-W' || lpad(CAST(CAST(ceil((dayofweek(ts) + 1 + datediff('day', make_date(year(ts), 1, 1), CAST(ts AS DATE))) / 7.0) AS INTEGER) AS VARCHAR), 2, '0') AS week FROM events")
 def week_id(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select(F.to_date("ts").cast("string").alias("day"), A.week_id(F.col("ts")).alias("week")).distinct()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import analytics, ingest, retrieval, streaming
+from quillspark.plans import analytics, ingest, quality_loop, retrieval, streaming
 from quillspark.plans.registry import QUERIES, SQL, fill_in
 
 fill_in()
 
-__all__ = ["QUERIES", "SQL", "analytics", "ingest", "retrieval", "streaming"]
+__all__ = ["QUERIES", "SQL", "analytics", "ingest", "quality_loop", "retrieval", "streaming"]

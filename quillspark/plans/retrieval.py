@@ -368,10 +368,10 @@ def bm25_run(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     return R.top_k(R.bm25(query_terms(spark, d), index(spark, d)), k, [F.desc("score"), F.col("doc_id")])
 
 
-_TOP_SQL = "SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {0} QUALIFY rank <= {1}"
+TOP_SQL = "SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {0} QUALIFY rank <= {1}"
 
 
-@query("bm25", f"WITH {BM25_SQL} {_TOP_SQL.format('bm', 10)}")
+@query("bm25", f"WITH {BM25_SQL} {TOP_SQL.format('bm', 10)}")
 def bm25(spark: SparkSession, d: str) -> DataFrame:
     return bm25_run(spark, d)
 
@@ -393,7 +393,7 @@ def titles(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", X.title_of(F.col("text")).alias("title"))
 
 
-@query("title_bonus", lambda: f"WITH {BM25_SQL}, {TITLE_SQL}, {_EVERY_SQL}, top AS ({_TOP_SQL.format('bm', 10)}) SELECT query_id, doc_id, round(score + CASE WHEN contains(lower(title), array_to_string(ws, ' ')) THEN CASE WHEN (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM every) THEN 3.0 ELSE 2.0 END ELSE 0.0 END + 1.5 * {_sim_sql('g', 'h')}, 6) AS score FROM (SELECT *, {_tri('title')} AS h, {_tri(_QTEXT)} AS g FROM top JOIN ti USING (doc_id) JOIN qw USING (query_id))")
+@query("title_bonus", lambda: f"WITH {BM25_SQL}, {TITLE_SQL}, {EVERY_SQL}, top AS ({TOP_SQL.format('bm', 10)}) SELECT query_id, doc_id, round(score + CASE WHEN contains(lower(title), array_to_string(ws, ' ')) THEN CASE WHEN (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM every) THEN 3.0 ELSE 2.0 END ELSE 0.0 END + 1.5 * {_sim_sql('g', 'h')}, 6) AS score FROM (SELECT *, {_tri('title')} AS h, {_tri(_QTEXT)} AS g FROM top JOIN ti USING (doc_id) JOIN qw USING (query_id))")
 def title_bonus(spark: SparkSession, d: str) -> DataFrame:
     """Points for a title that holds the whole query, more where all words match, and for what the two have alike."""
     every = R.match_all(query_terms(spark, d), postings(spark, d)).withColumn("all", F.lit(True))
@@ -417,7 +417,7 @@ def _sim_sql(g: str, h: str) -> str:
 
 SIM_SQL = f"{TITLE_SQL}, qg AS (SELECT query_id, {_tri(_QTEXT)} AS g FROM qw), tg AS (SELECT doc_id, {_tri('title')} AS h FROM ti), sim AS (SELECT query_id, doc_id, {_sim_sql('g', 'h')} AS score FROM qg, tg)"
 TRI_SQL = f"{QW_SQL}, {SIM_SQL}"
-_EVERY_SQL = "need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY query_id), h AS (SELECT query_id, doc_id, count(*) AS n FROM qt JOIN post USING (term) GROUP BY ALL), every AS (SELECT query_id, doc_id FROM h JOIN need USING (query_id) WHERE n = need)"
+EVERY_SQL = "need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY query_id), h AS (SELECT query_id, doc_id, count(*) AS n FROM qt JOIN post USING (term) GROUP BY ALL), every AS (SELECT query_id, doc_id FROM h JOIN need USING (query_id) WHERE n = need)"
 
 
 def similarity(spark: SparkSession, d: str, least: float) -> DataFrame:
@@ -425,12 +425,12 @@ def similarity(spark: SparkSession, d: str, least: float) -> DataFrame:
     return R.trigram_similarity(q, titles(spark, d), least).withColumnRenamed("similarity", "score")
 
 
-@query("trigram_similarity", f"WITH {TRI_SQL}, near AS (SELECT * FROM sim WHERE score > 0.2) {_TOP_SQL.format('near', 25)}")
+@query("trigram_similarity", f"WITH {TRI_SQL}, near AS (SELECT * FROM sim WHERE score > 0.2) {TOP_SQL.format('near', 25)}")
 def trigram_similarity(spark: SparkSession, d: str) -> DataFrame:
     return R.top_k(similarity(spark, d, 0.2), 25, [F.desc("score"), F.col("doc_id")])
 
 
-_CASC_SQL = f"""{BM25_SQL}, {SIM_SQL}, {_EVERY_SQL},
+_CASC_SQL = f"""{BM25_SQL}, {SIM_SQL}, {EVERY_SQL},
 s1 AS (SELECT query_id, doc_id, 1 AS stage, score FROM bm JOIN every USING (query_id, doc_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50),
 few1 AS (SELECT query_id FROM qw WHERE query_id NOT IN (SELECT query_id FROM s1 GROUP BY 1 HAVING count(*) >= 5)),
 s2 AS (SELECT query_id, doc_id, 2 AS stage, score FROM bm WHERE query_id IN (SELECT query_id FROM few1) AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM s1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50),
@@ -488,7 +488,7 @@ FEATURES = {
 def _rerank_sql() -> str:
     w = FEATURES
     either = lambda xs, t, b: f"list_sum(list_transform({xs}, lambda x: CASE WHEN contains(title, x) THEN {t} WHEN contains(text, x) THEN {b} ELSE 0.0 END))"
-    return f"""WITH {BM25_SQL}, {TITLE_SQL}, {RULE_SQL}, {_GROUP_SQL}, top AS ({_TOP_SQL.format('bm', 10)}),
+    return f"""WITH {BM25_SQL}, {TITLE_SQL}, {RULE_SQL}, {_GROUP_SQL}, top AS ({TOP_SQL.format('bm', 10)}),
 q AS (SELECT query_id, ws, list_filter(ws, lambda x: x NOT IN {STOP_SQL}) AS toks FROM qw),
 sy AS (SELECT query_id, list(DISTINCT b.term) AS syns FROM (SELECT query_id, unnest(toks) AS term FROM q) t JOIN g a ON t.term = a.term JOIN g b ON a.canonical = b.canonical WHERE b.term <> t.term GROUP BY 1),
 su AS (SELECT query_id, toks[1] AS w1, coalesce(list(DISTINCT b.term) FILTER (b.term IS NOT NULL), []) || [toks[1]] AS pool FROM q LEFT JOIN g a ON toks[1] = a.term LEFT JOIN g b ON a.canonical = b.canonical GROUP BY query_id, toks[1]),
@@ -525,7 +525,7 @@ def feature_rerank(spark: SparkSession, d: str) -> DataFrame:
     return E.rerank(cand, FEATURES).select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
-@query("keyword_score", f"WITH {BM25_SQL}, {TITLE_SQL}, top AS ({_TOP_SQL.format('bm', 10)}) SELECT query_id, doc_id, CAST(50 + CASE WHEN contains(lower(title), array_to_string(ws, ' ')) THEN 200 WHEN contains(lower(text), array_to_string(ws, ' ')) THEN 120 ELSE 0 END + list_sum(list_transform(ws, lambda w: CASE WHEN contains(lower(title), w) THEN 35 WHEN contains(lower(text), w) THEN 20 ELSE 0 END)) AS BIGINT) AS score FROM top JOIN qw USING (query_id) JOIN ti USING (doc_id) JOIN documents USING (doc_id)")
+@query("keyword_score", f"WITH {BM25_SQL}, {TITLE_SQL}, top AS ({TOP_SQL.format('bm', 10)}) SELECT query_id, doc_id, CAST(50 + CASE WHEN contains(lower(title), array_to_string(ws, ' ')) THEN 200 WHEN contains(lower(text), array_to_string(ws, ' ')) THEN 120 ELSE 0 END + list_sum(list_transform(ws, lambda w: CASE WHEN contains(lower(title), w) THEN 35 WHEN contains(lower(text), w) THEN 20 ELSE 0 END)) AS BIGINT) AS score FROM top JOIN qw USING (query_id) JOIN ti USING (doc_id) JOIN documents USING (doc_id)")
 def keyword_score(spark: SparkSession, d: str) -> DataFrame:
     top = bm25_run(spark, d).join(query_words(spark, d), "query_id").join(docs(spark, d).select("doc_id", F.lower("text").alias("text"), F.lower(X.title_of(F.col("text"))).alias("title")), "doc_id")
     whole = F.array_join("ws", " ")
@@ -548,7 +548,7 @@ _FUZZY_SQL = f"""voc AS (SELECT DISTINCT term FROM ftok), fz AS (SELECT t.term A
     f"""WITH {FTOK_SQL}, {QT_SQL}, {_FUZZY_SQL}, has AS (SELECT DISTINCT term, doc_id, field FROM ftok WHERE field IN ('A', 'D')),
 cl AS (SELECT DISTINCT query_id, qt.term AS word, doc_id, CASE field WHEN 'A' THEN 'title' ELSE 'text' END AS clause FROM qt JOIN fz ON qt.term = query_term JOIN has ON has.term = fz.term
   UNION SELECT query_id, qt.term, doc_id, 'exact' FROM qt JOIN has USING (term) WHERE field = 'D' UNION SELECT query_id, qt.term, doc_id, 'begins' FROM qt JOIN has ON length(qt.term) >= 3 AND starts_with(has.term, qt.term) WHERE field = 'A'),
-sc AS (SELECT query_id, doc_id, CAST(sum(CASE clause WHEN 'title' THEN 4.5 WHEN 'text' THEN 2.5 WHEN 'begins' THEN 2.0 ELSE 1.0 END) AS DOUBLE) AS score FROM cl GROUP BY ALL) {_TOP_SQL.format('sc', 10)}""",
+sc AS (SELECT query_id, doc_id, CAST(sum(CASE clause WHEN 'title' THEN 4.5 WHEN 'text' THEN 2.5 WHEN 'begins' THEN 2.0 ELSE 1.0 END) AS DOUBLE) AS score FROM cl GROUP BY ALL) {TOP_SQL.format('sc', 10)}""",
 )
 def fuzzy_boosted(spark: SparkSession, d: str) -> DataFrame:
     i = index(spark, d)
@@ -614,7 +614,7 @@ _PLACE_SQL = f"CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % {DIM}"
 _COUNTS_SQL = "[" + ", ".join(f"CAST(count(*) FILTER (place = {i}) AS DOUBLE)" for i in range(DIM)) + "]"
 _VEC_SQL = f"""dv AS (SELECT doc_id, {_COUNTS_SQL} AS v FROM (SELECT doc_id, {_PLACE_SQL} AS place FROM ftok) GROUP BY doc_id), qv AS (SELECT query_id, {_COUNTS_SQL} AS v FROM (SELECT query_id, {_PLACE_SQL} AS place FROM (SELECT query_id, unnest(ws) AS term FROM qw)) GROUP BY query_id),
 vs AS (SELECT query_id, doc_id, round(list_dot_product(qv.v, dv.v) / sqrt(list_dot_product(qv.v, qv.v) * list_dot_product(dv.v, dv.v)), 6) AS score FROM qv, dv)"""
-_FUSED_SQL = f"""{_CASC_SQL}, {_VEC_SQL}, a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY stage, score DESC, doc_id) AS rank FROM casc), b AS ({_TOP_SQL.format('vs', 50)}),
+_FUSED_SQL = f"""{_CASC_SQL}, {_VEC_SQL}, a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY stage, score DESC, doc_id) AS rank FROM casc), b AS ({TOP_SQL.format('vs', 50)}),
 fu AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS ra, b.rank AS rb, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 6) AS score FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)"""
 
 
@@ -654,7 +654,7 @@ def count_matches(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("query_id").agg(F.count("*").alias("total"), F.count(F.when(F.col("lang") == "en", 1)).alias("total_en"))
 
 
-@query("did_you_mean", f"WITH {POST_SQL}, {QT_SQL}, {SIM_SQL}, {_EVERY_SQL} SELECT query_id, doc_id, score FROM sim WHERE score > 0.25 AND score < 0.99 AND query_id NOT IN (SELECT query_id FROM every GROUP BY 1 HAVING count(*) >= 3) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) = 1")
+@query("did_you_mean", f"WITH {POST_SQL}, {QT_SQL}, {SIM_SQL}, {EVERY_SQL} SELECT query_id, doc_id, score FROM sim WHERE score > 0.25 AND score < 0.99 AND query_id NOT IN (SELECT query_id FROM every GROUP BY 1 HAVING count(*) >= 3) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) = 1")
 def did_you_mean(spark: SparkSession, d: str) -> DataFrame:
     """The most similar title, for queries that few documents answer."""
     enough = R.match_all(query_terms(spark, d), postings(spark, d)).groupBy("query_id").agg(F.count("*").alias("n")).where("n >= 3")
@@ -706,7 +706,7 @@ def related_docs(spark: SparkSession, d: str) -> DataFrame:
     return own.select("doc_id", F.posexplode(F.slice(F.concat("r", more), 1, 6)).alias("p", "related")).select("doc_id", "related", (F.col("p") + 1).cast("long").alias("rank"))
 
 
-@query("rag_context", f"WITH {BM25_SQL}, top AS ({_TOP_SQL.format('bm', 2)}) SELECT query_id, string_agg('[' || rank || '] ' || source || ': ' || md5(substr(text, 1, 400)), chr(10) ORDER BY rank) AS context FROM top JOIN documents USING (doc_id) GROUP BY query_id")
+@query("rag_context", f"WITH {BM25_SQL}, top AS ({TOP_SQL.format('bm', 2)}) SELECT query_id, string_agg('[' || rank || '] ' || source || ': ' || md5(substr(text, 1, 400)), chr(10) ORDER BY rank) AS context FROM top JOIN documents USING (doc_id) GROUP BY query_id")
 def rag_context(spark: SparkSession, d: str) -> DataFrame:
     top = bm25_run(spark, d, 2).join(docs(spark, d).select("doc_id", "source", "text"), "doc_id")
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("source"), F.lit(": "), F.md5(F.substring("text", 1, 400)))
@@ -756,7 +756,7 @@ def browse_interleaved_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "snippet",
-    f"""WITH {BM25_SQL}, top AS ({_TOP_SQL.format('bm', 3)}), p AS (SELECT query_id, list(term) AS terms FROM qt WHERE regexp_full_match(term, '[a-z]+') GROUP BY query_id),
+    f"""WITH {BM25_SQL}, top AS ({TOP_SQL.format('bm', 3)}), p AS (SELECT query_id, list(term) AS terms FROM qt WHERE regexp_full_match(term, '[a-z]+') GROUP BY query_id),
 w AS (SELECT query_id, doc_id, terms, ' ' || regexp_replace(lower(text), '[^\\pL\\pN]', ' ', 'g') || ' ' AS flat, text FROM top JOIN documents USING (doc_id) JOIN p USING (query_id)),
 a AS (SELECT *, greatest(coalesce(list_min(list_filter(list_transform(terms, lambda t: strpos(flat, ' ' || t || ' ')), lambda x: x > 0)), 1) - 80, 1) AS place FROM w),
 sn AS (SELECT *, replace(replace(replace(substr(text, place, 220), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS cut FROM a)
@@ -780,7 +780,7 @@ def golden(spark: SparkSession, d: str) -> DataFrame:
     return phrase_match(spark, d).join(b, "query_id").join(docs(spark, d).select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("query_id", "doc_id")
 
 
-@query("eval_retrieval", f"WITH {BM25_SQL}, {GOLD_SQL}, run AS ({_TOP_SQL.format('bm', 10)}), j AS (SELECT run.query_id, rank, CASE WHEN g.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM run LEFT JOIN gold g ON g.query_id = run.query_id AND g.doc_id = run.doc_id), i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS k FROM j), p AS (SELECT query_id, max(CASE WHEN rank <= 5 THEN rel ELSE 0 END) AS hit5, max(CASE WHEN rel = 1 THEN 1.0 / rank ELSE 0 END) AS rr, sum(rel / log2(rank + 1)) AS dcg, sum(rel / log2(k + 1)) AS idcg FROM i GROUP BY 1) SELECT query_id, coalesce(hit5, 0) AS hit5, round(coalesce(rr, 0), 6) AS rr, round(coalesce(CASE WHEN idcg > 0 THEN dcg / idcg END, 0), 6) AS ndcg10 FROM (SELECT DISTINCT query_id FROM gold) LEFT JOIN p USING (query_id)")
+@query("eval_retrieval", f"WITH {BM25_SQL}, {GOLD_SQL}, run AS ({TOP_SQL.format('bm', 10)}), j AS (SELECT run.query_id, rank, CASE WHEN g.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM run LEFT JOIN gold g ON g.query_id = run.query_id AND g.doc_id = run.doc_id), i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS k FROM j), p AS (SELECT query_id, max(CASE WHEN rank <= 5 THEN rel ELSE 0 END) AS hit5, max(CASE WHEN rel = 1 THEN 1.0 / rank ELSE 0 END) AS rr, sum(rel / log2(rank + 1)) AS dcg, sum(rel / log2(k + 1)) AS idcg FROM i GROUP BY 1) SELECT query_id, coalesce(hit5, 0) AS hit5, round(coalesce(rr, 0), 6) AS rr, round(coalesce(CASE WHEN idcg > 0 THEN dcg / idcg END, 0), 6) AS ndcg10 FROM (SELECT DISTINCT query_id FROM gold) LEFT JOIN p USING (query_id)")
 def eval_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return R.evaluate(bm25_run(spark, d), golden(spark, d))
 
