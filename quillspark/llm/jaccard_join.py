@@ -136,26 +136,64 @@ def _candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
     return counted.where(F.col("c") >= _shared_least(F.col("n"), num, den)).select("cls")
 
 
-def _shared_sets(rows: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The candidates with their shingles that others of them have, the rarest first: cls, n, sh.
+def _frequencies(listed: DataFrame) -> DataFrame:
+    """(cls, s, df) of rows (s, cls): the shingles that several classes have, with how many have them; rows that are repeated count once.
 
-    Frequencies are summed up before they are shuffled; where a frequent shingle is joined with its frequency, adaptive
-    execution can split its rows, as the other side has one.
+    Sorted over ranges of both as above, so that a shingle that all texts have is spread over many tasks. Each range counts its own
+    runs; a run at its border may go on in another one, so those are summed up, two shingles a range at most.
     """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, opened = None, [], True  # the shingle of the last run, its classes so far, whether it is the range's first
+
+        def out(cls: np.ndarray, s: np.ndarray, df: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+            keep = (df > 1) | edge
+            return pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (cls, s, df, edge)], names=["cls", "s", "df", "edge"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, cls = (batch.column(c).to_numpy() for c in ("s", "cls"))
+            if now is not None:
+                if s[0] == now == s[-1]:
+                    held.append(cls)
+                    continue
+                begun = np.concatenate(held)
+                s, cls = np.r_[np.full(len(begun), now), s], np.r_[begun, cls]
+            new = np.ones(len(s), bool)
+            new[1:] = (s[1:] != s[:-1]) | (cls[1:] != cls[:-1])
+            s, cls = s[new], cls[new]
+            cut = runs(s)
+            end, n = cut[-2], np.diff(cut)
+            edge = np.zeros(len(s), bool)
+            edge[: cut[1]] = opened
+            yield out(cls[:end], s[:end], np.repeat(n, n)[:end], edge[:end])
+            now, held, opened = s[-1], [cls[end:]], opened and end == 0
+        if now is not None:
+            last = np.unique(np.concatenate(held))
+            yield out(last, np.full(len(last), now), np.full(len(last), len(last)), np.ones(len(last), bool))
+
+    counted = stored(listed.repartitionByRange("s", "cls").sortWithinPartitions("s", "cls").mapInArrow(count, "cls long, s long, df long, edge boolean"))
+    border = F.broadcast(counted.where("edge").groupBy("s").agg(F.count("*").alias("whole")))  # two rows a range at most
+    return counted.join(border, "s", "left").select("cls", "s", F.coalesce("whole", "df").alias("df")).where("df > 1")
+
+
+def _shared_sets(rows: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The candidates with their shingles that others of them have, the rarest first: cls, n, sh. Of each class one row is shingled again."""
     chosen = stored(_candidates(sets, num, den))
-    texts = stored(sets.select("cls", "tk").join(chosen, "cls", "left_semi").groupBy("cls").agg(F.min("tk").alias("tk")).select("tk"))
+    one = stored(sets.select("cls", "tk", "id").join(chosen, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("tk", "id")).alias("r")).select("r.*"))
+    # the list of candidates grows with the input, so it is merged, never broadcast
+    texts = rows.join(one.hint("merge"), (F.col("_tk") == F.col("tk")) & F.col("_id").eqNullSafe(F.col("id")), "left_semi")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, first, hashes in shingle_sets(batch.column("_text"), words):
                 yield pa.RecordBatch.from_arrays([pa.array(class_ids(first, hashes).view(np.int64)), pa.array(np.diff(first), pa.int64()), _lists(first[:-1], first[1:], hashes)], names=["cls", "n", "all"])
 
-    # the list of candidates grows with the input, so it is merged, never broadcast
-    full = stored(rows.select("_tk", "_text").join(texts.withColumnRenamed("tk", "_tk").hint("merge"), "_tk", "left_semi").mapInArrow(whole, "cls long, n long, all array<long>").dropDuplicates(["cls"]))
-    each = full.select(F.explode("all").alias("s"), "cls", "n")
-    often = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    kept = each.join(often, "s").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("sh")).select("cls", "n", F.col("sh.s").alias("sh"))
-    return stored(kept.where(den * F.size("sh") >= num * F.col("n")))
+    full = stored(texts.select("_text").mapInArrow(whole, "cls long, n long, all array<long>"))
+    often = _frequencies(full.select(F.explode("all").alias("s"), "cls"))
+    kept = often.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("sh")).select("cls", F.col("sh.s").alias("sh"))
+    return stored(kept.join(full.select("cls", "n").distinct(), "cls").where(den * F.size("sh") >= num * F.col("n")).select("cls", "n", "sh"))
 
 
 def _listed(sets: DataFrame, name: str, num: int, den: int, *more: str) -> DataFrame:

@@ -113,6 +113,24 @@ def test_region_recursion_connects_what_links_connect(seed):
     assert a == b
 
 
+@pytest.mark.parametrize("ranges", [1, 5, 40])
+def test_frequencies_of_runs_over_many_ranges(spark, ranges):
+    rng = random.Random(ranges)
+    rows = [(0, c) for c in range(300)] + [(rng.randint(1, 60), rng.randint(0, 40)) for _ in range(600)] + [(99, 1)] * 50 + [(100, 2)]
+    d = spark.createDataFrame(rows, "s long, cls long").repartition(4)
+    want = {}
+    for s, c in set(rows):
+        want.setdefault(s, set()).add(c)
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r.s, r.cls, r.df) for r in jaccard_join._frequencies(d).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == sorted((s, c, len(cs)) for s, cs in want.items() if len(cs) > 1 for c in cs)
+
+
 def near_family(seed, n=60):
     """Texts that drift apart by edits, many of them near the threshold, beside a line that all have."""
     rng = random.Random(seed)
