@@ -88,12 +88,12 @@ def top_queries(spark: SparkSession, d: str) -> DataFrame:
     return searches(spark, d).where("query <> ''").groupBy("query").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "query").limit(10)
 
 
-def _ratio_sql(part: str, whole: str, places: int) -> str:
+def ratio_sql(part: str, whole: str, places: int) -> str:
     return f"CASE WHEN ({whole}) > 0 THEN CAST((2 * {10**places} * CAST({part} AS HUGEINT) + ({whole})) // (2 * ({whole})) AS DOUBLE) / {10**places} END"
 
 
-STATS_SQL = f"""{S_SQL}, st AS (SELECT query, count(*) AS n, count(DISTINCT user_id) AS searchers, {_ratio_sql("sum(result_count)", "count(*)", 2)} AS avg_results, count(clicked_position) AS clicks,
-{_ratio_sql("100 * count(clicked_position)", "count(*)", 1)} AS ctr, {_ratio_sql("sum(CAST(round(took_ms * 1000000) AS BIGINT))", "1000000 * count(took_ms)", 3)} AS avg_ms FROM s GROUP BY query)"""
+STATS_SQL = f"""{S_SQL}, st AS (SELECT query, count(*) AS n, count(DISTINCT user_id) AS searchers, {ratio_sql("sum(result_count)", "count(*)", 2)} AS avg_results, count(clicked_position) AS clicks,
+{ratio_sql("100 * count(clicked_position)", "count(*)", 1)} AS ctr, {ratio_sql("sum(CAST(round(took_ms * 1000000) AS BIGINT))", "1000000 * count(took_ms)", 3)} AS avg_ms FROM s GROUP BY query)"""
 
 
 @query("query_ctr", f"WITH {STATS_SQL} SELECT * FROM st ORDER BY n DESC, query LIMIT 15")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import analytics as A
 from quillspark.operators import retrieval as R
 from quillspark.plans import retrieval as P
-from quillspark.plans.analytics import STATS_SQL, searches
+from quillspark.plans.analytics import STATS_SQL, ratio_sql, searches
 from quillspark.plans.registry import query
 from quillspark.sources.files import scratch_dir
 
@@ -47,3 +47,22 @@ def write_quality_report(spark: SparkSession, d: str) -> DataFrame:
     problem_queries(spark, d).write.partitionBy("reason").json(path)
     read = spark.read.schema("query string, n long, ctr double, total long, synonyms string, expected string, reason string").json(path)
     return read.groupBy("reason").agg(F.count("*").alias("n_queries"), F.sum("n").alias("n_searches"), F.count("expected").alias("n_expected"))
+
+
+_MILLIONTHS = "CAST(round({0} * 1000000) AS BIGINT)"
+
+
+@query(
+    "eval_summary",
+    f"""WITH ev AS ({P.EVAL_SQL}) SELECT count(*) AS n, {ratio_sql("100 * sum(hit5)", "count(*)", 2)} AS hit_percent, {ratio_sql(f"sum({_MILLIONTHS.format('rr')})", "1000000 * count(*)", 4)} AS mrr,
+{ratio_sql(f"sum({_MILLIONTHS.format('ndcg10')})", "1000000 * count(*)", 4)} AS ndcg10, count(*) FILTER (hit5 = 0) AS failures, coalesce(string_agg(CAST(query_id AS VARCHAR), ',' ORDER BY query_id) FILTER (hit5 = 0), '') AS failed FROM ev""",
+)
+def eval_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Averages over the golden queries, and those without a hit among the first five."""
+    e, n = P.eval_retrieval(spark, d), F.count("*")
+    millionths = lambda c: F.sum(F.round(F.col(c) * 1_000_000).cast("long"))
+    failed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("hit5") == 0, F.col("query_id")))), lambda x: x.cast("string")), ",")  # a part of the golden queries
+    return e.agg(
+        n.alias("n"), A.ratio(100 * F.sum(F.col("hit5").cast("long")), n, 2).alias("hit_percent"), A.ratio(millionths("rr"), 1_000_000 * n, 4).alias("mrr"),
+        A.ratio(millionths("ndcg10"), 1_000_000 * n, 4).alias("ndcg10"), F.count_if(F.col("hit5") == 0).alias("failures"), failed.alias("failed"),
+    )

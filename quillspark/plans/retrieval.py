@@ -780,7 +780,10 @@ def golden(spark: SparkSession, d: str) -> DataFrame:
     return phrase_match(spark, d).join(b, "query_id").join(docs(spark, d).select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("query_id", "doc_id")
 
 
-@query("eval_retrieval", f"WITH {BM25_SQL}, {GOLD_SQL}, run AS ({TOP_SQL.format('bm', 10)}), j AS (SELECT run.query_id, rank, CASE WHEN g.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM run LEFT JOIN gold g ON g.query_id = run.query_id AND g.doc_id = run.doc_id), i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS k FROM j), p AS (SELECT query_id, max(CASE WHEN rank <= 5 THEN rel ELSE 0 END) AS hit5, max(CASE WHEN rel = 1 THEN 1.0 / rank ELSE 0 END) AS rr, sum(rel / log2(rank + 1)) AS dcg, sum(rel / log2(k + 1)) AS idcg FROM i GROUP BY 1) SELECT query_id, coalesce(hit5, 0) AS hit5, round(coalesce(rr, 0), 6) AS rr, round(coalesce(CASE WHEN idcg > 0 THEN dcg / idcg END, 0), 6) AS ndcg10 FROM (SELECT DISTINCT query_id FROM gold) LEFT JOIN p USING (query_id)")
+EVAL_SQL = f"WITH {BM25_SQL}, {GOLD_SQL}, run AS ({TOP_SQL.format('bm', 10)}), j AS (SELECT run.query_id, rank, CASE WHEN g.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM run LEFT JOIN gold g ON g.query_id = run.query_id AND g.doc_id = run.doc_id), i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS k FROM j), p AS (SELECT query_id, max(CASE WHEN rank <= 5 THEN rel ELSE 0 END) AS hit5, max(CASE WHEN rel = 1 THEN 1.0 / rank ELSE 0 END) AS rr, sum(rel / log2(rank + 1)) AS dcg, sum(rel / log2(k + 1)) AS idcg FROM i GROUP BY 1) SELECT query_id, coalesce(hit5, 0) AS hit5, round(coalesce(rr, 0), 6) AS rr, round(coalesce(CASE WHEN idcg > 0 THEN dcg / idcg END, 0), 6) AS ndcg10 FROM (SELECT DISTINCT query_id FROM gold) LEFT JOIN p USING (query_id)"
+
+
+@query("eval_retrieval", EVAL_SQL)
 def eval_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return R.evaluate(bm25_run(spark, d), golden(spark, d))
 
