@@ -41,7 +41,7 @@ def test_sanitize_takes_out_what_taking_out_brings_forth(spark):
         ("<form action=x>a</form><button>b</button>", "ab"),
         ('<a href="javascript:alert(1)">c</a>', '<a href="">c</a>'),
         ("<script>a<b</script>d<style>e</style>", "d"),
-        ("<svg><iframe></svg>f</iframe>g</svg>", "g"),
+        ("<svg><iframe></svg>f</iframe>g", "g"),
         ("<a href='data:text/html;x'>g</a><b>data: h</b>", "<a href=''>g</a><b>data: h</b>"),
         (" plain ", "plain"),
         (None, None),
