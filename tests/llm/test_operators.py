@@ -318,6 +318,21 @@ def test_passages_of_three_hundred_holders_with_edits_of_their_own(spark):
     assert len(found & set(range(300))) >= 0.9 * 300 and not found - set(range(300))
 
 
+def lcs_length(x: list, a: list) -> int:
+    """Words in common of two short pieces, in order: greedy furthest-reaching paths (O(ND))."""
+    n, m = len(x), len(a)
+    reach = {1: 0}
+    for d in range(n + m + 1):
+        for k in range(-d, d + 1, 2):
+            i = reach[k + 1] if k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1)) else reach[k - 1] + 1
+            while i < n and 0 <= i - k < m and x[i] == a[i - k]:
+                i += 1
+            reach[k] = i
+            if i >= n and i - k >= m:
+                return (n + m - d) // 2
+    return 0
+
+
 def brute_force_passages(x, a, least=50, identity=0.8):
     """Whether some `least` words of x have identity * least words in common, in order, with as many words of a."""
     shared = set(x) & set(a)
@@ -325,7 +340,7 @@ def brute_force_passages(x, a, least=50, identity=0.8):
         return False
     for i in range(len(x) - least + 1):
         for j in range(len(a) - least + 1):
-            if sum(p == q for p, q in zip(x[i : i + least], a[j : j + least], strict=True)) >= identity * least or substring.lcs_length(x[i : i + least], a[j : j + least]) >= identity * least:
+            if sum(p == q for p, q in zip(x[i : i + least], a[j : j + least], strict=True)) >= identity * least or lcs_length(x[i : i + least], a[j : j + least]) >= identity * least:
                 return True
     return False
 
@@ -409,7 +424,7 @@ def test_passages_of_an_alignment(seed):
     rng = random.Random(seed)
     x, a = ([rng.choice("abcdef") for _ in range(40)] for _ in range(2))
     pairs = substring.lcs_pairs(x, a)
-    assert len(pairs) == substring.lcs_length(x, a) and all(x[i] == a[j] for i, j in pairs)
+    assert len(pairs) == lcs_length(x, a) and all(x[i] == a[j] for i, j in pairs)
     px, pa_ = (np.array(v) for v in zip(*pairs, strict=True))
     good = lambda i, j: min(px[j] - px[i], pa_[j] - pa_[i]) + 1 >= 6 and j - i + 1 >= 0.7 * (max(px[j] - px[i], pa_[j] - pa_[i]) + 1)
     got = substring.passages(px, pa_, 6, 0.7)
@@ -433,7 +448,7 @@ def test_common_words(seed):
     best = [[0] * (len(a) + 1) for _ in range(len(x) + 1)]
     for i, j in itertools.product(range(len(x)), range(len(a))):
         best[i + 1][j + 1] = best[i][j] + 1 if x[i] == a[j] else max(best[i][j + 1], best[i + 1][j])
-    assert substring.lcs_length(x, a) == best[len(x)][len(a)]
+    assert lcs_length(x, a) == best[len(x)][len(a)]
 
 
 def test_token_files(spark, docs, rows, none, tmp_path):
