@@ -137,7 +137,7 @@ def read_warc(selected: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64())])
-    # a task per file, or per PART bytes of larger ones; a number that is not coalesced
+    # about a task per file, or per PART bytes of larger ones; a number that is not coalesced, and no keys are sampled for ranges
     held = selected.agg(F.countDistinct("path").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
-    chosen = selected.select("path", "offset", "length").repartitionByRange(max(held.files, -(-held.bytes // PART), 1), "path", "offset").sortWithinPartitions("path", "offset")
+    chosen = selected.select("path", "offset", "length").repartition(max(held.files, -(-held.bytes // PART), 1), "path", F.floor(F.col("offset") / PART)).sortWithinPartitions("path", "offset")
     return chosen.mapInArrow(read, "path string, offset long, page_id long, url string, record_type string, refers_to long, payload string, digest string, payload_bytes long")
