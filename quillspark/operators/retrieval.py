@@ -266,7 +266,7 @@ def _compare(queries: DataFrame, vectors: DataFrame, k: int, codes: bool) -> Dat
 
     Queries are a stated set: each block of them meets each block of vectors, in tasks, and gives k rows per query at most.
     """
-    q, v = (_packed(df, key, "embedding", codes) for df, key in ((queries, "query_id"), (vectors, "doc_id")))
+    q, v = stored(_packed(queries, "query_id", "embedding", codes), "queries"), _packed(vectors, "doc_id", "embedding", codes)
     blocks = v.crossJoin(q.withColumnsRenamed({"ids": "qids", "dim": "qdim", "data": "qdata"}))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
