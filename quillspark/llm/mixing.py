@@ -52,21 +52,23 @@ def _mix(docs: DataFrame, keep: list[str], id_col: str, source_col: str, text_co
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
     weight = F.greatest(F.lit(0.001), F.least(F.lit(1000.0), F.coalesce("_w", F.lit(0.05))))
     rows = rows.withColumn("_key", -F.log(u) / weight).drop("_w").withColumn("_range", F.floor(F.log("_key") * RANGES).cast("int"))
+    # the source as a key that is never null, so that sorting and joining deal rows alike and only once
+    rows = rows.withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     by_range = stored(rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum")))
     targets = source_targets(by_range.groupBy("source").agg(F.sum("_sum").alias("source_size")))
     begun = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     ranges = (
         by_range.withColumn("_begin", F.coalesce(F.sum("_sum").over(begun), F.lit(0)))
-        .join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+        .join(targets.withColumnRenamed("source", "_t"), F.col("source").eqNullSafe(F.col("_t")))
         .withColumn("_epochs", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))))
         .withColumn("_budget", F.round(F.col("target") - F.col("_epochs") * F.col("source_size")).cast("long"))
-        .select(F.col("source").alias("_s"), F.col("_range").alias("_r"), "_begin", "source_size", "target", "_epochs", "_budget")
+        .select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_s"), "_range", "_begin", "source_size", "target", "_epochs", "_budget")
     )
-    inside = W.partitionBy("source", "_range").orderBy("_key", "_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_s", "_range").orderBy("_key", "_id", "size").rowsBetween(W.unboundedPreceding, -1)
     left = F.col("_budget") - F.col("_begin") - F.col("_before")
     return (
         rows.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(ranges, F.col("source").eqNullSafe(F.col("_s")) & F.col("_range").eqNullSafe(F.col("_r")))
+        .join(ranges, ["_s", "_range"])
         .withColumn("taken", (F.col("_epochs") * size + F.greatest(F.lit(0), F.least(size, left))).cast("long"))
         .select("_id", "size", "source_size", "target", "taken", *[f"_keep_{c}" for c in keep])
     )
