@@ -40,6 +40,16 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame | None) -> None:
+    """Deletes the folders of stored tables that nothing lazy is made of any more: what came of them has been stored itself."""
+    for df in tables:
+        files = df.inputFiles() if df is not None else []
+        if files:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only, null as empty. lower() does the same on pure ASCII, where it is much faster."""
     text = F.coalesce(text, F.lit(""))

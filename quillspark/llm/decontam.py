@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower, stored
+from quillspark.llm.common import ascii_lower, release, stored
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -147,7 +147,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     either side give no hits; other columns stay in the struct, so that no name of theirs can clash.
     """
     norm = ascii_lower(F.col(f"`{text_col}`"))
-    hits = stored(find_contamination(docs, index or build_index(docs, text_col), items, text_col, item_id_col, item_text_col, window, slop))
+    own = index or build_index(docs, text_col)
+    hits = stored(find_contamination(docs, own, items, text_col, item_id_col, item_text_col, window, slop))
+    if index is None:
+        release(own.postings, own.frequency)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(norm).alias("key"), _count(_split(norm)).alias("n_words"))
     zero = F.lit(0).cast("long")
     n_hit = F.coalesce("n_hit", zero)

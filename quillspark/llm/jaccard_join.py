@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import mix, runs, stored, text_chunks
+from quillspark.llm.common import mix, release, runs, stored, text_chunks
 from quillspark.llm.components import components
 
 #: Shingles of a region's own sets, and of its replicas, that one task joins.
@@ -136,8 +136,8 @@ def _candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
     return counted.where(F.col("c") >= _shared_least(F.col("n"), num, den)).select("cls")
 
 
-def _frequencies(listed: DataFrame) -> DataFrame:
-    """(cls, s, df) of rows (s, cls): the shingles that several classes have, with how many have them; rows that are repeated count once.
+def _frequencies(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A stored table, and made of it (cls, s, df) of rows (s, cls): the shingles that several classes have, with how many have them; rows that are repeated count once.
 
     Sorted over ranges of both as above, so that a shingle that all texts have is spread over many tasks. Each range counts its own
     runs; a run at its border may go on in another one, so those are summed up, two shingles a range at most.
@@ -175,7 +175,7 @@ def _frequencies(listed: DataFrame) -> DataFrame:
 
     counted = stored(listed.repartitionByRange("s", "cls").sortWithinPartitions("s", "cls").mapInArrow(count, "cls long, s long, df long, edge boolean"))
     border = F.broadcast(counted.where("edge").groupBy("s").agg(F.count("*").alias("whole")))  # two rows a range at most
-    return counted.join(border, "s", "left").select("cls", "s", F.coalesce("whole", "df").alias("df")).where("df > 1")
+    return counted, counted.join(border, "s", "left").select("cls", "s", F.coalesce("whole", "df").alias("df")).where("df > 1")
 
 
 def _shared_sets(rows: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -191,9 +191,11 @@ def _shared_sets(rows: DataFrame, sets: DataFrame, words: int, num: int, den: in
                 yield pa.RecordBatch.from_arrays([pa.array(class_ids(first, hashes).view(np.int64)), pa.array(np.diff(first), pa.int64()), _lists(first[:-1], first[1:], hashes)], names=["cls", "n", "all"])
 
     full = stored(texts.select("_text").mapInArrow(whole, "cls long, n long, all array<long>"))
-    often = _frequencies(full.select(F.explode("all").alias("s"), "cls"))
+    counted, often = _frequencies(full.select(F.explode("all").alias("s"), "cls"))
     kept = often.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("sh")).select("cls", F.col("sh.s").alias("sh"))
-    return stored(kept.join(full.select("cls", "n").distinct(), "cls").where(den * F.size("sh") >= num * F.col("n")).select("cls", "n", "sh"))
+    shared = stored(kept.join(full.select("cls", "n").distinct(), "cls").where(den * F.size("sh") >= num * F.col("n")).select("cls", "n", "sh"))
+    release(chosen, one, full, counted)
+    return shared
 
 
 def _listed(sets: DataFrame, name: str, num: int, den: int, *more: str) -> DataFrame:
@@ -236,8 +238,10 @@ def _pivots(sets: DataFrame, num: int, den: int) -> DataFrame:
         near = _listed(rest, "x", num, den).join(_listed(own, "q", num, den), "s")
         pairs = near.where((F.col("x") != F.col("q")) & _may_reach(F.lit(num / den))).select("x", "q").distinct()
         near = _within(pairs, sets, num, den).unionByName(own.select(F.col("cls").alias("x"), F.col("cls").alias("q"), F.lit(0.0).alias("d")))
-        found = stored(near if found is None else found.unionByName(near))
-        rest = stored(rest.join(found.select(F.col("x").alias("cls")).distinct(), "cls", "left_anti"))
+        before, found = found, stored(near if found is None else found.unionByName(near))
+        left = stored(rest.join(found.select(F.col("x").alias("cls")).distinct(), "cls", "left_anti"))
+        release(before, pivots, own, rest if number else None)
+        rest = left
         if rest.isEmpty():
             return found
     return stored(found.unionByName(rest.select(F.col("cls").alias("x"), F.col("cls").alias("q"), F.lit(0.0).alias("d"))))
@@ -325,7 +329,7 @@ def link_components(sets: DataFrame, num: int, den: int) -> DataFrame:
     reach = replicas.groupBy("q").agg(F.min("d").alias("least"))
     regions = home.join(reach, "q").where(F.col("d") >= F.col("least") - t).select("q", "x")
     more = stored(_join_regions(regions, replicas.select("q", "x"), sets, comp, num, den))
-    return roots if more.isEmpty() else components(stored(links.unionByName(more)))
+    return stored(roots if more.isEmpty() else components(stored(links.unionByName(more))))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -344,7 +348,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_tk"))
     sets = stored(_sets(rows, words, num, den))
-    roots = stored(link_components(_shared_sets(rows, sets, words, num, den), num, den))
+    shared = _shared_sets(rows, sets, words, num, den)
+    roots = link_components(shared, num, den)
     labelled = stored(sets.select("id", "cls", "n").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("id", "n", F.coalesce("root", "cls").alias("root")))
+    release(sets, shared, roots)
     least = labelled.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     return labelled.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
