@@ -101,7 +101,7 @@ class Words:
         self.hash = mix((total[self.end] - total[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64))
 
 
-def text_chunks(texts: pa.Array, lower: bool = True, most: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
+def text_chunks(texts: pa.Array, lower: bool = True, most: int = 1 << 18) -> Iterator[tuple[int, int, Words]]:
     """Runs of texts of about `most` bytes together: (from, to, words). A null text has no words."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):

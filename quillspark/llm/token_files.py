@@ -22,7 +22,7 @@ SEQUENCE = 2048
 #: Sequences in a record batch of a file.
 BATCH = 256
 #: Parts and pieces whose ids a worker keeps; the frequent ones come early. Only speed depends on it.
-CACHE = 400_000
+CACHE = 150_000
 #: Texts that are encoded together, for a bound on memory.
 CHUNK = 1000
 #: White space in Unicode: texts in which a blank has another beside it are encoded whole, see Encoder.
