@@ -18,6 +18,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).where("tail_probability >= 0.5").select("row.*")
 
 
+def graded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, str]:
+    """docs with the quality classifier's expected grade, and the name of that column, which no column of docs has.
+
+    The classifier learns from labelled rows of all documents, as those of low grades are gone by the stages before.
+    """
+    model = quality.train_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    name = "_".join(["grade", *docs.columns])
+    return quality.score_quality(docs, model).select("row.*", F.col("expected_grade").alias(name)), name
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest id."""
     groups = stored(jaccard_join.jaccard_join(docs))
@@ -32,8 +42,9 @@ def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.take_mix(docs)
+    """Each document as often as the mix takes it: within a source, those with a better expected grade are likelier to be taken once more."""
+    rows, grade = graded(spark, docs, sf_dir)
+    return mixing.take_mix(rows, quality_weight=F.col(grade)).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
