@@ -721,7 +721,10 @@ def test_pipeline_takes_effect(spark, sf, tmp_path):
     clean = {r.doc_id for r in corpus_pipeline.drop_benchmarks(spark, docs, sf).select("doc_id").collect()}
     assert clean == {r.doc_id for r in rows if not contamination(r.text, items)[4]}
     # mix: as often and as long as the targets say
-    taken = {r.doc_id: r.taken for r in mixing.mix_sources(docs).collect()}
+    rated, grade = corpus_pipeline.graded(spark, docs, sf)
+    taken = {r.doc_id: r.taken for r in mixing.mix_sources(rated, quality_weight=F.col(grade)).collect()}
+    assert {r.doc_id: r[grade] for r in rated.collect()} == {r.row.doc_id: r.expected_grade for r in quality.score_quality(docs, model).collect()}
+    assert taken != {r.doc_id: r.taken for r in mixing.mix_sources(docs).collect()}
     mixed, by_id = corpus_pipeline.mix(spark, docs, sf), {r.doc_id: r.text for r in rows}
     sums = {}
     for r in mixed.collect():
