@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, decontam, exact_dedup, jaccard_join, mixing, quality, substring, token_files, toxicity, warc
+from quillspark.llm import chat, conversation_repair, decontam, exact_dedup, jaccard_join, mixing, quality, substring, token_files, toxicity, warc
 from quillspark.llm.common import stored
 
 
@@ -93,6 +93,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chats(stored(chat.format_chats(turns)))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_conversations(conversation_repair.damage(said), every=said)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_jaccard_join": op2_jaccard_join,
@@ -104,8 +109,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat": op10_chat,
+    "op13_repair": op13_repair,
 }
 
+#: What can be done from a state with rows that are inserted and one that is kept, changed or deleted: (state, role's initial or * for any,
+#: audit, cost without that of a truncated row that stays, next state, lines put in, the row's role then: none, its own (=) or another).
+def _repair_steps() -> str:
+    rows = []
+    after, kept = {0: 2, 1: 2, 2: 3, 3: 2}, {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    for q in range(4):
+        at, lines = q, ""
+        for n in range(4):
+            rows.append((q, "*", "I" * n + "D", 5 * n + 2, at, lines, ""))
+            rows += [(q, r, "I" * n + "K", 5 * n, to, lines, "=") for (own, r), to in kept.items() if own == at]
+            rows.append((q, "*", "I" * n + "R", 5 * n + 1, after[at], lines, {2: "user", 3: "assistant"}[after[at]]))
+            at = after[at]
+            lines += {2: "user", 3: "assistant"}[at] + ":" + chr(10)
+    quoted = lambda v: str(v) if isinstance(v, int) else "'" + v + "'"
+    return ", ".join(f"({', '.join(map(quoted, r))})" for r in rows)
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
@@ -162,4 +185,32 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length('<s>[ROLE]' || r || '[INST]' || t || '[/INST]</s>')) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op13_repair": rf"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda h, b: list_reduce(list_prepend(xor(h, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384 + 0 * y))), 4294967295::BIGINT) % 20 AS kind FROM conversations),
+dam AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS again FROM said),
+pl AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS fin FROM dam),
+fl AS (SELECT *, CASE WHEN fin = '' THEN 'b' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'd' WHEN fin NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault, left(role, 1) AS r, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS r2 FROM pl),
+step(q, need, piece, price, q2, front, own) AS (VALUES {_repair_steps()}),
+run AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, 0::BIGINT AS cost, '' AS audit, '' AS lines FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, q2, cost, audit, lines FROM (
+    SELECT run.conv_id, fl.i, q2, run.cost + price + CASE WHEN fault = 't' AND own <> '' THEN 5 ELSE 0 END AS cost, audit || piece AS audit,
+           lines || front || CASE own WHEN '' THEN '' WHEN '=' THEN role || ':' || text || chr(10) ELSE own || ':' || text || chr(10) END AS lines
+    FROM run JOIN fl ON fl.conv_id IS NOT DISTINCT FROM run.conv_id AND fl.i = run.i + 1 JOIN step ON step.q = run.q AND (need = '*' OR need = r) AND (own = '' OR fault NOT IN ('b', 'd')))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, q2 ORDER BY cost, audit) = 1),
+fin(q, piece, price, rest) AS (VALUES (0, '', 0, ''), (1, 'II', 10, 'user:' || chr(10) || 'assistant:' || chr(10)), (2, 'I', 5, 'assistant:' || chr(10)), (3, '', 0, '')),
+n AS (SELECT conv_id, count(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+        count(*) FILTER (r2 IS NOT NULL AND r || r2 NOT IN ('su', 'ua', 'au')) AS illegal FROM fl GROUP BY conv_id),
+best AS (SELECT run.conv_id, cost + price AS cost, audit || piece AS audit, lines || rest AS lines FROM run JOIN fin USING (q) LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM run.conv_id WHERE i = coalesce(n, 0)
+  QUALIFY row_number() OVER (PARTITION BY run.conv_id ORDER BY cost + price, audit || piece) = 1)
+SELECT best.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit,
+       sha256(CASE WHEN lines = '' THEN '' ELSE left(lines, length(lines) - 1) END) AS repaired_sha256
+FROM best LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM best.conv_id""",
 }
