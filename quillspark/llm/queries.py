@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, conversation_repair, decontam, exact_dedup, jaccard_join, mixing, quality, substring, token_files, toxicity, warc
+from quillspark.llm import chat, conversation_repair, decontam, exact_dedup, jaccard_join, mixing, quality, substring, token_files, toxicity, vector_dedup, warc, whitening
 from quillspark.llm.common import stored
 
 
@@ -93,6 +93,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chats(stored(chat.format_chats(turns)))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _table(spark, sf_dir, "conversations")
     return conversation_repair.repair_conversations(conversation_repair.damage(said), every=said)
@@ -109,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat": op10_chat,
+    "op11_whitening": op11_whitening,
+    "op12_near_vectors": op12_near_vectors,
     "op13_repair": op13_repair,
 }
 
