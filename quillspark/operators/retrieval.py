@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -14,10 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.operators.index import Index
 from quillspark.sources.files import stored
 
-# What a field's words weigh in BM25, and what a weight class counts in cover density (title, tags, category, body).
-BM25_WEIGHTS = {"A": 5.0, "B": 1.0, "C": 1.0, "D": 1.0}
+# What a weight class counts in cover density (title, tags, category, body).
 CLASS_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 
 
@@ -26,31 +25,6 @@ def token_table(df: DataFrame, id_col: str, col: Column, stop: list[str] = ()) -
     return df.select(id_col, F.posexplode_outer(X.tokens(F.lower(col), stop)).alias("p", "term")).where("term IS NOT NULL").select(id_col, (F.col("p") + 1).cast("long").alias("pos"), "term")
 
 
-def field_tokens(df: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
-    """(id, field, pos, term) of several fields, laid out one after the other: places go on from field to field."""
-    words = df.select(id_col, *[F.coalesce(X.tokens(F.lower(c)), F.array().cast("array<string>")).alias(f"_{f}") for f, c in fields.items()])
-    ends, total = [], F.lit(0)
-    for f in fields:
-        total = total + F.size(f"_{f}")
-        ends.append((f, total))
-    field = reduce(lambda held, e: F.when(F.col("p") < e[1], e[0]).otherwise(held), reversed(ends[:-1]), F.lit(ends[-1][0]))
-    return words.select("*", F.posexplode_outer(F.concat(*[F.col(f"_{f}") for f in fields])).alias("p", "term")).where("term IS NOT NULL").select(id_col, field.alias("field"), (F.col("p") + 1).alias("pos"), "term")
-
-
-def build_postings(tokens: DataFrame) -> DataFrame:
-    """(term, doc_id, field, tf, first, positions): a document's places of a term are one row per field."""
-    return tokens.groupBy("term", "doc_id", "field").agg(F.count("*").alias("tf"), F.min("pos").alias("first"), F.sort_array(F.collect_list("pos")).alias("positions"))
-
-
-@dataclass
-class Index:
-    """What all retrieval starts from, built once: postings as build_postings gives them, lengths (doc_id, len), vocabulary (term, df)."""
-
-    postings: DataFrame
-    lengths: DataFrame
-    vocabulary: DataFrame
-
-
 def top_k(df: DataFrame, k: int, by: list[Column], part: list[str] = ["query_id"]) -> DataFrame:  # noqa: B006
     """The first k rows of each part with their rank; the filter on the rank prunes before the shuffle."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*part).orderBy(*by))).where(F.col("rank") <= k)
@@ -61,26 +35,116 @@ def hits(query_terms: DataFrame, postings: DataFrame) -> DataFrame:
     return query_terms.join(postings, "term").groupBy("query_id", "doc_id").agg(F.countDistinct("group_no").alias("n"), F.sum("tf").alias("tf"), F.min("first").alias("first"))
 
 
-def match_all(query_terms: DataFrame, postings: DataFrame) -> DataFrame:
-    need = query_terms.groupBy("query_id").agg(F.countDistinct("group_no").alias("need"))
-    return hits(query_terms, postings).join(need, "query_id").where("n = need").select("query_id", "doc_id")
+def _rarest_group(query_terms: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """query_terms with `rare` (whether a term is of its query's rarest group) and the number of groups, of queries whose groups all occur."""
+    known = query_terms.select("query_id", "group_no", "term").distinct().join(vocabulary.select("term", "df"), "term", "left")
+    groups = known.groupBy("query_id", "group_no").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("df"))
+    best = groups.groupBy("query_id").agg(F.count("*").alias("need"), F.min(F.struct("df", "group_no")).alias("r")).where("r.df > 0").select("query_id", "need", F.col("r.group_no").alias("_rare"))
+    return known.where("df IS NOT NULL").join(best, "query_id").select("query_id", "group_no", "term", (F.col("group_no") == F.col("_rare")).alias("rare"), "need"), best
 
 
-def match_any(query_terms: DataFrame, postings: DataFrame, without: DataFrame | None = None) -> DataFrame:
-    found = hits(query_terms, postings).select("query_id", "doc_id")
-    return found.join(without, ["query_id", "doc_id"], "left_anti") if without is not None else found
+def match_all(query_terms: DataFrame, index: Index) -> DataFrame:
+    """(query_id, doc_id) of documents with a term of every group (query_id, group_no, term). Only documents with a term of the query's rarest group are looked at; there the others are looked up."""
+    terms, _ = _rarest_group(query_terms, index.vocabulary)
+    terms = stored(terms, "groups")
+    begun = terms.where("rare").select("query_id", "term").join(index.postings.select("term", "doc_id"), "term").select("query_id", "doc_id").distinct()
+    rest = terms.where("NOT rare").select("query_id", "group_no", "term")
+    met = begun.join(rest, "query_id").join(index.postings.select("term", "doc_id"), ["term", "doc_id"])
+    full = met.groupBy("query_id", "doc_id").agg(F.countDistinct("group_no").alias("n")).join(terms.select("query_id", "need").distinct(), "query_id").where("n = need - 1").select("query_id", "doc_id")
+    one = begun.join(terms.where("need = 1").select("query_id").distinct(), "query_id", "left_semi")
+    return full.unionByName(one)
 
 
-def bm25(query_terms: DataFrame, index: Index, weights: dict[str, float] = BM25_WEIGHTS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score), rounded to six places; a word counts as often as its field's weight. Corpus size and mean length are a one-row side table."""
-    corpus = index.lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    weight = reduce(lambda held, f: F.when(F.col("field") == f[0], f[1]).otherwise(held), weights.items(), F.lit(0.0))
+def match_any(query_terms: DataFrame, index: Index, without: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id) of documents with a term of any group, all of them."""
     terms = query_terms.select("query_id", "term").distinct()
-    wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id").agg(F.sum(weight * F.col("tf")).alias("tf"))
+    found = terms.join(index.postings.select("term", "doc_id"), "term").select("query_id", "doc_id").distinct()
+    return found.join(without, ["query_id", "doc_id"], "left_anti") if without is not None else found
+
+
+def _bm25_terms(query_terms: DataFrame, index: Index, k1: float, b: float) -> tuple[DataFrame, Callable[[Column, Column], Column]]:
+    """Distinct terms with idf, the mean length, df and bound: what a term adds to any score at most."""
+    corpus = index.documents.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    joined = terms.join(index.vocabulary, "term").join(wanted, "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(corpus))  # one row
-    return joined.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    # tf and tf / len are both at their largest at once, which no document beats
+    bound = F.col("idf") * (k1 + 1) / (1 + k1 * ((1 - b) / F.col("top") + b / (F.col("mean") * F.col("dense"))))
+    terms = query_terms.select("query_id", "term").distinct().join(index.vocabulary, "term").crossJoin(F.broadcast(corpus))  # one row
+    part = lambda tf, length: F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.col("mean")))
+    return terms.withColumn("idf", idf).select("query_id", "term", "df", "mean", "idf", bound.alias("bound")), part
+
+
+def bm25(query_terms: DataFrame, index: Index, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score), rounded to six places, of all documents with a word of a query; a word counts as often as its field's weight. For the best alone see bm25_top."""
+    terms, part = _bm25_terms(query_terms, index, k1, b)
+    joined = terms.join(index.postings.select("term", "doc_id", "wtf", "len"), "term")
+    return joined.groupBy("query_id", "doc_id").agg(F.round(F.sum(part(F.col("wtf"), F.col("len"))), 6).alias("score"))
+
+
+#: Postings beyond k that a query's rarest words may have to begin with, as a multiple of k.
+SEEDS = 4
+#: Scores are rounded to six places, so one that is less by this can still be equal.
+ROUNDING = 2e-6
+
+
+def bm25_within(pairs: DataFrame, query_terms: DataFrame, index: Index, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score) of given pairs (query_id, doc_id) alone."""
+    terms, part = _bm25_terms(query_terms, index, k1, b)
+    met = pairs.join(terms, "query_id").join(index.postings.select("term", "doc_id", "wtf", "len"), ["term", "doc_id"])
+    return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part(F.col("wtf"), F.col("len"))), 6).alias("score"))
+
+
+def bm25_top(query_terms: DataFrame, index: Index, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best of each query, the same as all scores sorted, without scoring all.
+
+    Each word has a bound of what it can add. The k best of the documents with a query's rarest words are scored in full, and the last of
+    them is what others have to reach. Words are sorted by their bounds; the last ones, which reach it not even together, bring in
+    no document. Documents of the other words are summed up, dropped where even with the bounds of the rest they fall short, and
+    only what is left is looked up in the lists of the frequent words. Equal scores are kept.
+    """
+    own = index.postings.select("term", "doc_id", "wtf", "len")
+    terms, part = _bm25_terms(query_terms, index, k1, b)
+    by_df, by_bound = W.partitionBy("query_id").orderBy("df", "term"), W.partitionBy("query_id").orderBy(F.desc("bound"), "term")  # words of a query
+    before = F.coalesce(F.sum("df").over(by_df.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    terms = stored(terms.withColumns({"seed": before < SEEDS * k, "reach": F.sum("bound").over(by_bound.rowsBetween(0, W.unboundedFollowing))}), "terms")
+    add = part(F.col("wtf"), F.col("len"))
+
+    begun = terms.where("seed").join(own, "term").groupBy("query_id", "doc_id").agg(F.sum(add).alias("s"))
+    first = top_k(begun, k, [F.desc("s"), F.col("doc_id")]).select("query_id", "doc_id")
+    whole = first.join(terms.select("query_id", "term", "idf", "mean"), "query_id").join(own, ["term", "doc_id"]).groupBy("query_id", "doc_id").agg(F.sum(add).alias("s"))
+    limit = whole.groupBy("query_id").agg(F.min("s").alias("s"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") == k, F.col("s")).otherwise(0.0).alias("limit"))
+    terms = stored(terms.join(limit, "query_id").withColumn("leads", F.col("reach") >= F.col("limit") - ROUNDING), "terms")
+
+    leading, others = terms.where("leads"), terms.where("NOT leads")
+    slack = others.groupBy("query_id").agg(F.sum("bound").alias("slack"))
+    summed = leading.join(own, "term").groupBy("query_id", "doc_id", "limit").agg(F.sum(add).alias("s"))
+    near = summed.join(slack, "query_id", "left").where(F.col("s") + F.coalesce("slack", F.lit(0.0)) >= F.col("limit") - ROUNDING)
+    near = stored(near.select("query_id", "doc_id", "s", F.col("slack").isNotNull().alias("more")), "candidates")
+    rest = near.where("more").select("query_id", "doc_id").join(others.select("query_id", "term", "idf", "mean"), "query_id").join(own, ["term", "doc_id"]).select("query_id", "doc_id", add.alias("s"))
+    scored = near.select("query_id", "doc_id", "s").unionByName(rest).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
+    return top_k(scored, k, [F.desc("score"), F.col("doc_id")])
+
+
+def candidate_groups(words: DataFrame, synonyms: DataFrame, suffixes: list[str], most: int = 8) -> DataFrame:
+    """(query_id, group_no, term, kind): for each word of a query (query_id, group_no, term) the words of which one is enough.
+
+    They are its canonical form (1; of the word or else of its stem), the stem of that (2), the word (3), its own stem (4) and up to `most`
+    variants of the canonical form in the dictionary's order (5); those of kinds 2, 4 and 5 have two characters or more. synonyms: (variant,
+    canonical, no), a dictionary of bounded size; a canonical form is the first variant of itself.
+    """
+    canonical = F.broadcast(synonyms.groupBy("variant").agg(F.min_by("canonical", "no").alias("canonical")))
+    of = lambda col: canonical.select(F.col("variant").alias(col), F.col("canonical").alias(f"{col}_canonical"))
+    stems = words.select("query_id", "group_no", F.col("term").alias("word"), X.stem(F.col("term"), suffixes).alias("stem"))
+    known = stems.join(of("word"), "word", "left").join(of("stem"), "stem", "left")
+    form = F.when(F.col("word_canonical") != F.col("word"), F.col("word_canonical")).when(F.col("stem_canonical") != F.col("stem"), F.col("stem_canonical")).otherwise(F.col("word"))
+    known = known.withColumn("form", form).withColumn("form_stem", X.stem(F.col("form"), suffixes))
+    listed = synonyms.select("canonical", F.col("variant").alias("v"), "no").unionByName(synonyms.select("canonical", F.col("canonical").alias("v"), F.lit(-1).alias("no"))).groupBy("canonical", "v").agg(F.min("no").alias("no"))
+    variants = F.broadcast(listed.groupBy("canonical").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "v"))), lambda x: x["v"]).alias("variants")))
+    held = known.join(variants, F.col("form") == F.col("canonical"), "left")
+    empty = F.array().cast("array<string>")
+    one = lambda col, kind: F.array(F.struct(F.col(col).alias("term"), F.lit(kind).alias("kind")))
+    more = F.transform(F.slice(F.coalesce("variants", empty), 1, most), lambda v: F.struct(v.alias("term"), F.lit(5).alias("kind")))
+    every = held.select("query_id", "group_no", F.explode(F.concat(one("form", 1), one("form_stem", 2), one("word", 3), one("stem", 4), more)).alias("c")).select("query_id", "group_no", "c.term", "c.kind")
+    return every.where("kind IN (1, 3) OR length(term) >= 2").groupBy("query_id", "group_no", "term").agg(F.min("kind").alias("kind"))
 
 
 def prefix_match(prefixes: DataFrame, vocabulary: DataFrame, key: int = 3) -> DataFrame:
@@ -97,7 +161,7 @@ def phrase_match(phrases: DataFrame, index: Index, field: str = "D") -> DataFram
     """
     known = phrases.join(index.vocabulary, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     size = known.groupBy("query_id").agg(F.count("*").alias("size"), F.min(F.struct("df", "pos", "term")).alias("rare")).where("rare.df > 0").select("query_id", "size", F.col("rare.pos").alias("rare_pos"), F.col("rare.term").alias("rare_term"))
-    own = index.postings.where(F.col("field") == field).select("term", "doc_id", "positions")
+    own = index.postings.select("term", "doc_id", F.get(F.filter("fields", lambda x: x["field"] == field), F.lit(0))["positions"].alias("positions")).where("positions IS NOT NULL")
     begun = size.join(own, F.col("rare_term") == F.col("term")).select("query_id", "doc_id", "size", F.transform("positions", lambda p: p - F.col("rare_pos")).alias("starts"))
     words = begun.select("query_id", "doc_id", "size", "starts").join(phrases, "query_id").join(own, ["term", "doc_id"])
     each = words.select("query_id", "doc_id", "size", F.explode(F.array_intersect("starts", F.transform("positions", lambda p: p - F.col("pos")))).alias("start"))
@@ -172,15 +236,19 @@ def cover_density(matches: DataFrame, weights: dict[str, float] = CLASS_WEIGHTS)
     return matches.groupBy("query_id", "doc_id").applyInPandas(score, "query_id long, doc_id long, score double").where("score > 0")
 
 
-def cascade(stages: list[tuple[DataFrame, int, int]], few: int = 5) -> DataFrame:
-    """(query_id, doc_id, stage, score): a later stage (hits, its limit, its number) joins in only for queries with fewer than `few` rows so far, and adds documents that are new."""
-    out = None
-    for found, limit, number in stages:
+def cascade(queries: DataFrame, stages: list[tuple[Callable[[DataFrame], DataFrame], int, int]], few: int = 5) -> DataFrame:
+    """(query_id, doc_id, stage, score): a later stage (what finds rows for a table of queries, its limit, its number) is run only for queries with fewer than `few` rows so far, and adds documents that are new.
+
+    What a stage finds is stored, so none is computed again for the next; it gives its limit and `few` more, as far as there are.
+    """
+    out, lacking = None, queries.select("query_id").distinct()
+    for find, limit, number in stages:
+        found = find(lacking)
         if out is not None:
-            enough = out.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= few)
-            found = found.join(enough, "query_id", "left_anti").join(out, ["query_id", "doc_id"], "left_anti")
-        best = top_k(found, limit, [F.desc("score"), F.col("doc_id")]).select("query_id", "doc_id", F.lit(number).alias("stage"), "score")
+            found = found.join(out, ["query_id", "doc_id"], "left_anti")
+        best = stored(top_k(found.select("query_id", "doc_id", "score"), limit, [F.desc("score"), F.col("doc_id")]).select("query_id", "doc_id", F.lit(number).alias("stage"), "score"), "stage")
         out = best if out is None else out.unionByName(best)
+        lacking = lacking.join(out.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= few), "query_id", "left_anti")
     return out
 
 
@@ -197,32 +265,40 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return pairs.withColumn("edits", F.levenshtein("query_term", "term", 1)).where("edits >= 0")
 
 
-def boosted(query_terms: DataFrame, postings: DataFrame, vocabulary: DataFrame, fuzzy: dict[str, float], exact: dict[str, float], begins: dict[str, float], least: int = 3) -> DataFrame:
+def boosted(query_terms: DataFrame, index: Index, fuzzy: dict[str, float], exact: dict[str, float], begins: dict[str, float], least: int = 3) -> DataFrame:
     """(query_id, doc_id, score): for each word of a query (query_id, term) and field, points for a word at most one edit from it, for
     the word itself, and for one that begins with it (from `least` characters on)."""
-    terms = query_terms.select("term").distinct()
+    terms, vocabulary = query_terms.select("term").distinct(), index.vocabulary
     near = fuzzy_terms(terms, vocabulary).select(F.col("query_term").alias("word"), "term", F.lit("fuzzy").alias("clause"))
     same = terms.select(F.col("term").alias("word"), "term", F.lit("exact").alias("clause"))
     longer = prefix_match(terms.select(F.col("term").alias("prefix")), vocabulary, least).select(F.col("prefix").alias("word"), "term", F.lit("begins").alias("clause"))
     points = [(c, f, p) for c, of in (("fuzzy", fuzzy), ("exact", exact), ("begins", begins)) for f, p in of.items()]
     value = reduce(lambda held, x: F.when((F.col("clause") == x[0]) & (F.col("field") == x[1]), x[2]).otherwise(held), points, F.lit(0.0))
-    found = near.unionByName(same).unionByName(longer).join(postings.select("term", "doc_id", "field"), "term").select("word", "doc_id", "clause", value.alias("points"), "field").where("points > 0").distinct()
+    found = near.unionByName(same).unionByName(longer).join(index.in_fields, "term").select("word", "doc_id", "clause", value.alias("points"), "field").where("points > 0").distinct()
     return query_terms.select("query_id", F.col("term").alias("word")).distinct().join(found, "word").groupBy("query_id", "doc_id").agg(F.sum("points").alias("score"))
 
 
-def rule_columns(words: DataFrame, postings: DataFrame, vocabulary: DataFrame, fields: list[str], far: int = 8) -> DataFrame:
-    """Columns to rank by, for each query and document: words found, typos (edits), proximity (words between one found word and the
+def rule_columns(words: DataFrame, index: Index, fields: list[str], k: int, far: int = 8) -> DataFrame:
+    """Columns to rank by, for each query and document that can be among the k best distinct texts: text_md5, words found, typos (edits), proximity (words between one found word and the
     next, `far` at most each), attribute (place of the best field in `fields`), exact (words found as they are).
 
     words: query_id, term, i (place in the query). Of a word's forms in a document that with the fewest edits counts, then the first.
+    Words found rank before all else, so they are counted first; the k-th most of distinct texts is what a document needs for
+    the other columns to be made.
     """
-    near = fuzzy_terms(words.select("term").distinct(), vocabulary)
-    rank = reduce(lambda held, x: F.when(F.col("field") == x[1], x[0]).otherwise(held), enumerate(fields), F.lit(len(fields)))
-    forms = words.join(near.withColumnRenamed("term", "form"), F.col("term") == F.col("query_term")).select("query_id", "i", F.col("term").alias("word"), F.col("form").alias("term"), "edits")
-    found = forms.join(postings.select("term", "doc_id", "field", "first"), "term").groupBy("query_id", "word", "i", "doc_id", "edits").agg(F.min("first").alias("place"), F.min(rank).alias("attr"))
-    best = found.groupBy("query_id", "word", "i", "doc_id").agg(F.min(F.struct("edits", "place", "attr")).alias("b")).select("query_id", "i", "doc_id", "b.*")
+    near = fuzzy_terms(words.select("term").distinct(), index.vocabulary)
+    forms = stored(words.join(near.withColumnRenamed("term", "form"), F.col("term") == F.col("query_term")).select("query_id", "i", F.col("form").alias("term"), "edits"), "forms")
+    held = forms.select("query_id", "i", "term").join(index.postings.select("term", "doc_id"), "term").groupBy("query_id", "doc_id").agg(F.countDistinct("i").alias("words"))
+    counted = stored(held.join(index.documents.select("doc_id", "text_md5"), "doc_id"), "counted")
+    texts = counted.groupBy("query_id", "text_md5").agg(F.max("words").alias("words"))
+    least = top_k(texts, k, [F.desc("words"), F.col("text_md5")]).groupBy("query_id").agg(F.min("words").alias("least"))
+    chosen = stored(counted.join(least, "query_id").where("words >= least").drop("words", "least"), "chosen")
+
+    own = index.postings.select("term", "doc_id", "first", F.transform("fields.field", lambda f: reduce(lambda held, x: F.when(f == x[1], x[0]).otherwise(held), enumerate(fields), F.lit(len(fields)))).alias("ranks"))
+    found = chosen.join(forms, "query_id").join(own, ["term", "doc_id"]).groupBy("query_id", "i", "doc_id", "text_md5", "edits").agg(F.min("first").alias("place"), F.min(F.array_min("ranks")).alias("attr"))
+    best = found.groupBy("query_id", "i", "doc_id", "text_md5").agg(F.min(F.struct("edits", "place", "attr")).alias("b")).select("query_id", "i", "doc_id", "text_md5", "b.*")
     gap = F.least(F.lit(far), F.abs(F.lead("place").over(W.partitionBy("query_id", "doc_id").orderBy("i")) - F.col("place")))
-    return best.withColumn("gap", gap).groupBy("query_id", "doc_id").agg(
+    return best.withColumn("gap", gap).groupBy("query_id", "doc_id", "text_md5").agg(
         F.count("*").alias("words"), F.sum(F.col("edits").cast("long")).alias("typos"), F.coalesce(F.sum(F.col("gap").cast("long")), F.lit(0)).alias("proximity"), F.min("attr").alias("attribute"), F.count_if(F.col("edits") == 0).alias("exact")
     )
 

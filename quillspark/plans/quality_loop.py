@@ -27,7 +27,7 @@ def problem_queries(spark: SparkSession, d: str) -> DataFrame:
     """
     item = F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query")
     terms = P.query_terms(spark, d)
-    totals = R.match_all(terms, P.postings(spark, d)).groupBy("query_id").agg(F.count("*").alias("total")).select(item, "total")
+    totals = R.match_all(terms, P.index(spark, d)).groupBy("query_id").agg(F.count("*").alias("total")).select(item, "total")
     placed, outputs = P.transliterated(spark, d)
     synonyms = placed.join(outputs, "term").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("output")), "|").alias("synonyms")).select(item, "synonyms")
     best = P.bm25_run(spark, d, 3).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("doc")))).alias("l"))  # three a query

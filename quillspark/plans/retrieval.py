@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as X
 from quillspark.operators import expansion as E
 from quillspark.operators import retrieval as R
+from quillspark.operators.index import DOCUMENTS, POSTINGS, VOCABULARY, Index, index_rows, vocabulary_of
 from quillspark.plans.ingest import QA_SQL, qa_pairs
 from quillspark.plans.registry import query, table
-from quillspark.sources.files import scratch_dir
+from quillspark.sources.files import scratch_dir, stored
 
 # Small dictionaries for the corpus, which all operators take as arguments: stop words, suffixes in order, (variant, canonical).
 STOP = ["the", "of", "and", "to", "in", "is", "that", "it", "der", "die", "und", "de", "la", "le", "el", "que"]
 SUFFIXES = ["tion", "ing", "ed", "ly", "es", "er"]
 SYNONYMS = [("this", "that"), ("are", "is"), ("was", "is"), ("with", "from"), ("or", "and"), ("for", "to"), ("an", "a"), ("das", "der"), ("los", "el"), ("un", "le")]
-QUERY_WORDS = 8
+#: Places of hashed vectors.
+DIM = 32
 TITLE_SQL = "ti AS (SELECT doc_id, substr(string_split(text, chr(10))[1], 1, 120) AS title FROM documents)"
 
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"
@@ -38,8 +40,8 @@ FTOK_SQL = f"""fa AS (SELECT doc_id, {_tok('substr(string_split(text, chr(10))[1
 fw AS (SELECT doc_id, a || b || c || d AS w, len(a) AS na, len(a) + len(b) AS nb, len(a) + len(b) + len(c) AS nc FROM fa),
 ftok AS (SELECT doc_id, u.i AS pos, w[u.i] AS term, CASE WHEN u.i <= na THEN 'A' WHEN u.i <= nb THEN 'B' WHEN u.i <= nc THEN 'C' ELSE 'D' END AS field FROM fw, LATERAL unnest(range(1, len(w) + 1)) AS u(i))"""
 POST_SQL = f"{FTOK_SQL}, post AS (SELECT term, doc_id, count(*) AS tf, sum(CASE field WHEN 'A' THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END) AS wtf, min(pos) AS first FROM ftok GROUP BY ALL)"
-QW_SQL = f"qw AS (SELECT item_id AS query_id, {_tok('text')}[1:{QUERY_WORDS}] AS ws FROM benchmark)"
-QT_SQL = f"{QW_SQL}, qt AS (SELECT DISTINCT query_id, unnest(list_filter(ws, lambda w: w NOT IN {STOP_SQL})) AS term FROM qw)"
+QW_SQL = f"qw AS (SELECT item_id AS query_id, {_tok('text')} AS ws FROM benchmark)"
+QT_SQL = f"{QW_SQL}, qt AS (SELECT DISTINCT query_id, unnest(CASE WHEN len(list_filter(ws, lambda w: w NOT IN {STOP_SQL})) > 0 THEN list_filter(ws, lambda w: w NOT IN {STOP_SQL}) ELSE ws END) AS term FROM qw)"
 BM25_SQL = f"""{POST_SQL}, {QT_SQL}, ln AS (SELECT doc_id, sum(tf) AS len FROM post GROUP BY doc_id), c AS (SELECT count(*) AS n, avg(len) AS mean FROM ln),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM qt JOIN post USING (term) JOIN df USING (term) JOIN ln USING (doc_id), c GROUP BY ALL)"""
@@ -54,51 +56,48 @@ def doc_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def query_words(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(X.tokens(F.lower("text")), 1, QUERY_WORDS).alias("ws"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), X.tokens(F.lower("text")).alias("ws"))
 
 
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct words of a query that are no stop words; each is a group of its own."""
-    terms = query_words(spark, d).select("query_id", F.explode(F.filter("ws", lambda w: ~w.isin(*STOP))).alias("term")).distinct()
+    """Distinct words of a query that are no stop words, or all if it has no others; each is a group of its own."""
+    terms = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(X.tokens(F.lower("text"), STOP)).alias("term")).distinct()
     return terms.withColumn("group_no", F.xxhash64("term"))
 
 
+def query_groups(spark: SparkSession, d: str) -> DataFrame:
+    """For each of these words the candidates of which one is enough: query_id, group_no, term, kind."""
+    synonyms = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(SYNONYMS)], "variant string, canonical string, no int")
+    return R.candidate_groups(query_terms(spark, d), synonyms, SUFFIXES)
+
+
 _BUILT: dict[tuple, str] = {}
 
 
-def index(spark: SparkSession, d: str) -> R.Index:
+def index(spark: SparkSession, d: str) -> Index:
     """The index of the documents' fields: title (A), source (B), language (C), whole text (D).
 
-    It is built and stored once for the files of a session, as all queries start from it; if its folder is gone it is built anew.
+    It is built and stored once for the files of a session, as all queries start from it; if its folder is gone, or a file has another
+    length or time than it had, it is built anew.
     """
     t = docs(spark, d)
-    key = (spark.sparkContext.applicationId, *sorted(t.inputFiles()))
+    files = spark.read.format("binaryFile").load(t.inputFiles()).select("path", "length", "modificationTime").collect() if t.inputFiles() else []
+    key = (spark.sparkContext.applicationId, *sorted(map(tuple, files)))
     fields = {"A": X.title_of(F.col("text")), "B": F.col("source"), "C": F.col("lang"), "D": F.col("text")}
-    schema = "term string, doc_id long, field string, tf long, first int, positions array<int>"
-
-    def parts(postings: DataFrame) -> R.Index:
-        lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-        return R.Index(postings, lengths, postings.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("df")))
-
     if key in _BUILT:
         try:
-            read = [spark.read.schema(kind).parquet(f"{_BUILT[key]}/{name}") for name, kind in (("postings", schema), ("lengths", "doc_id long, len long"), ("vocabulary", "term string, df long"))]
-            return R.Index(*read)
+            return Index(*[spark.read.schema(kind).parquet(f"{_BUILT[key]}/{name}") for name, kind in (("rows/kind=postings", POSTINGS), ("rows/kind=documents", DOCUMENTS), ("vocabulary", VOCABULARY))])
         except AnalysisException:
             del _BUILT[key]
     path = scratch_dir(spark, "postings")
-    R.build_postings(R.field_tokens(t, "doc_id", fields)).write.parquet(f"{path}/postings")
-    built = parts(spark.read.schema(schema).parquet(f"{path}/postings"))
-    built.lengths.write.parquet(f"{path}/lengths")
-    built.vocabulary.write.parquet(f"{path}/vocabulary")
+    index_rows(t, "doc_id", "text", fields, dim=DIM).write.partitionBy("kind").parquet(f"{path}/rows")
+    for kind, schema in (("postings", POSTINGS), ("documents", DOCUMENTS)):  # a table without words makes no folder
+        spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/rows/kind={kind}")
+    vocabulary_of(spark.read.schema(POSTINGS).parquet(f"{path}/rows/kind=postings")).write.parquet(f"{path}/vocabulary")
     _BUILT[key] = path
     return index(spark, d)
 
 
-def postings(spark: SparkSession, d: str) -> DataFrame:
-    return index(spark, d).postings
-
-
 # --- text jobs ------------------------------------------------------------------------------------------
 
 _NORM_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[\x{{200b}}-\x{{200d}}\x{{feff}}]', '', 'g'), '[\x{{2018}}\x{{2019}}\x{{02bc}}`\x{{00b4}}]', '''', 'g'), '\s+', ' ', 'g'))"
@@ -130,7 +129,11 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
-_STEM_SQL = "CASE WHEN length(term) <= 3 THEN term " + " ".join(f"WHEN regexp_full_match(term, '(.{{2,}}){s}') THEN substr(term, 1, length(term) - {len(s)})" for s in SUFFIXES) + " ELSE term END"
+def _stem_sql(w: str) -> str:
+    return f"CASE WHEN length({w}) <= 3 THEN {w} " + " ".join(f"WHEN regexp_full_match({w}, '(.{{2,}}){s}') THEN substr({w}, 1, length({w}) - {len(s)})" for s in SUFFIXES) + f" ELSE {w} END"
+
+
+_STEM_SQL = _stem_sql("term")
 
 
 @query("stem_tokens", f"WITH {TOK_SQL} SELECT {_STEM_SQL} AS stem, count(DISTINCT term) AS n_terms, count(*) AS n FROM tok GROUP BY 1")
@@ -165,13 +168,14 @@ def expand_synonyms(spark: SparkSession, d: str) -> DataFrame:
     return query_words(spark, d).select("query_id", F.explode("ws").alias("term")).distinct().join(pairs, "term")
 
 
-@query("process_tokens", f"WITH {TOK_SQL}, k AS (SELECT doc_id, pos, coalesce(canonical, {_STEM_SQL}) AS w FROM tok LEFT JOIN {SYN_SQL} ON term = variant WHERE term NOT IN {STOP_SQL}) SELECT doc_id, count(*) AS n, md5(string_agg(w, ' ' ORDER BY pos)) AS words_md5 FROM k GROUP BY doc_id")
+@query("process_tokens", f"WITH {TOK_SQL}, k AS (SELECT doc_id, pos, coalesce(a.canonical, b.canonical, {_STEM_SQL}) AS w FROM tok LEFT JOIN {SYN_SQL.replace('s(', 'a(')} ON term = a.variant LEFT JOIN {SYN_SQL.replace('s(', 'b(')} ON {_STEM_SQL} = b.variant WHERE term NOT IN {STOP_SQL}) SELECT doc_id, count(*) AS n, md5(string_agg(w, ' ' ORDER BY pos)) AS words_md5 FROM k GROUP BY doc_id")
 def process_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Each distinct word is stemmed or replaced once, and joined to its places."""
-    tokens = doc_tokens(spark, d).where(~F.col("term").isin(*STOP))
-    terms = tokens.select("term").distinct().join(_synonyms(spark), F.col("term") == F.col("variant"), "left").select("term", F.coalesce("canonical", X.stem(F.col("term"), SUFFIXES)).alias("w"))
-    words = tokens.join(terms, "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("l"))  # a document's words
-    return words.select("doc_id", F.size("l").cast("long").alias("n"), F.md5(F.array_join(F.col("l.w"), " ")).alias("words_md5"))
+    """Words without stop words, each as its canonical form, or that of its stem, or its stem. All in a document's own row: the dictionary is a short literal."""
+    canonical = F.create_map(*[F.lit(x) for pair in SYNONYMS for x in pair])
+    words = F.filter(X.tokens(F.lower("text")), lambda w: ~w.isin(*STOP))
+    stem = lambda w: X.stem(w, SUFFIXES)
+    kept = docs(spark, d).select("doc_id", F.transform(words, lambda w: F.coalesce(F.try_element_at(canonical, w), F.try_element_at(canonical, stem(w)), stem(w))).alias("l")).where(F.size("l") > 0)
+    return kept.select("doc_id", F.size("l").cast("long").alias("n"), F.md5(F.array_join("l", " ")).alias("words_md5"))
 
 
 @query("script_profile", r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) AS latin, len(regexp_extract_all(text, '[\x{0980}-\x{09ff}]')) AS bengali, len(regexp_extract_all(text, '[\x{0600}-\x{06ff}]')) AS arabic FROM documents")
@@ -307,22 +311,37 @@ def normalize_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 _EXPAND_SQL = f"""ex AS (SELECT query_id, array_to_string(ws, ' ') AS term, 1 AS kind FROM qw UNION ALL SELECT query_id, output, 2 FROM pt JOIN tr USING (term)
-UNION ALL SELECT query_id, variant, 3 FROM (SELECT query_id, b.term AS variant, min(i) AS i FROM (SELECT query_id, u.i AS i, ws[u.i] AS term FROM qw, LATERAL unnest(range(1, len(ws) + 1)) AS u(i)) w JOIN g a ON w.term = a.term JOIN g b ON a.canonical = b.canonical WHERE b.term <> w.term GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i, variant) <= 5
+UNION ALL SELECT query_id, variant, 3 FROM (SELECT query_id, cg.term AS variant, min(list_position(ws, word)) AS i, min(kind) AS kind FROM cg JOIN qw USING (query_id) WHERE cg.term <> word GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i, kind, variant) <= 5
 UNION ALL SELECT query_id, unnest(keywords[1:6]), 4 FROM ru)"""
 
 
-@query("expand_query", f"WITH {TRANS_SQL}, {RULE_SQL}, {_GROUP_SQL}, {_EXPAND_SQL} SELECT query_id, term, min(kind) AS kind FROM ex GROUP BY ALL")
+_CAND_SQL = f"""{QT_SQL}, sy AS (SELECT * FROM {_values([(a, b, i) for i, (a, b) in enumerate(SYNONYMS)], "x(variant, canonical, no)")}), can AS (SELECT variant, arg_min(canonical, no) AS canonical FROM sy GROUP BY 1),
+cw AS (SELECT query_id, term AS word, {_stem_sql("term")} AS stem FROM qt), cf AS (SELECT query_id, word, stem, CASE WHEN a.canonical <> word THEN a.canonical WHEN b.canonical <> stem THEN b.canonical ELSE word END AS form FROM cw LEFT JOIN can a ON word = a.variant LEFT JOIN can b ON stem = b.variant),
+va AS (SELECT canonical, v FROM (SELECT canonical, v, min(no) AS no FROM (SELECT canonical, variant AS v, no FROM sy UNION ALL SELECT canonical, canonical, -1 FROM sy) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY no, v) <= 8),
+ce AS (SELECT query_id, word, form AS term, 1 AS kind FROM cf UNION ALL SELECT query_id, word, {_stem_sql("form")}, 2 FROM cf UNION ALL SELECT query_id, word, word, 3 FROM cf UNION ALL SELECT query_id, word, stem, 4 FROM cf UNION ALL SELECT query_id, word, v, 5 FROM cf JOIN va ON form = canonical),
+cg AS (SELECT query_id, word, term, min(kind) AS kind FROM ce WHERE kind IN (1, 3) OR length(term) >= 2 GROUP BY ALL)"""
+
+
+@query("candidate_groups", f"WITH {_CAND_SQL} SELECT query_id, word, string_agg(term || ':' || kind, ' ' ORDER BY kind, term) AS candidates FROM cg GROUP BY ALL")
+def candidate_groups(spark: SparkSession, d: str) -> DataFrame:
+    """What a query asks for, word by word: each word's candidates with their kinds."""
+    words = query_terms(spark, d).select("query_id", "group_no", F.col("term").alias("word"))
+    said = F.struct("kind", "term", F.concat_ws(":", "term", F.col("kind").cast("string")).alias("t"))
+    listed = query_groups(spark, d).groupBy("query_id", "group_no").agg(F.array_join(F.sort_array(F.collect_list(said))["t"], " ").alias("candidates"))  # a word's
+    return listed.join(words, ["query_id", "group_no"]).select("query_id", "word", "candidates")
+
+
+@query("expand_query", f"WITH {TRANS_SQL}, {RULE_SQL}, {_CAND_SQL.replace(QW_SQL + ', ', '')}, {_EXPAND_SQL} SELECT query_id, term, min(kind) AS kind FROM ex GROUP BY ALL")
 def expand_query(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct union of the text (1), its transliterations (2), up to five synonyms (3) and up to six terms of its rule (4)."""
+    """Distinct union of the text (1), its transliterations (2), up to five further candidates of its words (3) and up to six terms of its rule (4)."""
     words = query_words(spark, d)
     placed, outputs = transliterated(spark, d)
-    g = _groups(spark)
-    variants = F.broadcast(g.join(g.select(F.col("term").alias("v"), "canonical"), "canonical").where("v <> term").select("term", "v"))  # fixed lists
-    near = words.select("query_id", F.posexplode("ws").alias("i", "term")).join(variants, "term").groupBy("query_id", F.col("v").alias("term")).agg(F.min("i").alias("i"))
+    own = query_terms(spark, d).select("query_id", "group_no", F.col("term").alias("word"))
+    near = query_groups(spark, d).join(own, ["query_id", "group_no"]).where("term <> word").join(words, "query_id").groupBy("query_id", "term").agg(F.min(F.array_position("ws", F.col("word"))).alias("i"), F.min("kind").alias("kind"))
     kinds = [
         words.select("query_id", F.array_join("ws", " ").alias("term"), F.lit(1).alias("kind")),
         placed.join(outputs, "term").select("query_id", F.col("output").alias("term"), F.lit(2).alias("kind")),
-        R.top_k(near, 5, [F.col("i"), F.col("term")]).select("query_id", "term", F.lit(3).alias("kind")),
+        R.top_k(near, 5, [F.col("i"), F.col("kind"), F.col("term")]).select("query_id", "term", F.lit(3).alias("kind")),
         ruled(spark, d).select("query_id", F.explode(F.slice("keywords", 1, 6)).alias("term"), F.lit(4).alias("kind")),
     ]
     every = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
@@ -335,21 +354,21 @@ def expand_query(spark: SparkSession, d: str) -> DataFrame:
 @query("build_postings", f"WITH {FTOK_SQL} SELECT term, field, count(DISTINCT doc_id) AS df, count(*) AS cf, CAST(min(pos) AS INTEGER) AS first, CAST(sum(pos) AS BIGINT) AS places FROM ftok GROUP BY term, field")
 def build_postings(spark: SparkSession, d: str) -> DataFrame:
     places = F.aggregate("positions", F.lit(0).cast("long"), lambda s, p: s + p)
-    return postings(spark, d).groupBy("term", "field").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.min("first").alias("first"), F.sum(places).alias("places"))
+    return index(spark, d).by_field.groupBy("term", "field").agg(F.count("*").alias("df"), F.sum(F.size("positions").cast("long")).alias("cf"), F.min(F.array_min("positions")).alias("first"), F.sum(places).alias("places"))
 
 
-_ALL_SQL = f"{POST_SQL}, {QT_SQL}, need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY query_id), h AS (SELECT query_id, doc_id, count(*) AS n FROM qt JOIN post USING (term) GROUP BY ALL), every AS (SELECT query_id, doc_id FROM h JOIN need USING (query_id) WHERE n = need)"
+_ALL_SQL = f"{POST_SQL}, {_CAND_SQL}, need AS (SELECT query_id, count(DISTINCT word) AS need FROM cg GROUP BY query_id), h AS (SELECT query_id, doc_id, count(DISTINCT word) AS n FROM cg JOIN post USING (term) GROUP BY ALL), every AS (SELECT query_id, doc_id FROM h JOIN need USING (query_id) WHERE n = need)"
 
 
 @query("match_all", f"WITH {_ALL_SQL} SELECT * FROM every")
 def match_all(spark: SparkSession, d: str) -> DataFrame:
-    return R.match_all(query_terms(spark, d), postings(spark, d))
+    return R.match_all(query_groups(spark, d), index(spark, d))
 
 
 @query("match_any", f"WITH {_ALL_SQL} SELECT query_id, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT query_id, doc_id FROM h EXCEPT SELECT query_id, doc_id FROM every) GROUP BY query_id")
 def match_any(spark: SparkSession, d: str) -> DataFrame:
-    q, p = query_terms(spark, d), postings(spark, d)
-    return R.match_any(q, p, R.match_all(q, p)).groupBy("query_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    q, i = query_groups(spark, d), index(spark, d)
+    return R.match_any(q, i, R.match_all(q, i)).groupBy("query_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 @query("prefix_match", f"WITH {TOK_SQL}, {QT_SQL}, p AS (SELECT DISTINCT substr(term, 1, 5) AS prefix FROM qt WHERE length(term) >= 3) SELECT prefix, term FROM p JOIN (SELECT DISTINCT term FROM tok) v ON starts_with(term, prefix)")
@@ -365,7 +384,7 @@ def phrase_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_run(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    return R.top_k(R.bm25(query_terms(spark, d), index(spark, d)), k, [F.desc("score"), F.col("doc_id")])
+    return R.bm25_top(query_terms(spark, d), index(spark, d), k)
 
 
 TOP_SQL = "SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {0} QUALIFY rank <= {1}"
@@ -378,9 +397,9 @@ def bm25(spark: SparkSession, d: str) -> DataFrame:
 
 def covered(spark: SparkSession, d: str) -> DataFrame:
     """Places of a query's words in the documents that have all of them: query_id, doc_id, pos, term, field, need."""
-    q, p = query_terms(spark, d), postings(spark, d)
+    q, i = query_terms(spark, d), index(spark, d)
     need = q.groupBy("query_id").agg(F.count("*").alias("need"))
-    found = q.select("query_id", "term").join(p, "term").join(R.match_all(q, p), ["query_id", "doc_id"], "left_semi").join(need, "query_id")
+    found = R.match_all(q, i).join(q.select("query_id", "term"), "query_id").join(i.by_field, ["term", "doc_id"]).join(need, "query_id")
     return found.select("query_id", "doc_id", F.explode("positions").alias("pos"), "term", "field", "need")
 
 
@@ -396,7 +415,7 @@ def titles(spark: SparkSession, d: str) -> DataFrame:
 @query("title_bonus", lambda: f"WITH {BM25_SQL}, {TITLE_SQL}, {EVERY_SQL}, top AS ({TOP_SQL.format('bm', 10)}) SELECT query_id, doc_id, round(score + CASE WHEN contains(lower(title), array_to_string(ws, ' ')) THEN CASE WHEN (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM every) THEN 3.0 ELSE 2.0 END ELSE 0.0 END + 1.5 * {_sim_sql('g', 'h')}, 6) AS score FROM (SELECT *, {_tri('title')} AS h, {_tri(_QTEXT)} AS g FROM top JOIN ti USING (doc_id) JOIN qw USING (query_id))")
 def title_bonus(spark: SparkSession, d: str) -> DataFrame:
     """Points for a title that holds the whole query, more where all words match, and for what the two have alike."""
-    every = R.match_all(query_terms(spark, d), postings(spark, d)).withColumn("all", F.lit(True))
+    every = R.match_all(query_terms(spark, d), index(spark, d)).withColumn("all", F.lit(True))
     whole = F.array_join("ws", " ")
     top = bm25_run(spark, d).join(titles(spark, d), "doc_id").join(query_words(spark, d), "query_id").join(every, ["query_id", "doc_id"], "left")
     bonus = F.when(F.contains(F.lower("title"), whole), F.when(F.col("all"), 3.0).otherwise(2.0)).otherwise(0.0)
@@ -430,20 +449,29 @@ def trigram_similarity(spark: SparkSession, d: str) -> DataFrame:
     return R.top_k(similarity(spark, d, 0.2), 25, [F.desc("score"), F.col("doc_id")])
 
 
-_CASC_SQL = f"""{BM25_SQL}, {SIM_SQL}, {EVERY_SQL},
+#: A query with fewer documents goes on to the next stage.
+FEW = 5
+_GROUPED_SQL = f"""{_ALL_SQL}, ln AS (SELECT doc_id, sum(tf) AS len FROM post GROUP BY doc_id), c AS (SELECT count(*) AS n, avg(len) AS mean FROM ln), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (c.n - df + 0.5) / (df + 0.5)) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM (SELECT DISTINCT query_id, term FROM cg) JOIN post USING (term) JOIN df USING (term) JOIN ln USING (doc_id), c GROUP BY ALL)"""
+_CASC_SQL = f"""{_GROUPED_SQL}, {SIM_SQL},
 s1 AS (SELECT query_id, doc_id, 1 AS stage, score FROM bm JOIN every USING (query_id, doc_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50),
 few1 AS (SELECT query_id FROM qw WHERE query_id NOT IN (SELECT query_id FROM s1 GROUP BY 1 HAVING count(*) >= 5)),
 s2 AS (SELECT query_id, doc_id, 2 AS stage, score FROM bm WHERE query_id IN (SELECT query_id FROM few1) AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM s1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50),
 two AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2), few2 AS (SELECT query_id FROM qw WHERE query_id NOT IN (SELECT query_id FROM two GROUP BY 1 HAVING count(*) >= 5)),
-s3 AS (SELECT query_id, doc_id, 3 AS stage, score FROM sim WHERE score > 0.2 AND query_id IN (SELECT query_id FROM few2) AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM two) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 25),
+s3 AS (SELECT query_id, doc_id, 3 AS stage, score FROM sim JOIN qw USING (query_id) WHERE score > 0.2 AND length(array_to_string(ws, ' ')) >= 4 AND query_id IN (SELECT query_id FROM few2) AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM two) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 25),
 casc AS (SELECT * FROM two UNION ALL SELECT * FROM s3)"""
 
 
 def cascade_run(spark: SparkSession, d: str) -> DataFrame:
-    q, i = query_terms(spark, d), index(spark, d)
-    scored = R.bm25(q, i)
-    every = scored.join(R.match_all(q, i.postings), ["query_id", "doc_id"], "left_semi")
-    return R.cascade([(every, 50, 1), (scored, 50, 2), (similarity(spark, d, 0.2), 25, 3)])
+    """All groups of a query, then any, then similar titles, each for the queries that lack documents; scores are those of all candidates."""
+    g, i = stored(query_groups(spark, d), "groups"), index(spark, d)
+    texts = query_words(spark, d).select("query_id", F.array_join("ws", " ").alias("text"))
+    of = lambda df, q: df.join(q, "query_id", "left_semi")
+    return R.cascade(texts, [
+        (lambda q: R.bm25_within(R.match_all(of(g, q), i), of(g, q), i), 50, 1),
+        (lambda q: R.bm25_top(of(g, q), i, 50 + FEW), 50, 2),
+        (lambda q: R.trigram_similarity(of(texts, q).where(F.length("text") >= 4), titles(spark, d), 0.2).withColumnRenamed("similarity", "score"), 25, 3),
+    ], FEW)
 
 
 @query("lexical_cascade", f"WITH {_CASC_SQL} SELECT * FROM casc")
@@ -465,7 +493,7 @@ SELECT query_id, tier, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT *, m
 )
 def tiered_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Conjunctions first: any term of the query's rule, its subject with its aspect, its first three words or synonyms of them. Only queries without any such document get those with one of their words."""
-    q, p, rules, g = query_terms(spark, d), postings(spark, d), ruled(spark, d), _groups(spark)
+    q, p, rules, g = query_terms(spark, d), index(spark, d), ruled(spark, d), _groups(spark)
     group = lambda df, no, term: df.select("query_id", no.alias("group_no"), term.alias("term"))
     domain = group(rules, F.lit(1), F.explode(F.slice("keywords", 1, 6)))
     pair = group(rules, F.lit(1), F.col("subject")).unionByName(group(rules, F.lit(2), F.col("aspect")))
@@ -551,8 +579,7 @@ cl AS (SELECT DISTINCT query_id, qt.term AS word, doc_id, CASE field WHEN 'A' TH
 sc AS (SELECT query_id, doc_id, CAST(sum(CASE clause WHEN 'title' THEN 4.5 WHEN 'text' THEN 2.5 WHEN 'begins' THEN 2.0 ELSE 1.0 END) AS DOUBLE) AS score FROM cl GROUP BY ALL) {TOP_SQL.format('sc', 10)}""",
 )
 def fuzzy_boosted(spark: SparkSession, d: str) -> DataFrame:
-    i = index(spark, d)
-    scored = R.boosted(query_terms(spark, d).select("query_id", "term"), i.postings, i.vocabulary, {"A": 4.5, "D": 2.5}, {"D": 1.0}, {"A": 2.0})
+    scored = R.boosted(query_terms(spark, d).select("query_id", "term"), index(spark, d), {"A": 4.5, "D": 2.5}, {"D": 1.0}, {"A": 2.0})
     return R.top_k(scored, 10, [F.desc("score"), F.col("doc_id")])
 
 
@@ -568,12 +595,10 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY words DESC, typos, p
 )
 def ranking_rules(spark: SparkSession, d: str) -> DataFrame:
     """Words found, edits, distance between them, best field, exact words; one row per text."""
-    i = index(spark, d)
     words = query_terms(spark, d).join(query_words(spark, d), "query_id").select("query_id", "term", F.array_position("ws", F.col("term")).alias("i"))
-    ruled_ = R.rule_columns(words, i.postings, i.vocabulary, ["A", "D", "C", "B"])
+    ruled_ = R.rule_columns(words, index(spark, d), ["A", "D", "C", "B"], 10)
     order = [F.desc("words"), F.col("typos"), F.col("proximity"), F.col("attribute"), F.desc("exact"), F.col("doc_id")]
-    hashed = ruled_.join(docs(spark, d).select("doc_id", F.md5("text").alias("h")), "doc_id")
-    return R.top_k(R.top_k(hashed, 1, order, ["query_id", "h"]).drop("rank", "h"), 10, order)
+    return R.top_k(R.top_k(ruled_, 1, order, ["query_id", "text_md5"]).drop("rank", "text_md5"), 10, order)
 
 
 _COS = "round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6)"
@@ -609,7 +634,6 @@ def fit_vector_dim(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.size(v).alias("dim"), v[0].cast("double").alias("first"), F.element_at(v, -1).cast("double").alias("last"))
 
 
-DIM = 32
 _PLACE_SQL = f"CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % {DIM}"
 _COUNTS_SQL = "[" + ", ".join(f"CAST(count(*) FILTER (place = {i}) AS DOUBLE)" for i in range(DIM)) + "]"
 _VEC_SQL = f"""dv AS (SELECT doc_id, {_COUNTS_SQL} AS v FROM (SELECT doc_id, {_PLACE_SQL} AS place FROM ftok) GROUP BY doc_id), qv AS (SELECT query_id, {_COUNTS_SQL} AS v FROM (SELECT query_id, {_PLACE_SQL} AS place FROM (SELECT query_id, unnest(ws) AS term FROM qw)) GROUP BY query_id),
@@ -620,8 +644,7 @@ fu AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b
 
 def vector_run(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
     """The k nearest documents of each query by hashed vectors of both."""
-    own = postings(spark, d).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
-    vectors = R.hashed_vectors(own, "doc_id", F.col("tf"), DIM)
+    vectors = index(spark, d).documents.select("doc_id", "embedding")
     wanted = query_words(spark, d).select("query_id", F.explode("ws").alias("term"))
     return R.knn(R.hashed_vectors(wanted, "query_id", F.lit(1), DIM), vectors, k)
 
@@ -650,14 +673,14 @@ def paginate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("count_matches", f"WITH {POST_SQL}, {QT_SQL} SELECT query_id, count(DISTINCT doc_id) AS total, count(DISTINCT CASE WHEN lang = 'en' THEN doc_id END) AS total_en FROM qt JOIN post USING (term) JOIN documents USING (doc_id) GROUP BY query_id")
 def count_matches(spark: SparkSession, d: str) -> DataFrame:
-    m = R.match_any(query_terms(spark, d), postings(spark, d)).join(docs(spark, d).select("doc_id", "lang"), "doc_id")
+    m = R.match_any(query_terms(spark, d), index(spark, d)).join(docs(spark, d).select("doc_id", "lang"), "doc_id")
     return m.groupBy("query_id").agg(F.count("*").alias("total"), F.count(F.when(F.col("lang") == "en", 1)).alias("total_en"))
 
 
 @query("did_you_mean", f"WITH {POST_SQL}, {QT_SQL}, {SIM_SQL}, {EVERY_SQL} SELECT query_id, doc_id, score FROM sim WHERE score > 0.25 AND score < 0.99 AND query_id NOT IN (SELECT query_id FROM every GROUP BY 1 HAVING count(*) >= 3) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) = 1")
 def did_you_mean(spark: SparkSession, d: str) -> DataFrame:
     """The most similar title, for queries that few documents answer."""
-    enough = R.match_all(query_terms(spark, d), postings(spark, d)).groupBy("query_id").agg(F.count("*").alias("n")).where("n >= 3")
+    enough = R.match_all(query_terms(spark, d), index(spark, d)).groupBy("query_id").agg(F.count("*").alias("n")).where("n >= 3")
     near = similarity(spark, d, 0.25).where("score < 0.99").join(enough, "query_id", "left_anti")
     return R.top_k(near, 1, [F.desc("score"), F.col("doc_id")]).drop("rank")
 
@@ -742,10 +765,11 @@ def pending_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return filled.select("doc_id", F.size("vector").alias("dim"), F.when(new, total).cast("long").alias("n_words"), F.when(new, weighed).cast("long").alias("weighed"))
 
 
-@query("dedup_candidates", f"WITH {POST_SQL}, {QT_SQL} SELECT query_id, doc_id, arg_min(term, term) AS term FROM qt JOIN post USING (term) GROUP BY query_id, doc_id")
+@query("dedup_candidates", f"WITH {BM25_SQL}, {SIM_SQL}, near AS (SELECT * FROM sim WHERE score > 0.2), l AS (SELECT query_id, doc_id, 1 AS list, rank FROM ({TOP_SQL.format('bm', 10)}) UNION ALL SELECT query_id, doc_id, 2, rank FROM ({TOP_SQL.format('near', 25)})) SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY list, rank) = 1")
 def dedup_candidates(spark: SparkSession, d: str) -> DataFrame:
-    m = query_terms(spark, d).join(postings(spark, d), "term")
-    return m.groupBy("query_id", "doc_id").agg(F.min("term").alias("term"))
+    """The best by words and then those with similar titles as one list, of each document the first row."""
+    lists = bm25_run(spark, d).select("query_id", "doc_id", F.lit(1).alias("list"), "rank").unionByName(trigram_similarity(spark, d).select("query_id", "doc_id", F.lit(2).alias("list"), "rank"))
+    return lists.groupBy("query_id", "doc_id").agg(F.min(F.struct("list", "rank")).alias("f")).select("query_id", "doc_id", "f.list", "f.rank")
 
 
 @query("browse_interleaved_page", "WITH t AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) SELECT o_orderkey, row_number() OVER (ORDER BY n, o_orderstatus) AS rank FROM t WHERE n > 10 AND n <= 21 QUALIFY rank <= 30")
