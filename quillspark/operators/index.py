@@ -171,7 +171,7 @@ class SegmentedIndex:
 
     def _lose(self, ids: DataFrame, number: int, last: int, since: int) -> None:
         """Writes tombstones, and how many documents each word loses by them."""
-        ids.withColumn("at", F.lit(number)).write.mode("overwrite").parquet(f"{self.path}/tombstones/at_{number}")
+        ids.write.mode("overwrite").parquet(f"{self.path}/tombstones/at={number}")
         dead = self._alive("postings", "term string, doc_id long", last, since).join(ids, "doc_id", "left_semi")
         lost = dead.groupBy("term").agg((-F.count("*")).alias("df"), F.lit(0.0).alias("top"), F.lit(0.0).alias("dense"))
         lost.write.mode("overwrite").parquet(f"{self.path}/words-{number}/lost")
