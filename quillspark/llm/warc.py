@@ -46,48 +46,106 @@ def _record(page_id: int | None, url: str | None, body: bytes, sha1: bytes, size
     return coder.compress(raw) + coder.flush()
 
 
+class _Archive:
+    """An archive of this very attempt, open once a record comes: the index lists the files of attempts that Spark took, whatever others have left behind."""
+
+    def __init__(self, folder: str):
+        self.fs, self.top = _filesystem(folder)
+        self.name, self.out, self.size = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz", None, 0
+        self.path = f"{folder}/{self.name}"
+
+    def add(self, raw: bytes) -> int:
+        """Writes a record and returns its offset."""
+        if self.out is None:
+            self.fs.create_dir(self.top, recursive=True)
+            self.out = self.fs.open_output_stream(f"{self.top}/.{self.name}", compression=None)
+        self.out.write(raw)
+        self.size += len(raw)
+        return self.size - len(raw)
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.fs.move(f"{self.top}/.{self.name}", f"{self.top}/{self.name}")
+
+
+_KINDS = {"path": pa.string(), "offset": pa.int64(), "length": pa.int64(), "url": pa.string(), "digest": pa.string(), "page_id": pa.int64(), "size": pa.int64()}
+
+
+def _listed(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[n]) for c, n in zip(cols, names, strict=True)], names=names)
+
+
 def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes a WARC record per page and returns the index: path, offset, length, url, digest (hex SHA-1), page_id.
 
     Of pages with equal payloads of LEAST_REVISIT bytes or more, that with the largest id is a response, the others are
-    revisits that refer to it. Equality is that of SHA-1 and length. Only (digest, length, largest id) is aggregated, so a
-    hot payload costs a row per task; payloads themselves are never shuffled.
+    revisits that refer to it. Equality is that of SHA-1 and length. Each task first writes its pages as responses, into a draft; then
+    index rows, which hold no payload, are grouped and joined by digest, and dealt by file: each draft is copied record by record, bytes
+    as they are, with revisits in the place of the responses that turned out to be copies. So payloads are never shuffled, however
+    many are repeated, and one that is hot costs a row per task.
 
     Defined cases: null html is an empty payload; null url is an empty URI; line breaks in a URL are percent-coded; a page id
     that is repeated with the same payload keeps one response per row of the largest id; a null id is written with an empty
-    id and never referred to unless all of the group are null; an empty table writes nothing; columns not named are ignored.
+    id and never referred to unless all of the group are null; ids are whole numbers; an empty table writes nothing; columns not named
+    are ignored.
     """
     folder = folder or shared_dir(pages.sparkSession) + "-warc"
+    draft = f"{folder}-draft-{uuid.uuid4().hex}"
     html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), html.alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("size"))
-    same = stored(rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest", "size").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1"))
-    marked = rows.join(same.drop("n"), ["digest", "size"], "left")
-    revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), html.alias("html"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, top = _filesystem(folder)
-        # a name of this very attempt: the index lists the files of attempts that Spark took, whatever others have left behind
-        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
-        temp, out, offset = f"{top}/.{name}", None, 0
+        archive = _Archive(draft)
         for batch in batches:
             found = []
             for r in batch.to_pylist():
-                if out is None:
-                    fs.create_dir(top, recursive=True)
-                    out = fs.open_output_stream(temp, compression=None)
-                raw = _record(r["page_id"], r["url"], r["html"].encode(), bytes.fromhex(r["digest"]), r["size"], r["kept"], r["revisit"])
-                out.write(raw)
-                found.append((f"{folder}/{name}", offset, len(raw), r["url"], r["digest"], r["page_id"]))
-                offset += len(raw)
-            names = ["path", "offset", "length", "url", "digest", "page_id"]
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            cols = list(zip(*found, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-        if out is not None:
-            out.close()
-            fs.move(temp, f"{top}/{name}")
-
-    return stored(marked.select("page_id", "url", "html", "digest", "size", "kept", revisit.alias("revisit")).mapInArrow(write, INDEX))
+                body = r["html"].encode()
+                sha1 = hashlib.sha1(body)
+                raw = _record(r["page_id"], r["url"], body, sha1.digest(), len(body), None, False)
+                found.append((archive.path, archive.add(raw), len(raw), r["url"], sha1.hexdigest(), r["page_id"], len(body)))
+            yield _listed(found, list(_KINDS))
+        archive.close()
+
+    first = stored(rows.mapInArrow(write, f"{INDEX}, size long"))
+    same = first.where(F.col("size") >= LEAST_REVISIT).groupBy("digest", "size").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    marked = first.join(same, ["digest", "size"], "left").withColumn("revisit", F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept")))
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, names = _Archive(folder), list(_KINDS)[:-1]
+        for batch in batches:
+            by_path: dict[str, dict[tuple[int, int], dict]] = {}
+            for r in batch.to_pylist():
+                by_path.setdefault(r["path"], {})[r["offset"], r["length"]] = r
+            for path, own in by_path.items():
+                fs, at = _filesystem(path)
+                with fs.open_input_file(at) as source:
+                    for lo, hi, held in ranges([k for k, r in sorted(own.items()) if not r["revisit"]]):
+                        block, found = source.read_at(hi - lo, lo), []
+                        for offset, length in held:
+                            r = own[offset, length]
+                            found.append((archive.path, archive.add(block[offset - lo : offset - lo + length]), length, r["url"], r["digest"], r["page_id"]))
+                        yield _listed(found, names)
+                found = []
+                for r in own.values():
+                    if r["revisit"]:
+                        raw = _record(r["page_id"], r["url"], b"", bytes.fromhex(r["digest"]), r["size"], r["kept"], True)
+                        found.append((archive.path, archive.add(raw), len(raw), r["url"], r["digest"], r["page_id"]))
+                yield _listed(found, names)
+        archive.close()
+
+    out = stored(_dealt(marked.select(*_KINDS, "kept", "revisit")).mapInArrow(copy, INDEX))
+    spark = pages.sparkSession
+    gone = spark._jvm.org.apache.hadoop.fs.Path(draft)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    return out
+
+
+def _dealt(index: DataFrame) -> DataFrame:
+    """Index rows by file and offset, about a task per file, or per PART bytes of larger ones; a number that is not coalesced, and no keys are sampled for ranges."""
+    held = index.agg(F.countDistinct("path").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    return index.repartition(max(held.files, -(-held.bytes // PART), 1), "path", F.floor(F.col("offset") / PART)).sortWithinPartitions("path", "offset")
 
 
 def _parse(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -137,7 +195,5 @@ def read_warc(selected: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64())])
-    # about a task per file, or per PART bytes of larger ones; a number that is not coalesced, and no keys are sampled for ranges
-    held = selected.agg(F.countDistinct("path").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
-    chosen = selected.select("path", "offset", "length").repartition(max(held.files, -(-held.bytes // PART), 1), "path", F.floor(F.col("offset") / PART)).sortWithinPartitions("path", "offset")
+    chosen = _dealt(selected.select("path", "offset", "length"))
     return chosen.mapInArrow(read, "path string, offset long, page_id long, url string, record_type string, refers_to long, payload string, digest string, payload_bytes long")

@@ -498,6 +498,26 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.write_warc(d.limit(0)).count() == 0
 
 
+def test_payloads_are_in_no_exchange(spark, sf, monkeypatch):
+    """With broadcasts off and many repeated payloads, only index rows are dealt."""
+    plans, real = [], warc.stored
+
+    def noted(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *args)
+
+    monkeypatch.setattr(warc, "stored", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.concat(F.lit("x"), (F.col("id") % 700).cast("string")), F.lit(600)).alias("html")).repartition(5)
+        got = warc.read_warc(warc.write_warc(pages)).cache()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 2 and any("SortMergeJoin" in p for p in plans) and not any("html" in p for p in plans[1:])
+    assert got.where("record_type = 'response'").count() == 700 and got.where("refers_to IS NOT NULL").count() == 2300
+    assert {(r.refers_to % 700 == r.page_id % 700, r.refers_to >= 2300) for r in got.where("refers_to IS NOT NULL").collect()} == {(True, True)}
+
+
 def test_ranges_coalesce():
     near = [(0, 10), (10, 10), (30, 5)]
     assert [(lo, hi) for lo, hi, _ in warc.ranges(near)] == [(0, 35)]
