@@ -451,6 +451,35 @@ def test_common_words(seed):
     assert lcs_length(x, a) == best[len(x)][len(a)]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_common_words_in_bounded_memory(monkeypatch, seed):
+    rng = random.Random(seed)
+    x, a = ([rng.choice("abcdefgh"[: 2 + seed * 2]) for _ in range(rng.randint(1, 90))] for _ in range(2))
+    want = len(substring.lcs_pairs(x, a))
+    monkeypatch.setattr(substring, "BITS", 40)
+    got = substring.lcs_pairs(x, a)
+    assert len(got) == want and all(x[i] == a[j] for i, j in got)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(got))
+
+
+def test_long_gaps_take_bounded_memory():
+    import tracemalloc
+
+    x, a = [f"x{i}" for i in range(20_000)], [f"a{i}" for i in range(200_000)]
+    x[10_000], a[150_000] = "same", "same"
+    tracemalloc.start()
+    assert substring.lcs_pairs(x, a) == [(10_000, 150_000)]
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+
+
+def test_copies_without_ids(spark):
+    text = words(random.Random(8), 80)
+    got = lambda ids: sorted((str(r.doc_id), str(r.partner_id)) for r in substring.shared_passages(spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string")).collect())
+    assert got([None, None, 5]) == [("None", "5")]
+    assert got([None, 7, 5]) == [("7", "5"), ("None", "5")]
+    assert got([None, None]) == got([4, 4]) == []
+
+
 def test_token_files(spark, docs, rows, none, tmp_path):
     from tokenizers import Tokenizer
 
