@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.operators import filters as P
 from quillspark.operators import ingest as I
+from quillspark.operators import markup as M
 from quillspark.plans.registry import query, table
 from quillspark.sources import files as S
 
@@ -41,37 +43,84 @@ def seed_insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     return S.insert_ignore(old, docs.withColumn("origin", F.lit("new")), "doc_id")
 
 
-_TITLE, _BODY = r"(?is)<h1[^>]*>(.*?)</h1>", r"(?is)<article[^>]*>(.*)</article>"
+# What a class of a page's body contains, and the labels of questions and answers in its text.
+BODY_CLASSES = "content|detail|desc|answer|body|article"
+ANSWER_LABELS, QUESTION_LABELS = ("উত্তরঃ", "উত্তর:"), ("প্রশ্ন:", "প্রশ্ন")
+PAGE_PARTS = {"h1": ("h1", None), "h2": ("h2", None), "h3": ("h3", None), "body": ("div", BODY_CLASSES), "article": ("article", None), "time": ("time", None), "date": (r"[a-z0-9]+", "date")}
+
+
+def page_records(pages: DataFrame) -> DataFrame:
+    """Of each page title, question, answer, date: the first h1, h2 or h3; a body's text, with what stands before and after a label of the answer; a time element or one of a date's class.
+
+    The body is the first div of such a class, or else the article. Pages with neither title nor text are left out.
+    """
+    found = M.elements(pages, "page_id", "html", PAGE_PARTS)
+    one = found.groupBy("page_id").agg(M.first_of(["h1", "h2", "h3"]).alias("title"), M.first_of(["body", "article"]).alias("body"), M.first_of(["time", "date"]).alias("date"))
+    plain = lambda c: X.spaces(F.coalesce(c, F.lit("")))
+    text = F.trim(F.coalesce("body", F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    told = one.select("page_id", plain(F.col("title")).alias("title"), text.alias("text"), F.nullif(plain(F.col("date")), F.lit("")).alias("date")).where("title <> '' OR text <> ''")
+    labelled = F.split(F.replace("text", F.lit(ANSWER_LABELS[0]), F.lit(ANSWER_LABELS[1])), ANSWER_LABELS[1])
+    asked = F.get(labelled, F.lit(0))
+    for label in QUESTION_LABELS:
+        asked = F.replace(asked, F.lit(label), F.lit(""))
+    many = F.size(labelled) >= 2
+    question = F.when(many & (plain(asked) != ""), plain(asked)).otherwise(F.col("title"))
+    answer = F.when(many & (plain(F.get(labelled, F.lit(1))) != ""), plain(F.get(labelled, F.lit(1)))).otherwise(F.col("text"))
+    return told.select("page_id", "title", F.nullif(F.trim(F.regexp_replace(question, r"^প্রশ্ন\s*\([^)]*\)\s*:\s*", "")), F.lit("")).alias("question"), answer.alias("answer"), "date").withColumn("question", F.coalesce("question", "title"))
+
+
+_TEXT_SQL = r"replace(replace(replace(replace(regexp_replace({0}, '(?s)<[^>]*>', '', 'g'), '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')".replace('\\"', '"')
 
 
 @query(
     "extract_pages",
-    r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) AS title,
-  md5(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS body_md5,
-  length(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1)) >= 100 AS long_enough FROM pages""",
+    rf"""WITH p AS (SELECT page_id, trim(regexp_replace({_TEXT_SQL.format("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}, '\s+', ' ', 'g')) AS title, trim({_TEXT_SQL.format("regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1)")}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM pages)
+SELECT page_id, title, title AS question, md5(body) AS answer_md5, length(body) AS answer_chars, NULL::VARCHAR AS date FROM p WHERE title <> '' OR body <> ''""",
 )
 def extract_pages(spark: SparkSession, d: str) -> DataFrame:
-    body = F.regexp_extract("html", _BODY, 1)
-    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_extract("html", _TITLE, 1), "<[^>]*>", "")).alias("title"), F.md5(X.spaces(F.regexp_replace(body, "(?s)<[^>]*>", " "))).alias("body_md5"), (F.length(body) >= 100).alias("long_enough"))
+    return page_records(table(spark, d, "pages")).select("page_id", "title", "question", F.md5("answer").alias("answer_md5"), F.length("answer").cast("long").alias("answer_chars"), "date")
+
+
+#: The parts of a repeated item's block.
+ITEM_PARTS = {"item": ("div", "latest-news-item"), "head": ("h2", None), "part": ("div", r"(?:^|\s)post-text(?:\s|$)"), "quote": ("blockquote", None), "link": ("a", r"(?:^|\s)shareable-link(?:\s|$)")}
+#: What is put between an answer and the quote that it rests on.
+SOURCES_HEAD = "\n\nদলীল ও সূত্র:\n"
+
+
+def news_items(pages: DataFrame, parts: dict = ITEM_PARTS) -> DataFrame:
+    """Of each item block (page_id, item, asker, number, question, answer, link): its headings, both parts of its text, and a quote behind the answer if it is not in there. Blocks without a heading or any text are left out."""
+    found = M.elements(pages, "page_id", "html", parts, outer="item")
+    plain = lambda c: X.spaces(F.coalesce(c, F.lit("")))
+    held = M.item_blocks(found, "page_id", "item", {"h0": M.nth_of("head", 0), "h1": M.nth_of("head", 1), "q": M.nth_of("part", 0), "a": M.nth_of("part", 1), "quote": M.nth_of("quote", 0), "href": M.nth_of("link", 0, "href")})
+    told = held.where("h0 IS NOT NULL").select("page_id", "item", F.when(F.col("h1").isNotNull(), plain(F.col("h0"))).otherwise("").alias("asker"), plain(F.coalesce("h1", "h0")).alias("number"), plain(F.col("q")).alias("question"), plain(F.col("a")).alias("answer"), plain(F.col("quote")).alias("quote"), "href").where("question <> '' OR answer <> ''")
+    answer = F.when((F.col("quote") != "") & ~F.contains("answer", F.col("quote")), F.concat("answer", F.lit(SOURCES_HEAD), "quote")).otherwise(F.col("answer"))
+    return told.join(pages.select("page_id", "url"), "page_id").select("page_id", "item", "asker", "number", "question", answer.alias("answer"), F.when(F.coalesce(F.col("href"), F.lit("")) == "", F.col("url")).otherwise(M.resolve(F.col("url"), F.col("href"))).alias("link"))
 
 
 @query(
     "extract_repeated_items",
-    r"""SELECT page_id, u.i - 1 AS pos, md5(xs[u.i]) AS item_md5 FROM (SELECT page_id, regexp_extract_all(html, '(?is)<p>([^<]*)', 1) AS xs FROM pages), LATERAL unnest(range(1, len(xs) + 1)) AS u(i)""",
+    rf"""WITH i AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS host, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS xs FROM pages)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY u.i) AS pos, trim(regexp_replace({_TEXT_SQL.format("xs[u.i]")}, '\s+', ' ', 'g')) AS text, host || {_TEXT_SQL.format("regexp_extract(xs[u.i], 'href=\"([^\"]*)\"', 1)").replace('\\"', '"')} AS link FROM i, LATERAL unnest(range(1, len(xs) + 1)) AS u(i)""",
 )
 def extract_repeated_items(spark: SparkSession, d: str) -> DataFrame:
-    items = F.regexp_extract_all("html", F.lit("(?is)<p>([^<]*)"), 1)
-    return table(spark, d, "pages").select("page_id", F.posexplode(items).alias("pos", "item")).select("page_id", F.col("pos").cast("long"), F.md5("item").alias("item_md5"))
+    """The blocks that pages of the table repeat are the entries of their navigation."""
+    pages = table(spark, d, "pages")
+    found = M.elements(pages, "page_id", "html", {"item": ("li", None), "link": ("a", None)}, outer="item")
+    held = M.item_blocks(found, "page_id", "item", {"text": M.nth_of("link", 0), "href": M.nth_of("link", 0, "href")}).join(pages.select("page_id", "url"), "page_id")
+    place = F.row_number().over(W.partitionBy("page_id").orderBy("item"))  # entries of a page
+    return held.select("page_id", place.alias("pos"), X.spaces(F.col("text")).alias("text"), M.resolve(F.col("url"), F.col("href")).alias("link"))
 
 
 @query(
     "discover_links",
-    r"""WITH l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS host, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages)
-SELECT DISTINCT CASE WHEN href LIKE '/%' THEN host || href ELSE href END AS link FROM l""",
+    rf"""WITH l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS host, regexp_extract_all(html, 'href="([^"]+)"', 1) AS hs FROM pages),
+e AS (SELECT page_id, u.i AS place, regexp_replace(host || {_TEXT_SQL.format("hs[u.i]")}, '#.*$', '') AS link FROM l, LATERAL unnest(range(1, len(hs) + 1)) AS u(i))
+SELECT link, min(page_id) AS first_page, count(*) OVER (PARTITION BY min(page_id)) AS new_of_page FROM e GROUP BY link""",
 )
 def discover_links(spark: SparkSession, d: str) -> DataFrame:
-    links = table(spark, d, "pages").select(F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("host"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("href"))
-    return links.select(F.when(F.startswith("href", F.lit("/")), F.concat("host", "href")).otherwise(F.col("href")).alias("link")).distinct()
+    """Each address once, with the page that has it first and how many that page brings in."""
+    first = M.links(table(spark, d, "pages")).select("link", "first_page")
+    return first.join(first.groupBy("first_page").agg(F.count("*").alias("new_of_page")), "first_page").select("link", "first_page", "new_of_page")
 
 
 @query("write_dedup_json", "SELECT min(doc_id) AS doc_id, md5(text) AS text_md5 FROM documents GROUP BY text")
