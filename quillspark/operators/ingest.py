@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.sources.files import ranged, stored
+from quillspark.sources.files import number_rows, ranged, stored
 
 
 def dedup_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -43,21 +43,43 @@ def cut_at_known_run(df: DataFrame, part: str, order: list[Column], known: str,
 
 
 def classify(target: DataFrame, src: DataFrame, key: str, compare: list[str]) -> DataFrame:
-    """(key, status) of each row of src: inserted, updated or skipped."""
-    old = target.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in compare])
+    """(key, status) of each row of src: inserted, updated or skipped. A key that target has more than once counts by its first row by all columns."""
+    old = dedup_first(target, [key], [F.col(c) for c in target.columns]).select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in compare])
     changed = reduce(or_, [~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in compare])
     return src.join(old, F.col(key) == F.col("_key"), "left").select(key, F.when(F.col("_key").isNull(), "inserted").when(changed, "updated").otherwise("skipped").alias("status"))
 
 
 def upsert(target: DataFrame, src: DataFrame, key: str) -> DataFrame:
-    """target with the rows of src in place of those of the same key."""
-    return target.join(src.select(key), key, "left_anti").unionByName(src)
+    """target with the rows of src in place of those of the same key. Of rows of one key in src the first by all columns counts."""
+    new = dedup_first(src, [key], [F.col(c) for c in src.columns])
+    return target.join(new.select(key), key, "left_anti").unionByName(new)
 
 
 def delete_keys(target: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return target.join(keys.select(key), key, "left_anti")
 
 
+def sync_pages(df: DataFrame, changed: str, key: str, since: tuple | None, limit: int) -> DataFrame:
+    """Rows after a cursor (time, key) with page: 1 for the first `limit` by time and key, and so on, as a client gets them that goes on
+    with the cursor of each page. Rows of one time are told apart by key, so none is lost or given twice where a page ends among them.
+
+    Null times are never given. All pages come from one numbering over ranges, whatever their number.
+    """
+    at, rows = F.col(changed), df.where(F.col(changed).isNotNull())
+    if since is not None:
+        time, last = F.lit(since[0]).cast(df.schema[changed].dataType), F.lit(since[1])
+        rows = rows.where((at > time) | ((at == time) & (F.col(key) > last)))
+    numbered = number_rows(rows.withColumn("_order", F.struct(at, F.col(key))), "_order")
+    return numbered.select(*df.columns, (F.floor((F.col("n") - 1) / limit) + 1).alias("page"))
+
+
+def sync_summary(pages: DataFrame, changed: str, key: str) -> DataFrame:
+    """(page, n, has_more, next_time, next_id) of sync_pages: what a client is told beside its rows."""
+    per = pages.groupBy("page").agg(F.count("*").alias("n"), F.max(F.struct(changed, key)).alias("last"))
+    last = per.agg(F.max("page").alias("_end"))
+    return per.crossJoin(F.broadcast(last)).select("page", "n", (F.col("page") < F.col("_end")).alias("has_more"), F.col("last")[changed].alias("next_time"), F.col("last")[key].alias("next_id"))  # one row
+
+
 def first_rule(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
     """The name of the first rule whose pattern is found."""
     out = None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.operators import analytics as A
+from quillspark.operators import ingest as I
 from quillspark.plans.analytics import RATE_SQL, S_SQL
 from quillspark.plans.registry import query, table
 from quillspark.sources.files import scratch_dir
@@ -17,12 +18,17 @@ def stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return jobs.read_stream(spark, f"{d}/{name}.parquet")
 
 
-@query("sync_since", "SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) AS changed FROM orders WHERE (o_orderdate, o_orderkey) > (TIMESTAMP '1996-06-01', 100) ORDER BY o_orderdate, o_orderkey LIMIT 500")
+@query(
+    "sync_since",
+    """WITH r AS (SELECT o_orderkey, o_orderdate, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // 500 + 1 AS page, count(*) OVER () AS total FROM orders WHERE (o_orderdate, o_orderkey) > (TIMESTAMP '1996-06-01', 100))
+SELECT page, count(*) AS n, max(page) * 500 < max(total) AS has_more, CAST(max(o_orderdate) AS VARCHAR) AS next_time, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS next_id, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM r GROUP BY page""",
+)
 def sync_since(spark: SparkSession, d: str) -> DataFrame:
-    """One page after a cursor of (time, key), so ties at the border are neither lost nor repeated."""
-    t = F.lit("1996-06-01").cast("timestamp")
-    after = (F.col("o_orderdate") > t) | ((F.col("o_orderdate") == t) & (F.col("o_orderkey") > 100))
-    return table(spark, d, "orders").where(after).select("o_orderkey", "o_orderdate").orderBy("o_orderdate", "o_orderkey").limit(500).select("o_orderkey", F.col("o_orderdate").cast("string").alias("changed"))
+    """All pages that a client gets who begins at a cursor of (time, key) and goes on with the cursor of each page, until there are no more."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("changed"))
+    rows = I.sync_pages(orders, "changed", "o_orderkey", ("1996-06-01", 100), 500)
+    pages = I.sync_summary(rows, "changed", "o_orderkey").join(rows.groupBy("page").agg(F.sum("o_orderkey").alias("keys")), "page")
+    return pages.select("page", "n", "has_more", F.col("next_time").cast("string").alias("next_time"), "next_id", "keys")
 
 
 @query("stream_ingest", "SELECT sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS hash, min(doc_id) AS doc_id FROM documents WHERE length(text) >= 20 GROUP BY 1")
@@ -44,13 +50,8 @@ def stream_active_users(spark: SparkSession, d: str) -> DataFrame:
 
 @query("click_attribution", "SELECT v.event_id, arg_max(c.event_id, (c.ts, c.event_id)) AS last_click, count(c.event_id) AS n_clicks FROM events v LEFT JOIN events c ON c.event_type = 'click' AND c.user_id = v.user_id AND c.ts > v.ts AND c.ts <= v.ts + INTERVAL 30 MINUTE WHERE v.event_type = 'view' GROUP BY v.event_id")
 def click_attribution(spark: SparkSession, d: str) -> DataFrame:
-    """All views, with the last click in time: pairs come from a stream-stream join, views without one from the table."""
-    e = stream(spark, d, "events")
-    found = jobs.attribute_clicks(e.where("event_type = 'view'"), stream(spark, d, "events").where("event_type = 'click'"), "30 minutes", "1 hour")
-    pairs = jobs.run(found, scratch_dir(spark, "clicks"))
-    last = pairs.groupBy("event_id").agg(F.max_by("click_id", F.struct("click_ts", "click_id")).alias("last_click"), F.count("*").alias("n"))
-    views = table(spark, d, "events").where("event_type = 'view'").select("event_id")
-    return views.join(last, "event_id", "left").select("event_id", "last_click", F.coalesce("n", F.lit(0)).alias("n_clicks"))
+    """All views, with the last click in time, from a stream's state alone."""
+    return jobs.click_attribution(stream(spark, d, "events"), scratch_dir(spark, "clicks"))
 
 
 @query("stream_rate_flags", RATE_SQL)
