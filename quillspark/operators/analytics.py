@@ -10,7 +10,7 @@ from quillspark.operators.ingest import first_rule
 from quillspark.sources.files import ranged
 
 # Ordered (pattern, name) rules for user agents, and what is said where no rule fits or there is no agent.
-DEVICES = [("(?i)ipad|tablet|playbook|silk", "Tablet"), ("(?i)android.*mobile|mobile.*android", "Mobile"), ("(?i)android", "Tablet"), ("(?i)mobile|iphone|ipod|blackberry|opera mini|opera mobi|windows phone", "Mobile")]
+DEVICES = [("(?i)ipad|tablet|playbook|silk|(android(?!.*mobile))", "Tablet"), ("(?i)mobile|iphone|ipod|android|blackberry|opera mini|opera mobi|windows phone", "Mobile")]
 SYSTEMS = [("(?i)windows", "Windows"), ("(?i)macintosh|mac os x", "macOS"), ("(?i)android", "Android"), ("(?i)iphone|ipad|ipod", "iOS"), ("(?i)linux", "Linux")]
 BROWSERS = [("(?i)edg", "Edge"), ("(?i)opera|opr", "Opera"), ("(?i)chrome|crios", "Chrome"), ("(?i)firefox|fxios", "Firefox"), ("(?i)safari", "Safari")]
 DEVICE, SYSTEM, BROWSER, UNKNOWN = "Desktop", "Unknown", "Chrome", "Unknown"

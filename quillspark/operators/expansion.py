@@ -70,6 +70,13 @@ def rerank(cand: DataFrame, w: dict[str, float]) -> DataFrame:
     return step.withColumn("score", s + every("syns", "synonym title", "synonym text") + w["sound"] * F.col("sounds")).drop("_s")
 
 
+def keyword_points(cand: DataFrame, fields: list[str], base: int, phrase: tuple[int, ...], word: tuple[int, ...], synonym: tuple[int, ...]) -> DataFrame:
+    """(query_id, doc_id, score) of whole, toks, syns and fields in lower case: points of the first field that holds the whole query, each word, each synonym; a kind has points for as many of the fields as are listed."""
+    first = lambda points, x: reduce(lambda held, f: F.when(F.contains(F.col(f[0]), x), f[1]).otherwise(held), reversed(list(zip(fields, points, strict=False))), F.lit(0))
+    each = lambda xs, points: F.aggregate(xs, F.lit(0), lambda s, x: s + first(points, x))
+    return cand.select("query_id", "doc_id", (base + first(phrase, F.col("whole")) + each("toks", word) + each("syns", synonym)).cast("long").alias("score"))
+
+
 _GAP = r"[^\p{L}\p{N}]"
 
 

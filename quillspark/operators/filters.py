@@ -52,17 +52,30 @@ def parse_string_array(text: Column) -> Column:
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
 
 
-def resolve_ids(requests: DataFrame, docs: DataFrame, prefix: int = 6) -> DataFrame:
-    """(request, doc_id, rule): exact id, then full hash, then a prefix of the hash of at least `prefix` digits; the first rule wins.
+def resolve_ids(requests: DataFrame, docs: DataFrame, aliases: DataFrame | None = None, prefix: int = 6) -> DataFrame:
+    """(request, doc_id, rule) by the first rule that fits: 1 the id, of what an alias (request, target) stands for; 2 a slug, by the hash digits behind
+    its last hyphen; 3 the id, where an alias stood for another; 4 the full hash; 5 the beginning of a hash, at least `prefix` digits
+    of what is asked for.
 
-    Each rule is an equi-join; the last one joins on the fixed-length beginning and filters on the rest.
+    Each rule is an equi-join; those of beginnings join on a fixed length and filter on the rest.
     """
     r, d = requests.select("request").distinct(), docs.select("doc_id", "hash")
-    exact = r.join(d, F.col("request") == F.col("doc_id").cast("string")).select("request", "doc_id", F.lit(1).alias("rule"))
-    full = r.join(d, F.col("request") == F.col("hash")).select("request", "doc_id", F.lit(2).alias("rule"))
-    begun = r.where(F.length("request") >= prefix).withColumn("_b", F.substring("request", 1, prefix)).join(d.withColumn("_b", F.substring("hash", 1, prefix)), "_b").where(F.startswith("hash", "request")).select("request", "doc_id", F.lit(3).alias("rule"))
+    r = r.join(aliases.select("request", "target"), "request", "left") if aliases is not None else r.withColumn("target", F.lit(None).cast("string"))
+    asked = F.trim(F.coalesce("target", "request"))
+    suffix = F.regexp_extract(asked, r"-([0-9a-f]{8,})$", 1)
+    digits = F.lower(F.regexp_replace(F.when(suffix != "", suffix).otherwise(asked), "[^0-9a-fA-F]", ""))
+
+    def by_id(rows: DataFrame, key: Column, rule: int) -> DataFrame:
+        return rows.withColumn("_k", key).join(d, F.col("_k") == F.col("doc_id").cast("string")).select("request", "doc_id", F.lit(rule).alias("rule"))
+
+    def by_beginning(rows: DataFrame, key: Column, rule: int) -> DataFrame:
+        begun = rows.withColumn("_k", key).where(F.length("_k") >= prefix).withColumn("_b", F.substring("_k", 1, prefix))
+        return begun.join(d.withColumn("_b", F.substring("hash", 1, prefix)), "_b").where(F.startswith("hash", "_k")).select("request", "doc_id", F.lit(rule).alias("rule"))
+
+    full = r.withColumn("_k", F.lower(asked)).join(d, F.col("_k") == F.col("hash")).select("request", "doc_id", F.lit(4).alias("rule"))
+    every = [by_id(r, asked, 1), by_beginning(r.where(suffix != ""), suffix, 2), by_id(r.where(F.col("target").isNotNull()), F.trim("request"), 3), full, by_beginning(r, digits, 5)]
     first = F.row_number().over(W.partitionBy("request").orderBy("rule", "doc_id"))
-    return exact.unionByName(full).unionByName(begun).withColumn("_n", first).where("_n = 1").drop("_n")
+    return reduce(DataFrame.unionByName, every).withColumn("_n", first).where("_n = 1").drop("_n")
 
 
 def reasons(rules: dict[str, Column]) -> Column:

@@ -30,9 +30,11 @@ def top_k(df: DataFrame, k: int, by: list[Column], part: list[str] = ["query_id"
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*part).orderBy(*by))).where(F.col("rank") <= k)
 
 
-def hits(query_terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """Per query and document: how many of the query's groups match, how often, where first. query_terms: query_id, group_no, term."""
-    return query_terms.join(postings, "term").groupBy("query_id", "doc_id").agg(F.countDistinct("group_no").alias("n"), F.sum("tf").alias("tf"), F.min("first").alias("first"))
+def page_of(df: DataFrame, order: list[Column], page: int, limit: int, most: int = 100) -> DataFrame:
+    """A page of rows in order, with how many rows and pages there are; the page is 1 at least, its limit from 1 to `most`."""
+    page, limit = max(page, 1), min(max(limit, 1), most)
+    total = df.agg(F.count("*").alias("total")).withColumn("total_pages", F.ceil(F.col("total") / limit))
+    return df.orderBy(*order).offset((page - 1) * limit).limit(limit).crossJoin(F.broadcast(total))  # one row
 
 
 def _rarest_group(query_terms: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -181,29 +183,35 @@ def similarity_of(g: Column, h: Column) -> Column:
     return F.round(F.when(union > 0, common / union).otherwise(0.0), 6)
 
 
-def trigram_similarity(queries: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """(query_id, doc_id, similarity) of titles, above `least`: shared trigrams over all. Columns: (query_id, text), (doc_id, title).
+def trigram_similarity(queries: DataFrame, docs: DataFrame, least: float, weights: dict[str, float] | None = None) -> DataFrame:
+    """(query_id, doc_id, similarity) of (query_id, text) and (doc_id, columns): shared trigrams over all, summed up over columns by their weights, of documents with a column above `least`. By default the column is title.
 
     Two lists of m and n pieces that are so similar share at least a piece among the m - ceil(least m) + 1 rarest of the one and as
     many of the other, so only those are joined. They share least / (1 + least) of m + n pieces, so at the first that they share, that
     many must be left in both: the most frequent pieces, which most titles have, bring no pairs together. The others are compared in full.
     """
-    hashed = lambda text: F.transform(trigrams(F.col(text)), lambda x: F.xxhash64(x))
+    weights = weights or {"title": 1.0}
+    hashed = lambda text: F.transform(trigrams(F.coalesce(F.col(text), F.lit(""))), lambda x: F.xxhash64(x))
     q = stored(queries.select("query_id", hashed("text").alias("g")), "pieces")
-    t = stored(docs.select("doc_id", hashed("title").alias("h")), "pieces")
-    often = t.select(F.explode("h").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
+    t = stored(docs.select("doc_id", *[hashed(c).alias(f"h_{c}") for c in weights]), "pieces")
 
-    def rarest(df: DataFrame, key: str, list_col: str) -> DataFrame:
+    def rarest(df: DataFrame, key: str, list_col: str, often: DataFrame) -> DataFrame:
         each = df.select(key, F.size(list_col).alias("size"), F.explode(list_col).alias("x")).join(often, "x", "left")
         placed = each.withColumn("i", F.row_number().over(W.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "x")))
         return placed.where(F.col("i") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select(key, "size", "i", "x")
 
-    a, b = rarest(q, "query_id", "g"), rarest(t, "doc_id", "h")
-    near = F.least(a["size"], b["size"]) >= least * F.greatest(a["size"], b["size"]) - 1e-9
-    left = 1 + F.least(a["size"] - a["i"], b["size"] - b["i"]) >= least / (1 + least) * (a["size"] + b["size"]) - 1e-9
-    pairs = a.join(b, a["x"] == b["x"]).where(near & left).select("query_id", "doc_id").distinct()
-    sized = pairs.join(q, "query_id").join(t, "doc_id").withColumn("similarity", similarity_of(F.col("g"), F.col("h")))
-    return sized.where(F.col("similarity") > least).select("query_id", "doc_id", "similarity")
+    def near(col: str) -> DataFrame:
+        often = t.select(F.explode(col).alias("x")).groupBy("x").agg(F.count("*").alias("df"))
+        a, b = rarest(q, "query_id", "g", often), rarest(t, "doc_id", col, often)
+        alike = F.least(a["size"], b["size"]) >= least * F.greatest(a["size"], b["size"]) - 1e-9
+        left = 1 + F.least(a["size"] - a["i"], b["size"] - b["i"]) >= least / (1 + least) * (a["size"] + b["size"]) - 1e-9
+        return a.join(b, a["x"] == b["x"]).where(alike & left).select("query_id", "doc_id")
+
+    pairs = reduce(DataFrame.unionByName, [near(f"h_{c}") for c in weights]).distinct()
+    each = {c: similarity_of(F.col("g"), F.col(f"h_{c}")) for c in weights}
+    sized = pairs.join(q, "query_id").join(t, "doc_id").select("query_id", "doc_id", *[s.alias(f"s_{c}") for c, s in each.items()])
+    total = reduce(lambda x, y: x + y, [w * F.col(f"s_{c}") for c, w in weights.items()])
+    return sized.where(reduce(lambda x, y: x | y, [F.col(f"s_{c}") > least for c in weights])).select("query_id", "doc_id", F.round(total, 6).alias("similarity"))
 
 
 def covers(positions: np.ndarray, terms: np.ndarray, need: int) -> list[tuple[int, int]]:

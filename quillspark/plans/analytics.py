@@ -24,14 +24,14 @@ def searches(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Browsers, systems and devices of agents that events are given, as the tables have none; which one follows from the event.
-_UA = ["Mozilla/5.0 (iPhone; CPU iPhone OS 17 like Mac OS X) Version/17 Mobile Safari/604", "Mozilla/5.0 (Windows NT 10.0) Chrome/120 Safari/537 Edg/120", "Mozilla/5.0 (X11; Linux x86_64) Firefox/121", "Mozilla/5.0 (Linux; Android 14; Pixel) Chrome/120 Mobile", "Mozilla/5.0 (Linux; Android 13; Tab) Chrome/119", "Opera/9 (Windows Phone) OPR/7", "curl/8"]
+_UA = ["Mozilla/5.0 (iPhone; CPU iPhone OS 17 like Mac OS X) Version/17 Mobile Safari/604", "Mozilla/5.0 (Windows NT 10.0) Chrome/120 Safari/537 Edg/120", "Mozilla/5.0 (X11; Linux x86_64) Firefox/121", "Mozilla/5.0 (Linux; Android 14; Pixel) Chrome/120 Mobile", "Mozilla/5.0 (Linux; Android 13; Tab) Chrome/119", "Opera/9 (Windows Phone) OPR/7", "curl/8", "Mozilla/5.0 (Mobile; Android 12; rv:102) Firefox/102"]
 _UA_SQL = "[" + ", ".join(f"'{u}'" for u in _UA) + f"][CAST(json_extract_string(props, '$.k') AS INTEGER) % {len(_UA) + 1} + 1]"
 
 
 @query(
     "parse_user_agent",
     f"""WITH u AS (SELECT event_id, lower({_UA_SQL}) AS a FROM events)
-SELECT event_id, CASE WHEN a IS NULL THEN 'Desktop' WHEN a LIKE '%ipad%' OR a LIKE '%tablet%' OR a LIKE '%playbook%' OR a LIKE '%silk%' OR (a LIKE '%android%' AND a NOT LIKE '%mobile%') THEN 'Tablet'
+SELECT event_id, CASE WHEN a IS NULL THEN 'Desktop' WHEN a LIKE '%ipad%' OR a LIKE '%tablet%' OR a LIKE '%playbook%' OR a LIKE '%silk%' OR (a LIKE '%android%' AND NOT contains(regexp_extract(a, '.*android(.*)', 1), 'mobile')) THEN 'Tablet'
     WHEN a LIKE '%mobile%' OR a LIKE '%iphone%' OR a LIKE '%ipod%' OR a LIKE '%android%' OR a LIKE '%blackberry%' OR a LIKE '%opera mini%' OR a LIKE '%opera mobi%' OR a LIKE '%windows phone%' THEN 'Mobile' ELSE 'Desktop' END AS device,
   CASE WHEN a IS NULL THEN 'Unknown' WHEN a LIKE '%windows%' THEN 'Windows' WHEN a LIKE '%macintosh%' OR a LIKE '%mac os x%' THEN 'macOS' WHEN a LIKE '%android%' THEN 'Android' WHEN a LIKE '%iphone%' OR a LIKE '%ipad%' OR a LIKE '%ipod%' THEN 'iOS' WHEN a LIKE '%linux%' THEN 'Linux' ELSE 'Unknown' END AS os,
   CASE WHEN a IS NULL THEN 'Unknown' WHEN a LIKE '%edg%' THEN 'Edge' WHEN a LIKE '%opera%' OR a LIKE '%opr%' THEN 'Opera' WHEN a LIKE '%chrome%' OR a LIKE '%crios%' THEN 'Chrome' WHEN a LIKE '%firefox%' OR a LIKE '%fxios%' THEN 'Firefox' WHEN a LIKE '%safari%' THEN 'Safari' ELSE 'Chrome' END AS browser FROM u""",
@@ -122,9 +122,11 @@ def click_mrr(spark: SparkSession, d: str) -> DataFrame:
     return searches(spark, d).agg(F.round(F.avg(F.when(p >= 1, 1.0 / p).otherwise(0.0)), 6).alias("mrr"), F.round(F.avg(p), 6).alias("avg_rank"))
 
 
-@query("latency_percentiles", f"WITH {S_SQL}, r AS (SELECT took_ms, row_number() OVER (ORDER BY took_ms) AS i, count(*) OVER () AS n FROM s) SELECT DISTINCT share, took_ms AS value FROM r, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) p(share) WHERE i = greatest(round(share * n), 1)")
+@query("latency_percentiles", f"WITH {S_SQL}, r AS (SELECT took_ms, row_number() OVER (ORDER BY took_ms) AS i, count(*) OVER () AS n FROM s), m AS (SELECT {ratio_sql('sum(CAST(round(took_ms * 1000000) AS BIGINT))', '1000000 * count(took_ms)', 3)} AS average FROM s) SELECT DISTINCT share, took_ms AS value, average FROM r, m, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) p(share) WHERE i = greatest(round(share * n), 1)")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return A.nearest_rank(searches(spark, d), "took_ms", [0.5, 0.9, 0.95, 0.99])
+    s = searches(spark, d)
+    average = s.agg(A.ratio(F.sum(F.round(F.col("took_ms") * 1_000_000).cast("long")), 1_000_000 * F.count("took_ms"), 3).alias("average"))
+    return A.nearest_rank(s, "took_ms", [0.5, 0.9, 0.95, 0.99]).crossJoin(F.broadcast(average))  # one row
 
 
 @query("crash_free", "SELECT round(100.0 * (1 - count(DISTINCT CASE WHEN event_type = 'error' THEN user_id || ':' || CAST(ts AS DATE) END) / count(DISTINCT user_id || ':' || CAST(ts AS DATE))), 4) AS sessions, round(100.0 * (1 - count(DISTINCT CASE WHEN event_type = 'error' AND value > 480 THEN user_id END) / count(DISTINCT user_id)), 4) AS users FROM events")

@@ -199,15 +199,22 @@ def parse_json_array_col(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "resolve_ids",
-    """WITH d AS (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS hash FROM documents),
-r AS (SELECT CASE item_id % 3 WHEN 0 THEN CAST(item_id AS VARCHAR) WHEN 1 THEN sha256(CAST(item_id AS VARCHAR)) ELSE substr(sha256(CAST(item_id AS VARCHAR)), 1, 12) END AS request FROM benchmark),
-m AS (SELECT request, doc_id, CASE WHEN request = CAST(doc_id AS VARCHAR) THEN 1 WHEN request = hash THEN 2 ELSE 3 END AS rule FROM r JOIN d ON request = CAST(doc_id AS VARCHAR) OR request = hash OR (length(request) >= 6 AND starts_with(hash, request)))
-SELECT request, doc_id, rule FROM m QUALIFY row_number() OVER (PARTITION BY request ORDER BY rule, doc_id) = 1""",
+    """WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, sha256(CAST(doc_id AS VARCHAR)) AS hash FROM documents),
+q AS (SELECT item_id, sha256(CAST(item_id AS VARCHAR)) AS h FROM benchmark),
+r AS (SELECT DISTINCT CASE item_id % 5 WHEN 0 THEN CAST(item_id AS VARCHAR) WHEN 1 THEN upper(h) WHEN 2 THEN substr(h, 1, 12) WHEN 3 THEN 'a-title-' || substr(h, 1, 8) ELSE 'old-' || item_id END AS request, CASE WHEN item_id % 5 = 4 THEN CAST(item_id + 1 AS VARCHAR) END AS target FROM q),
+k AS (SELECT *, coalesce(target, request) AS asked, regexp_extract(coalesce(target, request), '-([0-9a-f]{8,})$', 1) AS suffix FROM r),
+g AS (SELECT *, lower(regexp_replace(CASE WHEN suffix <> '' THEN suffix ELSE asked END, '[^0-9a-fA-F]', '', 'g')) AS digits FROM k),
+m AS (SELECT request, doc_id, CASE WHEN asked = id THEN 1 WHEN suffix <> '' AND starts_with(hash, suffix) THEN 2 WHEN target IS NOT NULL AND request = id THEN 3 WHEN lower(asked) = hash THEN 4 WHEN length(digits) >= 6 AND starts_with(hash, digits) THEN 5 END AS rule FROM g, d)
+SELECT request, doc_id, rule FROM m WHERE rule IS NOT NULL QUALIFY row_number() OVER (PARTITION BY request ORDER BY rule, doc_id) = 1""",
 )
 def resolve_ids(spark: SparkSession, d: str) -> DataFrame:
-    h = F.sha2(F.col("item_id").cast("string"), 256)
-    requests = table(spark, d, "benchmark").select(F.when(F.col("item_id") % 3 == 0, F.col("item_id").cast("string")).when(F.col("item_id") % 3 == 1, h).otherwise(F.substring(h, 1, 12)).alias("request"))
-    return P.resolve_ids(requests, table(spark, d, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("hash")))
+    """Asked for by id, by hash in capitals, by its beginning, by slug, and by a name that stands for the next id."""
+    i, h = F.col("item_id"), F.sha2(F.col("item_id").cast("string"), 256)
+    old = F.concat(F.lit("old-"), i.cast("string"))
+    items = table(spark, d, "benchmark").select("item_id")
+    requests = items.select(F.when(i % 5 == 0, i.cast("string")).when(i % 5 == 1, F.upper(h)).when(i % 5 == 2, F.substring(h, 1, 12)).when(i % 5 == 3, F.concat(F.lit("a-title-"), F.substring(h, 1, 8))).otherwise(old).alias("request"))
+    aliases = items.where(i % 5 == 4).select(old.alias("request"), (i + 1).cast("string").alias("target"))
+    return P.resolve_ids(requests, table(spark, d, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("hash")), aliases)
 
 
 @query(

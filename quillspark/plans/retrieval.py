@@ -25,7 +25,7 @@ SUFFIXES = ["tion", "ing", "ed", "ly", "es", "er"]
 SYNONYMS = [("this", "that"), ("are", "is"), ("was", "is"), ("with", "from"), ("or", "and"), ("for", "to"), ("an", "a"), ("das", "der"), ("los", "el"), ("un", "le")]
 #: Places of hashed vectors.
 DIM = 32
-TITLE_SQL = "ti AS (SELECT doc_id, substr(string_split(text, chr(10))[1], 1, 120) AS title FROM documents)"
+TITLE_SQL = "ti AS (SELECT doc_id, substr(string_split(text, chr(10))[1], 1, 120) AS title, coalesce(substr(string_split(text, chr(10))[2], 1, 120), '') AS question FROM documents)"
 
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"
 SYN_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SYNONYMS) + ") AS s(variant, canonical)"
@@ -147,10 +147,17 @@ def _synonyms(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(SYNONYMS, "variant string, canonical string"))  # a fixed list
 
 
-@query("canonicalize_terms", f"WITH {TOK_SQL} SELECT coalesce(canonical, term) AS canonical, count(*) AS n FROM tok LEFT JOIN {SYN_SQL} ON term = variant GROUP BY 1")
+#: Stand-in for an article that is written with the word.
+ARTICLE = "th"
+
+
+@query("canonicalize_terms", f"WITH {TOK_SQL} SELECT coalesce(a.canonical, CASE WHEN length(term) > {len(ARTICLE) + 1} THEN b.canonical END, term) AS canonical, count(*) AS n FROM tok LEFT JOIN {SYN_SQL.replace('s(', 'a(')} ON term = a.variant LEFT JOIN {SYN_SQL.replace('s(', 'b(')} ON term = '{ARTICLE}' || b.variant GROUP BY 1")
 def canonicalize_terms(spark: SparkSession, d: str) -> DataFrame:
+    """A word's canonical form, or that of the word without its article."""
     counted = doc_tokens(spark, d).groupBy("term").agg(F.count("*").alias("n"))
-    return counted.join(_synonyms(spark), F.col("term") == F.col("variant"), "left").groupBy(F.coalesce("canonical", "term").alias("canonical")).agg(F.sum("n").alias("n"))
+    bare = F.when(F.startswith("term", F.lit(ARTICLE)) & (F.length("term") > len(ARTICLE) + 1), F.substring("term", len(ARTICLE) + 1, 1000))
+    known = counted.withColumn("bare", bare).join(_synonyms(spark).toDF("term", "own"), "term", "left").join(_synonyms(spark).toDF("bare", "other"), "bare", "left")
+    return known.groupBy(F.coalesce("own", "other", "term").alias("canonical")).agg(F.sum("n").alias("n"))
 
 
 _GROUP_SQL = f"g AS (SELECT variant AS term, canonical FROM {SYN_SQL} UNION SELECT canonical, canonical FROM {SYN_SQL})"
@@ -409,7 +416,8 @@ def cover_density(spark: SparkSession, d: str) -> DataFrame:
 
 
 def titles(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", X.title_of(F.col("text")).alias("title"))
+    """Titles and, in the place of questions, what stands in the second line."""
+    return docs(spark, d).select("doc_id", X.title_of(F.col("text")).alias("title"), F.coalesce(F.substring(F.get(F.split("text", "\n"), F.lit(1)), 1, 120), F.lit("")).alias("question"))
 
 
 @query("title_bonus", lambda: f"WITH {BM25_SQL}, {TITLE_SQL}, {EVERY_SQL}, top AS ({TOP_SQL.format('bm', 10)}) SELECT query_id, doc_id, round(score + CASE WHEN contains(lower(title), array_to_string(ws, ' ')) THEN CASE WHEN (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM every) THEN 3.0 ELSE 2.0 END ELSE 0.0 END + 1.5 * {_sim_sql('g', 'h')}, 6) AS score FROM (SELECT *, {_tri('title')} AS h, {_tri(_QTEXT)} AS g FROM top JOIN ti USING (doc_id) JOIN qw USING (query_id))")
@@ -434,7 +442,8 @@ def _sim_sql(g: str, h: str) -> str:
     return f"round(coalesce(len(list_intersect({g}, {h})) / nullif(CAST(len({g}) + len({h}) - len(list_intersect({g}, {h})) AS DOUBLE), 0), 0), 6)"
 
 
-SIM_SQL = f"{TITLE_SQL}, qg AS (SELECT query_id, {_tri(_QTEXT)} AS g FROM qw), tg AS (SELECT doc_id, {_tri('title')} AS h FROM ti), sim AS (SELECT query_id, doc_id, {_sim_sql('g', 'h')} AS score FROM qg, tg)"
+SIM_SQL = f"""{TITLE_SQL}, qg AS (SELECT query_id, {_tri(_QTEXT)} AS g FROM qw), tg AS (SELECT doc_id, {_tri('title')} AS h FROM ti), sim AS (SELECT query_id, doc_id, {_sim_sql('g', 'h')} AS score FROM qg, tg),
+tq AS (SELECT doc_id, {_tri('title')} AS h, {_tri('question')} AS k FROM ti), sim2 AS (SELECT query_id, doc_id, round(2 * st + sq, 6) AS score FROM (SELECT query_id, doc_id, {_sim_sql('g', 'h')} AS st, {_sim_sql('g', 'k')} AS sq FROM qg, tq) WHERE st > 0.2 OR sq > 0.2)"""
 TRI_SQL = f"{QW_SQL}, {SIM_SQL}"
 EVERY_SQL = "need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY query_id), h AS (SELECT query_id, doc_id, count(*) AS n FROM qt JOIN post USING (term) GROUP BY ALL), every AS (SELECT query_id, doc_id FROM h JOIN need USING (query_id) WHERE n = need)"
 
@@ -444,9 +453,14 @@ def similarity(spark: SparkSession, d: str, least: float) -> DataFrame:
     return R.trigram_similarity(q, titles(spark, d), least).withColumnRenamed("similarity", "score")
 
 
-@query("trigram_similarity", f"WITH {TRI_SQL}, near AS (SELECT * FROM sim WHERE score > 0.2) {TOP_SQL.format('near', 25)}")
+#: What the similarity of a title and of a question counts.
+ALIKE = {"title": 2.0, "question": 1.0}
+
+
+@query("trigram_similarity", f"WITH {TRI_SQL} {TOP_SQL.format('sim2', 25)}")
 def trigram_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(similarity(spark, d, 0.2), 25, [F.desc("score"), F.col("doc_id")])
+    texts = query_words(spark, d).select("query_id", F.array_join("ws", " ").alias("text"))
+    return R.top_k(R.trigram_similarity(texts, titles(spark, d), 0.2, ALIKE).withColumnRenamed("similarity", "score"), 25, [F.desc("score"), F.col("doc_id")])
 
 
 #: A query with fewer documents goes on to the next stage.
@@ -458,7 +472,7 @@ s1 AS (SELECT query_id, doc_id, 1 AS stage, score FROM bm JOIN every USING (quer
 few1 AS (SELECT query_id FROM qw WHERE query_id NOT IN (SELECT query_id FROM s1 GROUP BY 1 HAVING count(*) >= 5)),
 s2 AS (SELECT query_id, doc_id, 2 AS stage, score FROM bm WHERE query_id IN (SELECT query_id FROM few1) AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM s1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50),
 two AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2), few2 AS (SELECT query_id FROM qw WHERE query_id NOT IN (SELECT query_id FROM two GROUP BY 1 HAVING count(*) >= 5)),
-s3 AS (SELECT query_id, doc_id, 3 AS stage, score FROM sim JOIN qw USING (query_id) WHERE score > 0.2 AND length(array_to_string(ws, ' ')) >= 4 AND query_id IN (SELECT query_id FROM few2) AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM two) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 25),
+s3 AS (SELECT query_id, doc_id, 3 AS stage, score FROM sim2 JOIN qw USING (query_id) WHERE length(array_to_string(ws, ' ')) >= 4 AND query_id IN (SELECT query_id FROM few2) AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM two) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 25),
 casc AS (SELECT * FROM two UNION ALL SELECT * FROM s3)"""
 
 
@@ -470,7 +484,7 @@ def cascade_run(spark: SparkSession, d: str) -> DataFrame:
     return R.cascade(texts, [
         (lambda q: R.bm25_within(R.match_all(of(g, q), i), of(g, q), i), 50, 1),
         (lambda q: R.bm25_top(of(g, q), i, 50 + FEW), 50, 2),
-        (lambda q: R.trigram_similarity(of(texts, q).where(F.length("text") >= 4), titles(spark, d), 0.2).withColumnRenamed("similarity", "score"), 25, 3),
+        (lambda q: R.trigram_similarity(of(texts, q).where(F.length("text") >= 4), titles(spark, d), 0.2, ALIKE).withColumnRenamed("similarity", "score"), 25, 3),
     ], FEW)
 
 
@@ -553,13 +567,33 @@ def feature_rerank(spark: SparkSession, d: str) -> DataFrame:
     return E.rerank(cand, FEATURES).select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
-@query("keyword_score", f"WITH {BM25_SQL}, {TITLE_SQL}, top AS ({TOP_SQL.format('bm', 10)}) SELECT query_id, doc_id, CAST(50 + CASE WHEN contains(lower(title), array_to_string(ws, ' ')) THEN 200 WHEN contains(lower(text), array_to_string(ws, ' ')) THEN 120 ELSE 0 END + list_sum(list_transform(ws, lambda w: CASE WHEN contains(lower(title), w) THEN 35 WHEN contains(lower(text), w) THEN 20 ELSE 0 END)) AS BIGINT) AS score FROM top JOIN qw USING (query_id) JOIN ti USING (doc_id) JOIN documents USING (doc_id)")
+# Points for a whole query in title or question, for each word in title, question or answer, and for each synonym in title or question.
+KEYWORD_POINTS = {"base": 50, "phrase": (200, 120), "word": (35, 20, 8), "synonym": (25, 12)}
+
+
+def _keyword_sql() -> str:
+    p = KEYWORD_POINTS
+    first = lambda fields, points, x: "CASE " + " ".join(f"WHEN contains({f}, {x}) THEN {n}" for f, n in zip(fields, points, strict=False)) + " ELSE 0 END"
+    fields = ("title", "question", "text")
+    each = lambda xs, points: f"coalesce(list_sum(list_transform({xs}, lambda x: {first(fields, points, 'x')})), 0)"
+    return f"""WITH {BM25_SQL}, {TITLE_SQL}, {_GROUP_SQL}, top AS ({TOP_SQL.format('bm', 10)}), q AS (SELECT query_id, array_to_string(any_value(ws), ' ') AS whole, list(term) AS toks FROM qt JOIN qw USING (query_id) GROUP BY query_id),
+sy AS (SELECT query_id, list(DISTINCT b.term) AS syns FROM qt t JOIN g a ON t.term = a.term JOIN g b ON a.canonical = b.canonical WHERE b.term <> t.term GROUP BY 1),
+kc AS (SELECT query_id, doc_id, whole, toks, coalesce(syns, []) AS syns, lower(title) AS title, lower(question) AS question, lower(text) AS text FROM top JOIN q USING (query_id) LEFT JOIN sy USING (query_id) JOIN ti USING (doc_id) JOIN documents USING (doc_id))
+SELECT query_id, doc_id, CAST({p['base']} + {first(fields, p['phrase'], 'whole')} + {each('toks', p['word'])} + {each('syns', p['synonym'])} AS BIGINT) AS score FROM kc"""
+
+
+@query("keyword_score", _keyword_sql)
 def keyword_score(spark: SparkSession, d: str) -> DataFrame:
-    top = bm25_run(spark, d).join(query_words(spark, d), "query_id").join(docs(spark, d).select("doc_id", F.lower("text").alias("text"), F.lower(X.title_of(F.col("text"))).alias("title")), "doc_id")
-    whole = F.array_join("ws", " ")
-    phrase = F.when(F.contains("title", whole), 200).when(F.contains("text", whole), 120).otherwise(0)
-    each = F.aggregate("ws", F.lit(0), lambda s, w: s + F.when(F.contains(F.col("title"), w), 35).when(F.contains(F.col("text"), w), 20).otherwise(0))
-    return top.select("query_id", "doc_id", (50 + phrase + each).cast("long").alias("score"))
+    """Points by words as parts of title, question and answer, of the ten best by BM25; of each word and synonym the best field counts."""
+    g = _groups(spark)
+    variants = F.broadcast(g.join(g.select(F.col("term").alias("v"), "canonical"), "canonical").where("v <> term").select("term", "v"))  # fixed lists
+    terms = query_terms(spark, d).select("query_id", "term")
+    toks = terms.groupBy("query_id").agg(F.collect_list("term").alias("toks"))
+    syns = terms.join(variants, "term").groupBy("query_id").agg(F.collect_set("v").alias("syns"))
+    fields = titles(spark, d).join(docs(spark, d).select("doc_id", "text"), "doc_id").select("doc_id", *[F.lower(c).alias(c) for c in ("title", "question", "text")])
+    cand = bm25_run(spark, d).select("query_id", "doc_id").join(query_words(spark, d), "query_id").join(toks, "query_id").join(syns, "query_id", "left").join(fields, "doc_id")
+    p = KEYWORD_POINTS
+    return E.keyword_points(cand.select("query_id", "doc_id", F.array_join("ws", " ").alias("whole"), "toks", F.coalesce("syns", F.array().cast("array<string>")).alias("syns"), "title", "question", "text"), ["title", "question", "text"], p["base"], p["phrase"], p["word"], p["synonym"])
 
 
 def _letters_as_bytes(term: str) -> str:
@@ -666,9 +700,9 @@ def interleave_sources(spark: SparkSession, d: str) -> DataFrame:
     return R.interleave(best, "source", ["src3", "src1"], [F.desc("n_chars"), F.col("doc_id")], ["lang"]).select("doc_id", "lang", "rank")
 
 
-@query("paginate", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
+@query("paginate", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total, (SELECT (count(*) + 19) // 20 FROM orders) AS total_pages FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
 def paginate(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(40).limit(20)
+    return R.page_of(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 3, 20)
 
 
 @query("count_matches", f"WITH {POST_SQL}, {QT_SQL} SELECT query_id, count(DISTINCT doc_id) AS total, count(DISTINCT CASE WHEN lang = 'en' THEN doc_id END) AS total_en FROM qt JOIN post USING (term) JOIN documents USING (doc_id) GROUP BY query_id")
@@ -698,15 +732,19 @@ def facet_consolidate(spark: SparkSession, d: str) -> DataFrame:
     return raw.join(dim, "head", "left").groupBy(F.coalesce("category", "p_type").alias("category")).agg(F.sum("n").alias("n"))
 
 
-@query("browse_recent", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")
+@query("browse_recent", "WITH o AS (SELECT o_orderkey, o_orderdate, o_orderpriority FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority LIKE '1%') SELECT o_orderkey, o_orderdate, (SELECT count(*) FROM o) AS total, (SELECT (count(*) + 99) // 100 FROM o) AS total_pages FROM o ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
 def browse_recent(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").where("o_orderstatus = 'O'").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(25)
+    """Without a query: filters, the newest first, a page (as large as is allowed) and how many there are."""
+    found = table(spark, d, "orders").where("o_orderstatus = 'O' AND o_orderpriority LIKE '1%'").select("o_orderkey", "o_orderdate")
+    return R.page_of(found, [F.desc("o_orderdate"), F.col("o_orderkey")], 0, 250)
 
 
-@query("sample_per_source", "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR) || ':7'), doc_id) <= 3")
+@query("sample_per_source", "SELECT doc_id, source, row_number() OVER (ORDER BY turn, source, h, doc_id) AS rank FROM (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR) || ':7') AS h, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR) || ':7'), doc_id) AS turn FROM documents) WHERE turn <= 3")
 def sample_per_source(spark: SparkSession, d: str) -> DataFrame:
+    """Three of each source by a hash, then one source after the other."""
     keyed = docs(spark, d).select("doc_id", "source", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":7"))).alias("h"))
-    return R.top_k(keyed, 3, [F.col("h"), F.col("doc_id")], ["source"]).select("doc_id", "source")
+    picked = R.top_k(keyed, 3, [F.col("h"), F.col("doc_id")], ["source"]).drop("rank")
+    return R.interleave(picked, "source", ["-"], [F.col("h"), F.col("doc_id")], []).select("doc_id", "source", "rank")  # three rows a source
 
 
 _REL_SQL = """WITH c AS (SELECT a.doc_id, b.doc_id AS related, CASE WHEN a.lang = b.lang THEN 1 ELSE 2 END AS tier FROM documents a JOIN (SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) <= 7 OR row_number() OVER (ORDER BY doc_id DESC) <= 13) b ON a.doc_id <> b.doc_id)
@@ -765,7 +803,7 @@ def pending_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return filled.select("doc_id", F.size("vector").alias("dim"), F.when(new, total).cast("long").alias("n_words"), F.when(new, weighed).cast("long").alias("weighed"))
 
 
-@query("dedup_candidates", f"WITH {BM25_SQL}, {SIM_SQL}, near AS (SELECT * FROM sim WHERE score > 0.2), l AS (SELECT query_id, doc_id, 1 AS list, rank FROM ({TOP_SQL.format('bm', 10)}) UNION ALL SELECT query_id, doc_id, 2, rank FROM ({TOP_SQL.format('near', 25)})) SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY list, rank) = 1")
+@query("dedup_candidates", f"WITH {BM25_SQL}, {SIM_SQL}, l AS (SELECT query_id, doc_id, 1 AS list, rank FROM ({TOP_SQL.format('bm', 10)}) UNION ALL SELECT query_id, doc_id, 2, rank FROM ({TOP_SQL.format('sim2', 25)})) SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY list, rank) = 1")
 def dedup_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The best by words and then those with similar titles as one list, of each document the first row."""
     lists = bm25_run(spark, d).select("query_id", "doc_id", F.lit(1).alias("list"), "rank").unionByName(trigram_similarity(spark, d).select("query_id", "doc_id", F.lit(2).alias("list"), "rank"))
@@ -804,12 +842,24 @@ def golden(spark: SparkSession, d: str) -> DataFrame:
     return phrase_match(spark, d).join(b, "query_id").join(docs(spark, d).select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("query_id", "doc_id")
 
 
-EVAL_SQL = f"WITH {BM25_SQL}, {GOLD_SQL}, run AS ({TOP_SQL.format('bm', 10)}), j AS (SELECT run.query_id, rank, CASE WHEN g.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM run LEFT JOIN gold g ON g.query_id = run.query_id AND g.doc_id = run.doc_id), i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS k FROM j), p AS (SELECT query_id, max(CASE WHEN rank <= 5 THEN rel ELSE 0 END) AS hit5, max(CASE WHEN rel = 1 THEN 1.0 / rank ELSE 0 END) AS rr, sum(rel / log2(rank + 1)) AS dcg, sum(rel / log2(k + 1)) AS idcg FROM i GROUP BY 1) SELECT query_id, coalesce(hit5, 0) AS hit5, round(coalesce(rr, 0), 6) AS rr, round(coalesce(CASE WHEN idcg > 0 THEN dcg / idcg END, 0), 6) AS ndcg10 FROM (SELECT DISTINCT query_id FROM gold) LEFT JOIN p USING (query_id)"
+_KEYWORD_SQL = "gk AS (SELECT query_id, list_sort(list_distinct(list_filter(ws, lambda w: length(w) = list_max(list_transform(ws, lambda x: length(x))))))[1] AS keyword FROM qw)"
+EVAL_SQL = f"WITH {_FUSED_SQL}, {GOLD_SQL}, {_KEYWORD_SQL}, run AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ra NULLS LAST, doc_id) AS rank FROM fu QUALIFY rank <= 10), j AS (SELECT run.query_id, rank, CASE WHEN g.doc_id IS NOT NULL OR contains(lower(title || ' ' || question), keyword) THEN 1 ELSE 0 END AS rel FROM run JOIN gk ON gk.query_id = run.query_id JOIN ti ON ti.doc_id = run.doc_id LEFT JOIN gold g ON g.query_id = run.query_id AND g.doc_id = run.doc_id), i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS k FROM j), p AS (SELECT query_id, max(CASE WHEN rank <= 5 THEN rel ELSE 0 END) AS hit5, max(CASE WHEN rel = 1 THEN 1.0 / rank ELSE 0 END) AS rr, sum(rel / log2(rank + 1)) AS dcg, sum(rel / log2(k + 1)) AS idcg FROM i GROUP BY 1) SELECT query_id, coalesce(hit5, 0) AS hit5, round(coalesce(rr, 0), 6) AS rr, round(coalesce(CASE WHEN idcg > 0 THEN dcg / idcg END, 0), 6) AS ndcg10 FROM (SELECT DISTINCT query_id FROM gold) LEFT JOIN p USING (query_id)"
+
+
+def judged_run(spark: SparkSession, d: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The hybrid's k best of each query with a golden document, and which of them are relevant: golden documents, and those whose title or question has the query's keyword, its longest word."""
+    gold = stored(golden(spark, d), "golden")
+    run = stored(hybrid(spark, d).where(F.col("rank") <= k).join(gold.select("query_id").distinct(), "query_id", "left_semi"), "run")
+    longest = F.array_max(F.transform("ws", lambda w: F.length(w)))
+    keyword = F.array_min(F.filter("ws", lambda w: F.length(w) == longest))
+    told = run.join(titles(spark, d), "doc_id").join(query_words(spark, d).select("query_id", keyword.alias("keyword")), "query_id")
+    named = told.where(F.contains(F.lower(F.concat_ws(" ", "title", "question")), F.col("keyword"))).select("query_id", "doc_id")
+    return run, gold.unionByName(named).distinct()
 
 
 @query("eval_retrieval", EVAL_SQL)
 def eval_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    return R.evaluate(bm25_run(spark, d), golden(spark, d))
+    return R.evaluate(*judged_run(spark, d))
 
 
 @query("index_join", f"WITH {_ALL_SQL} SELECT query_id, doc_id, source, n_chars FROM every JOIN documents USING (doc_id) WHERE lang = 'en'")
