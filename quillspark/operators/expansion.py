@@ -77,20 +77,23 @@ def keyword_points(cand: DataFrame, fields: list[str], base: int, phrase: tuple[
     return cand.select("query_id", "doc_id", (base + first(phrase, F.col("whole")) + each("toks", word) + each("syns", synonym)).cast("long").alias("score"))
 
 
-_GAP = r"[^\p{L}\p{N}]"
+_GAP = r"[^\p{L}\p{N}\p{M}]"
 
 
 def snippet_start(text: Column, terms: Column, before: int = 80) -> Column:
-    """Where a snippet begins: `before` characters ahead of the first of the words, which must stand on their own."""
+    """Where a snippet begins: `before` characters ahead of the first of the words, which must stand on their own, or further ahead at the letter that a combining mark there belongs to."""
     flat = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), _GAP, " "), F.lit(" "))
     places = F.filter(F.transform(terms, lambda t: F.call_function("instr", flat, F.concat(F.lit(" "), t, F.lit(" ")))), lambda p: p > 0)
-    return F.greatest(F.coalesce(F.array_min(places), F.lit(1)) - before, F.lit(1))
+    at = F.greatest(F.coalesce(F.array_min(places), F.lit(1)) - before, F.lit(1))
+    cluster = F.length(F.regexp_extract(F.substring(text, F.lit(1), at), r"(?s)(\P{M}?\p{M}+)\z", 1))
+    return F.when(cluster > 0, F.greatest(at - cluster + 1, F.lit(1))).otherwise(at)
 
 
 def snippet(text: Column, terms: Column, at: Column, most: int) -> tuple[Column, Column]:
-    """`most` characters from a place on, safe as HTML: without and with <mark> around the words. A combining mark stays with its letter."""
-    cut = F.substring(text, at, F.lit(most))
+    """`most` characters from a place on, and the combining marks of the last one, safe as HTML: without and with <mark> around the words, of any script."""
+    rest = F.regexp_extract(F.substring(text, at + most, F.length(text)), r"^\p{M}+", 0)
+    cut = F.concat(F.substring(text, at, F.lit(most)), rest)
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         cut = F.replace(cut, F.lit(plain), F.lit(entity))
-    pattern = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])("), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{N}\p{M}])"))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}\p{M}])("), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{N}\p{M}])"))
     return cut, F.regexp_replace(cut, pattern, F.lit("<mark>$1</mark>"))

@@ -767,12 +767,42 @@ def related_docs(spark: SparkSession, d: str) -> DataFrame:
     return own.select("doc_id", F.posexplode(F.slice(F.concat("r", more), 1, 6)).alias("p", "related")).select("doc_id", "related", (F.col("p") + 1).cast("long").alias("rank"))
 
 
-@query("rag_context", f"WITH {BM25_SQL}, top AS ({TOP_SQL.format('bm', 2)}) SELECT query_id, string_agg('[' || rank || '] ' || source || ': ' || md5(substr(text, 1, 400)), chr(10) ORDER BY rank) AS context FROM top JOIN documents USING (doc_id) GROUP BY query_id")
+#: Documents in a context at most, and characters of each one's answer.
+CONTEXT_DOCS, CONTEXT_CHARS = 2, 1500
+_PASSAGE_SQL = f"'[' || rank || ']' || chr(10) || 'Title: ' || title || chr(10) || 'Source: ' || source || chr(10) || 'Question: ' || question || chr(10) || 'Answer: ' || substr(text, 1, {CONTEXT_CHARS}) || chr(10)"
+
+
+@query(
+    "rag_context",
+    lambda: f"""WITH {BM25_SQL}, {TITLE_SQL}, {_VEC_SQL}, g1 AS (SELECT item_id AS query_id, u.i AS nth, item_id + u.i * u.i * 400 AS doc_id FROM benchmark, (VALUES (0), (1), (2)) AS u(i) WHERE item_id % 3 = 0),
+r1 AS (SELECT query_id, doc_id, 1 AS stage, row_number() OVER (PARTITION BY query_id ORDER BY nth, doc_id) AS rank FROM g1 JOIN documents USING (doc_id) QUALIFY rank <= {CONTEXT_DOCS}),
+r2 AS (SELECT query_id, doc_id, 2 AS stage, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM vs WHERE query_id % 3 = 1 AND query_id NOT IN (SELECT query_id FROM r1) QUALIFY rank <= {CONTEXT_DOCS}),
+r3 AS (SELECT query_id, doc_id, 3 AS stage, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm WHERE query_id NOT IN (SELECT query_id FROM r1 UNION SELECT query_id FROM r2) QUALIFY rank <= {CONTEXT_DOCS}),
+r AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3), c AS (SELECT query_id, min(stage) AS stage, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS sources, md5(string_agg({_PASSAGE_SQL}, chr(10) ORDER BY rank)) AS context_md5 FROM r JOIN documents USING (doc_id) JOIN ti USING (doc_id) GROUP BY query_id)
+SELECT item_id AS query_id, coalesce(stage, 0) AS stage, coalesce(sources, '') AS sources, context_md5 FROM benchmark LEFT JOIN c ON query_id = item_id""".replace(", c AS (SELECT query_id, min(stage)", ", ctx AS (SELECT query_id, min(stage)").replace("LEFT JOIN c ON", "LEFT JOIN ctx ON"),
+)
 def rag_context(spark: SparkSession, d: str) -> DataFrame:
-    top = bm25_run(spark, d, 2).join(docs(spark, d).select("doc_id", "source", "text"), "doc_id")
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("source"), F.lit(": "), F.md5(F.substring("text", 1, 400)))
-    listed = top.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))  # two a query
-    return listed.select("query_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("context"))
+    """Documents to answer from: those given by id, else the nearest vectors where the query has one, else the best by words; each stage only for queries without any so far. Queries without any document have stage 0.
+
+    A third of the queries come with three ids, some of which there are, and a third have a vector.
+    """
+    i, item = index(spark, d), F.col("query_id")
+    texts, known = query_words(spark, d), docs(spark, d).select("doc_id")
+    ids = F.posexplode(F.array(*[item + n * n * 400 for n in range(3)])).alias("at", "doc_id")
+    of = lambda df, q: df.join(q, "query_id", "left_semi")
+    words = texts.where(item % 3 == 1).select("query_id", F.explode("ws").alias("term"))
+    stages = [
+        (lambda q: of(texts, q).where(item % 3 == 0).select("query_id", ids).join(known, "doc_id").select("query_id", "doc_id", (-F.col("at")).cast("double").alias("score")), CONTEXT_DOCS, 1),
+        (lambda q: R.knn(R.hashed_vectors(of(words, q), "query_id", F.lit(1), DIM), i.documents.select("doc_id", "embedding"), CONTEXT_DOCS), CONTEXT_DOCS, 2),
+        (lambda q: R.bm25_top(of(query_terms(spark, d), q), i, CONTEXT_DOCS), CONTEXT_DOCS, 3),
+    ]
+    ranked = R.cascade(texts, stages, 1).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    told = ranked.join(titles(spark, d), "doc_id").join(docs(spark, d).select("doc_id", "source", "text"), "doc_id")
+    said = lambda name, c: F.concat(F.lit(f"{name}: "), c, F.lit("\n"))
+    passage = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]\n"), *[said(n.title(), F.col(n)) for n in ("title", "source", "question")], said("Answer", F.substring("text", 1, CONTEXT_CHARS)))
+    listed = told.groupBy("query_id").agg(F.min("stage").alias("stage"), F.sort_array(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("doc"), passage.alias("text")))).alias("l"))  # two a query
+    context = listed.select("query_id", "stage", F.array_join("l.doc", ",").alias("sources"), F.md5(F.array_join("l.text", "\n")).alias("context_md5"))
+    return texts.select("query_id").join(context, "query_id", "left").select("query_id", F.coalesce("stage", F.lit(0)).alias("stage"), F.coalesce("sources", F.lit("")).alias("sources"), "context_md5")
 
 
 def hashing_encoder(texts: pd.Series) -> list[list[float]]:
@@ -818,7 +848,7 @@ def browse_interleaved_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "snippet",
-    f"""WITH {BM25_SQL}, top AS ({TOP_SQL.format('bm', 3)}), p AS (SELECT query_id, list(term) AS terms FROM qt WHERE regexp_full_match(term, '[a-z]+') GROUP BY query_id),
+    f"""WITH {BM25_SQL}, top AS ({TOP_SQL.format('bm', 3)}), p AS (SELECT query_id, list(term) AS terms FROM qt GROUP BY query_id),
 w AS (SELECT query_id, doc_id, terms, ' ' || regexp_replace(lower(text), '[^\\pL\\pN]', ' ', 'g') || ' ' AS flat, text FROM top JOIN documents USING (doc_id) JOIN p USING (query_id)),
 a AS (SELECT *, greatest(coalesce(list_min(list_filter(list_transform(terms, lambda t: strpos(flat, ' ' || t || ' ')), lambda x: x > 0)), 1) - 80, 1) AS place FROM w),
 sn AS (SELECT *, replace(replace(replace(substr(text, place, 220), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS cut FROM a)
@@ -827,7 +857,7 @@ SELECT query_id, doc_id, CAST(place AS BIGINT) AS place, md5(cut) AS cut_md5, le
 def snippet(spark: SparkSession, d: str) -> DataFrame:
     """For the best documents of each query, where its 220 characters around the query's first word begin, their text, and how many of its words are marked in them."""
     top = bm25_run(spark, d, 3).join(docs(spark, d).select("doc_id", "text"), "doc_id")
-    q = query_terms(spark, d).where(F.col("term").rlike("^[a-z]+$")).groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    q = query_terms(spark, d).groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))
     cut = top.join(q, "query_id").select("query_id", "doc_id", E.snippet_start(F.col("text"), F.col("terms")).alias("place"), "text", "terms")
     plain, marked = E.snippet(F.col("text"), F.col("terms"), F.col("place"), 220)
     return cut.select("query_id", "doc_id", F.col("place").cast("long").alias("place"), F.md5(plain).alias("cut_md5"), F.regexp_count(marked, F.lit("<mark>")).cast("long").alias("n_marks"))

@@ -134,3 +134,24 @@ def test_links_in_order_of_first_place(spark):
     d = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.link: (r.first_page, r.first_place) for r in M.links(d).collect()}
     assert got == {"http://h/x": (1, 2), "http://h/y?a=1&b=2": (2, 1), "http://h/d/z": (2, 4), "http://k/m/n": (1, 1)}
+
+
+def test_snippets_keep_marks_with_their_letters(spark):
+    from quillspark.operators import expansion as E
+
+    text = "aaaa কি খী নামাজের সময় éé <b> নামাজ"
+    rows = [(text, ["নামাজের"], 3, 6), (text, ["নামাজের"], 1, 12), (text, ["é"[:1] + "x"], 80, 5), ("é̂a", ["a"], 1, 1), ("é̂a", ["a"], 2, 4), ("́a b", ["b"], 3, 9), ("Über über ÜBERMUT", ["über"], 80, 50), ("", ["x"], 80, 5)]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, text string, terms array<string>, before int, most int")
+    for before, most in {r[2:] for r in rows}:
+        placed = d.where((F.col("before") == before) & (F.col("most") == most)).withColumn("at", E.snippet_start(F.col("text"), F.col("terms"), before))
+        plain, marked = E.snippet(F.col("text"), F.col("terms"), F.col("at"), most)
+        for r in placed.select("i", "text", "at", plain.alias("plain"), marked.alias("marked")).collect():
+            whole = r.text
+            assert not re.match(r"[̀-ͯঀ-ঃ়া-্]", whole[r.at - 1 : r.at]) or r.at == 1
+            end = r.at - 1 + len(r.plain.replace("&lt;", "<").replace("&gt;", ">"))
+            assert not re.match(r"[̀-ͯঀ-ঃ়া-্]", whole[end : end + 1])
+            assert end - r.at + 1 >= min(most, len(whole) - r.at + 1)
+            if r.i in (0, 1):
+                assert ("<mark>নামাজের</mark>" in r.marked) == (r.i == 1)
+            if r.i == 6:
+                assert r.marked == "<mark>Über</mark> <mark>über</mark> ÜBERMUT"
