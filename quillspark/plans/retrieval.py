@@ -601,8 +601,8 @@ def _letters_as_bytes(term: str) -> str:
     return f"translate({term}, 'äöüßéèêëàâçùûîïôœæáíóúñ', '!#$%&()*+,-./:;<=>?@[]^_')"
 
 
-_EDITS_SQL = f"levenshtein({_letters_as_bytes('t.term')}, {_letters_as_bytes('voc.term')})"
-_FUZZY_SQL = f"""voc AS (SELECT DISTINCT term FROM ftok), fz AS (SELECT t.term AS query_term, voc.term, {_EDITS_SQL} AS edits FROM (SELECT DISTINCT term FROM qt) t JOIN voc ON abs(length(t.term) - length(voc.term)) <= 1 AND {_EDITS_SQL} <= 1)"""
+_FUZZY_SQL = f"""voc AS (SELECT DISTINCT term FROM ftok), vb AS (SELECT term, {_letters_as_bytes('term')} AS b, length(term) AS n FROM voc), tb AS (SELECT DISTINCT term, {_letters_as_bytes('term')} AS b, length(term) AS n FROM qt),
+fz AS (SELECT * FROM (SELECT tb.term AS query_term, vb.term, levenshtein(tb.b, vb.b) AS edits FROM tb, (VALUES (-1), (0), (1)) AS o(more) JOIN vb ON vb.n = tb.n + more) WHERE edits <= 1)"""
 
 
 @query(
