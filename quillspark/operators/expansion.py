@@ -16,6 +16,29 @@ def first_rules(queries: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("query_id", "r.*")
 
 
+def replace_phrases(texts: DataFrame, phrases: DataFrame, key: str = "query_id", words: str = "ws") -> DataFrame:
+    """(key, words): texts as arrays of words with phrases (phrase, output) in the place of what they stand for, leftmost first and there the longest; what is put in is not looked at again.
+
+    The dictionary may have any size: runs of words, of as many words as phrases have, are joined with it. Of one phrase that is there
+    twice the least output counts. Null texts and texts without a phrase stay as they are.
+    """
+    known = phrases.withColumn("n", F.size(F.split("phrase", " "))).where("phrase <> ''").groupBy("phrase", "n").agg(F.min("output").alias("output"))
+    lengths = F.broadcast(known.agg(F.array_sort(F.collect_set("n")).alias("ns")))  # one row: how many words phrases have
+    starts = texts.select(key, F.col(words).alias("w")).crossJoin(lengths).select(key, "w", F.explode("ns").alias("n"))
+    runs = starts.where(F.size("w") >= F.col("n")).select(key, "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(F.col("w"), i, F.col("n")), " ").alias("phrase")))).alias("r")).select(key, "n", "r.i", "r.phrase")
+    found = runs.join(known, ["phrase", "n"]).groupBy(key, "i").agg(F.max_by(F.struct("n", "output"), "n").alias("p"))
+    listed = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "p.n", "p.output"))).alias("l"))  # a text's words at most
+    none = F.array().cast("array<struct<i: int, n: int, output: string>>")
+    taken = F.aggregate("l", F.struct(F.lit(1).alias("free"), none.alias("out")), lambda s, x: F.when(x["i"] >= s["free"], F.struct((x["i"] + x["n"]).alias("free"), F.array_append(s["out"], x).alias("out"))).otherwise(s))["out"]
+    empty = F.array().cast("array<string>")
+    joined = texts.join(listed.select(key, taken.alias("taken")), key, "left")
+    # what stands before each phrase, its output, and what is left at the end
+    pieces = F.aggregate("taken", F.struct(F.lit(1).alias("at"), empty.alias("out")), lambda s, x: F.struct((x["i"] + x["n"]).alias("at"), F.concat(s["out"], F.slice(F.col(words), s["at"], x["i"] - s["at"]), F.filter(F.split(x["output"], " "), lambda w: w != "")).alias("out")))
+    whole = joined.withColumn("_p", pieces)
+    rest = F.concat(F.col("_p.out"), F.slice(F.col(words), F.col("_p.at"), F.size(words)))
+    return whole.select(*[F.when(F.col("taken").isNull(), F.col(words)).otherwise(rest).alias(c) if c == words else F.col(c) for c in texts.columns])
+
+
 def transliterate(terms: DataFrame, dictionary: DataFrame, rules: DataFrame, letters: list[tuple[str, str]], vowels: str = "aeiou") -> DataFrame:
     """(term, rule, alt, output) of distinct words; alt orders a word's outputs, the first is the one to show.
 

@@ -84,6 +84,8 @@ def bm25(query_terms: DataFrame, index: Index, k1: float = 1.2, b: float = 0.75)
 
 #: Postings beyond k that a query's rarest words may have to begin with, as a multiple of k.
 SEEDS = 4
+#: Part of a query table's postings that words which bring in documents may have for bounds to be worth their lookups.
+WORTH = 0.25
 #: Scores are rounded to six places, so one that is less by this can still be equal.
 ROUNDING = 2e-6
 
@@ -101,7 +103,8 @@ def bm25_top(query_terms: DataFrame, index: Index, k: int, k1: float = 1.2, b: f
     Each word has a bound of what it can add. The k best of the documents with a query's rarest words are scored in full, and the last of
     them is what others have to reach. Words are sorted by their bounds; the last ones, which reach it not even together, bring in
     no document. Documents of the other words are summed up, dropped where even with the bounds of the rest they fall short, and
-    only what is left is looked up in the lists of the frequent words. Equal scores are kept.
+    only what is left is looked up in the lists of the frequent words. Equal scores are kept. Where words that bring in documents
+    have more than a part WORTH of all postings, as with long queries of ordinary words, that saves nothing, and all are scored.
     """
     own = index.postings.select("term", "doc_id", "wtf", "len")
     terms, part = _bm25_terms(query_terms, index, k1, b)
@@ -116,6 +119,10 @@ def bm25_top(query_terms: DataFrame, index: Index, k: int, k1: float = 1.2, b: f
     limit = whole.groupBy("query_id").agg(F.min("s").alias("s"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") == k, F.col("s")).otherwise(0.0).alias("limit"))
     terms = stored(terms.join(limit, "query_id").withColumn("leads", F.col("reach") >= F.col("limit") - ROUNDING), "terms")
 
+    work = terms.agg(F.sum("df").alias("all"), F.sum(F.when(F.col("leads"), F.col("df"))).alias("leads")).first()  # two sums
+    if (work["leads"] or 0) > WORTH * (work["all"] or 0):
+        every = terms.join(own, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(add), 6).alias("score"))
+        return top_k(every, k, [F.desc("score"), F.col("doc_id")])
     leading, others = terms.where("leads"), terms.where("NOT leads")
     slack = others.groupBy("query_id").agg(F.sum("bound").alias("slack"))
     summed = leading.join(own, "term").groupBy("query_id", "doc_id", "limit").agg(F.sum(add).alias("s"))

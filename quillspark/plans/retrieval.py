@@ -179,9 +179,9 @@ def expand_synonyms(spark: SparkSession, d: str) -> DataFrame:
 def process_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Words without stop words, each as its canonical form, or that of its stem, or its stem. All in a document's own row: the dictionary is a short literal."""
     canonical = F.create_map(*[F.lit(x) for pair in SYNONYMS for x in pair])
-    words = F.filter(X.tokens(F.lower("text")), lambda w: ~w.isin(*STOP))
-    stem = lambda w: X.stem(w, SUFFIXES)
-    kept = docs(spark, d).select("doc_id", F.transform(words, lambda w: F.coalesce(F.try_element_at(canonical, w), F.try_element_at(canonical, stem(w)), stem(w))).alias("l")).where(F.size("l") > 0)
+    words = docs(spark, d).select("doc_id", F.filter(X.tokens(F.lower("text")), lambda w: ~w.isin(*STOP)).alias("w")).where(F.size("w") > 0)
+    stems = words.select("doc_id", "w", F.transform("w", lambda w: X.stem(w, SUFFIXES)).alias("s"))
+    kept = stems.select("doc_id", F.zip_with("w", "s", lambda w, s: F.coalesce(F.try_element_at(canonical, w), F.try_element_at(canonical, s), s)).alias("l"))
     return kept.select("doc_id", F.size("l").cast("long").alias("n"), F.md5(F.array_join("l", " ")).alias("words_md5"))
 
 
@@ -222,14 +222,7 @@ def _letters_sql(col: str) -> str:
     return col
 
 
-def _phrases_sql() -> str:
-    out = "' ' || array_to_string(ws, ' ') || ' '"
-    for phrase, to in PHRASES:
-        out = f"replace({out}, ' {phrase} ', ' {to} ')"
-    return f"string_split(trim({out}), ' ')"
-
-
-TRANS_SQL = f"""{QW_SQL}, pw AS (SELECT query_id, {_phrases_sql()} AS ps FROM qw), pt AS (SELECT query_id, u.i AS i, ps[u.i] AS term FROM pw, LATERAL unnest(range(1, len(ps) + 1)) AS u(i)),
+TRANS_SQL = f"""{QW_SQL}, ph(phrase, instead) AS {_values(PHRASES, "x(phrase, instead)").replace("(VALUES", "(SELECT * FROM (VALUES", 1)}), pw AS (SELECT query_id, u.i AS i, ws[u.i] AS word, a.instead, b.instead AS covered FROM qw, LATERAL unnest(range(1, len(ws) + 1)) AS u(i) LEFT JOIN ph a ON a.phrase = ws[u.i] || ' ' || ws[u.i + 1] LEFT JOIN ph b ON u.i > 1 AND b.phrase = ws[u.i - 1] || ' ' || ws[u.i]), pt AS (SELECT query_id, i, coalesce(instead, word) AS term FROM pw WHERE covered IS NULL),
 dict AS (SELECT * FROM {_values([(w, i + 1, o) for w, os in ROMANISED for i, o in enumerate(os)], "x(variant, alt, output)")}), words AS (SELECT DISTINCT term FROM pt),
 exact AS (SELECT term, 'dictionary' AS rule, alt, output FROM words JOIN dict ON term = variant),
 inf AS (SELECT term, rule_no, left(term, length(term) - off) || put AS stem, ending, vowel FROM words, {_values(INFLECTIONS, "r(rule_no, suffix, off, put, least, ending, vowel)")} WHERE ends_with(term, suffix) AND length(term) - off >= least AND term NOT IN (SELECT term FROM exact)),
@@ -242,10 +235,8 @@ trq AS (SELECT query_id, string_agg(output, ' ' ORDER BY i) AS text FROM pt JOIN
 
 def transliterated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Words of queries after phrases (query_id, i, term), and the outputs of their distinct words (term, rule, alt, output)."""
-    padded = F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" "))
-    for phrase, to in PHRASES:
-        padded = F.replace(padded, F.lit(f" {phrase} "), F.lit(f" {to} "))
-    placed = query_words(spark, d).select("query_id", F.posexplode(F.split(F.trim(padded), " ")).alias("i", "term"))
+    phrases = spark.createDataFrame(PHRASES, "phrase string, output string")
+    placed = E.replace_phrases(query_words(spark, d), phrases).select("query_id", F.posexplode("ws").alias("i", "term"))
     dictionary = spark.createDataFrame([(w, i + 1, o) for w, os in ROMANISED for i, o in enumerate(os)], "variant string, alt int, output string")
     rules = spark.createDataFrame(INFLECTIONS, "rule_no int, suffix string, off int, put string, least int, ending string, vowel string")
     return placed, E.transliterate(placed.select("term").distinct(), dictionary, rules, LETTERS)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +241,24 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["query_id", "hit5", "rr", "ndcg10"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_phrases_of_a_large_dictionary(spark, seed):
+    """A thousand phrases that overlap, leftmost first and there the longest."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randint(0, 12)}"
+    known = {" ".join(word() for _ in range(rng.randint(1, 4))): rng.choice(["X", "Y Z", ""]) for _ in range(1000)}
+    texts = [[word() for _ in range(rng.randint(0, 30))] for _ in range(60)] + [None, ["plain"], ["w1"]]
+
+    def brute(ws):
+        out, i = [], 0
+        while i < len(ws):
+            n = next((n for n in (4, 3, 2, 1) if " ".join(ws[i : i + n]) in known and i + n <= len(ws)), 0)
+            out += [w for w in known[" ".join(ws[i : i + n])].split(" ") if w] if n else [ws[i]]
+            i += n or 1
+        return out
+
+    d = spark.createDataFrame(list(enumerate(texts)), "query_id long, ws array<string>")
+    got = {r.query_id: r.ws for r in E.replace_phrases(d, spark.createDataFrame(list(known.items()), "phrase string, output string")).collect()}
+    assert got == {i: brute(ws) if ws is not None else None for i, ws in enumerate(texts)}

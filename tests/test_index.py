@@ -100,8 +100,9 @@ def scores(rows, terms):
     return out
 
 
-@pytest.mark.parametrize(("seed", "k"), [(2, 1), (3, 5), (4, 10), (5, 300)])
-def test_best_by_bounds_are_the_best_of_all(spark, seed, k):
+@pytest.mark.parametrize(("seed", "k", "worth"), [(2, 1, 1.0), (3, 5, 1.0), (4, 10, 1.0), (5, 300, 1.0), (3, 5, 0.0)])
+def test_best_by_bounds_are_the_best_of_all(spark, monkeypatch, seed, k, worth):
+    monkeypatch.setattr(R, "WORTH", worth)
     rows, rng = sample(seed, 150), random.Random(seed)
     index = built(spark, rows)
     queries = {q: [f"w{rng.randint(1, 60)}" for _ in range(rng.randint(1, 12))] for q in range(25)} | {90: ["w1"], 91: ["unknown"], 92: ["w1", "w2", "w3", "w59"]}
@@ -117,6 +118,21 @@ def test_best_by_bounds_are_the_best_of_all(spark, seed, k):
     assert {(r.query_id, r.doc_id): r.score for r in R.bm25_within(pairs, terms, index).collect()} == {(q, i): pytest.approx(exact[q][i], abs=2e-6) for q in (0, 1, 92) for i in (0, 3, 7, 149) if i in exact[q]}
 
 
+def test_rare_words_save_the_lists_of_frequent_ones(spark, monkeypatch):
+    """Queries of a rare word and two that most documents have: less than a fifth of the postings are joined."""
+    rng = random.Random(1)
+    rows = [(i, None, None, " ".join([*(rng.choice(["common", "usual"]) for _ in range(rng.randint(1, 9))), *([f"rare{i % 100}"] * (1 + i % 3) if i % 2 else []), *(f"x{rng.randint(0, 99)}" for _ in range(9))]), "t", "k") for i in range(2000)]
+    index, joined, real = built(spark, rows), [], R.stored
+    monkeypatch.setattr(R, "stored", lambda df, name="table": joined.append((name, out := real(df, name))) or out)
+    queries = {q: [f"rare{2 * q + 1}", "common", "usual"] for q in range(20)}
+    terms = spark.createDataFrame([(q, t) for q, ts in queries.items() for t in ts], "query_id long, term string")
+    got = {(r.query_id, r["rank"]): r.doc_id for r in R.bm25_top(terms, index, 5).collect()}
+    exact = {q: sorted((-round(s, 6), i) for i, s in scores(rows, ts).items())[:5] for q, ts in queries.items()}
+    assert got == {(q, n + 1): i for q, best in exact.items() for n, (_, i) in enumerate(best)}
+    candidates = dict(joined)["candidates"].count()
+    assert candidates < 0.2 * terms.join(index.postings, "term").count() / 3
+
+
 def test_bounds_hold(spark):
     rows = sample(6, 200)
     index = built(spark, rows)
