@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -56,11 +57,54 @@ def tokens(text: Column, stop: list[str] = (), pattern: str = BREAKS) -> Column:
     return F.when(F.size(rest) > 0, rest).otherwise(words)
 
 
+def endings(suffixes: list[str], rest: int = 2) -> list[str]:
+    """Patterns for strip_first: a word that ends with a suffix and has `rest` characters before it."""
+    return [f"^(.{{{rest},}}){s}$" for s in suffixes]
+
+
+def strip_first(token: Column, patterns: list[str], longest: int = 3) -> Column:
+    """What the first pattern that fits keeps, which is its one group; tokens of up to `longest` characters stay, and those that nothing fits."""
+    kept = "".join(f"${i + 1}" for i in range(len(patterns)))
+    return F.when(F.length(token) <= longest, token).otherwise(F.regexp_replace(token, "|".join(patterns), kept))
+
+
 def stem(token: Column, suffixes: list[str], longest: int = 3, rest: int = 2) -> Column:
     """Without the first suffix of the list that leaves `rest` characters; tokens of up to `longest` characters stay."""
-    pattern = "|".join(f"^(.{{{rest},}}){s}$" for s in suffixes)
-    groups = "".join(f"${i + 1}" for i in range(len(suffixes)))
-    return F.when(F.length(token) <= longest, token).otherwise(F.regexp_replace(token, pattern, groups))
+    return strip_first(token, endings(suffixes, rest), longest)
+
+
+# Endings of Bengali words in the order they are tried, for words of the index and for words typed into a page.
+# The letter yya is the single code point, so composed text, where it is two, keeps endings with it.
+BENGALI_LONG = (
+    "গুলোর গুলির সমূহ গুলো গুলি দেরকে দের খানা খানি গুলো\u09df গুলিতে ভাবে ধারী কারী সম্মত গুলোতে সমূহের "
+    "টিতে টাতে টিকে টাকে টির টার েতে \u09dfের েটি ের"
+).split()
+BENGALI_SHORT = "\u09dfে টা টি জন র ে \u09df".split()
+BENGALI_TYPED = (
+    "গুলোতে গুলোর গুলোকে গুলো\u09df সমূহের সমূহ গুলির গুলিতে গুলো গুলি দেরকে দের েদেরকে েদের েরা টির টিকে টাতে টার টাকে "
+    "খানা খানি ভাবে ধারী কারী সম্মত ের টি টা কে তে রা ে র \u09df \u09dfে"
+).split()
+BENGALI_CONSONANTS = "\u0995-\u09b9"
+#: What ends in the object's ending loses it after a vowel, a sign or another ka; else the word itself ends in ka and loses the place's vowel.
+BENGALI_OBJECT = [f"^(.+(?:[^{BENGALI_CONSONANTS}]|ক))কে$", "^(.{2,}ক)ে$"]
+
+
+def stem_bengali(token: Column) -> Column:
+    """Stem of a normalised word, as words of the index have it. Null and short words stay."""
+    return strip_first(token, [*endings(BENGALI_LONG), *BENGALI_OBJECT, *endings(BENGALI_SHORT)])
+
+
+def stem_bengali_typed(token: Column) -> Column:
+    """The variant for words typed into a page: words of three letters are stemmed too, and of the endings for object and place only the vowel goes."""
+    vowel = {"কে": "^(.{2,}ক)ে$", "তে": "^(.{2,}ত)ে$"}
+    return strip_first(token, [vowel.get(s) or endings([s])[0] for s in BENGALI_TYPED], 2)
+
+
+def processed(words: Column, canonical: Column, stemmed: Callable[[Column], Column], least: int = 2) -> Column:
+    """Each word's canonical form, and behind it that form's stem where it is another and has `least` characters. canonical is a map of bounded size."""
+    forms = F.transform(words, lambda w: F.coalesce(F.try_element_at(canonical, w), w))
+    both = F.transform(forms, lambda f: F.struct(f.alias("form"), stemmed(f).alias("stem")))
+    return F.flatten(F.transform(both, lambda b: F.when((b["stem"] != b["form"]) & (F.length(b["stem"]) >= least), F.array(b["form"], b["stem"])).otherwise(F.array(b["form"]))))
 
 
 def script_counts(text: Column) -> dict[str, Column]:

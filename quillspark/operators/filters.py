@@ -84,6 +84,22 @@ def reasons(rules: dict[str, Column]) -> Column:
     return F.filter(broken, lambda x: x.isNotNull())
 
 
+def length_within(value: Column, least: int, most: int) -> Column:
+    """A text that is there and has so many characters."""
+    return F.coalesce(F.length(value).between(least, most), F.lit(False))
+
+
+def list_within(values: Column, most: int, longest: int) -> Column:
+    """A list of up to `most` texts of up to `longest` characters; none at all will do, a null in it won't."""
+    return values.isNull() | ((F.size(values) <= most) & F.forall(values, lambda v: F.coalesce(F.length(v) <= longest, F.lit(False))))
+
+
+def is_sha256(value: Column, required: bool = True) -> Column:
+    """64 hexadecimal digits in any case, with space around them or not."""
+    fits = F.coalesce(F.trim(value, F.lit(" \t\n\x0b\f\r")).rlike("^[0-9a-fA-F]{64}$"), F.lit(False))
+    return fits if required else value.isNull() | fits
+
+
 def validate(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumn("reasons", reasons(rules)).withColumn("valid", F.size("reasons") == 0)
 

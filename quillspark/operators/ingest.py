@@ -49,9 +49,17 @@ def classify(target: DataFrame, src: DataFrame, key: str, compare: list[str]) ->
     return src.join(old, F.col(key) == F.col("_key"), "left").select(key, F.when(F.col("_key").isNull(), "inserted").when(changed, "updated").otherwise("skipped").alias("status"))
 
 
-def upsert(target: DataFrame, src: DataFrame, key: str) -> DataFrame:
-    """target with the rows of src in place of those of the same key. Of rows of one key in src the first by all columns counts."""
+def upsert(target: DataFrame, src: DataFrame, key: str, keep: list[str] = ()) -> DataFrame:
+    """target with the rows of src in place of those of the same key. Of rows of one key in src the first by all columns counts.
+
+    Columns in `keep` (where a row comes from, when it was made) are as target has them where the key is there already, null or not;
+    of a key that target has more than once the first row by all columns is meant.
+    """
     new = dedup_first(src, [key], [F.col(c) for c in src.columns])
+    if keep:
+        old = dedup_first(target, [key], [F.col(c) for c in target.columns]).select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in keep])
+        known = F.col("_key").isNotNull()
+        new = new.join(old, F.col(key) == F.col("_key"), "left").select(*[F.when(known, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in keep else F.col(c) for c in src.columns])
     return target.join(new.select(key), key, "left_anti").unionByName(new)
 
 

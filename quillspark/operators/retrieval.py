@@ -318,6 +318,19 @@ def rule_columns(words: DataFrame, index: Index, fields: list[str], k: int, far:
     )
 
 
+def sort_rule(found: DataFrame, wanted: DataFrame, values: DataFrame, key: str = "doc_id") -> DataFrame:
+    """found with sort, less for what a query wants sooner: wanted is query_id, by (a column of values, all numbers) and down.
+
+    Queries that want no order, and names that values don't have, give 0 for all; a document without a value comes behind those with one.
+    """
+    names = [c for c in values.columns if c != key]
+    asked = wanted.where(F.col("by").isin(*names)).select("query_id", F.col("by").alias("_by"), F.coalesce("down", F.lit(False)).alias("_down"))
+    value = F.coalesce(*[F.when(F.col("_by") == c, F.col(f"_{c}").cast("double")) for c in names])
+    both = found.join(asked, "query_id", "left").join(values.select(key, *[F.col(c).alias(f"_{c}") for c in names]), key, "left")
+    place = F.when(F.col("_by").isNull(), 0.0).otherwise(F.coalesce(F.when(F.col("_down"), -value).otherwise(value), F.lit(float("inf"))))
+    return both.select(*found.columns, place.alias("sort"))
+
+
 def rrf(a: DataFrame, b: DataFrame, k: int = 60, wa: float = 1.0, wb: float = 1.0) -> DataFrame:
     """Two ranked lists (query_id, doc_id, rank) as one: weight / (k + rank) of each, ties to the better rank in the first."""
     both = a.select("query_id", "doc_id", F.col("rank").alias("ra")).join(b.select("query_id", "doc_id", F.col("rank").alias("rb")), ["query_id", "doc_id"], "full_outer")

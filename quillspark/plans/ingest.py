@@ -130,17 +130,29 @@ def write_dedup_json(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("doc_id long, text_md5 string").json(path)
 
 
-@query("export_index_table", r"SELECT doc_id, lang, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\x{80}-\x{10ffff}]+'), lambda w: w <> '')) AS n_tokens FROM documents")
-def export_index_table(spark: SparkSession, d: str) -> DataFrame:
-    path = S.scratch_dir(spark, "index")
-    words = X.tokens(F.lower("text"), pattern=r"[^a-z0-9\x{80}-\x{10ffff}]+")
-    S.export_partitioned(table(spark, d, "documents").select("doc_id", "lang", words.alias("tokens")), path, "lang", "doc_id")
-    return spark.read.schema("doc_id long, tokens array<string>, lang string").parquet(path).select("doc_id", "lang", F.size("tokens").cast("long").alias("n_tokens"))
+_SLUG_SQL = r"""t AS (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(substr(string_split(text, chr(10))[1], 1, 120), '<[^>]*>', '', 'g')), '[^\pL\pM\pN]+', '-', 'g'), '-') AS s, sha256(text) AS h FROM documents),
+c AS (SELECT doc_id, h, s, list_max(list_filter(range(21, 71), lambda i: substr(s, i + 1, 1) = '-')) AS cut FROM t),
+slugs AS (SELECT doc_id, CASE WHEN s = '' THEN h ELSE CASE WHEN length(s) <= 70 THEN s WHEN cut IS NOT NULL THEN substr(s, 1, cut) ELSE rtrim(substr(s, 1, 70), '-') END || '-' || substr(h, 1, 8) END AS slug FROM c)"""
+_CHUNK_SQL = f"""{_SLUG_SQL}, chunks AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 200 + 1 AS chunk, slug,
+  CASE WHEN doc_id % 10 <> 0 THEN strftime(TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 365 AS INTEGER)), '%Y-%m-%dT%H:%M:%S.000Z') WHEN doc_id % 20 <> 0 THEN '2023-05-05T08:00:00.000Z' END AS last_modified FROM slugs)"""
 
 
-@query("chunk_export", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 200 + 1 AS chunk FROM documents")
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents have no times: most are given a date of change, some only a time of publication, and a twentieth one that is none."""
+    i = F.col("doc_id")
+    changed = F.when(i % 10 != 0, F.concat(F.date_add(F.lit("2024-01-01").cast("date"), (i % 365).cast("int")).cast("string"), F.lit("T00:00:00Z"))).otherwise("")
+    published = F.when(i % 20 != 0, "2023-05-05T10:00:00+02:00").otherwise("soon")
+    return S.address_chunks(table(spark, d, "documents").select("doc_id", "text"), "doc_id", X.slug(X.title_of(F.col("text")), F.sha2("text", 256)), S.iso_instant(changed, published), 200)
+
+
+@query("chunk_export", f"WITH {_CHUNK_SQL} SELECT doc_id, chunk, slug, last_modified FROM chunks")
 def chunk_export(spark: SparkSession, d: str) -> DataFrame:
-    return S.chunk_ids(table(spark, d, "documents").select("doc_id"), "doc_id", 200)
+    return _chunks(spark, d)
+
+
+@query("chunk_list", f"WITH {_CHUNK_SQL} SELECT chunk, count(*) AS n, min(doc_id) AS first_key, max(doc_id) AS last_key, max(last_modified) AS last_modified FROM chunks GROUP BY chunk")
+def chunk_list(spark: SparkSession, d: str) -> DataFrame:
+    return S.chunk_list(_chunks(spark, d), "doc_id")
 
 
 # --- filters ------------------------------------------------------------------------------------------
@@ -219,11 +231,20 @@ def resolve_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "validate_records",
-    """SELECT doc_id, array_to_string(list_filter([CASE WHEN length(text) < 100 THEN 'text_short' END, CASE WHEN length(text) > 5000 THEN 'text_long' END, CASE WHEN NOT regexp_full_match(source, 'src[0-9]') THEN 'source' END], lambda x: x IS NOT NULL), ',') AS reasons FROM documents""",
+    r"""WITH r AS (SELECT doc_id, text, source, substr(string_split(text, chr(10))[1], 1, 120) AS title, string_split(text, chr(10))[2] AS question, string_split(substr(string_split(text, chr(10))[1], 1, 120), ' ') AS tags,
+  CASE doc_id % 6 WHEN 0 THEN substr(sha256(text), 1, 63) WHEN 1 THEN upper(sha256(text)) || ' ' WHEN 2 THEN NULL ELSE sha256(text) END AS hash FROM documents)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT coalesce(length(source) BETWEEN 1 AND 100, false) THEN 'source' END, CASE WHEN NOT coalesce(length(title) BETWEEN 3 AND 100, false) THEN 'title' END,
+  CASE WHEN question IS NOT NULL AND NOT length(question) BETWEEN 5 AND 400 THEN 'question' END, CASE WHEN NOT coalesce(length(text) BETWEEN 100 AND 5000, false) THEN 'answer' END,
+  CASE WHEN len(tags) > 18 OR list_max(list_transform(tags, lambda x: length(x))) > 10 THEN 'tags' END, CASE WHEN NOT regexp_full_match(trim(hash), '[0-9a-fA-F]{64}') THEN 'hash' END], lambda x: x IS NOT NULL), ',') AS reasons FROM r""",
 )
 def validate_records(spark: SparkSession, d: str) -> DataFrame:
-    rules = {"text_short": F.length("text") >= 100, "text_long": F.length("text") <= 5000, "source": F.col("source").rlike("^src[0-9]$")}
-    return P.validate(table(spark, d, "documents"), rules).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+    """Lines of a document stand for title and question, the title's words for tags; a third of the hashes are cut, in capitals or missing."""
+    i, h, title = F.col("doc_id"), F.sha2("text", 256), X.title_of(F.col("text"))
+    question = F.get(F.split("text", "\n"), F.lit(1))
+    rows = table(spark, d, "documents").select(i, "text", "source", title.alias("title"), question.alias("question"), F.split(title, " ", -1).alias("tags"), F.when(i % 6 == 0, F.substring(h, 1, 63)).when(i % 6 == 1, F.concat(F.upper(h), F.lit(" "))).when(i % 6 > 2, h).alias("hash"))
+    c = {n: F.col(n) for n in ("source", "title", "question", "text", "tags", "hash")}
+    rules = {"source": P.length_within(c["source"], 1, 100), "title": P.length_within(c["title"], 3, 100), "question": c["question"].isNull() | P.length_within(c["question"], 5, 400), "answer": P.length_within(c["text"], 100, 5000), "tags": P.list_within(c["tags"], 18, 10), "hash": P.is_sha256(c["hash"], required=False)}
+    return P.validate(rows, rules).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(
@@ -396,12 +417,7 @@ def split_qa_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(parts["question"]).alias("question"), F.md5(parts["answer"]).alias("answer"), parts["date_line"].alias("date_line"))
 
 
-@query(
-    "make_slug",
-    r"""WITH t AS (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(substr(string_split(text, chr(10))[1], 1, 120), '<[^>]*>', '', 'g')), '[^\pL\pM\pN]+', '-', 'g'), '-') AS s, sha256(text) AS h FROM documents),
-c AS (SELECT doc_id, h, s, list_max(list_filter(range(21, 71), lambda i: substr(s, i + 1, 1) = '-')) AS cut FROM t)
-SELECT doc_id, CASE WHEN s = '' THEN h ELSE CASE WHEN length(s) <= 70 THEN s WHEN cut IS NOT NULL THEN substr(s, 1, cut) ELSE rtrim(substr(s, 1, 70), '-') END || '-' || substr(h, 1, 8) END AS slug FROM c""",
-)
+@query("make_slug", f"WITH {_SLUG_SQL} SELECT doc_id, slug FROM slugs")
 def make_slug(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.slug(X.title_of(F.col("text")), F.sha2("text", 256)).alias("slug"))
 

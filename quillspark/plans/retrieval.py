@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.operators import expansion as E
+from quillspark.operators import ingest as I
 from quillspark.operators import retrieval as R
 from quillspark.operators.index import DOCUMENTS, POSTINGS, VOCABULARY, Index, index_rows, vocabulary_of
 from quillspark.plans.ingest import QA_SQL, qa_pairs
 from quillspark.plans.registry import query, table
-from quillspark.sources.files import scratch_dir, stored
+from quillspark.sources.files import export_partitioned, scratch_dir, stored
 
 # Small dictionaries for the corpus, which all operators take as arguments: stop words, suffixes in order, (variant, canonical).
 STOP = ["the", "of", "and", "to", "in", "is", "that", "it", "der", "die", "und", "de", "la", "le", "el", "que"]
@@ -134,13 +135,19 @@ def _stem_sql(w: str) -> str:
 
 
 _STEM_SQL = _stem_sql("term")
+#: The second variant: words of three letters too, and an ending that loses one letter or two by what stands before it.
+SPECIAL = [*X.endings(["tion", "ing"]), "^(.+(?:[aiou]|d))ed$", "^(.{2,}e)d$", *X.endings(["es", "er", "e"])]
+_SPECIAL_SQL = """CASE WHEN length(term) <= 2 THEN term WHEN regexp_full_match(term, '..+tion') THEN left(term, -4) WHEN regexp_full_match(term, '..+ing') THEN left(term, -3)
+  WHEN length(term) >= 4 AND ends_with(term, 'ed') THEN left(term, CASE WHEN substr(term, length(term) - 2, 1) IN ('a', 'i', 'o', 'u', 'd') THEN -2 ELSE -1 END)
+  WHEN regexp_full_match(term, '..+e[sr]') THEN left(term, -2) WHEN regexp_full_match(term, '..+e') THEN left(term, -1) ELSE term END"""
 
 
-@query("stem_tokens", f"WITH {TOK_SQL} SELECT {_STEM_SQL} AS stem, count(DISTINCT term) AS n_terms, count(*) AS n FROM tok GROUP BY 1")
+@query("stem_tokens", f"WITH {TOK_SQL}, v AS (SELECT 1 AS variant, term, {_STEM_SQL} AS stem FROM tok UNION ALL SELECT 2, term, {_SPECIAL_SQL} FROM tok) SELECT variant, stem, count(DISTINCT term) AS n_terms, count(*) AS n FROM v GROUP BY ALL")
 def stem_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Stems are made once per distinct token."""
+    """Stems of both variants, made once per distinct token."""
     counted = doc_tokens(spark, d).groupBy("term").agg(F.count("*").alias("n"))
-    return counted.groupBy(X.stem(F.col("term"), SUFFIXES).alias("stem")).agg(F.count("*").alias("n_terms"), F.sum("n").alias("n"))
+    stems = F.array(F.struct(F.lit(1).alias("variant"), X.stem(F.col("term"), SUFFIXES).alias("stem")), F.struct(F.lit(2).alias("variant"), X.strip_first(F.col("term"), SPECIAL, 2).alias("stem")))
+    return counted.select("n", F.inline(stems)).groupBy("variant", "stem").agg(F.count("*").alias("n_terms"), F.sum("n").alias("n"))
 
 
 def _synonyms(spark: SparkSession) -> DataFrame:
@@ -175,6 +182,42 @@ def expand_synonyms(spark: SparkSession, d: str) -> DataFrame:
     return query_words(spark, d).select("query_id", F.explode("ws").alias("term")).distinct().join(pairs, "term")
 
 
+def _processed_sql(text: str) -> str:
+    form = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SYNONYMS) + " ELSE w END"
+    stem = _stem_sql("f")
+    return f"array_to_string(flatten(list_transform(list_transform({_tok(text)}, lambda w: {form}), lambda f: CASE WHEN {stem} <> f AND length({stem}) >= 2 THEN [f, {stem}] ELSE [f] END)), ' ')"
+
+
+#: Fields of an exported index, with how much of the answer goes in.
+INDEX_ANSWER = 3000
+INDEX_FIELDS = ("title", "tags", "question", "category", "answer")
+
+
+def index_export(docs_: DataFrame, answer: int = INDEX_ANSWER) -> DataFrame:
+    """doc_id, lang, source, created and the processed words of each field as one text: canonical forms, each with its stem behind it."""
+    canonical = F.create_map(*[F.lit(x) for pair in SYNONYMS for x in pair])
+    text = {"title": X.title_of(F.col("text")), "tags": F.col("source"), "question": F.substring(F.get(F.split("text", "\n"), F.lit(1)), 1, 120), "category": F.col("lang"), "answer": F.substring("text", 1, answer)}
+    words = lambda c: X.tokens(F.lower(F.coalesce(c, F.lit(""))))
+    return docs_.select("doc_id", "lang", "source", "created", *[F.array_join(X.processed(words(text[f]), canonical, lambda w: X.stem(w, SUFFIXES)), " ").alias(f) for f in INDEX_FIELDS])
+
+
+@query(
+    "export_index_table",
+    f"""WITH v AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 5 <> 0 THEN 'first' ELSE 'second' END AS created, CASE WHEN doc_id % 3 <> 0 THEN text ELSE 'was ' || text END AS text FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 5 <> 0),
+f AS (SELECT doc_id, lang, source, created, text, substr(string_split(text, chr(10))[1], 1, 120) AS title, coalesce(substr(string_split(text, chr(10))[2], 1, 120), '') AS question FROM v)
+SELECT doc_id, lang, source, created, md5({_processed_sql('title')}) AS title, md5({_processed_sql("coalesce(source, '')")}) AS tags, md5({_processed_sql('question')}) AS question, md5({_processed_sql("coalesce(lang, '')")}) AS category, md5({_processed_sql(f'substr(text, 1, {INDEX_ANSWER})')}) AS answer FROM f""",
+)
+def export_index_table(spark: SparkSession, d: str) -> DataFrame:
+    """A first export of four in five documents, into which two in three are put again: their words change, when they were made does not."""
+    path, t = scratch_dir(spark, "index"), docs(spark, d).select("doc_id", "lang", "source", "text")
+    first = index_export(t.where("doc_id % 5 <> 0").select("doc_id", "lang", "source", F.lit("first").alias("created"), F.concat(F.lit("was "), "text").alias("text")))
+    second = index_export(t.where("doc_id % 3 <> 0").withColumn("created", F.lit("second")))
+    export_partitioned(first, f"{path}/first", "lang", "doc_id")
+    held = spark.read.schema(first.schema).parquet(f"{path}/first")
+    export_partitioned(I.upsert(held, second, "doc_id", keep=["source", "created"]), f"{path}/second", "lang", "doc_id")
+    return spark.read.schema(first.schema).parquet(f"{path}/second").select("doc_id", "lang", "source", "created", *[F.md5(f).alias(f) for f in INDEX_FIELDS])
+
+
 @query("process_tokens", f"WITH {TOK_SQL}, k AS (SELECT doc_id, pos, coalesce(a.canonical, b.canonical, {_STEM_SQL}) AS w FROM tok LEFT JOIN {SYN_SQL.replace('s(', 'a(')} ON term = a.variant LEFT JOIN {SYN_SQL.replace('s(', 'b(')} ON {_STEM_SQL} = b.variant WHERE term NOT IN {STOP_SQL}) SELECT doc_id, count(*) AS n, md5(string_agg(w, ' ' ORDER BY pos)) AS words_md5 FROM k GROUP BY doc_id")
 def process_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Words without stop words, each as its canonical form, or that of its stem, or its stem. All in a document's own row: the dictionary is a short literal."""
@@ -615,14 +658,17 @@ m AS (SELECT query_id, i, wo.term AS word, doc_id, edits, min(pos) AS place, min
 b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id, word, doc_id ORDER BY edits, place) = 1),
 n AS (SELECT *, least(8, abs(lead(place) OVER (PARTITION BY query_id, doc_id ORDER BY i) - place)) AS gap FROM b),
 h AS (SELECT query_id, doc_id, count(*) AS words, CAST(sum(edits) AS BIGINT) AS typos, CAST(coalesce(sum(gap), 0) AS BIGINT) AS proximity, min(attr) AS attribute, count(*) FILTER (edits = 0) AS exact FROM n GROUP BY ALL),
-u AS (SELECT h.* FROM h JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, md5(text) ORDER BY words DESC, typos, proximity, attribute, exact DESC, doc_id) = 1)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY words DESC, typos, proximity, attribute, exact DESC, doc_id) AS rank FROM u QUALIFY rank <= 10""",
+u AS (SELECT h.*, CAST(CASE query_id % 3 WHEN 0 THEN -n_chars WHEN 1 THEN n_chars ELSE 0 END AS DOUBLE) AS sort FROM h JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, md5(text) ORDER BY words DESC, typos, proximity, attribute, sort, exact DESC, doc_id) = 1)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY words DESC, typos, proximity, attribute, sort, exact DESC, doc_id) AS rank FROM u QUALIFY rank <= 10""",
 )
 def ranking_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Words found, edits, distance between them, best field, exact words; one row per text."""
+    """Words found, edits, distance between them, best field, the order that a query asks for (longest first, shortest first, none), exact words; one row per text."""
     words = query_terms(spark, d).join(query_words(spark, d), "query_id").select("query_id", "term", F.array_position("ws", F.col("term")).alias("i"))
     ruled_ = R.rule_columns(words, index(spark, d), ["A", "D", "C", "B"], 10)
-    order = [F.desc("words"), F.col("typos"), F.col("proximity"), F.col("attribute"), F.desc("exact"), F.col("doc_id")]
+    i = F.col("query_id")
+    wanted = query_words(spark, d).where(i % 3 < 2).select("query_id", F.lit("n_chars").alias("by"), (i % 3 == 0).alias("down"))
+    ruled_ = R.sort_rule(ruled_, wanted, docs(spark, d).select("doc_id", "n_chars"))
+    order = [F.desc("words"), F.col("typos"), F.col("proximity"), F.col("attribute"), F.col("sort"), F.desc("exact"), F.col("doc_id")]
     return R.top_k(R.top_k(ruled_, 1, order, ["query_id", "text_md5"]).drop("rank", "text_md5"), 10, order)
 
 

@@ -77,3 +77,19 @@ def number_rows(df: DataFrame, key: str) -> DataFrame:
 def chunk_ids(df: DataFrame, key: str, size: int) -> DataFrame:
     """df with chunk: 1 for the first `size` rows by key, and so on."""
     return number_rows(df, key).withColumn("chunk", F.floor((F.col("n") - 1) / size) + 1).drop("n")
+
+
+def iso_instant(*values: Column) -> Column:
+    """The first of the values that is no empty text, as an instant of ISO 8601 in UTC; null where it is none at all, never the present."""
+    first = F.coalesce(*[F.nullif(v.cast("string"), F.lit("")) for v in values])
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(first).cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def address_chunks(df: DataFrame, key: str, slug: Column, changed: Column, size: int = 2000) -> DataFrame:
+    """(key, chunk, slug, last_modified) of all rows, in chunks of `size` by key."""
+    return chunk_ids(df.select(key, slug.alias("slug"), changed.alias("last_modified")), key, size)
+
+
+def chunk_list(chunks: DataFrame, key: str) -> DataFrame:
+    """A row per chunk: its rows, first and last key, and the latest change in it (null where none is known)."""
+    return chunks.groupBy("chunk").agg(F.count("*").alias("n"), F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.max("last_modified").alias("last_modified"))

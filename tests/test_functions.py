@@ -26,6 +26,83 @@ def test_stem_leaves_two_characters(spark, token, want):
     assert one(spark, X.stem(F.lit(token), ["tion", "ing", "ed"])) == want
 
 
+@pytest.mark.parametrize(
+    ("token", "want", "typed"),
+    [
+        ("নামাজের", "নামাজ", "নামাজ"), ("সালাতে", "সালাত", "সালাত"), ("ওযুর", "ওযু", "ওযু"), ("রোজার", "রোজা", "রোজা"), ("বই", "বই", "বই"),
+        ("মসজিদগুলোতে", "মসজিদ", "মসজিদ"), ("বৈঠকে", "বৈঠক", "বৈঠক"), ("শিক্ষককে", "শিক্ষক", "শিক্ষকক"), ("বাবাকে", "বাবা", "বাবাক"), ("রোজাটিকে", "রোজা", "রোজা"),
+        ("দিন", "দিন", "দিন"), ("ঘরে", "ঘরে", "ঘর"), ("abc", "abc", "abc"), ("", "", ""), (None, None, None),
+    ],
+)
+def test_both_stems_of_bengali(spark, token, want, typed):
+    word = F.lit(token).cast("string")
+    assert one(spark, X.stem_bengali(word)) == want
+    assert one(spark, X.stem_bengali_typed(word)) == typed
+
+
+def test_stem_of_an_ending_depends_on_what_stands_before(spark):
+    """Against the rule written out letter by letter, on random words."""
+    rng, words = random.Random(3), set()
+    while len(words) < 300:
+        words.add("".join(rng.choice("কখগােিঅরত") for _ in range(rng.randint(1, 6))) + rng.choice(["কে", "ে", "তে", "", "র"]))
+
+    def want(w):
+        if len(w) <= 3:
+            return w
+        for s in X.BENGALI_LONG:
+            if w.endswith(s) and len(w) - len(s) >= 2:
+                return w[: len(w) - len(s)]
+        if w.endswith("কে") and len(w) >= 4:
+            return w[:-1] if "ক" < w[-3] <= "হ" else w[:-2]
+        for s in X.BENGALI_SHORT:
+            if w.endswith(s) and len(w) - len(s) >= 2:
+                return w[: len(w) - len(s)]
+        return w
+
+    got = spark.createDataFrame([(w,) for w in sorted(words)], "w string").select("w", X.stem_bengali(F.col("w")).alias("s")).collect()
+    assert {r.w: r.s for r in got} == {w: want(w) for w in words}
+
+
+def test_processed_words_have_their_stem_behind_them(spark):
+    canonical = F.create_map(F.lit("praying"), F.lit("rating"))
+    words = F.array(*[F.lit(w) for w in ("praying", "the", "nation")])
+    assert one(spark, X.processed(words, canonical, lambda w: X.stem(w, ["tion", "ing"]))) == ["rating", "rat", "the", "nation", "na"]
+    assert one(spark, X.processed(F.array().cast("array<string>"), canonical, lambda w: w)) == []
+
+
+def test_rules_of_lengths_lists_and_hashes(spark):
+    h = "aB" * 32
+    rows = [("abc", ["x"], h), ("ab", ["x"] * 3, h[:-1]), (None, None, None), ("abcdef", ["xxxxx"], f" {h}\n"), ("abc", ["x", None], h[:-1] + "g")]
+    df = spark.createDataFrame(rows, "t string, l array<string>, h string")
+    rules = {"t": P.length_within(F.col("t"), 3, 5), "l": P.list_within(F.col("l"), 2, 4), "h": P.is_sha256(F.col("h"), required=False), "need": P.is_sha256(F.col("h"))}
+    assert [r.reasons for r in P.validate(df, rules).collect()] == [[], ["t", "l", "h", "need"], ["t", "need"], ["t", "l"], ["l", "h", "need"]]
+
+
+def test_upsert_keeps_what_it_is_told_to(spark):
+    old = spark.createDataFrame([(1, "a", None), (2, "b", "then"), (None, "n", "then")], "k int, v string, made string")
+    new = spark.createDataFrame([(1, "A", "now"), (2, "B", "now"), (3, "C", "now")], "k int, v string, made string")
+    got = sorted((tuple(r) for r in I.upsert(old, new, "k", keep=["made"]).collect()), key=str)
+    assert got == sorted([(1, "A", None), (2, "B", "then"), (3, "C", "now"), (None, "n", "then")], key=str)
+
+
+def test_instants_and_lists_of_chunks(spark):
+    rows = [(1, "2024-02-03", None), (2, "", "2024-02-03T01:00:00+02:00"), (3, None, None), (4, "never", "2024-01-01"), (5, "2024-05-05T00:00:01.25Z", "")]
+    df = spark.createDataFrame(rows, "id int, u string, p string")
+    chunks = S.address_chunks(df, "id", F.lit("s"), S.iso_instant(F.col("u"), F.col("p")), 2)
+    assert sorted((r.id, r.chunk, r.last_modified) for r in chunks.collect()) == [(1, 1, "2024-02-03T00:00:00.000Z"), (2, 1, "2024-02-02T23:00:00.000Z"), (3, 2, None), (4, 2, None), (5, 3, "2024-05-05T00:00:01.250Z")]
+    assert sorted(tuple(r) for r in S.chunk_list(chunks, "id").collect()) == [(1, 2, 1, 2, "2024-02-03T00:00:00.000Z"), (2, 2, 3, 4, None), (3, 1, 5, 5, "2024-05-05T00:00:01.250Z")]
+    assert S.chunk_list(S.address_chunks(df.limit(0), "id", F.lit("s"), F.col("u"), 2), "id").count() == 0
+
+
+def test_sort_rule_by_query(spark):
+    found = spark.createDataFrame([(q, d) for q in (1, 2, 3, 4) for d in (1, 2, 3)], "query_id int, doc_id int")
+    wanted = spark.createDataFrame([(1, "n", True), (2, "m", None), (3, "other", True)], "query_id int, by string, down boolean")
+    values = spark.createDataFrame([(1, 5, 1), (2, 7, None), (9, 1, 1)], "doc_id int, n int, m int")
+    got = {(r.query_id, r.doc_id): r.sort for r in R.sort_rule(found, wanted, values).collect()}
+    inf = float("inf")
+    assert got == {(1, 1): -5.0, (1, 2): -7.0, (1, 3): inf, (2, 1): 1.0, (2, 2): inf, (2, 3): inf, **{(q, d): 0.0 for q in (3, 4) for d in (1, 2, 3)}}
+
+
 def test_stop_words_stay_where_nothing_else_is(spark):
     assert one(spark, X.tokens(F.lit("the of"), ["the", "of"])) == ["the", "of"]
     assert one(spark, X.tokens(F.lit("the cat, of"), ["the", "of"])) == ["cat"]
