@@ -33,6 +33,8 @@ STEMS = (3, 4, 5, 6, 7, 8, 9)
 #: A term is learned if so much of the rows that have it are toxic, and if this is too unlikely for chance among all terms
 #: that are tried (log-likelihood ratio above the logarithm of their number, plus a margin). Terms of fewer rows aren't tried.
 LEAST_PRECISION, MARGIN, LEAST_ROWS = 0.95, 5.0, 4
+#: Terms are learned in up to so many rounds, each from the rows in which no term known by then occurs.
+ROUNDS = 4
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 
@@ -147,10 +149,15 @@ def clause_features(text: str, table: dict[str, str], stems: dict[str, tuple[str
     return np.log1p([*(counts[o] for o in OUTPUTS), total])
 
 
+def _holds(lower: pa.Array, pattern: str) -> np.ndarray:
+    """Whether a word of each text begins as the pattern says."""
+    return pc.match_substring_regex(lower, rf"(?:^|[^\pL])(?:{pattern})").to_numpy(zero_copy_only=False)
+
+
 def _features(texts: pa.Array, model: ToxicityModel) -> np.ndarray:
     """A row per text. Only texts in which a head occurs at all are cut into clauses."""
     lower = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
-    hit = pc.match_substring_regex(lower, rf"(?:^|[^\pL])(?:{model.pattern()})").to_numpy(zero_copy_only=False)
+    hit = _holds(lower, model.pattern())
     out = np.zeros((len(texts), len(OUTPUTS) + 1))
     (table, stems), machine = model.classes(), grammar()
     for i in np.flatnonzero(hit):
@@ -158,33 +165,55 @@ def _features(texts: pa.Array, model: ToxicityModel) -> np.ndarray:
     return out
 
 
-def learn_terms(rows: DataFrame) -> dict[str, str]:
+def learn_terms(rows: DataFrame, rounds: int = ROUNDS) -> dict[str, str]:
     """Words (ending in $) and beginnings of words that mark toxic rows of a sample (text, value), each as an insult (I) or a threat (H).
 
+    This is sequential covering: rows that hold a known term explain themselves, so the next round learns from the others only. Few
+    of those are toxic, and words of a language with few rows stand out against them that would not against all rows. It ends with a
+    round that finds nothing.
+    """
+    found: dict[str, str] = {}
+    for _ in range(rounds):
+        new = _new_terms(rows, ToxicityModel(found, np.zeros(0), 0.0).pattern() if found else None)
+        if not new:
+            break
+        found |= new
+    kept: dict[str, str] = {}  # a beginning stands for all that begins with it
+    for t in sorted(found, key=lambda t: (t.endswith("$"), len(t), t)):
+        if not any(t[:n] in kept for n in range(1, len(t))):
+            kept[t] = found[t]
+    return kept
+
+
+def _new_terms(rows: DataFrame, known: str | None) -> dict[str, str]:
+    """Terms of the rows in which the pattern `known` occurs nowhere.
+
     Each task sends sums of its counts. A term that a target follows within two words more often than one stands before it takes
     that target as its object and is a threat, as in "kill you"; any other is an insult, as in "you idiot". A term that begins one of
-    the fixed words is of its class. All terms that pass
-    the test are learned: there are only as many as the sample's rows hold, which is what bounds them.
+    the fixed words is of its class. All terms that pass the test are learned: there are only as many as the sample's rows hold,
+    which is what bounds them.
     """
     target = frozenset(TARGETS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, behind, before = (Counter(), Counter()), Counter(), Counter()
         for batch in batches:
-            for text, value in zip(batch.column("text").to_pylist(), batch.column("value").to_pylist(), strict=True):
-                found = set()
-                for clause in CLAUSE.split((text or "").lower()):
+            texts = pc.utf8_lower(batch.column("text").cast(pa.large_string()).fill_null(""))
+            left = ~_holds(texts, known) if known else np.ones(len(texts), bool)
+            for i in np.flatnonzero(left):
+                value, found = bool(batch.column("value")[int(i)].as_py()), set()
+                for clause in CLAUSE.split(texts[int(i)].as_py()):
                     words = WORD.findall(clause)
                     aimed = [w in target for w in words]
-                    for i, w in enumerate(words):
+                    for at, w in enumerate(words):
                         terms = [*(w[:n] for n in STEMS if len(w) >= n), f"{w}$"]
                         found.update(terms)
-                        if value and any(aimed[i + 1 : i + 3]):
+                        if value and any(aimed[at + 1 : at + 3]):
                             behind.update(terms)
-                        if value and any(aimed[max(i - 2, 0) : i]):
+                        if value and any(aimed[max(at - 2, 0) : at]):
                             before.update(terms)
-                seen[bool(value)].update(found)
-                seen[bool(value)][""] += 1
+                seen[value].update(found)
+                seen[value][""] += 1
         terms = list(seen[0] | seen[1])
         counts = [pa.array([c[t] for t in terms], pa.int64()) for c in (seen[1], seen[0], behind, before)]
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *counts], names=["term", "toxic", "other", "behind", "before"])
@@ -201,12 +230,7 @@ def learn_terms(rows: DataFrame) -> dict[str, str]:
     good = counted.where((F.col("term") != "") & (n >= LEAST_ROWS) & (k > 0) & (k >= LEAST_PRECISION * n) & (ratio > math.log(tried) + MARGIN))
     fixed = [(w, c) for c, ws in (("I", INSULTS), ("H", THREATS)) for w in ws]
     alike = lambda t: next((c for w, c in fixed if (w == t[:-1] if t.endswith("$") else w.startswith(t))), None)
-    found = {r.term: alike(r.term) or ("H" if r.behind > r.before else "I") for r in good.select("term", "behind", "before").collect()}
-    kept: dict[str, str] = {}  # a beginning stands for all that begins with it
-    for t in sorted(found, key=lambda t: (t.endswith("$"), len(t), t)):
-        if not any(t[:n] in kept for n in range(1, len(t))):
-            kept[t] = found[t]
-    return kept
+    return {r.term: alike(r.term) or ("H" if r.behind > r.before else "I") for r in good.select("term", "behind", "before").collect()}
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> tuple[np.ndarray, float]:

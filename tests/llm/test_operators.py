@@ -741,6 +741,19 @@ def test_threats_are_learned_apart_from_insults(spark):
     assert toxicity.learn_terms(spark.createDataFrame([], "text string, value int")) == {}
 
 
+def test_terms_that_few_rows_have_are_learned_from_what_the_frequent_ones_leave(spark):
+    rng = random.Random(8)
+    plain = lambda begun: " ".join(begun + "".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(40))
+    rows = [(plain("m") + (" zonker" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(600)]
+    rows += [(plain("v") + (" brillo" if i % 10 == 0 else ""), int(i % 10 == 0)) for i in range(60)]
+    rows += [(plain("v"), 1), (None, 1), ("", 0), (None, None)]  # a wrong label, and rows without words
+    df = spark.createDataFrame(rows, "text string, value int")
+    first, whole = toxicity.learn_terms(df, rounds=1), toxicity.learn_terms(df)
+    assert set(first) == {"zon"} and set(whole) == {"zon", "bri"}
+    assert toxicity.learn_terms(df.repartition(7)) == whole
+    assert toxicity.learn_terms(df.where("text not like '%zonker%' and text not like '%brillo%'")) == {}
+
+
 def test_toxicity_on_held_out_rows(spark, sf):
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = toxicity.score_toxicity(d, labels).join(labels, "doc_id").toPandas()
