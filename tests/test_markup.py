@@ -155,3 +155,17 @@ def test_snippets_keep_marks_with_their_letters(spark):
                 assert ("<mark>নামাজের</mark>" in r.marked) == (r.i == 1)
             if r.i == 6:
                 assert r.marked == "<mark>Über</mark> <mark>über</mark> ÜBERMUT"
+
+
+def test_references_without_an_end_are_text(spark, tmp_path):
+    import duckdb
+    from duck import rows
+
+    from quillspark.plans.catalog import QUERIES, SQL
+
+    pages = [(1, "http://h/", "<h1>a &amp;&amp</h1><article>b &copy; &amp;lt; &am</article>"), (2, "http://h/", "<h1>c &quo</h1><article>d &amp</article>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert rows(QUERIES["extract_pages"](spark, str(tmp_path)).toPandas()) == rows(con.execute(SQL["extract_pages"]).df())
+    assert M.unescape("&#65;&#x42;&nosuch;&Eacute;&copy=2&amp;lt;") == "AB&nosuch;É&copy=2&lt;"
