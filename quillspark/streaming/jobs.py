@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -90,45 +92,51 @@ def rate_flags(stream: DataFrame, out: str, width: str, limit: int, late: str) -
     return table_of(counts, out, ["user_id", "start"], "update")
 
 
+#: Groups of users that the rows of a stretch of time are dealt to; a group's are looked at together.
+USER_GROUPS = 8
+
+
 def _attribute(minutes: int, keep: int):
-    """State of a user's stretch of time: its views, and the clicks that can follow them. Gives the views whose clicks have changed."""
+    """State of a stretch of time of a group of users: their views, and the clicks that can follow them. Gives the views whose clicks have changed."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         views, clicks = ([tuple(x) for x in held] for held in (json.loads(state.get[0]) if state.exists else ([], [])))
-        old = {i: _last(clicks, ts, minutes) for i, ts in views}
+        old = dict(zip(views, _last(views, clicks, minutes), strict=True))
         for b in batches:
-            for i, at, click in zip(b["event_id"].tolist(), b["at"].tolist(), b["click"].tolist(), strict=True):
-                (clicks if click else views).append((i, at))
+            for user, at, i, click in zip(b["user"].tolist(), b["at"].tolist(), b["event_id"].tolist(), b["click"].tolist(), strict=True):
+                (clicks if click else views).append((user, at, i))
         views, clicks = sorted(set(views)), sorted(set(clicks))
         state.update((json.dumps([views, clicks]),))
         state.setTimeoutTimestamp(max((int(key[1]) + 2) * minutes * 60_000 + keep, state.getCurrentWatermarkMs() + 1))  # the stretch's last click
-        now = [(i, *_last(clicks, ts, minutes)) for i, ts in views]
-        changed = [r for r in now if r[0] not in old or old[r[0]] != r[1:]]
+        changed = [(v[2], *found) for v, found in zip(views, _last(views, clicks, minutes), strict=True) if old.get(v) != found]
         yield pd.DataFrame({"event_id": pd.Series([r[0] for r in changed], dtype="int64"), "last_click": pd.Series([r[1] for r in changed], dtype="Int64"), "n_clicks": pd.Series([r[2] for r in changed], dtype="int64")})
 
     return step
 
 
-def _last(clicks: list[tuple[int, int]], ts: int, minutes: int) -> tuple[int | None, int]:
-    """The last click within `minutes` after a time (microseconds), and how many there are."""
-    near = [(at, i) for i, at in clicks if ts < at <= ts + minutes * 60_000_000]
-    return (max(near)[1] if near else None), len(near)
+def _last(views: list[tuple[str, int, int]], clicks: list[tuple[str, int, int]], minutes: int) -> list[tuple[int | None, int]]:
+    """Of each view (user, microseconds, event_id) the user's last click within `minutes` after it, and how many there are; clicks are sorted."""
+    found = []
+    for user, at, _ in views:
+        low, high = (bisect_right(clicks, (user, to, math.inf)) for to in (at, at + minutes * 60_000_000))
+        found.append((clicks[high - 1][2] if high > low else None, high - low))
+    return found
 
 
 def click_attribution(stream: DataFrame, out: str, minutes: int = 30, late: str = "1 hour", keep: int = 0) -> DataFrame:
     """(event_id, last_click, n_clicks) of all views (event_id, ts, user_id, event_type): each later click of the user within `minutes` takes the place of the one before.
 
-    A state is a user's stretch of `minutes`: views are dealt to their own stretch, clicks to theirs and the one before, so no state holds
-    more than two stretches of a user, and it leaves once the watermark has passed the last click that it can have. Clicks may
-    come before their views. What changes is upserted by event, so a stream that is started again goes on.
+    A state is a stretch of `minutes` of a group of users: views are dealt to their own stretch, clicks to theirs and the one before, so no state
+    holds more than two stretches of its users, and it leaves once the watermark has passed the last click that it can have. There are
+    USER_GROUPS states a stretch however many users there are. Clicks may come before their views. What changes is upserted by event, so a stream that is started again goes on.
     """
     width = minutes * 60_000_000
     at, click = F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_type") == "click"
     rows = stream.where("event_type IN ('view', 'click')").withWatermark("ts", late).select("event_id", "ts", F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("user"), at.alias("at"), click.alias("click"))
     own = F.floor(F.col("at") / width)
     dealt = rows.withColumn("stretch", F.explode(F.when(F.col("click"), F.array(own, own - 1)).otherwise(F.array(own))))
-    found = dealt.groupBy("user", "stretch").applyInPandasWithState(_attribute(minutes, keep), "event_id long, last_click long, n_clicks long", "held string", "update", GroupStateTimeout.EventTimeTimeout)
+    found = dealt.withColumn("users", F.pmod(F.xxhash64("user"), F.lit(USER_GROUPS))).groupBy("users", "stretch").applyInPandasWithState(_attribute(minutes, keep), "event_id long, last_click long, n_clicks long", "held string", "update", GroupStateTimeout.EventTimeTimeout)
     return table_of(found, out, ["event_id"], "update")

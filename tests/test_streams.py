@@ -77,3 +77,12 @@ def test_pages_fill_a_table(spark):
     twice = spark.createDataFrame([(1, "a"), (1, "b")], "id long, v string")
     assert [tuple(r) for r in I.classify(twice, spark.createDataFrame([(1, "a"), (4, "z")], "id long, v string"), "id", ["v"]).orderBy("id").collect()] == [(1, "skipped"), (4, "inserted")]
     assert I.sync_pages(target.withColumn("t", F.lit(None).cast("timestamp")), "t", "id", None, 5).count() == 0
+
+
+def test_states_do_not_grow_with_users(spark, tmp_path):
+    start, src, out = datetime(2024, 1, 1), f"{tmp_path}/in", f"file://{tmp_path}/out"
+    rows = [(3 * u + n, start + timedelta(seconds=7 * n + u % 60), u, kind) for u in range(300) for n, kind in enumerate(["view", "click", "click"])]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{src}/0")
+    got = jobs.click_attribution(spark.readStream.schema(SCHEMA).parquet(f"{src}/*"), out)
+    assert {r.event_id: (r.last_click, r.n_clicks) for r in got.collect()} == {3 * u: (3 * u + 2, 2) for u in range(300)}
+    assert spark.read.format("statestore").load(f"{out}/state").count() <= 2 * jobs.USER_GROUPS
