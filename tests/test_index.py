@@ -244,3 +244,21 @@ def test_a_table_that_is_written_anew_gets_a_new_index(spark, tmp_path):
 def test_words_of_a_query_without_others_are_stop_words(spark):
     got = spark.createDataFrame([("the of",), ("the cat",)], "t string").select(X.tokens(F.lower("t"), ["the", "of"]).alias("w")).collect()
     assert [r.w for r in got] == [["the", "of"], ["cat"]]
+
+
+def test_the_vocabulary_is_merged(spark):
+    """Its words with a letter deleted are many times as many, which the planner does not know."""
+    from quillspark.operators.retrieval import fuzzy_terms
+
+    words = spark.createDataFrame([("house",), ("mouse",), ("hose",), ("houses",)], "term string")
+    near = fuzzy_terms(words.where("term = 'house'"), words)
+    assert "strategy=merge" in near._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.term, r.edits) for r in near.collect()} == {("house", 0), ("mouse", 1), ("hose", 1), ("houses", 1)}
+
+
+def test_words_of_a_long_query_are_counted_once(spark):
+    from quillspark.operators.retrieval import _words_found
+
+    rows = [(1, doc, i) for doc in (1, 2) for i in range(0, 200, doc) for _ in range(2)]
+    got = _words_found(spark.createDataFrame(rows, "query_id long, doc_id long, i int"), {"words": F.lit(True), "even": F.col("i") % 2 == 0})
+    assert {(r.doc_id, r.words, r.even) for r in got.collect()} == {(1, 200, 100), (2, 100, 100)}
