@@ -58,6 +58,8 @@ class Encoder:
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.tokenize = self.tokenizer.model.tokenize
         self.blank = self.letters[32]
+        #: Whether no special string can be in a word of letters behind a blank.
+        self.apart = all(s.strip(" ") and not s.strip(" ").isalpha() for s in self.special)
         #: Ids of parts and of pieces: a piece that is a part of its own is the same string with the same ids.
         self.known: dict[str, bytes] = {}
 
@@ -75,10 +77,17 @@ class Encoder:
         return ids
 
     def part(self, part: str) -> bytes:
+        rest = part[1:]
+        one = part[:1] == " " and rest.isalpha()  # one piece
+        if one and self.apart and rest.isascii():
+            ids = array(self.code, [t.id for t in self.tokenize(self.blank + rest)]).tobytes()
+            if len(self.known) < CACHE:
+                self.known[part] = ids
+            return ids
         for s in self.special:
             if s in part:
                 return self.whole(part).tobytes()
-        if part[:1] == " " and part[1:].isalpha():  # one piece
+        if one:
             return self.piece(part)
         known, new = self.known.get, self.piece
         ids = b"".join([known(p) or new(p) for p in self.pattern.findall(part)])
@@ -97,12 +106,13 @@ class Encoder:
         lead = np.zeros(len(flat), bool)
         lead[first[:-1]] = True
         coded = flat.dictionary_encode()
-        index, words = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        index, blank = coded.indices.to_numpy().copy(), pa.scalar(" ", pa.large_string())
+        words = pc.binary_join_element_wise(blank, coded.dictionary, pa.scalar("", pa.large_string())).to_numpy(zero_copy_only=False).tolist()
         # a part that leads its text has no blank before it
         lead_of = {int(i): len(words) + k for k, i in enumerate(np.unique(index[lead]))}
         index[lead] = [lead_of[int(i)] for i in index[lead]]
         have, new = self.known.get, self.part
-        known = [have(w) or new(w) for w in [" " + w for w in words] + [words[i] for i in lead_of]]
+        known = [have(w) or new(w) for w in words] + [have(w) or new(w) for w in [words[i][1:] for i in lead_of]]
         pool = np.frombuffer(b"".join(known), self.kind)
         length = np.fromiter(map(len, known), np.int32, len(known)) // self.kind.itemsize
         at = np.cumsum(length, dtype=np.int32) - length
