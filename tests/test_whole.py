@@ -94,3 +94,13 @@ def test_words_of_whole_documents_are_those_of_tokens(spark):
         found.setdefault(r.doc_id, []).extend((p, r.term) for x in r.fields for p in x.positions)
     want = {r.doc_id: r.w for r in df.select("doc_id", X.tokens(F.lower("text")).alias("w")).collect() if r.w}
     assert {i: [t for _, t in sorted(ws)] for i, ws in found.items()} == want
+
+
+def test_a_query_set_without_words_reads_no_document(spark):
+    """As where no query of a cascade lacks documents."""
+    index, rows = whole(spark, sample(1, 30)), frame(spark, sample(1, 30))
+    best = R.bm25_top(spark.createDataFrame([], "query_id long, term string"), index, 3)
+    alike = R.trigram_similarity(spark.createDataFrame([], "query_id long, text string"), rows, 0.2, k=3)
+    assert best.columns == ["query_id", "doc_id", "score", "rank"] and alike.columns == ["query_id", "doc_id", "similarity", "rank"]
+    assert best.collect() == alike.collect() == [] and best.inputFiles() == alike.inputFiles() == []
+    assert R.bm25_top(spark.createDataFrame([(1, "unknown")], "query_id long, term string"), index, 3).collect() == []
