@@ -419,6 +419,69 @@ def test_passages_made_of_lines_that_many_texts_have(spark):
     assert {i for r in got for i in r} >= want
 
 
+def passages_of_common_lines(seed, changes, pairs=30):
+    """Pairs of texts with a changed passage of five lines, each of which some forty other texts have too; pairs come first."""
+    rng = random.Random(seed)
+    lines = [words(rng, 15) for _ in range(60)]
+    texts = []
+    for _ in range(pairs):
+        five = " ".join(rng.sample(lines, 5)).split()
+        for _ in range(2):
+            t = list(five)
+            for i in rng.sample(range(75), changes):
+                t[i] = f"own{rng.randint(0, 10**9)}"
+            texts.append(" ".join([words(rng, 30), *t, words(rng, 30)]))
+    return texts + [" ".join(words(rng, 25) + " " + line for line in rng.sample(lines, 12)) for _ in range(200)]
+
+
+@pytest.mark.parametrize("changes", [4, 6])
+def test_changed_passages_made_of_lines_that_many_texts_have(spark, changes):
+    """Texts that only share lines get no row; nine in ten of the pairs are connected (46 of 60 and 35 of 60 while a seed had two partners)."""
+    texts = passages_of_common_lines(21, changes)
+    found = {}
+    for parts in (1, 3):
+        got = substring.shared_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts), every_pair=True).select("doc_id", "partner_id").collect()
+        found[parts] = {tuple(sorted(r)) for r in got}
+    assert found[1] == found[3] <= {(i, i + 1) for i in range(0, 60, 2)} and len(found[1]) >= 27
+
+
+def test_a_line_that_a_text_has_twice_is_compared_at_both_places(spark):
+    rng = random.Random(22)
+    line, passage = words(rng, 8), words(rng, 30)
+    other = [f"own{i}" if i % 6 == 4 else w for i, w in enumerate(passage.split())]  # no seed but those of the line
+    before = words(rng, 16).split()
+    changed = [f"old{i}" if i % 6 == 2 else w for i, w in enumerate(before)]
+    texts = [" ".join([line, words(rng, 120), *before, line, passage, words(rng, 40)]), " ".join([words(rng, 40), *changed, line, *other, words(rng, 40)])]
+    got = substring.shared_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), every_pair=True).collect()
+    assert [tuple(sorted((r.doc_id, r.partner_id))) for r in got] == [(0, 1)] and got[0].n_same >= 40
+
+
+def test_partners_of_places_against_all_pairs(monkeypatch):
+    """Places by rarer words, in slices and grids of any size, are those that a test of all pairs gives."""
+    rng = np.random.default_rng(5)
+    reach = substring._reach(substring.LEAST, substring.IDENTITY)
+    wide = 2 * reach + substring.K
+    n = 160
+    words_ = np.where(rng.random((n, wide)) < 0.4, rng.integers(1, 6, (n, wide)), rng.integers(100, 4000, (n, wide))).astype(np.uint32)
+    words_[:, reach - 4 : reach + 10] = np.arange(50, 64)
+    for i in range(0, 60, 2):  # like another, around the seed, in seven to nine of ten words
+        part = slice(reach - 30, reach + 40)
+        words_[(i + 5) % 60, part] = np.where(rng.random(70) < 0.7 + i / 250, words_[i, part], words_[(i + 5) % 60, part])
+    words_[100:130, : reach - 20] = 0
+    group, root, before = np.repeat([7, 9], n // 2), np.arange(n) // 3, np.arange(n) % 8 // 2
+    want = set()
+    for i, j in itertools.permutations(range(n), 2):
+        if group[i] == group[j] and root[i] < root[j] and (before[i] != before[j] or not before[i]):
+            same = np.array([w != 0 and w in words_[j, max(k - 25, 0) : k + 26] for k, w in enumerate(words_[i])])
+            if substring._best(same[None], substring.LEAST, substring.IDENTITY)[0] >= 0:
+                want.add((i, j))
+    assert len(want) > 10
+    for pairs in (1 << 21, 50):
+        monkeypatch.setattr(substring, "PAIRS", pairs)
+        got = [(int(i), int(j)) for x, a in substring.similar_places(group, root, words_, before) for i, j in zip(x, a, strict=True)]
+        assert sorted(got) == sorted(want)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_passages_of_an_alignment(seed):
     rng = random.Random(seed)
